@@ -395,10 +395,13 @@ class PieceModel:
         return out
 
 
-#: Spaces, signs and letters, in this order; no piece has a space or sign after a letter, nor a line feed.
-WORD = re.compile(rf"{SPACE}+[^\w{SPACE}\n]*\w*|[^\w{SPACE}\n]+\w*|\w+|\n")
-#: Where WORD cuts though no space begins: a piece with one of these would forbid it.
-CUT = re.compile(rf"\n|\w[^\w{SPACE}]")
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+REST = f"[^{LATIN}{SPACE}\n]"
+LETTERS = rf"(?:[{LATIN}]+(?:(?![{LATIN}])\w{REST}*)?)"
+#: Words end before a space, around a line feed, and between a Latin letter and a sign.
+WORD = re.compile(rf"{SPACE}+{REST}*{LETTERS}*|{REST}+{LETTERS}*|{LETTERS}+|\n")
+#: A piece with one of these would forbid it.
+CUT = re.compile(rf"\n|[{LATIN}][^\w{SPACE}]")
 
 _loaded: dict[str, PieceModel] = {}
 

@@ -136,6 +136,8 @@ class PieceModel:
         by_score = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = np.array([by_score[scores[self.ids[p]]] if p in self.ids else NO_RANK for p in names], np.int64)
         shared = np.bincount(self.rank[self.rank < NO_RANK])
+        self.shown = [str(self.ids.get(p, -1)) for p in names]
+        self.surfaces = [p.replace(SPACE, " ") for p in names]
         self.symbol_of = np.full(0x110000, -1, np.int64)
         for p, k in self.symbol.items():
             if len(p) == 1:
@@ -349,11 +351,13 @@ class PieceModel:
         flush()
         return "".join(out)
 
+    def leads(self, i: int) -> bool:
+        return self.kinds[i] == NORMAL and self.pieces[i].startswith(SPACE)
+
     def decode(self, ids: list[int]) -> str:
         text = self.surface(ids)
         first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-        leads = first is not None and self.kinds[first] == NORMAL and self.pieces[first].startswith(SPACE)
-        return text[1:] if leads and (self.dummy_prefix or self.strip_spaces) else text
+        return text[1:] if first is not None and self.leads(first) and (self.dummy_prefix or self.strip_spaces) else text
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of each text: symbols that survive; a character that no piece has counts its bytes."""
@@ -381,9 +385,20 @@ class PieceModel:
             known.clear()
         new = list({w for words in split for w in words if w not in known})
         long: dict[str, tuple[int, str, str, bool]] = {}
-        for w, (ids, _) in zip(new, self.encode_words(new)):
-            strips = self.kinds[ids[0]] == NORMAL and self.pieces[ids[0]].startswith(SPACE)
-            (known if len(w) <= SHORT else long)[w] = len(ids), ",".join(map(str, ids)), self.surface(ids), strips
+        syms, _, sizes = self.merge(new)
+        own = (syms >= 0) & (self.symbol_id[syms] >= 0)
+        ends = np.cumsum(sizes)
+        odd = set(np.searchsorted(ends, np.flatnonzero(~own), "right").tolist())
+        syms, k = syms.tolist(), 0
+        for i, (w, end) in enumerate(zip(new, ends.tolist())):
+            if i in odd:
+                ids = self.encode_words([w])[0][0]
+                got = len(ids), ",".join(map(str, ids)), self.surface(ids), self.leads(ids[0])
+            else:
+                part = syms[k:end]
+                got = end - k, ",".join([self.shown[x] for x in part]), "".join([self.surfaces[x] for x in part]), self.names[part[0]][0] == SPACE
+            (known if len(w) <= SHORT else long)[w] = got
+            k = end
         out = []
         for words in split:
             parts = [known[w] if w in known else long[w] for w in words] if long else list(map(known.__getitem__, words))

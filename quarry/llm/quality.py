@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.shared import materialise
 
@@ -73,18 +74,17 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """docs (a null text counts as empty), with the columns of MEASURED after its own; needs column text."""
+def with_measures(docs: DataFrame, drop: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs without `drop` (a null text counts as empty), with the columns of MEASURED after its own; needs column text."""
     names = [x.split()[0] for x in MEASURED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = np.array([measure(t) if t else (0,) * len(names) for t in batch["text"]], np.int64).reshape(-1, len(names))
-            yield batch.drop(columns="text").assign(**dict(zip(names, got.T)))
+            yield batch.drop(columns=list(drop)).assign(**dict(zip(names, got.T)))
 
-    kept = docs.schema.simpleString()[7:-1].split(",")  # name:type
-    schema = ", ".join([x.replace(":", " ") for x in kept if not x.startswith("text:")] + [MEASURED])
-    return docs.mapInPandas(run, schema)
+    own = T.StructType([f for f in docs.schema.fields if f.name not in drop])
+    return docs.mapInPandas(run, T.StructType([*own.fields, *T._parse_datatype_string(MEASURED).fields]))
 
 
 def base_failed() -> F.Column:
@@ -152,19 +152,30 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float, delta: float)
     return own, cutoffs
 
 
+def judged(measured: DataFrame, strata: list[str], cutoffs: dict[str, dict[str, int]]) -> DataFrame:
+    """measured with base_failed, the rule that rejects (rejected_by, else null) and kept."""
+    stratum = F.coalesce("lang", F.lit(""))
+    stratum = F.when(stratum.isin(strata), stratum).otherwise(F.lit("")) if strata else F.lit("")
+    hits = [F.when((stratum == s) & (level(rule) > c), F.lit(rule)) for s, by in sorted(cutoffs.items()) for rule, c in sorted(by.items())]
+    out = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.coalesce(*hits, F.lit(None).cast("string")))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """docs' columns but text, their measures, base_failed, the rule that rejects (rejected_by, else null) and kept.
+    """doc_id, lang, measures, base_failed, rejected_by and kept for every row of docs.
 
     Needs doc_id, text and lang. A null or empty text has no words and fails.
     A null language is a stratum. A document with several labels is good only
     if all of them say so; without labels nothing is certified and only the
     base rejects. Repeated rows are judged alike; an empty table gives no rows.
     """
-    own = [c for c in ("doc_id", "lang", "text")]
-    measured = materialise(with_measures(docs.select(*own)), "measures")
-    strata, cutoffs = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
-    stratum = F.coalesce("lang", F.lit(""))
-    stratum = F.when(stratum.isin(strata), stratum).otherwise(F.lit("")) if strata else F.lit("")
-    hits = [F.when((stratum == s) & (level(rule) > c), F.lit(rule)) for s, by in sorted(cutoffs.items()) for rule, c in sorted(by.items())]
-    rejected = F.coalesce(*hits, F.lit(None).cast("string"))
-    return measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
+    return judged(measured, *certify(measured, labels.select("doc_id", "quality"), alpha, delta))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' columns; texts are measured again rather than shuffled."""
+    measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
+    verdict = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), "lang", "text")  # docs may have columns of the measures' names
+    return judged(with_measures(numbered, drop=("text",)), *verdict).where("kept").select("row.*")

@@ -177,5 +177,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delt
     """The rows of docs that judge() keeps, with docs' columns; texts are measured again rather than shuffled."""
     measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
     verdict = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
-    numbered = docs.select(F.struct(*docs.columns).alias("row"), "lang", "text")  # docs may have columns of the measures' names
-    return judged(with_measures(numbered, drop=("text",)), *verdict).where("kept").select("row.*")
+    names = {c: c if c in ("doc_id", "text", "lang") else f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the measures' names
+    found = judged(with_measures(docs.toDF(*names.values()), drop=()), *verdict).where("kept")
+    return found.select(*[F.col(new).alias(c) for c, new in names.items()])

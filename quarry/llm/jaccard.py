@@ -2,10 +2,10 @@
 
 Sets are split recursively. In run r, a set goes below every bucket of its own
 tokens whose hash for this run and depth is under PHI / (LAMBDA * size), so a
-pair of at least LAMBDA shares PHI children or more on average; buckets of up
-to SMALL sets are compared by brute force, larger ones are split again, up to
-DEPTH times. With RUNS runs a pair at the threshold is missed with a chance
-below 1e-5 (0.32 ** 12). Comparison in a bucket is on 64 one-byte minhashes, a
+pair of at least LAMBDA shares PHI[depth] children or more on average; buckets
+of up to SMALL sets are compared by brute force, larger ones are split again, up
+to DEPTH times. A pair at the threshold that stays in large buckets is found in
+a run with a chance of 0.53 or more, so RUNS runs miss it with one below 2e-4. Comparison in a bucket is on 64 one-byte minhashes, a
 filter that lets a pair of LAMBDA pass but for a chance of about 1e-6; what
 passes is verified on the whole shingle sets, in blocks, so links are exact.
 """
@@ -26,9 +26,11 @@ from quarry.llm.shared import materialise, release
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-LAMBDA, PHI = 0.8, 1.6
+LAMBDA, PHI = 0.8, (1.6, 1.0, 1.0)
 RUNS, DEPTH, SMALL = 12, 3, 256
 HASHES, AGREE = 64, 36
+#: Members of a large bucket that a task splits together.
+SPLIT = 16_384
 #: Sets in a block of the exact comparison.
 BLOCK = 512
 CACHE = 500_000
@@ -71,13 +73,13 @@ def shingles(text: str) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> tuple[bytes, list[list[int]]]:
     """HASHES one-byte minhashes, and for each run and depth the chosen tokens (32-bit)."""
-    limit = np.uint32(min(2**32 - 1, int(2**32 * PHI / (LAMBDA * len(tokens)))))
+    limit = np.array([min(2**32 - 1, int(2**32 * PHI[k % DEPTH] / (LAMBDA * len(tokens)))) for k in range(RUNS * DEPTH)], np.uint32)
     least, which, value = None, [], []
     for start in range(0, len(tokens), 4096):
         h = ((tokens[start : start + 4096, None] * ODD[None, :]) >> np.uint64(32)).astype(np.uint32)
         low = h.min(axis=0)
         least = low if least is None else np.minimum(least, low)
-        rows, f = np.nonzero(h[:, : RUNS * DEPTH] < limit)
+        rows, f = np.nonzero(h[:, : RUNS * DEPTH] < limit[None, :])
         which.append(f)
         value.append(h[rows, f])
     f, v = np.concatenate(which), np.concatenate(value)
@@ -125,16 +127,25 @@ def deeper_tokens(data: bytes, run: int, depth: int) -> list[int]:
 
 
 def split_again(large: DataFrame, depth: int) -> DataFrame:
-    """Rows (path, cid, run, data) one level deeper."""
+    """Buckets (path, run, cids) one level deeper, from rows (path, run, cid, n, data).
+
+    A task splits up to SPLIT members of a bucket together and gives one row for
+    each child; where it has the whole bucket, children of one set are left out.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(SPLIT))
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select("path", "block", "run", "cid", (blocks == 1).alias("whole"), "data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, cid, r, data in zip(batch["path"], batch["cid"], batch["run"], batch["data"]):
-                out += [(child(path, t), cid, r) for t in deeper_tokens(data, r, depth)]
-            yield pd.DataFrame(out, columns=["path", "cid", "run"])
+        for group in grouped(batches, ["path", "block"]):
+            r, whole = int(group["run"].iloc[0]), bool(group["whole"].iloc[0])
+            path, below = int(group["path"].iloc[0]), {}
+            for cid, data in zip(group["cid"].tolist(), group["data"]):
+                for t in deeper_tokens(data, r, depth):
+                    below.setdefault(t, []).append(cid)
+            rows = [(child(path, t), r, cids) for t, cids in below.items() if not whole or len(cids) > 1]
+            yield pd.DataFrame(rows, columns=["path", "run", "cids"])
 
-    return large.select("path", "cid", "run", "data").mapInPandas(run, "path long, cid long, run byte")
+    return dealt.repartition("path", "block").sortWithinPartitions("path", "block").mapInPandas(run, "path long, run byte, cids array<long>")
 
 
 def local_labels(near: np.ndarray) -> np.ndarray:
@@ -181,12 +192,16 @@ def bucket_edges(leaves: DataFrame) -> DataFrame:
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Edges between sets that may be similar, over all runs; similar sets are connected but for the chance above."""
-    level = classes.where("size > 0").select(F.explode(F.arrays_zip("paths", "runs")).alias("p"), "cid").select(F.col("p.paths").alias("path"), "cid", F.col("p.runs").alias("run"))
+    first = classes.where("size > 0").select(F.explode(F.arrays_zip("paths", "runs")).alias("p"), "cid")
+    level = first.select(F.col("p.paths").alias("path"), F.col("p.runs").alias("run"), "cid")
     info = classes.select("cid", "size", "data")
     edges = None
     for depth in range(1, DEPTH + 1):
-        counts = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        members = F.count("*") if depth == 1 else F.sum(F.size("cids"))
+        counts = level.groupBy("path").agg(members.alias("n")).where("n > 1")
         level = materialise(level.join(counts, "path"), "buckets")
+        if depth > 1:
+            level = level.select("path", "run", F.explode("cids").alias("cid"), "n")
         leaves = level.where(F.col("n") <= SMALL).join(info, "cid")
         found = bucket_edges(leaves)
         large = level.where(F.col("n") > SMALL)

@@ -5,7 +5,8 @@ tokens whose hash for this run and depth is under PHI / (LAMBDA * size), so a
 pair of at least LAMBDA shares PHI[depth] children or more on average; buckets
 of up to SMALL sets are compared by brute force, larger ones are split again, up
 to DEPTH times. A pair at the threshold that stays in large buckets is found in
-a run with a chance of 0.53 or more, so RUNS runs miss it with one below 2e-4. Comparison in a bucket is on 64 one-byte minhashes, a
+a run with a chance of 0.63 or more, so RUNS runs miss it with one below 1e-5.
+What is still large after DEPTH tokens counts as a candidate as a whole. Comparison in a bucket is on 64 one-byte minhashes, a
 filter that lets a pair of LAMBDA pass but for a chance of about 1e-6; what
 passes is verified on the whole shingle sets, in blocks, so links are exact.
 """
@@ -26,8 +27,8 @@ from quarry.llm.shared import materialise, release
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-LAMBDA, PHI = 0.8, (1.6, 1.0, 1.0)
-RUNS, DEPTH, SMALL = 12, 3, 256
+LAMBDA, PHI = 0.8, (1.6, 1.0)
+RUNS, DEPTH, SMALL = 12, 2, 256
 HASHES, AGREE = 64, 36
 #: Members of a large bucket that a task splits together.
 SPLIT = 16_384
@@ -207,7 +208,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         large = level.where(F.col("n") > SMALL)
         if depth < DEPTH:
             level = split_again(large.join(info, "cid"), depth)
-        else:  # what shares three tokens of a run and is still large counts as connected; the exact step decides
+        else:  # what shares DEPTH tokens of a run and is still large counts as connected; the exact step decides
             lowest = large.groupBy("path").agg(F.min("cid").alias("b"))
             found = found.union(large.join(lowest, "path").where("cid <> b").select(F.col("cid").alias("a"), "b"))
         edges = found if edges is None else edges.union(found)

@@ -7,8 +7,9 @@ aligned at it, so columns correspond, and the suffix order is built column by
 column from the right: a round inserts one symbol of every string, sorts the
 strings stably by it (the column of the collection's Burrows-Wheeler transform)
 and updates the common prefixes of neighbours. A window whose common prefix with
-a neighbour is WINDOW or more is found anywhere else. Anchors of very many
-documents are dealt by window hashes instead, so no task gathers them.
+a neighbour is WINDOW or more is found anywhere else. Anchors found very often,
+in many documents or in one, are dealt by window hashes instead, so no task
+gathers them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WINDOW, GRAM = 400, 128
 REACH = WINDOW - GRAM + 1
 WIDTH = REACH - 1 + WINDOW
 PAD = 256
-#: An anchor of more documents is dealt by window hashes; a bucket gets so many windows.
+#: An anchor found more often is dealt by window hashes; a bucket gets so many windows.
 HOT, BUCKET = 1000, 200_000
 #: Strings in one column-wise construction, at least.
 ROWS = 20_000
@@ -107,18 +108,18 @@ def windows_of(batch: pd.DataFrame) -> Iterator[tuple]:
 
 
 def profile(keyed: DataFrame) -> DataFrame:
-    """For each row: rid, doc_id, k1, k2, n_bytes, sha256, its anchors' hashes, and those found more than once in it."""
+    """For each row: rid, doc_id, k1, k2, n_bytes, sha256, its anchors' hashes, and how often each is found in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row, data in windows_of(batch):
                 fps, n = np.unique(anchors(data)[0].astype(np.int64), return_counts=True)
-                out.append((row.doc_id, row.rid, row.k1, row.k2, len(data), hashlib.sha256(data).hexdigest(), fps, fps[n > 1]))
-            names = ["doc_id", "rid", "k1", "k2", "n_bytes", "sha256", "fps", "twice"]
+                out.append((row.doc_id, row.rid, row.k1, row.k2, len(data), hashlib.sha256(data).hexdigest(), fps, n))
+            names = ["doc_id", "rid", "k1", "k2", "n_bytes", "sha256", "fps", "times"]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return keyed.mapInPandas(run, "doc_id long, rid long, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, twice array<long>")
+    return keyed.mapInPandas(run, "doc_id long, rid long, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, times array<long>")
 
 
 def contexts(texts: DataFrame, buckets: int) -> DataFrame:
@@ -311,10 +312,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = copies.where("copies > 1")
     marked = rows.select("doc_id", "rid", "k1", "k2", "n_bytes", "sha256").join(many, ["k1", "k2"], "left")
     light = marked.select("doc_id", "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)).alias("whole"))
-    fps = rows.select(F.explode("fps").alias("fp"), "k1", "k2").groupBy("fp").agg(
-        F.min("k1").alias("least"), F.max("k1").alias("most"), F.count("*").alias("n"))
-    twice = rows.select(F.explode("twice").alias("fp")).distinct().withColumn("in_one", F.lit(True))
-    shared = fps.join(twice, "fp", "left").where((F.col("least") != F.col("most")) | F.col("in_one")).select("fp", (F.col("n") > HOT).alias("hot"), "n")
+    fps = rows.select(F.explode(F.arrays_zip("fps", "times")).alias("f"), "k1").groupBy(F.col("f.fps").alias("fp")).agg(
+        F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
+    shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
     shared = materialise(shared, "anchors")
     n_hot = shared.where("hot").agg(F.sum("n")).first()[0] or 0
     buckets = max(1, n_hot * REACH // 2 // BUCKET)

@@ -160,6 +160,16 @@ def test_repeats(awkward, empty, monkeypatch, hot):
     assert suffixes.removed(empty).count() == 0
 
 
+def test_repeats_within_one_document(spark):
+    """Anchors found very often in one document, with equal and with different surroundings."""
+    rng = np.random.default_rng(3)
+    mixed = "".join("k" * 140 + "".join(rng.choice(list("abc"), 90)) for _ in range(300))
+    texts = ["ab" * 3000, "z" * 2500, mixed, mixed[1000:9000], "q" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.removed(docs).collect())
+    assert got == [(k, *w) for k, w in enumerate(brute_repeats(texts))]
+
+
 def test_jaccard(awkward, empty):
     rows = {r["doc_id"]: r for r in jaccard.linked(awkward).collect()}
     assert rows[1]["class_id"] == rows[2]["class_id"] == rows[3]["class_id"] == rows[10]["class_id"] == 1

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.graph import grouped
 from quarry.llm.shared import materialise
 
 WINDOW, GRAM = 400, 128
@@ -31,6 +32,9 @@ WIDTH = REACH - 1 + WINDOW
 PAD = 256
 #: An anchor found more often is dealt by window hashes; a bucket gets so many windows.
 HOT, BUCKET = 1000, 200_000
+#: A window hash found more often is dealt to several tasks, each with about so many.
+SALT = 4000
+PAIR = [("h1", "<u8"), ("h2", "<u8")]
 #: Strings in one column-wise construction, at least.
 ROWS = 20_000
 #: Documents' bytes that are hashed at once.
@@ -122,8 +126,8 @@ def profile(keyed: DataFrame) -> DataFrame:
     return keyed.mapInPandas(run, "doc_id long, rid long, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, times array<long>")
 
 
-def contexts(texts: DataFrame, buckets: int) -> DataFrame:
-    """Rows for the search: of plain anchors (hot false) the bytes of their windows, of hot ones packed window hashes by bucket."""
+def contexts(texts: DataFrame) -> DataFrame:
+    """For each place of a plain anchor: fp, rid, its distance from the first window that picks it, that window's start, and the windows' bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -135,36 +139,116 @@ def contexts(texts: DataFrame, buckets: int) -> DataFrame:
                 plain = np.isin(fp, np.asarray(row.plain, np.int64))
                 raw = data.tobytes()
                 for f, p, a, b in zip(fp[plain].tolist(), place[plain].tolist(), first[plain].tolist(), last[plain].tolist()):
-                    out.append((f, False, row.rid, p - a, a, raw[a : b + WINDOW]))
+                    out.append((f, row.rid, p - a, a, raw[a : b + WINDOW]))
                     held += b - a + WINDOW
-                hot = np.isin(fp, np.asarray(row.hot, np.int64))
-                if hot.any():
-                    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
-                    packed = np.zeros(len(starts), [("h1", "<u8"), ("h2", "<u8"), ("s", "<i4")])
-                    for seed, name in ((1, "h1"), (2, "h2")):
-                        for k in range(0, len(data) - WINDOW + 1, AT_ONCE - WINDOW):
-                            part = data[k : k + AT_ONCE]
-                            if len(part) < WINDOW:
-                                break
-                            inside = (starts >= k) & (starts <= k + len(part) - WINDOW)
-                            packed[name][inside] = roller(seed).hashes(part, WINDOW)[starts[inside] - k]
-                    packed["s"] = starts
-                    which = packed["h1"] % np.uint64(buckets)
-                    order = np.argsort(which, kind="stable")
-                    packed, which = packed[order], which[order]
-                    for group in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
-                        data_of = packed[group].tobytes()
-                        out.append((int(which[group[0]]), True, row.rid, 0, 0, data_of))
-                        held += len(data_of)
                 if held > 8 << 20:
                     yield frame(out)
                     out, held = [], 0
         yield frame(out)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["fp", "hot", "rid", "lead", "start", "data"])
+        return pd.DataFrame(out, columns=["fp", "rid", "lead", "start", "data"])
 
-    return texts.mapInPandas(run, "fp long, hot boolean, rid long, lead int, start int, data binary")
+    return texts.where("size(plain) > 0").mapInPandas(run, "fp long, rid long, lead int, start int, data binary")
+
+
+def window_hashes(texts: DataFrame, buckets: int) -> DataFrame:
+    """Windows that pick a hot anchor, by bucket of their hash: bucket, rid, and packed hashes and starts."""
+
+    def packed_windows(row: tuple, data: np.ndarray) -> np.ndarray:
+        fp, _, first, last = anchors(data)
+        hot = np.isin(fp.astype(np.int64), np.asarray(row.hot, np.int64))
+        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
+        packed = np.zeros(len(starts), [*PAIR, ("s", "<i4")])
+        for seed, name in ((1, "h1"), (2, "h2")):
+            for k in range(0, len(data) - WINDOW + 1, AT_ONCE - WINDOW):
+                part = data[k : k + AT_ONCE]
+                if len(part) < WINDOW:
+                    break
+                inside = (starts >= k) & (starts <= k + len(part) - WINDOW)
+                packed[name][inside] = roller(seed).hashes(part, WINDOW)[starts[inside] - k]
+        packed["s"] = starts
+        return packed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, data in windows_of(batch):
+                packed = packed_windows(row, data)
+                which = packed["h1"] % np.uint64(buckets)
+                order = np.argsort(which, kind="stable")
+                packed, which = packed[order], which[order]
+                for group in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
+                    out.append((int(which[group[0]]), row.rid, packed[group].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "rid", "data"])
+
+    return texts.where("size(hot) > 0").mapInPandas(run, "bucket long, rid long, data binary")
+
+
+def runs_of(h1: np.ndarray, h2: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash pair (then by others), and the starts of equal pairs in it."""
+    order = np.lexsort((*then, h2, h1))
+    a, b = h1[order], h2[order]
+    return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+
+
+def hot_search(windows: DataFrame, salts: int) -> DataFrame:
+    """(rid, spans) of windows (bucket, rid, data) whose hash is found twice or more.
+
+    A bucket's rows are dealt over `salts` tasks. Each gives its distinct hashes
+    and whether they repeat in it; a bucket's lists are merged; each task gets
+    back those of its hashes that repeat anywhere, and marks its windows.
+    """
+    dealt = windows.select("bucket", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "rid", "data")
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, ["bucket", "salt"]):
+            packed = np.frombuffer(b"".join(group["data"]), [*PAIR, ("s", "<i4")])
+            order, at = runs_of(packed["h1"], packed["h2"])
+            some = np.zeros(len(at), [*PAIR, ("n", "u1")])
+            some["h1"], some["h2"] = packed["h1"][order[at]], packed["h2"][order[at]]
+            some["n"] = np.minimum(np.diff(np.r_[at, len(order)]), 2)
+            yield pd.DataFrame({"bucket": group["bucket"].iloc[:1], "salt": group["salt"].iloc[:1], "data": [some.tobytes()]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, ["bucket"]):
+            data = group["data"].tolist()
+            some = np.frombuffer(b"".join(data), [*PAIR, ("n", "u1")])
+            order, at = runs_of(some["h1"], some["h2"])
+            total = np.add.reduceat(some["n"][order].astype(np.int64), at)
+            often = np.zeros(len(some), bool)
+            often[order] = np.repeat(total > 1, np.diff(np.r_[at, len(order)]))
+            pairs = np.zeros(len(some), PAIR)
+            pairs["h1"], pairs["h2"] = some["h1"], some["h2"]
+            ends = np.cumsum([len(x) // some.itemsize for x in data])
+            lists = [pairs[a:b][often[a:b]].tobytes() for a, b in zip(np.r_[0, ends], ends)]
+            yield pd.DataFrame({"bucket": group["bucket"], "salt": group["salt"], "kind": 0, "rid": 0, "data": lists})
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, ["bucket", "salt"]):
+            first = (group["kind"] == 0).to_numpy()
+            known = np.frombuffer(b"".join(group["data"][first]), PAIR)
+            own = group[~first]
+            data = own["data"].tolist()
+            packed = np.frombuffer(b"".join(data), [*PAIR, ("s", "<i4")])
+            is_own = np.r_[np.zeros(len(known), bool), np.ones(len(packed), bool)]
+            order, at = runs_of(np.r_[known["h1"], packed["h1"]], np.r_[known["h2"], packed["h2"]], is_own)
+            hit = np.zeros(len(order), bool)
+            hit[order] = np.repeat(~is_own[order[at]], np.diff(np.r_[at, len(order)]))
+            hit = np.flatnonzero(hit[len(known) :])
+            if not len(hit):
+                continue
+            owner, rids, out = np.repeat(np.arange(len(data)), [len(x) // packed.itemsize for x in data]), own["rid"].to_numpy(), []
+            for part in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1):
+                s = np.sort(packed["s"][part])
+                out.append((rids[owner[part[0]]], union_of([np.stack([s, s + WINDOW], axis=1).astype("<i4").tobytes()]).astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["rid", "spans"])
+
+    by_task = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    lists = by_task.select("bucket", "salt", "data").mapInPandas(distinct, "bucket long, salt int, data binary")
+    often = lists.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merged, "bucket long, salt int, kind int, rid long, data binary")
+    both = dealt.union(often).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    return both.mapInPandas(marked, "rid long, spans binary")
 
 
 def column_wise(group: np.ndarray, strings: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -235,39 +319,15 @@ def search(rows: DataFrame) -> DataFrame:
         cut = np.flatnonzero(np.diff(r1)) + 1
         return [(rids[r1[k]], s.tobytes()) for k, s in zip(np.r_[0, cut], np.split(spans, cut))]
 
-    def hot(batch: pd.DataFrame) -> list[tuple[int, bytes]]:
-        data = batch["data"].tolist()
-        packed = np.frombuffer(b"".join(data), [("h1", "<u8"), ("h2", "<u8"), ("s", "<i4")])
-        owner = np.repeat(np.arange(len(data)), [len(x) // 20 for x in data])
-        order = np.lexsort((packed["h2"], packed["h1"]))
-        p = packed[order]
-        same = (p["h1"][1:] == p["h1"][:-1]) & (p["h2"][1:] == p["h2"][:-1])
-        twice = order[np.r_[False, same] | np.r_[same, False]]
-        twice = np.sort(twice)
-        out, rids = [], batch["rid"].to_numpy()
-        if len(twice):
-            for part in np.split(twice, np.flatnonzero(np.diff(owner[twice])) + 1):
-                s = np.sort(packed["s"][part]).astype("<i4")
-                out.append((rids[owner[part[0]]], np.stack([s, s + WINDOW], axis=1).astype("<i4").tobytes()))
-        return out
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in whole_groups(batches):
-            for is_hot, some in part.groupby("hot", sort=False):
-                out = []
-                if is_hot:
-                    for _, bucket in some.groupby("fp", sort=False):
-                        out += hot(bucket)
-                else:
-                    out = plain(some)
-                yield pd.DataFrame(out, columns=["rid", "spans"]).astype({"rid": "int64"})
+            yield pd.DataFrame(plain(part), columns=["rid", "spans"]).astype({"rid": "int64"})
 
-    dealt = rows.repartition("hot", "fp").sortWithinPartitions("hot", "fp")
-    return dealt.mapInPandas(run, "rid long, spans binary")
+    return rows.repartition("fp").sortWithinPartitions("fp").mapInPandas(run, "rid long, spans binary")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parts of ROWS rows or more that hold whole groups of (hot, fp)."""
+    """Parts of ROWS rows or more that hold whole groups of fp."""
     held: list[pd.DataFrame] = []
     n = 0
     for batch in batches:
@@ -278,8 +338,7 @@ def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if n < ROWS:
             continue
         part = pd.concat(held, ignore_index=True)
-        last = part.iloc[-1]
-        other = np.flatnonzero(((part["fp"] != last["fp"]) | (part["hot"] != last["hot"])).to_numpy())
+        other = np.flatnonzero((part["fp"] != part["fp"].iloc[-1]).to_numpy())
         cut = other[-1] + 1 if len(other) else 0
         if cut:
             yield part.iloc[:cut]
@@ -316,13 +375,16 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
     shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
     shared = materialise(shared, "anchors")
-    n_hot = shared.where("hot").agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, n_hot * REACH // 2 // BUCKET)
+    n_hot, most = shared.where("hot").agg(F.sum("n"), F.max("n")).first()
     one = rows.where(f"n_bytes >= {WINDOW}").select("rid", "k1", "k2", "fps").join(many.select("k1", "k2", "one"), ["k1", "k2"], "left").where("one is null or one = rid")
     todo = one.select("rid", F.explode("fps").alias("fp")).join(shared, "fp").groupBy("rid").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("fp"))).alias("plain"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
     texts = materialise(keyed.select("rid", "text").join(todo, "rid"), "texts", "zstd")
-    found = search(contexts(texts, buckets)).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    spans = search(contexts(texts))
+    if n_hot:
+        windows = materialise(window_hashes(texts, max(1, n_hot * REACH // 2 // BUCKET)), "windows")
+        spans = spans.union(hot_search(windows, -(-most // SALT)))
+    found = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     found = materialise(found, "spans")
     partial = found.join(light.where("not whole").select("rid").distinct(), "rid", "left_semi")
     cut = texts.select("rid", "text").join(partial, "rid")

@@ -150,9 +150,10 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_repeats(awkward, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot, salt", [(1000, 4000), (1, 4000), (1, 1)])
+def test_repeats(awkward, empty, monkeypatch, hot, salt):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SALT", salt)
     rows = awkward.collect()
     want = sorted((r["doc_id"] or -1, *w) for r, w in zip(rows, brute_repeats([r["text"] for r in rows])))
     got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.removed(awkward).collect())

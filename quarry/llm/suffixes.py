@@ -30,10 +30,8 @@ WINDOW, GRAM = 400, 128
 REACH = WINDOW - GRAM + 1
 WIDTH = REACH - 1 + WINDOW
 PAD = 256
-#: An anchor found more often is dealt by window hashes; a bucket gets so many windows.
-HOT, BUCKET = 1000, 200_000
-#: A window hash found more often is dealt to several tasks, each with about so many.
-SALT = 4000
+#: An anchor found more often is searched by window hashes: a task takes about SALT of its places, one of PARTS takes the hashes of all.
+HOT, SALT, PARTS = 1000, 1000, 16
 PAIR = [("h1", "<u8"), ("h2", "<u8")]
 #: Strings in one column-wise construction, at least.
 ROWS = 20_000
@@ -152,12 +150,13 @@ def contexts(texts: DataFrame) -> DataFrame:
     return texts.where("size(plain) > 0").mapInPandas(run, "fp long, rid long, lead int, start int, data binary")
 
 
-def window_hashes(texts: DataFrame, buckets: int) -> DataFrame:
-    """Windows that pick a hot anchor, by bucket of their hash: bucket, rid, and packed hashes and starts."""
+def window_hashes(texts: DataFrame) -> DataFrame:
+    """For each document and hot anchor: fp, rid, and packed hashes and starts of the windows that pick it."""
 
-    def packed_windows(row: tuple, data: np.ndarray) -> np.ndarray:
+    def packed_windows(row: tuple, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fp, _, first, last = anchors(data)
-        hot = np.isin(fp.astype(np.int64), np.asarray(row.hot, np.int64))
+        fp = fp.astype(np.int64)
+        hot = np.isin(fp, np.asarray(row.hot, np.int64))
         starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
         packed = np.zeros(len(starts), [*PAIR, ("s", "<i4")])
         for seed, name in ((1, "h1"), (2, "h2")):
@@ -168,21 +167,20 @@ def window_hashes(texts: DataFrame, buckets: int) -> DataFrame:
                 inside = (starts >= k) & (starts <= k + len(part) - WINDOW)
                 packed[name][inside] = roller(seed).hashes(part, WINDOW)[starts[inside] - k]
         packed["s"] = starts
-        return packed
+        return np.repeat(fp[hot], (last - first + 1)[hot]), packed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for row, data in windows_of(batch):
-                packed = packed_windows(row, data)
-                which = packed["h1"] % np.uint64(buckets)
+                which, packed = packed_windows(row, data)
                 order = np.argsort(which, kind="stable")
                 packed, which = packed[order], which[order]
                 for group in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
                     out.append((int(which[group[0]]), row.rid, packed[group].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "rid", "data"])
+            yield pd.DataFrame(out, columns=["fp", "rid", "data"])
 
-    return texts.where("size(hot) > 0").mapInPandas(run, "bucket long, rid long, data binary")
+    return texts.where("size(hot) > 0").mapInPandas(run, "fp long, rid long, data binary")
 
 
 def runs_of(h1: np.ndarray, h2: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,25 +191,27 @@ def runs_of(h1: np.ndarray, h2: np.ndarray, *then: np.ndarray) -> tuple[np.ndarr
 
 
 def hot_search(windows: DataFrame, salts: int) -> DataFrame:
-    """(rid, spans) of windows (bucket, rid, data) whose hash is found twice or more.
+    """(rid, spans) of windows (fp, rid, data) whose hash is found twice or more; equal windows have one anchor.
 
-    A bucket's rows are dealt over `salts` tasks. Each gives its distinct hashes
-    and whether they repeat in it; a bucket's lists are merged; each task gets
-    back those of its hashes that repeat anywhere, and marks its windows.
+    An anchor's rows are dealt over `salts` tasks. Each gives its distinct hashes
+    and whether they repeat in it; lists are merged by parts of the hashes; each
+    task gets back those of its hashes that repeat anywhere, and marks its windows.
     """
-    dealt = windows.select("bucket", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "rid", "data")
+    dealt = windows.select("fp", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "rid", "data")
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, ["bucket", "salt"]):
+        for group in grouped(batches, ["fp", "salt"]):
             packed = np.frombuffer(b"".join(group["data"]), [*PAIR, ("s", "<i4")])
             order, at = runs_of(packed["h1"], packed["h2"])
             some = np.zeros(len(at), [*PAIR, ("n", "u1")])
             some["h1"], some["h2"] = packed["h1"][order[at]], packed["h2"][order[at]]
             some["n"] = np.minimum(np.diff(np.r_[at, len(order)]), 2)
-            yield pd.DataFrame({"bucket": group["bucket"].iloc[:1], "salt": group["salt"].iloc[:1], "data": [some.tobytes()]})
+            part = (some["h2"] % np.uint64(PARTS)).astype(np.int64)
+            parts = np.unique(part)
+            yield pd.DataFrame({"fp": group["fp"].iloc[0], "part": parts, "salt": group["salt"].iloc[0], "data": [some[part == k].tobytes() for k in parts]})
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, ["bucket"]):
+        for group in grouped(batches, ["fp", "part"]):
             data = group["data"].tolist()
             some = np.frombuffer(b"".join(data), [*PAIR, ("n", "u1")])
             order, at = runs_of(some["h1"], some["h2"])
@@ -222,10 +222,10 @@ def hot_search(windows: DataFrame, salts: int) -> DataFrame:
             pairs["h1"], pairs["h2"] = some["h1"], some["h2"]
             ends = np.cumsum([len(x) // some.itemsize for x in data])
             lists = [pairs[a:b][often[a:b]].tobytes() for a, b in zip(np.r_[0, ends], ends)]
-            yield pd.DataFrame({"bucket": group["bucket"], "salt": group["salt"], "kind": 0, "rid": 0, "data": lists})
+            yield pd.DataFrame({"fp": group["fp"], "salt": group["salt"], "kind": 0, "rid": 0, "data": lists})
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, ["bucket", "salt"]):
+        for group in grouped(batches, ["fp", "salt"]):
             first = (group["kind"] == 0).to_numpy()
             known = np.frombuffer(b"".join(group["data"][first]), PAIR)
             own = group[~first]
@@ -244,10 +244,10 @@ def hot_search(windows: DataFrame, salts: int) -> DataFrame:
                 out.append((rids[owner[part[0]]], union_of([np.stack([s, s + WINDOW], axis=1).astype("<i4").tobytes()]).astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["rid", "spans"])
 
-    by_task = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-    lists = by_task.select("bucket", "salt", "data").mapInPandas(distinct, "bucket long, salt int, data binary")
-    often = lists.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merged, "bucket long, salt int, kind int, rid long, data binary")
-    both = dealt.union(often).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    by_task = dealt.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
+    lists = by_task.select("fp", "salt", "data").mapInPandas(distinct, "fp long, part int, salt int, data binary")
+    often = lists.repartition("fp", "part").sortWithinPartitions("fp", "part").mapInPandas(merged, "fp long, salt int, kind int, rid long, data binary")
+    both = dealt.union(often).repartition("fp", "salt").sortWithinPartitions("fp", "salt", "kind")
     return both.mapInPandas(marked, "rid long, spans binary")
 
 
@@ -375,14 +375,14 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
     shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
     shared = materialise(shared, "anchors")
-    n_hot, most = shared.where("hot").agg(F.sum("n"), F.max("n")).first()
+    most = shared.where("hot").agg(F.max("n")).first()[0]
     one = rows.where(f"n_bytes >= {WINDOW}").select("rid", "k1", "k2", "fps").join(many.select("k1", "k2", "one"), ["k1", "k2"], "left").where("one is null or one = rid")
     todo = one.select("rid", F.explode("fps").alias("fp")).join(shared, "fp").groupBy("rid").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("fp"))).alias("plain"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
     texts = materialise(keyed.select("rid", "text").join(todo, "rid"), "texts", "zstd")
     spans = search(contexts(texts))
-    if n_hot:
-        windows = materialise(window_hashes(texts, max(1, n_hot * REACH // 2 // BUCKET)), "windows")
+    if most:
+        windows = materialise(window_hashes(texts), "windows")
         spans = spans.union(hot_search(windows, -(-most // SALT)))
     found = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     found = materialise(found, "spans")

@@ -150,7 +150,7 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot, salt", [(1000, 4000), (1, 4000), (1, 1)])
+@pytest.mark.parametrize("hot, salt", [(1000, 1000), (1, 1000), (1, 1)])
 def test_repeats(awkward, empty, monkeypatch, hot, salt):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "SALT", salt)

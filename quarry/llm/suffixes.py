@@ -77,16 +77,18 @@ def roller(seed: int) -> Roller:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: hash, place, and first and last window that picks it. Long texts go in overlapping parts."""
+    """Anchors of a text: hash, place, and first and last window that picks it.
+
+    Long texts go in parts that overlap by a window less one byte, so that each
+    window is in one part; a place that two parts pick is one anchor.
+    """
     n = len(data)
     if n < WINDOW:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     found = []
-    for start in range(0, n - WINDOW + 1, AT_ONCE - WINDOW):
+    for start in range(0, n - WINDOW + 1, AT_ONCE - WINDOW + 1):
         part = data[start : start + AT_ONCE]
-        if len(part) < WINDOW:
-            break
         h = roller(0).hashes(part, GRAM)
         bits = np.uint64(23)
         key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
@@ -101,7 +103,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         last = np.r_[first[1:], len(place)] - 1
         at = place[first]
         found.append((h[at], at + start, first + start, last + start))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    h, place, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.r_[True, place[1:] != place[:-1]]
+    return h[new], place[new], first[new], last[np.r_[new[1:], True]]
 
 
 def windows_of(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -160,10 +164,8 @@ def window_hashes(texts: DataFrame) -> DataFrame:
         starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
         packed = np.zeros(len(starts), [*PAIR, ("s", "<i4")])
         for seed, name in ((1, "h1"), (2, "h2")):
-            for k in range(0, len(data) - WINDOW + 1, AT_ONCE - WINDOW):
+            for k in range(0, len(data) - WINDOW + 1, AT_ONCE - WINDOW + 1):
                 part = data[k : k + AT_ONCE]
-                if len(part) < WINDOW:
-                    break
                 inside = (starts >= k) & (starts <= k + len(part) - WINDOW)
                 packed[name][inside] = roller(seed).hashes(part, WINDOW)[starts[inside] - k]
         packed["s"] = starts

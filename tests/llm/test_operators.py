@@ -171,6 +171,33 @@ def test_repeats_within_one_document(spark):
     assert got == [(k, *w) for k, w in enumerate(brute_repeats(texts))]
 
 
+def test_anchors_of_parts(monkeypatch):
+    """Anchors do not depend on how a text is cut into parts."""
+    rng = np.random.default_rng(5)
+    data = np.r_[rng.integers(97, 123, 9000), np.full(3000, 97), rng.integers(97, 99, 3000)].astype(np.uint8)
+    whole = suffixes.anchors(data)
+    for at_once in (400, 401, 1000, 1013):
+        monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffixes.anchors(data)))
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_repeats_of_a_long_text(spark, monkeypatch, hot):
+    """A text hashed in parts: what occurs once stays, and a passage over the cut that occurs twice goes."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    clean = np.random.default_rng(7).integers(97, 123, suffixes.AT_ONCE + 20_000).astype(np.uint8)
+    twice = clean.copy()
+    twice[1000:1600] = twice[suffixes.AT_ONCE - 700 : suffixes.AT_ONCE - 100]
+    twice[[999, 1600]] = 65, 66
+    keep = np.ones(len(twice), bool)
+    keep[1000:1600] = keep[suffixes.AT_ONCE - 700 : suffixes.AT_ONCE - 100] = False
+    for data, spans, kept in ((clean, 0, clean), (twice, 2, twice[keep])):
+        docs = spark.createDataFrame([(1, data.tobytes().decode())], "doc_id long, text string")
+        r = suffixes.removed(docs).first()
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(data), len(data) - len(kept), spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept.tobytes()).hexdigest()
+
+
 def test_jaccard(awkward, empty):
     rows = {r["doc_id"]: r for r in jaccard.linked(awkward).collect()}
     assert rows[1]["class_id"] == rows[2]["class_id"] == rows[3]["class_id"] == rows[10]["class_id"] == 1

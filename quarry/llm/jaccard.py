@@ -276,11 +276,13 @@ def with_sets(texts: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, class_id, n_links and n_copies for every row.
+    """doc_id, rid, label, class_id, n_links and n_copies for every row.
 
     Two documents are linked if the Jaccard similarity of their sets of
-    SHINGLE-word shingles is LAMBDA or more. class_id: the smallest doc_id that
-    a document is connected with over links. n_links: documents that it is
+    SHINGLE-word shingles is LAMBDA or more. label: the class's own number, one
+    for each set of connected documents. class_id: the smallest doc_id that a
+    document is connected with over links; classes without an id share null, and
+    classes that one doc_id stands in may share it. n_links: documents that it is
     linked with, of which n_copies have the same set. rid: a hash of doc_id and
     text. A null text is empty; documents without words are linked only to
     equal texts. Repeated rows count as documents. An empty table gives no rows.
@@ -303,15 +305,15 @@ def linked(docs: DataFrame) -> DataFrame:
     named = full.select("h1", "h2", "cid", "weight", "first_id").join(links, "cid", "left").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
     named = materialise(named.withColumn("label", F.coalesce("label", "cid")), "named")
     firsts = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = named.join(firsts, "label").select("h1", "h2", "weight", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.join(firsts, "label").select("h1", "h2", "weight", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.select("doc_id", "rid", "h1", "h2").join(named, ["h1", "h2"])
     release(comps)
-    return out.select("doc_id", "rid", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
+    return out.select("doc_id", "rid", "label", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one whose doc_id names it (of rows that repeat, one)."""
+    """docs with one document of each class, also where classes share a class_id: one whose doc_id names it (of rows that repeat, one)."""
     found = linked(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("rid").alias("_rid")).select("_rid")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("rid").alias("_rid")).select("_rid")
     keyed = docs.withColumn("_rid", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
     return keyed.join(keep, "_rid", "left_semi").dropDuplicates(["_rid"]).select(docs.columns)

@@ -207,6 +207,18 @@ def test_jaccard(awkward, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_one_of_each_class_without_own_id(spark):
+    """Unlike texts without ids, and unlike texts of one id, are classes of their own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " end"), (None, b), (5, c), (5, d), (6, d), (5, c), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(docs).collect()]
+    near = [k for k in kept if k[1].startswith(b)]
+    assert len(near) == 1 and sorted(map(str, kept)) == sorted(map(str, [(None, a), *near, (5, c), (5, d), (None, "")]))
+    found = jaccard.linked(docs)
+    assert found.select("label").distinct().count() == 5 and found.where("doc_id = 6").first()["class_id"] == 5
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x"), (3, None, None), (4, "u\r\nv", ""), (5, "http://c/", "é" * 5000)], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in warc.archived(pages).collect()}

@@ -66,6 +66,10 @@ class CharacterMap:
         size = struct.unpack("<I", compiled[:4])[0] if compiled else 0
         self.units = np.frombuffer(compiled[4 : 4 + size], "<u4").tolist()
         self.strings = compiled[4 + size :]
+        self.starts = np.zeros(256, bool)  # first bytes of keys
+        if self.units:
+            base = (self.units[0] >> 10) << ((self.units[0] & 0x200) >> 6)
+            self.starts[[b for b in range(256) if base ^ b < len(self.units) and self.units[base ^ b] & 0x800000FF == b]] = True
 
     def longest_prefix(self, data: bytes, at: int) -> tuple[bytes, int] | None:
         """The replacement of the longest key that data has at `at`, and the key's length."""
@@ -123,7 +127,7 @@ class PieceModel:
         self._tables(scores)
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.counts: dict[str, int] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str, bool, bytes]] = {}
 
     def _tables(self, scores: list[float]) -> None:
         """Symbols are the normal pieces and their characters; for each pair of symbols that spells a piece: that piece's symbol."""
@@ -241,12 +245,41 @@ class PieceModel:
             out.append((ids, chars))
         return out
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its characters (and the end) the byte of the source where it starts.
 
         At each place the longest prefix that the compiled map knows is
-        replaced; a character that it doesn't know stays.
+        replaced; a character that it doesn't know stays. Prefixes are looked up
+        where a key's first byte stands; what lies between is taken over whole.
         """
+        if self.strip_spaces:
+            return self.stripped(text)
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8)
+        starts = np.flatnonzero(raw & 0xC0 != 0x80)
+        out: list[str] = []
+        source: list[np.ndarray] = []
+        at = k = 0  # byte, and its character
+        for c in np.flatnonzero(self.map.starts[raw[starts]]).tolist():
+            if c < k or (hit := self.map.longest_prefix(data, int(starts[c]))) is None:
+                continue
+            out.append(text[k:c])
+            source.append(starts[k:c])
+            at = int(starts[c])
+            new = hit[0].decode(errors="replace")
+            out.append(new)
+            source.append(np.full(len(new), at))
+            at += hit[1]
+            k = int(np.searchsorted(starts, at))
+        out.append(text[k:])
+        source.append(starts[k:])
+        normal, places = "".join(out), np.concatenate(source)
+        if data and self.dummy_prefix:
+            normal, places = " " + normal, np.r_[0, places]
+        return normal.replace(" ", SPACE), np.r_[places, len(data)]
+
+    def stripped(self, text: str) -> tuple[str, np.ndarray]:
+        """normalise() for models that strip spaces at the ends and join those in a row."""
         data = text.encode()
         out: list[str] = []
         source: list[int] = []
@@ -285,7 +318,27 @@ class PieceModel:
                 source.pop()
             if out == [SPACE]:
                 out, source = [], []
-        return "".join(out), [*source, n]
+        return "".join(out), np.array([*source, n])
+
+    def projected(self, chars: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From and to of each id's source bytes. chars: the characters that it starts a new symbol with (bytes after the first: 0)."""
+        head = np.flatnonzero(chars)
+        if not len(head):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = np.cumsum(chars[head])
+        if head[0] or end[-1] != len(source) - 1:
+            raise ValueError("pieces do not cover the normalised text")
+        low, high, width = source[end - chars[head]], source[end], np.diff(np.r_[head, len(chars)])
+        if len(head) == len(chars):
+            return low, high
+        symbol = np.repeat(np.arange(len(head)), width)
+        apart = ((width > 1) & (high - low == width))[symbol]  # a byte for each id
+        inside = np.arange(len(chars)) - head[symbol]
+        return np.where(apart, low[symbol] + inside, low[symbol]), np.where(apart, low[symbol] + inside + 1, high[symbol])
+
+    def split(self, normal: str) -> list[str]:
+        """Words of a normalised text, which can be merged apart from each other."""
+        return WORD.findall(normal) if self.separable else [normal] if normal else []
 
     def words_of(self, text: str) -> list[str]:
         """Normalised words: no piece has a space after another character, so words can be merged apart from each other."""
@@ -301,22 +354,12 @@ class PieceModel:
         """Ids, and for each id the bytes (from, to) of the source that it stands for."""
         normal, source = self.normalise(text)
         ids: list[int] = []
-        spans: list[tuple[int, int]] = []
-        at = 0
-        for got, chars in self.encode_words(WORD.findall(normal) if self.separable else [normal] if normal else []):
+        chars: list[int] = []
+        for got, some in self.encode_words(self.split(normal)):
             ids += got
-            for k, c in enumerate(chars):
-                if c:
-                    whole = (source[at], source[at + c])
-                    at += c
-                    width = next((i for i, x in enumerate(chars[k + 1 :], 1) if x), len(chars) - k)
-                    inside = 0
-                if width == 1 or whole[1] - whole[0] != width:
-                    spans.append(whole)
-                else:
-                    spans.append((whole[0] + inside, whole[0] + inside + 1))
-                    inside += 1
-        return ids, spans
+            chars += some
+        low, high = self.projected(np.array(chars, np.int64), source)
+        return ids, list(zip(low.tolist(), high.tolist()))
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids, as it stands inside a text."""
@@ -377,36 +420,43 @@ class PieceModel:
                 (known if len(w) <= SHORT else long)[w] = n
         return [sum([known[w] if w in known else long[w] for w in words]) if long else sum(map(known.__getitem__, words)) for words in split]
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the ids joined by commas and of the decoded text, for each text."""
-        split = [self.words_of(t) for t in texts]
+    def encoded(self, texts: list[str]) -> Iterator[tuple[list[tuple], tuple[np.ndarray, np.ndarray]]]:
+        """For each text its words (number of ids, ids joined by commas, surface, whether it leads, characters of each id), and from and to of each id's source bytes."""
+        normal = [self.normalise(t) for t in texts]
+        split = [self.split(n) for n, _ in normal]
         known = self.known
         if len(known) > CACHE // 3:
             known.clear()
         new = list({w for words in split for w in words if w not in known})
-        long: dict[str, tuple[int, str, str, bool]] = {}
-        syms, _, sizes = self.merge(new)
+        long: dict[str, tuple[int, str, str, bool, bytes]] = {}
+        syms, spans, sizes = self.merge(new)
         own = (syms >= 0) & (self.symbol_id[syms] >= 0)
         ends = np.cumsum(sizes)
         odd = set(np.searchsorted(ends, np.flatnonzero(~own), "right").tolist())
+        spans, wide = spans.astype("<i4").tobytes(), 4
         syms, k = syms.tolist(), 0
         for i, (w, end) in enumerate(zip(new, ends.tolist())):
             if i in odd:
-                ids = self.encode_words([w])[0][0]
-                got = len(ids), ",".join(map(str, ids)), self.surface(ids), self.leads(ids[0])
+                ids, chars = self.encode_words([w])[0]
+                got = len(ids), ",".join(map(str, ids)), self.surface(ids), self.leads(ids[0]), np.array(chars, "<i4").tobytes()
             else:
                 part = syms[k:end]
-                got = end - k, ",".join([self.shown[x] for x in part]), "".join([self.surfaces[x] for x in part]), self.names[part[0]][0] == SPACE
+                got = end - k, ",".join([self.shown[x] for x in part]), "".join([self.surfaces[x] for x in part]), self.names[part[0]][0] == SPACE, spans[k * wide : end * wide]
             (known if len(w) <= SHORT else long)[w] = got
             k = end
-        out = []
-        for words in split:
+        for words, (_, source) in zip(split, normal):
             parts = [known[w] if w in known else long[w] for w in words] if long else list(map(known.__getitem__, words))
+            yield parts, self.projected(np.frombuffer(b"".join([p[4] for p in parts]), "<i4"), source)
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of the ids joined by commas and of the decoded text, for each text."""
+        out = []
+        for parts, (low, _) in self.encoded(texts):
             text = "".join([p[2] for p in parts])
             if parts and parts[0][3] and (self.dummy_prefix or self.strip_spaces):
                 text = text[1:]
             ids = ",".join([p[1] for p in parts])
-            out.append((sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            out.append((len(low), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return out
 
 
@@ -483,7 +533,9 @@ def encode_spans(docs: DataFrame, model: str) -> DataFrame:
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = piece_model(model)
         for batch in batches:
-            got = [pieces.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [g[0] for g in got], "starts": [[s for s, _ in g[1]] for g in got], "ends": [[e for _, e in g[1]] for g in got]})
+            for part in in_parts(batch):
+                got = list(pieces.encoded(part["text"].tolist()))
+                ids = [[int(i) for p in parts for i in p[1].split(",")] for parts, _ in got]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids, "starts": [low for _, (low, _) in got], "ends": [high for _, (_, high) in got]})
 
     return whole_texts(docs).mapInPandas(spans, "doc_id long, ids array<int>, starts array<int>, ends array<int>")

@@ -53,6 +53,59 @@ def test_compiled_character_map():
     assert made.longest_prefix(b"abc", 0) == (b"yz", 2) and made.longest_prefix(b"ac", 0) == (b"x", 1) and made.longest_prefix(b"c", 0) is None
 
 
+@settings(max_examples=100, deadline=None)
+@given(TEXTS)
+def test_digests_come_with_spans(text):
+    own = piecemodel.piece_model(MODEL)
+    ids, spans = own.encode(text)
+    [(parts, (low, high))] = own.encoded([text])
+    assert list(zip(low.tolist(), high.tolist())) == spans and ",".join(p[1] for p in parts) == ",".join(map(str, ids))
+    assert own.digests([text]) == [(len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest())]
+
+
+def test_query_projects_every_piece(monkeypatch):
+    own, seen = piecemodel.piece_model(MODEL), []
+    real = piecemodel.PieceModel.projected
+    monkeypatch.setattr(piecemodel.PieceModel, "projected", lambda *a: seen.append(real(*a)) or real(*a))
+    n = own.digests(["the é日🙂 of", ""])
+    assert [len(low) for low, _ in seen] == [x[0] for x in n] and seen[0][1][-1] == len("the é日🙂 of".encode())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*"abcé 日", "  ", "ab"]), max_size=20).map("".join), st.booleans())
+def test_normalised_with_a_map(text, strip):
+    """By a map of a -> x and ab -> y and a space (longest prefix first), against a walk over the text."""
+    own = object.__new__(piecemodel.PieceModel)
+    own.strip_spaces, own.dummy_prefix, own.map = strip, True, hand_map()
+    out, at = [], 0
+    while at < len(text):
+        width = 2 if text[at : at + 2] == "ab" else 1
+        out += [(c, len(text[:at].encode())) for c in {"a": "x", "ab": "y "}.get(text[at : at + width], text[at : at + width])]
+        at += width
+    if strip:
+        while out and out[0][0] == " ":
+            out.pop(0)
+        while out and out[-1][0] == " ":
+            out.pop()
+        out = [c for k, c in enumerate(out) if not k or c[0] != " " or out[k - 1][0] != " "]
+    out = [(" ", out[0][1]), *out] if out else []
+    normal, source = own.normalise(text)
+    assert normal == "".join(c for c, _ in out).replace(" ", "▁") and source.tolist() == [*[p for _, p in out], len(text.encode())]
+
+
+def hand_map():
+    units = [0] * 1024
+    units[0] = 256 << 10
+    a = 256 ^ ord("a")
+    units[a] = ((a ^ 512) << 10) | 0x100 | ord("a")
+    units[512] = 0x80000000 | 0
+    b = 512 ^ ord("b")
+    units[b] = ((b ^ 768) << 10) | 0x100 | ord("b")
+    units[768] = 0x80000000 | 2
+    blob = np.array(units, "<u4").tobytes()
+    return piecemodel.CharacterMap(len(blob).to_bytes(4, "little") + blob + b"x\0y \0")
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXTS)
 def test_byte_bpe_is_the_library(text):

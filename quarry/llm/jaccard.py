@@ -4,8 +4,10 @@ Sets are split recursively. In run r, a set goes below every bucket of its own
 tokens whose hash for this run and depth is under PHI / (LAMBDA * size), so a
 pair of at least LAMBDA shares PHI[depth] children or more on average; buckets
 of up to SMALL sets are compared by brute force, larger ones are split again, up
-to DEPTH times. A pair at the threshold that stays in large buckets is found in
-a run with a chance of 0.63 or more, so RUNS runs miss it with one below 1e-5.
+to DEPTH times. A run's deeper tokens are the same below all its paths, so a
+pair at the threshold that stays in large buckets is found in it if it shares a
+token at each depth: a chance of (1 - exp(-1.6)) ** 2 = 0.637, and RUNS runs
+miss it with one below 1e-5.
 What is still large after DEPTH tokens counts as a candidate as a whole. Comparison in a bucket is on 64 one-byte minhashes, a
 filter that lets a pair of LAMBDA pass but for a chance of about 1e-6; what
 passes is verified on the whole shingle sets, in blocks, so links are exact.
@@ -27,7 +29,7 @@ from quarry.llm.shared import materialise, release
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-LAMBDA, PHI = 0.8, (1.6, 1.0)
+LAMBDA, PHI = 0.8, (1.6, 1.6)
 RUNS, DEPTH, SMALL = 12, 2, 256
 HASHES, AGREE = 64, 36
 #: Members of a large bucket that a task splits together.

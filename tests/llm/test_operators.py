@@ -260,6 +260,18 @@ def test_jaccard(awkward, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_chance_of_a_pair_in_large_buckets():
+    """Pairs at the threshold share a token at each depth in so many runs that RUNS of them miss one with a chance below 1e-5."""
+    rng, hits, pairs = np.random.default_rng(11), 0, 1000
+    for _ in range(pairs):
+        a = rng.integers(0, 2**63, 100).astype(np.uint64)
+        x, y = jaccard.sketch(a)[1], jaccard.sketch(a[:80])[1]
+        both = [bool(set(p) & set(q)) for p, q in zip(x, y)]
+        hits += sum(all(both[r * jaccard.DEPTH : (r + 1) * jaccard.DEPTH]) for r in range(jaccard.RUNS))
+    assert (1 - hits / (pairs * jaccard.RUNS)) ** jaccard.RUNS < 1e-5
+    assert np.prod([1 - np.exp(-p) for p in jaccard.PHI]) > 1 - 1e-5 ** (1 / jaccard.RUNS)
+
+
 def test_one_of_each_class_without_own_id(spark):
     """Unlike texts without ids, and unlike texts of one id, are classes of their own."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Keys of more than a thousandth of all rows are a thousand at most, so that many rows may be broadcast.
+HEAVY = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets one of its own; a cluster has none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -41,12 +48,33 @@ def release(*tables: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Arrow batches hold so many bytes at most, whatever their number of rows: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def heavy_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with keyed: one row a key, `weight` says how many of rows have it.
+
+    Keys of more than 1 / HEAVY of the rows, HEAVY at most, are broadcast, so
+    their rows stay where they are; the others are shuffled. keyed must be a
+    written table, as it is read three times.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    heavy = keyed.where(F.col(weight) * HEAVY > total)
+    if total < HEAVY or not heavy.limit(1).count():
+        return rows.join(keyed, on, how)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keyed.where(F.col(weight) * HEAVY <= total), on, how)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), whatever else the table holds."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import grouped
-from quarry.llm.shared import materialise
+from quarry.llm.shared import bound_batches, materialise
 
 WINDOW, GRAM = 400, 128
 #: Grams in a window; an anchor's windows start up to REACH - 1 bytes before it.
@@ -34,9 +34,9 @@ PAD = 256
 HOT, SALT, PARTS = 1000, 1000, 16
 PAIR = [("h1", "<u8"), ("h2", "<u8")]
 #: Strings in one column-wise construction, at least.
-ROWS = 20_000
+ROWS = 6_000
 #: Documents' bytes that are hashed at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ class Roller:
     def hashes(self, data: np.ndarray, length: int) -> np.ndarray:
         n = len(data)
         if len(self.up) < n + 1:
-            self.up, self.down = powers(self.base, max(n + 1, AT_ONCE))
+            self.up, self.down = powers(self.base, 1 << n.bit_length())  # for the longest part so far, not for the longest there may be
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.up[:n], out=total[1:])
         x = (total[length:] - total[:-length]) * self.down[: n - length + 1]
@@ -304,9 +304,8 @@ def search(rows: DataFrame) -> DataFrame:
         data = batch["data"].tolist()
         lengths = np.fromiter(map(len, data), np.int64, n)
         strings = np.full((n, WIDTH), PAD, np.int16)
-        row = np.repeat(np.arange(n), lengths)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        strings[row, left[row] + inside] = np.frombuffer(b"".join(data), np.uint8)
+        for row, at, own in zip(strings, left.tolist(), data):
+            row[at : at + len(own)] = np.frombuffer(own, np.uint8)
         c = np.arange(REACH)
         own = (c >= left[:, None]) & (c <= (left + lengths - WINDOW)[:, None])
         found = column_wise(group, strings, own)
@@ -366,6 +365,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed (from, to) bytes. Documents of equal text count as copies: if they
     have WINDOW bytes or more, all of them repeat, and only one is searched.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
     rows = materialise(profile(keyed), "profiles")

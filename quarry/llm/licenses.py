@@ -1,10 +1,13 @@
 """License scans by diagonal voting.
 
-All rolling k-grams of a document's words that lie wholly in the templates'
-vocabulary are joined to the templates' k-gram positions (a k-gram with a word
-outside can't match, so nothing is lost). Hits vote for a diagonal: place in the
-document minus place in the template. Neighbouring diagonals are merged into
-spans, and each span is verified by the share of the template that it holds.
+All rolling k-grams of a document's words are joined to the templates' k-gram
+positions. A k-gram's code is exact: its words' numbers in the templates'
+vocabulary (0: no word of it) as digits. Hits vote for a diagonal: place in the
+document minus place in the template. Neighbouring diagonals are merged; where
+they hold enough votes for a notice, the words around each peak are aligned with
+the notice (longest common subsequence), and a span is verified if so much of the
+notice stands there in order. Of verified spans that overlap, the one with most
+words in common wins, then the one with the larger share.
 """
 
 from __future__ import annotations
@@ -15,24 +18,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import whole_texts
+from quarry.llm.shared import materialise, whole_texts
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 K = 3
-#: A span's diagonals may lie so many words apart.
+#: Neighbouring diagonals lie so many words apart at most; a span may have so many words more than its notice.
 SLACK = 4
-#: A span must hold so much of a notice.
+#: A span must hold so many of a notice's words, in order.
 SHARE = 0.8
 
 #: Phrases that name a license wherever their words stand consecutively.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Public license notices, in their usual wording.
 NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
@@ -54,29 +57,33 @@ VOCABULARY = {w: i for i, w in enumerate(sorted({w for _, _, words in templates(
 BASE = len(VOCABULARY) + 1
 
 
-def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose K words are all known, and the k-grams there as one exact number each."""
+def grams(ids: np.ndarray) -> np.ndarray:
+    """All rolling k-grams, one exact number each."""
     if len(ids) < K:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code, known = np.zeros(len(ids) - K + 1, np.int64), np.ones(len(ids) - K + 1, bool)
+        return np.zeros(0, np.int32)
+    code = np.zeros(len(ids) - K + 1, np.int32)
     for j in range(K):
-        part = ids[j : len(ids) - K + 1 + j]
-        code = code * BASE + part
-        known &= part > 0
-    at = np.flatnonzero(known)
-    return at, code[at]
+        code = code * BASE + ids[j : len(ids) - K + 1 + j]
+    return code.astype(np.int32)
+
+
+def words_in(codes: np.ndarray) -> np.ndarray:
+    """The words' numbers, back from all k-grams."""
+    if not len(codes):
+        return np.zeros(0, np.int32)
+    last = codes[-1]
+    return np.r_[codes // BASE ** (K - 1), [last // BASE ** (K - 1 - j) % BASE for j in range(1, K)]]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
     rows = []
     for t, (_, _, words) in enumerate(templates()):
-        at, code = grams(np.array([VOCABULARY[w] for w in words], np.int64))
-        rows += [(int(c), t, int(a)) for a, c in zip(at, code)]
-    return spark.createDataFrame(rows, "gram long, template int, template_at int")
+        rows += [(int(c), t, a) for a, c in enumerate(grams(np.array([VOCABULARY[w] for w in words], np.int32)))]
+    return spark.createDataFrame(rows, "gram int, template int, template_at int")
 
 
 def document_grams(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, n_words, and the places and k-grams that lie in the vocabulary."""
+    """row (a number of its own), doc_id, n_words, and all rolling k-grams of each document, written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = (TaskContext.get().partitionId() << 33) - 1
@@ -84,39 +91,85 @@ def document_grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = WORDS.findall(text.translate(LOWER))
-                at, code = grams(np.array([known(w, 0) for w in words], np.int64))
+                ids = np.array([known(w, 0) for w in WORDS.findall(text.translate(LOWER))], np.int32)
                 row += 1
-                out.append((row, doc_id, len(words), at, code))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_words", "at", "gram"]).astype({"doc_id": "Int64"})
+                out.append((row, doc_id, len(ids), grams(ids)))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "n_words", "grams"]).astype({"doc_id": "Int64"})
 
-    return whole_texts(docs).mapInPandas(run, "row long, doc_id long, n_words long, at array<int>, gram array<long>")
+    return materialise(whole_texts(docs).mapInPandas(run, "row long, doc_id long, n_words long, grams array<int>"), "grams")
 
 
-def diagonals(docs: DataFrame) -> DataFrame:
-    """A row for each document, template and diagonal with a vote: votes, first and last template place."""
-    spark = docs.sparkSession
-    rows = document_grams(docs).select("row", "doc_id", "n_words", F.explode_outer(F.arrays_zip("at", "gram")).alias("g")).select("row", "doc_id", "n_words", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
-    table = template_grams(spark)  # fixed: a row for each k-gram of the templates above
-    hits = rows.join(F.broadcast(table), "gram", "left")
-    return hits.groupBy("row", "doc_id", "n_words", "template", (F.col("at") - F.col("template_at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("template_at").alias("low"), F.max("template_at").alias("high")
-    )
+def diagonals(written: DataFrame) -> DataFrame:
+    """A row for each document, template and diagonal with a vote: votes (a template place votes once)."""
+    rows = written.select("row", F.posexplode("grams").alias("at", "gram"))
+    hits = rows.join(F.broadcast(template_grams(written.sparkSession)), "gram")  # fixed: a row for each k-gram of the templates above
+    return hits.groupBy("row", "template", (F.col("at") - F.col("template_at")).alias("diagonal")).agg(F.count("*").alias("votes"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """A row for each document and span (template, first diagonal, share of the template; null without a vote)."""
-    from pyspark.sql import Window
+def candidates(found: DataFrame) -> DataFrame:
+    """For each document the peaks (template, diagonal) of merged diagonals with votes enough for a notice.
 
+    A word that differs costs K votes at most, so a notice of n words of which
+    SHARE stand there in order keeps n - K + 1 - K * (1 - SHARE) * n votes.
+    """
+    notice = {t: len(words) for t, (_, phrase, words) in enumerate(templates()) if not phrase}
+    least = F.element_at(F.create_map(*[F.lit(x) for t, n in notice.items() for x in (t, max(1, int(n - K + 1 - K * (1 - SHARE) * n)))]), F.col("template"))
     w = Window.partitionBy("row", "template").orderBy("diagonal")
-    phrase = F.element_at(F.array(*[F.lit(p) for _, p, _ in templates()]), F.col("template") + 1)
-    grams_in = F.element_at(F.array(*[F.lit(len(words) - K + 1) for _, _, words in templates()]), F.col("template") + 1)
-    near = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) <= F.when(phrase, F.lit(0)).otherwise(F.lit(SLACK)), F.lit(False))
-    merged = diagonals(docs).withColumn("fresh", (~near).cast("int")).withColumn("span", F.sum("fresh").over(w))
-    return merged.groupBy("row", "doc_id", "n_words", "template", "span").agg(
-        F.min("diagonal").alias("first_diagonal"), F.first(phrase).alias("phrase"),
-        F.least(F.lit(1.0), F.sum("votes") / F.first(grams_in)).alias("share"),
-    )
+    near = w.rangeBetween(-SLACK, SLACK)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > SLACK, F.lit(True))
+    merged = found.where(F.col("template").isin(*notice)).withColumn("most", F.max("votes").over(near)).withColumn("span", F.sum(apart.cast("int")).over(w))
+    peaks = merged.groupBy("row", "template", "span").agg(F.sum("votes").alias("votes"), F.collect_list(F.when(F.col("votes") == F.col("most"), F.col("diagonal"))).alias("peaks"))
+    peaks = peaks.where(F.col("votes") >= least).groupBy("row").agg(F.collect_list(F.struct("template", "peaks")).alias("spans"))
+    return peaks
+
+
+def aligned(notice: list[int], words: list[int]) -> tuple[int, int, int]:
+    """Words in common in order (as many as can be), and the first and last place in `words` of one such alignment."""
+    table = [[0] * (len(words) + 1)]
+    for a in notice:
+        above, row = table[-1], [0]
+        for k, b in enumerate(words):
+            row.append(above[k] + 1 if a == b else max(above[k + 1], row[k]))
+        table.append(row)
+    i, k, places = len(notice), len(words), []
+    while i and k and table[i][k]:
+        if notice[i - 1] == words[k - 1]:
+            places.append(k - 1)
+            i, k = i - 1, k - 1
+        elif table[i - 1][k] >= table[i][k - 1]:
+            i -= 1
+        else:
+            k -= 1
+    return len(places), places[-1] if places else 0, places[0] if places else 0
+
+
+def verified(ids: np.ndarray, spans: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, float]]:
+    """(template, first word, last word, share) of the spans that hold; none overlaps a better one."""
+    found = set()
+    for t, peaks in spans:
+        notice = [VOCABULARY[w] for w in templates()[t][2]]
+        for d in peaks:
+            start = max(0, d - SLACK)
+            n, first, last = aligned(notice, ids[start : max(0, d + len(notice) + SLACK)].tolist())
+            if n >= SHARE * len(notice) and last - first < len(notice) + SLACK:
+                found.add((-n, -n / len(notice), t, start + first, start + last))
+    out: list[tuple[int, int, int, float]] = []
+    for n, share, t, first, last in sorted(found):
+        if all(last < b or first > c for _, b, c, _ in out):
+            out.append((t, first, last, -share))
+    return out
+
+
+def notices(written: DataFrame, found: DataFrame) -> DataFrame:
+    """row, template, first_word, last_word and share of each verified span of a notice."""
+    todo = written.select("row", "grams").join(candidates(found), "row")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(row, *s) for row, codes, spans in zip(batch["row"], batch["grams"], batch["spans"]) for s in verified(words_in(np.asarray(codes)), [(s["template"], [int(d) for d in s["peaks"]]) for s in spans])]
+            yield pd.DataFrame(rows, columns=["row", "template", "first_word", "last_word", "share"])
+
+    return todo.mapInPandas(run, "row long, template int, first_word long, last_word long, share double")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -126,17 +179,19 @@ def scan(docs: DataFrame) -> DataFrame:
     scanned once each; a null doc_id is carried; an empty table gives no rows.
     score: the largest share of a verified span, 1 with a base label.
     """
+    written = document_grams(docs)
+    found = materialise(diagonals(written), "diagonals")
     label = F.element_at(F.array(*[F.lit(name) for name, _, _ in templates()]), F.col("template") + 1)
-    base = F.col("template").isNotNull() & F.coalesce(F.col("phrase") & (F.col("share") >= 1), F.lit(False))
-    notice = F.col("template").isNotNull() & F.coalesce(~F.col("phrase") & (F.col("share") >= SHARE), F.lit(False))
-    words = F.when(base, F.col("first_diagonal"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, label))), ",")
-    return (
-        spans(docs)
-        .groupBy("row", "doc_id")
-        .agg(
-            F.first("n_words").alias("n_words"), F.sum(base.cast("long")).alias("n_base"), F.min(words).cast("long").alias("first_word"), F.max(words).cast("long").alias("last_word"),
-            joined(base).alias("base_labels"), joined(base | notice).alias("labels"), F.coalesce(F.max(F.when(base | notice, F.col("share"))), F.lit(0.0)).alias("score"),
-        )
-        .drop("row")
+    whole = {t: len(words) - K + 1 for t, (_, phrase, words) in enumerate(templates()) if phrase}
+    base = found.where(F.coalesce(*[F.when(F.col("template") == t, F.col("votes") == n) for t, n in whole.items()], F.lit(False)))
+    spans = base.select("row", label.alias("label"), F.col("diagonal").alias("at"), F.lit(1.0).alias("share")).unionByName(
+        notices(written, found).select("row", label.alias("label"), F.lit(None).cast("int").alias("at"), "share"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    per = spans.groupBy("row").agg(
+        F.count("at").alias("n_base"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"),
+        joined(F.when(F.col("at").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("share").alias("score"),
+    )
+    return written.select("row", "doc_id", "n_words").join(per, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

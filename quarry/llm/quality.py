@@ -1,19 +1,25 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Method: a rule rejects a document whose measure is above a cutoff. The cutoffs
-of a rule lie on a fixed grid. In each stratum (language), the labelled good
-documents are the holdout: going from the most lenient cutoff to stricter ones,
-a cutoff is certified while the exact (Clopper-Pearson) upper bound of its rate
-of false rejection stays within the rule's share of `alpha`; the walk ends at
-the first one that isn't (fixed-sequence testing, so no further correction
-along the grid). The error level `delta` is divided among all strata and rules
-(Bonferroni). A rule without a certified cutoff in a stratum rejects nothing.
+Method: a rule rejects a document whose measure is above a cutoff. In each
+stratum (language) the labelled good documents that pass the base are the
+holdout. A path of STEPS sets of cutoffs, one cutoff a rule in each, goes from
+lenient to strict; it is shaped on other documents than the holdout, the good
+ones of all other strata (with one stratum only: on one half, and the other half
+is the holdout). A set is certified while the exact (Clopper-Pearson) upper bound
+of the rate of good documents that any of its rules rejects is `alpha` or less;
+the walk ends at the first set that isn't (fixed-sequence testing, so no further
+correction along the path). The error level `delta` is divided by the number of
+strata (Bonferroni), so all certified sets of all strata hold at once with
+1 - delta, and the one that rejects most of the labelled bad documents is taken,
+the most lenient of ties. Without a rejection, ln(strata / delta) / alpha good
+documents certify a set: 439 for 4 strata at 0.05 and 0.01. A stratum without a
+certified set rejects nothing beyond the base.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log, log1p
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -21,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import materialise
+from quarry.llm.shared import bound_batches, materialise, release
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Rules: measures of which high values speak against a document; their cutoffs are LEVELS steps of STEP from 0.
 RULES = {"symbol_share": 0.01, "dup_line_share": 0.02, "repeat_share": 0.01, "mark_share": 0.02, "capital_share": 0.02}
 LEVELS = 50
-#: Strata of their own: so many, those with most labelled documents; all others are one stratum.
-STRATA = 64
+#: The path: cutoffs from the shaping documents' levels, as (quantile, factor, more levels), lenient first.
+STEPS = [(1.0, 2, 1), (1.0, 1, 1), (1.0, 1, 0), (0.999, 1, 0), (0.998, 1, 0), (0.995, 1, 0), (0.99, 1, 0), (0.98, 1, 0)]
+#: Strata whose cutoffs are broadcast: up to so many; more are joined by shuffling.
+BROADCAST = 10_000
 MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_capitals long, n_letters long"
 
 
@@ -83,6 +91,7 @@ def with_measures(docs: DataFrame, drop: tuple[str, ...] = ("text",)) -> DataFra
             got = np.array([measure(t) if t else (0,) * len(names) for t in batch["text"]], np.int64).reshape(-1, len(names))
             yield batch.drop(columns=list(drop)).assign(**dict(zip(names, got.T)))
 
+    bound_batches(docs.sparkSession)
     own = T.StructType([f for f in docs.schema.fields if f.name not in drop])
     return docs.mapInPandas(run, T.StructType([*own.fields, *T._parse_datatype_string(MEASURED).fields]))
 
@@ -103,62 +112,120 @@ def level(rule: str) -> F.Column:
     return F.least(F.ceil(share / F.lit(RULES[rule])), F.lit(LEVELS)).cast("int")
 
 
+def levels() -> F.Column:
+    return F.array(*[level(r) for r in RULES])
+
+
+def beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function (Lentz's method)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(abs(1 - (a + b) * x / (a + 1)), tiny) * (1 if 1 - (a + b) * x / (a + 1) >= 0 else -1)
+    out = d
+    for m in range(1, 100_000):
+        change = 1.0
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + term * d, 1 + term / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            change = c * d
+            out *= change
+        if abs(change - 1) < 1e-15:
+            return out
+    return out
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
+
+
 def upper_bound(rejected: int, n: int, error: float) -> float:
     """The exact binomial upper bound of the rate: the p at which P(at most `rejected` of n) = error."""
     if rejected >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        terms = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p) for k in range(max(0, rejected - 4000), rejected + 1)]
-        top = max(terms)
-        return top + log(sum(exp(t - top) for t in terms))
-
     low, high = 0.0, 1.0
-    for _ in range(50):
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if tail(mid) > log(error) else (low, mid)
+        low, high = (mid, high) if incomplete_beta(n - rejected, rejected + 1, 1 - mid) > error else (low, mid)
     return high
 
 
-def certified_level(counts: dict[int, int], limit: float, error: float) -> int | None:
-    """The strictest certified cutoff: documents of a level above it are rejected.
-
-    counts: good documents by level. Cutoff c rejects levels above c.
-    """
-    n = sum(counts.values())
-    best = None
-    for c in range(LEVELS - 1, -1, -1):
-        rejected = sum(k for lv, k in counts.items() if lv > c)
-        if n == 0 or rejected > limit * n or upper_bound(rejected, n, error) > limit:
+def path(counts: dict[str, dict[int, int]]) -> list[list[int]]:
+    """STEPS sets of cutoffs, in the order of RULES, from how many shaping documents are at each rule's levels."""
+    out = []
+    for quantile, factor, more in STEPS:
+        cutoffs = []
+        for rule in RULES:
+            levels = sorted(counts.get(rule, {}).items())
+            n, seen, at = sum(k for _, k in levels), 0, LEVELS
+            for at, k in levels:
+                seen += k
+                if seen >= quantile * n:
+                    break
+            cutoffs.append(min(LEVELS, at * factor + more))
+        out.append(cutoffs)
+    return out
+
+
+def certified(good: list[int], bad: list[int], alpha: float, error: float) -> int | None:
+    """The chosen step. good, bad: how many holdout documents the steps before each one keep (index: steps that keep them)."""
+    n, chosen, caught = sum(good), None, -1
+    for k in range(len(STEPS)):
+        rejected = sum(good[: k + 1])
+        if n == 0 or rejected > alpha * n or upper_bound(rejected, n, error) > alpha:
             break
-        best = c
-    return best
-
-
-def certify(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> tuple[list[str], dict[str, dict[str, int]]]:
-    """Strata with their own cutoffs, and for each stratum (and "" for the others) its rules' cutoffs."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])
-    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(levels).alias("m"))
-    counted = held.groupBy("lang", "m.rule", "m.level").agg(F.count("*").alias("n"))
-    counted = materialise(counted, "levels")
-    own = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(STRATA).collect()]
-    stratum = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(""))
-    found: dict[str, dict[str, dict[int, int]]] = {}
-    for r in counted.groupBy(stratum.alias("s"), "rule", "level").agg(F.sum("n").alias("n")).collect():
-        found.setdefault(r["s"], {}).setdefault(r["rule"], {})[r["level"]] = r["n"]
-    error, limit = delta / max(1, len(found) * len(RULES)), alpha / len(RULES)
-    cutoffs = {s: {rule: c for rule, counts in by.items() if (c := certified_level(counts, limit, error)) is not None} for s, by in found.items()}
-    return own, cutoffs
-
-
-def judged(measured: DataFrame, strata: list[str], cutoffs: dict[str, dict[str, int]]) -> DataFrame:
-    """measured with base_failed, the rule that rejects (rejected_by, else null) and kept."""
-    stratum = F.coalesce("lang", F.lit(""))
-    stratum = F.when(stratum.isin(strata), stratum).otherwise(F.lit("")) if strata else F.lit("")
-    hits = [F.when((stratum == s) & (level(rule) > c), F.lit(rule)) for s, by in sorted(cutoffs.items()) for rule, c in sorted(by.items())]
-    out = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.coalesce(*hits, F.lit(None).cast("string")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+        if sum(bad[: k + 1]) > caught:
+            chosen, caught = k, sum(bad[: k + 1])
+    return chosen
+
+
+def certify(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """(stratum, cutoffs in the order of RULES) of the strata in which a set of cutoffs is certified."""
+    verdicts = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality in (0, 1)")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    held = measured.where(~base_failed()).join(verdicts, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", half, levels().alias("levels"))
+    held = materialise(held, "holdout")
+    names = F.array(*[F.lit(r) for r in RULES])
+    good = held.where("quality = 1").select("stratum", "half", F.explode(F.arrays_zip(names.alias("rule"), F.col("levels").alias("level"))).alias("m"))
+    counted = materialise(good.groupBy("stratum", "half", "m.rule", "m.level").agg(F.count("*").alias("n")), "levels")
+    total: dict[str, dict[int, int]] = {}
+    for r in counted.groupBy("rule", "level").agg(F.sum("n").alias("n")).collect():  # LEVELS + 1 rows a rule at most
+        total.setdefault(r["rule"], {})[r["level"]] = r["n"]
+    strata = counted.select("stratum").distinct().count()
+
+    def shape(rows: pd.DataFrame) -> pd.DataFrame:
+        shaping: dict[str, dict[int, int]] = {rule: dict(by) for rule, by in total.items()}
+        which = rows if strata > 1 else rows[rows["half"] == 1]  # the holdout's levels go
+        for rule, at, n in which[["rule", "level", "n"]].itertuples(index=False):
+            shaping[rule][at] -= n
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "steps": [path({rule: {at: n for at, n in by.items() if n} for rule, by in shaping.items()})]})
+
+    paths = materialise(counted.groupBy("stratum").applyInPandas(shape, "stratum string, steps array<array<int>>"), "paths")
+    inside = lambda s: F.forall(F.zip_with("levels", s, lambda a, b: a <= b), lambda x: x)
+    holdout = joined(held if strata > 1 else held.where("half = 1"), paths, strata).select("stratum", "quality", F.size(F.filter("steps", inside)).alias("kept"))
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        by = {q: [int(rows.loc[(rows["quality"] == q) & (rows["kept"] == k), "n"].sum()) for k in range(len(STEPS) + 1)] for q in (0, 1)}
+        step = certified(by[1], by[0], alpha, delta / strata)
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "step": [-1 if step is None else step]})
+
+    steps = holdout.groupBy("stratum", "quality", "kept").agg(F.count("*").alias("n")).groupBy("stratum").applyInPandas(choose, "stratum string, step int").where("step >= 0")
+    return materialise(paths.join(steps, "stratum").select("stratum", F.get("steps", F.col("step")).alias("cutoffs")), "cutoffs")
+
+
+def joined(rows: DataFrame, strata: DataFrame, n: int) -> DataFrame:
+    """rows with their stratum's row, if it has one."""
+    return rows.join(F.broadcast(strata) if n <= BROADCAST else strata, "stratum", "left")
+
+
+def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """measured with base_failed, the rule that rejects (rejected_by, the first of RULES, else null) and kept."""
+    out = joined(measured.withColumn("stratum", F.coalesce("lang", F.lit(""))), cutoffs, cutoffs.count())
+    hits = [F.when(level(rule) > F.get("cutoffs", F.lit(k)), F.lit(rule)) for k, rule in enumerate(RULES)]
+    out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.coalesce(*hits))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("stratum", "cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -170,13 +237,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
     base rejects. Repeated rows are judged alike; an empty table gives no rows.
     """
     measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
-    return judged(measured, *certify(measured, labels.select("doc_id", "quality"), alpha, delta))
+    return judged(measured, certify(measured, labels.select("doc_id", "quality"), alpha, delta))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns; texts are measured again rather than shuffled."""
     measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
-    verdict = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
+    cutoffs = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
+    release(measured)
     names = {c: c if c in ("doc_id", "text", "lang") else f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the measures' names
-    found = judged(with_measures(docs.toDF(*names.values()), drop=()), *verdict).where("kept")
+    found = judged(with_measures(docs.toDF(*names.values()), drop=()), cutoffs).where("kept")
     return found.select(*[F.col(new).alias(c) for c, new in names.items()])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
 from quarry.operators.stats import auc
 
 
@@ -15,13 +19,11 @@ def hash32(c: F.Column) -> F.Column:
 def draws(groups: DataFrame, group: str, replicates: int) -> DataFrame:
     """(r, group, times) over groups numbered by key; one row for each group number drawn."""
     spark = groups.sparkSession
-    from pyspark.sql import Window
-
-    numbered = groups.select(group).distinct().select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("_g"))
-    n = numbered.agg(F.count("*").alias("n"))
+    numbers = numbered(groups.select(group).distinct(), [group], "_g")
+    n = numbers.agg(F.count("*").alias("n"))
     slots = spark.range(replicates).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     drawn = slots.select("r", F.pmod(hash32(F.concat_ws("|", "r", "i")), F.col("n")).alias("_g")).groupBy("r", "_g").agg(F.count("*").alias("times"))
-    return drawn.join(numbered, "_g").select("r", group, "times")
+    return drawn.join(numbers, "_g").select("r", group, "times")
 
 
 def interval(df: DataFrame, column: str) -> list[F.Column]:
@@ -44,6 +46,32 @@ def paired_delta(df: DataFrame, group: str, a: str, b: str, replicates: int = 10
     return df.agg(F.round(F.avg(F.col(a) - F.col(b)), 6).alias("estimate")).crossJoin(per.agg(*interval(per, "m"), F.round(p, 6).alias("p")))
 
 
+def paired_auc_delta(df: DataFrame, group: str, label: str, a: str, b: str, replicates: int = 50) -> DataFrame:
+    """Difference of two scores' areas with shared draws: estimate, interval, two-sided p; draws with one class are left out."""
+    weighted = draws(df, group, replicates).join(df.select(group, label, a, b), group)
+    both = auc(weighted, label, a, by=("r",), weight="times").select("r", F.col("auc").alias("x")).join(auc(weighted, label, b, by=("r",), weight="times").select("r", F.col("auc").alias("y")), "r")
+    per = both.where("x is not null").select((F.col("x") - F.col("y")).alias("d"))
+    p = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))))
+    point = auc(df, label, a).select(F.col("auc").alias("x")).crossJoin(auc(df, label, b).select(F.col("auc").alias("y"))).select(F.round(F.col("x") - F.col("y"), 6).alias("estimate"))
+    return point.crossJoin(per.agg(*interval(per, "d"), F.round(p, 6).alias("p"), F.count("*").alias("replicates")))
+
+
+def bootstrap_of(df: DataFrame, group: str, statistic: Callable[[pd.DataFrame], float | None], columns: list[str], replicates: int = 50) -> DataFrame:
+    """Interval of any statistic of a frame of `columns`, each row repeated as often as its group is drawn; None leaves a draw out.
+
+    A replicate's rows are one group of a task, so the statistic must fit there;
+    statistics that are sums or areas go through the functions above.
+    """
+    weighted = draws(df, group, replicates).join(df.select(group, *columns), group).select("r", "times", *columns)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        frame = rows.loc[rows.index.repeat(rows["times"]), columns].reset_index(drop=True)
+        return pd.DataFrame({"value": [statistic(frame)]}, dtype="float64")
+
+    per = weighted.groupBy("r").applyInPandas(one, "value double").where("value is not null and not isnan(value)")
+    return per.agg(*interval(per, "value"), F.count("*").alias("replicates"))
+
+
 def bootstrap_auc(df: DataFrame, group: str, label: str, score: str, replicates: int = 50) -> DataFrame:
     """AUC with its interval: members weigh as often as their group is drawn; draws with one class are left out."""
     weighted = draws(df, group, replicates).join(df.select(group, label, score), group)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import cut_lineage, release
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read again."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
-        context.setCheckpointDir(at)
-    return df.checkpoint()
+#: Values near a band's value that a row is dealt to, over all bands, at most.
+SPREAD = 512
 
 
 def gradient_hash(vector: Column, n: int = 64) -> Column:
@@ -22,21 +19,41 @@ def gradient_hash(vector: Column, n: int = 64) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0).cast("long"), lambda acc, i: acc * 2 + F.when(F.element_at(vector, i + 1) > F.element_at(vector, i), 1).otherwise(0))
 
 
+def bands_of(most: int, width: int) -> tuple[int, int]:
+    """(bands, radius): of two codes that differ in at most `most` bits some band differs in at most `radius` = most // bands.
+
+    One side is dealt to all values within the radius, SPREAD a row at most; of
+    the choices, that with the smallest share of random pairs as candidates.
+    """
+    choices = []
+    for n in range(1, most + 2):
+        size, radius = width // n, most // n
+        spread = n * sum(comb(size + 1, r) for r in range(radius + 1))
+        if spread <= SPREAD or not radius:
+            choices.append((n * sum(comb(size, r) for r in range(radius + 1)) / 2**size, n, radius))
+    return min(choices)[1:]
+
+
 def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 63) -> DataFrame:
     """Pairs (a, b, distance) with a < b whose hashes differ in at most `most` bits.
 
-    With most + 1 bands some band is equal, so the join is on (band, value);
-    each pair is kept in its first equal band, so no distinct is needed.
+    Of a pair, some band differs in at most `radius` bits (see bands_of), so one
+    side is joined by its band values and the other by all values within the
+    radius; each pair is kept in its first such band, so no distinct is needed.
     """
-    n = most + 1
+    n, radius = bands_of(most, width)
     cuts = [width * i // n for i in range(n + 1)]
     value = lambda c, i: F.shiftright(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    banded = df.select(F.col(key).alias("k"), F.col(bits).alias("h"), F.posexplode(F.array(*[value(F.col(bits), i) for i in range(n)])).alias("band", "v"))
-    a, b = banded.alias("a"), banded.alias("b")
+    around = [sorted(sum(1 << b for b in on) for r in range(radius + 1) for on in combinations(range(cuts[i + 1] - cuts[i]), r)) for i in range(n)]
+    rows = df.select(F.col(key).alias("k"), F.col(bits).alias("h"))
+    a = rows.select("k", "h", F.posexplode(F.array(*[value(F.col("h"), i) for i in range(n)])).alias("band", "v")).alias("a")
+    near = F.array(*[F.struct(F.lit(i).alias("band"), value(F.col("h"), i).alias("v"), F.array(*[F.lit(m).cast("long") for m in around[i]]).alias("masks")) for i in range(n)])
+    spread = rows.select("k", "h", F.inline(near)).select("k", "h", "band", "v", F.explode("masks").alias("m"))
+    b = spread.select("k", "h", "band", F.col("v").bitwiseXOR(F.col("m")).alias("v")).alias("b")
     differ = F.col("a.h").bitwiseXOR(F.col("b.h"))
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.k") < F.col("b.k")) & (F.bit_count(differ) <= most)
-    first = F.coalesce(*[F.when(value(differ, i) == 0, F.lit(i)) for i in range(n)])
-    return a.join(b, near & (first == F.col("a.band"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.k") < F.col("b.k")) & (F.bit_count(differ) <= most)
+    first = F.coalesce(*[F.when(F.bit_count(value(differ, i)) <= radius, F.lit(i)) for i in range(n)])
+    return a.join(b, same & (first == F.col("a.band"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
 
 
 def mean_abs_difference(a: Column, b: Column) -> Column:
@@ -55,22 +72,26 @@ def array_correlation(a: Column, b: Column) -> Column:
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root): root is the smallest node of the connected component.
 
-    Labels go to the smallest neighbour and then jump to their label's label;
-    each round is cut from its lineage; ends when no label moves.
+    Each round draws every node's neighbours to the smallest of them (large
+    star), then the smaller ones to their smallest (small star): no node's label
+    becomes a key that a whole component is joined on. Every round is written;
+    it ends when no edge moves.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both = cut_lineage(both.where("node <> other").distinct())
-    every = both.select("node") if nodes is None else nodes.select("node").union(both.select("node"))
-    labels = cut_lineage(every.distinct().withColumn("root", F.col("node")))
+    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    every = edges.select(F.col("a").alias("node")).union(edges.select("b")) if nodes is None else nodes.select("node")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = cut_lineage(lower.join(jump, "root", "left").select("node", F.least("root", "further").alias("root"), "old"))
-        moved = new.where("root <> old").limit(1).count()
-        labels = new.select("node", "root")
+        near = both(now)
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
+        after = cut_lineage(small)
+        moved = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
+        release(now)
+        now = after
         if not moved:
-            return labels
+            return every.distinct().join(now.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").select("node", F.coalesce("_root", "node").alias("root"))
 
 
 def what_if(labels: DataFrame, extra: DataFrame) -> DataFrame:
@@ -79,7 +100,3 @@ def what_if(labels: DataFrame, extra: DataFrame) -> DataFrame:
     again = components(lifted.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     moved = labels.join(again.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
     return moved.groupBy(F.coalesce("new", "root").alias("root")).agg(F.count("*").alias("size"))
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import cut_lineage
+
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """df with `weight`: rows of each class weigh the same in total."""
@@ -30,7 +32,7 @@ MODELS: dict[str, Callable[[], Estimator]] = {
 def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator]) -> DataFrame:
     """df with `score`: each fold is scored by a model fitted on the others."""
     out = None
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(balanced(df, "label")).persist()
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(cut_lineage(balanced(df, "label")))
     for f in range(k):
         model = Pipeline(stages=[make()]).fit(ready.where(F.col(fold) != f))
         scored = model.transform(ready.where(F.col(fold) == f)).select(*df.columns, F.round(vector_to_array("probability")[1], 6).alias("score"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quarry.operators.order import numbered
 
 
 def half(key: Column) -> Column:
@@ -25,31 +26,49 @@ def folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
 
 
 def digest(df: DataFrame, column: str) -> DataFrame:
-    """SHA-256 of the newline-joined sorted values: freezes a key set."""
+    """SHA-256 of the newline-joined sorted values: freezes a small key set, which meets in one row."""
     return df.agg(F.expr(f"sha2(listagg(cast({column} as string), '\n') within group (order by cast({column} as string)), 256)").alias("digest"), F.count("*").alias("n"))
 
 
-def greedy_group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: str) -> DataFrame:
-    """Stratified grouped folds: groups in hashed order go to the fold whose strata they fill most evenly.
+def bucket_digest(df: DataFrame, column: str) -> DataFrame:
+    """Freezes a key set of any size: SHA-256 over the digests of 256 buckets by the keys' MD5, each as digest() takes it.
+
+    A bucket is split once more, by the next two hex digits, so that 65,536 short lists are joined and no long one.
+    """
+    text = F.col(column).cast("string")
+    parts = df.select(text.alias("k"), F.md5(text).alias("h")).groupBy(F.substring("h", 1, 4).alias("b4")).agg(F.expr("sha2(listagg(k, '\n') within group (order by k), 256)").alias("d"), F.count("*").alias("n"))
+    whole = parts.groupBy(F.substring("b4", 1, 2).alias("b2")).agg(F.expr("sha2(listagg(d, '\n') within group (order by b4), 256)").alias("d"), F.sum("n").alias("n"))
+    return whole.agg(F.expr("sha2(listagg(d, '\n') within group (order by b2), 256)").alias("digest"), F.sum("n").alias("n"))
+
+
+def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: str) -> DataFrame:
+    """df with `fold`: groups stay whole, and within their largest stratum they are dealt round, the largest first.
 
-    Only the group-by-stratum counts come to the driver.
+    Groups are ordered by (largest stratum, size, hashed key) and numbered within
+    the stratum; folds are dealt there and back (0 .. k - 1, k - 1 .. 0), so their
+    sizes differ by less than the largest group for each stratum. Only counts of
+    groups move, none come to the driver.
     """
-    spark = df.sparkSession
-    counts: dict[object, dict[object, int]] = {}
-    for r in df.groupBy(group, stratum).agg(F.count("*").alias("n")).collect():
-        counts.setdefault(r[0], {})[r[1]] = r["n"]
-    import hashlib
-
-    order = sorted(counts, key=lambda g: (-sum(counts[g].values()), hashlib.md5(f"{seed}|{g}".encode()).hexdigest()))
-    total: dict[object, int] = {}
-    for c in counts.values():
-        for s, n in c.items():
-            total[s] = total.get(s, 0) + n
-    have = [dict.fromkeys(total, 0) for _ in range(k)]
-    rows = []
-    for g in order:
-        best = min(range(k), key=lambda f: (sum(((have[f][s] + counts[g].get(s, 0)) / total[s]) ** 2 - (have[f][s] / total[s]) ** 2 for s in total), f))
-        for s, n in counts[g].items():
-            have[best][s] += n
-        rows.append((g, best))
-    return df.join(spark.createDataFrame(rows, T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())])), group)
+    counts = df.groupBy(group, stratum).agg(F.count("*").alias("_n"))
+    main = counts.groupBy(group).agg(F.sum("_n").alias("_size"), F.max_by(stratum, F.struct("_n", F.col(stratum))).alias("_main"))
+    order = main.withColumn("_less", -F.col("_size")).withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), group)))
+    at = numbered(order, ["_less", "_hash", group], "_at", ("_main",))
+    turn = F.pmod(F.col("_at"), F.lit(2 * k))
+    folded = at.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.join(folded, group)
+
+
+def balanced_sample(df: DataFrame, by: list[str], key: list[str], n: int, seed: str) -> DataFrame:
+    """Up to n rows of each combination of `by` (such as image and label), those of the smallest seeded hashes of key."""
+    w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def slices(df: DataFrame, key: str, sizes: dict[str, int], seed: str) -> DataFrame:
+    """Shuffle and cut: disjoint slices of the given sizes, in the order of seeded hashes; df with `slice`."""
+    ran = numbered(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), key))), ["_h", key], "_row")
+    ends, end = [], 0
+    for name, size in sizes.items():
+        end += size
+        ends.append(F.when(F.col("_row") < end, F.lit(name)))
+    return ran.withColumn("slice", F.coalesce(*ends)).where("slice is not null").drop("_h", "_row")

@@ -7,34 +7,14 @@ from math import comb, exp, lgamma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-
-
-def with_running(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over rows of the group that stand before this one in `order`.
-
-    Rows must be unique in (by, order). Two levels: values are cut into BUCKETS
-    ranges by approximate quantiles; sums run inside a bucket and over buckets,
-    so no task holds a whole group.
-    """
-    edges = sorted(set(df.approxQuantile(order, [i / BUCKETS for i in range(1, BUCKETS)], 0.002)))
-    bucket = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + (F.col(order) >= e).cast("int")) if edges else F.lit(0)
-    cut = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
-    over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_all_{n}").over(over), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    cut = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()])
-    out = cut.join(F.broadcast(totals) if not by else totals, [*by, "_bucket"])
-    return out.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums])
-
+from quarry.operators.order import with_running
 
 def auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Area under the ROC curve with ties at half, per group; NULL where one class is missing."""
     w = F.col(weight) if weight else F.lit(1)
     by_score = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("_neg"))
-    ran = with_running(by_score, "_s", {"_below": "_neg"}, by)
+    ran = with_running(by_score, ["_s"], {"_below": "_neg"}, by)
     pos, neg = F.sum("_pos"), F.sum("_neg")
     area = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))) / F.nullif(pos * neg, F.lit(0)).cast("double")
     return ran.groupBy(*by).agg(pos.cast("long").alias("n_pos"), neg.cast("long").alias("n_neg"), F.round(area, 6).alias("auc"))
@@ -43,7 +23,7 @@ def auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), weight:
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """One point for each distinct score: share of negatives and positives at or above it."""
     by_score = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
-    ran = with_running(by_score, "threshold", {"pb": "p", "nb": "n"})
+    ran = with_running(by_score, ["threshold"], {"pb": "p", "nb": "n"})
     total = by_score.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     return ran.crossJoin(F.broadcast(total)).select("threshold", F.round((F.col("tn") - F.col("nb")) / F.col("tn"), 6).alias("fpr"), F.round((F.col("tp") - F.col("pb")) / F.col("tp"), 6).alias("tpr"))
 
@@ -51,7 +31,7 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 def midranked(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the mid-rank (from 1) of a column."""
     counts = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    ranks = with_running(counts.withColumn("_v", F.col("_v").cast("double")), "_v", {"_below": "_n"}).select("_v", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
+    ranks = with_running(counts.withColumn("_v", F.col("_v").cast("double")), ["_v"], {"_below": "_n"}).select("_v", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, F.col(column).cast("double") == F.col("_v")).drop("_v")
 
 

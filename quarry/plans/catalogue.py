@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays
-from quarry.operators import bootstrap, graph, grid, models, sampling, stats
-from quarry.sources.tables import register, table
+from quarry.operators import bootstrap, graph, grid, models, order, sampling, stats
+from quarry.sources.tables import TABLES, metadata, quantisation_tables, register, table
 from quarry.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +30,10 @@ def query(oracle: str | None) -> Callable[[Query], Query]:
 def sql(name: str, text: str, oracle: str | None = None) -> None:
     """A query whose plan is Spark SQL; the oracle is the same text where both dialects agree."""
 
+    names = sorted(set(re.findall(r"\b(?:" + "|".join(TABLES) + r")\b", text)))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, *names)
         return spark.sql(text)
 
     CATALOGUE[name] = run, oracle or text
@@ -140,11 +143,13 @@ FROM {PROB} CROSS JOIN (SELECT {{series}} AS w) GROUP BY w"""
 
 
 def curve(spark, sf_dir):
-    """21 band widths; they are exploded, so each row is aggregated map-side for all widths."""
-    d = probabilities(spark, sf_dir).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(80), F.lit(4))))
-    judged = F.abs(F.col("p") - 0.5) >= F.col("w") / F.lit(200.0)
+    """21 band widths as conditional aggregates of one pass, then a row for each."""
+    d = probabilities(spark, sf_dir)
     right = ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")
-    return d.groupBy("w").agg(F.count("*").alias("n"), F.round(F.avg(judged.cast("double")), 6).alias("coverage"), F.round(F.avg(F.when(judged, right)), 6).alias("accuracy")).select((F.col("w") / F.lit(100.0)).alias("width"), "n", "coverage", "accuracy")
+    judged = lambda w: F.abs(F.col("p") - 0.5) >= F.lit(w / 200.0)
+    widths = range(0, 81, 4)
+    one = d.agg(F.array(*[F.struct(F.lit(w / 100.0).alias("width"), F.count("*").alias("n"), F.round(F.avg(judged(w).cast("double")), 6).alias("coverage"), F.round(F.avg(F.when(judged(w), right)), 6).alias("accuracy")) for w in widths]).alias("rows"))
+    return one.select(F.inline("rows"))
 
 
 @query(CURVE.format(series="unnest(generate_series(0, 80, 4))"))
@@ -178,9 +183,16 @@ sql(
 )
 
 
-@query("SELECT sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest, count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+@query("""WITH k AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT substr(h, 1, 4) AS b4, sha256(string_agg(k, chr(10) ORDER BY k)) AS d, count(*) AS n FROM k GROUP BY 1),
+w AS (SELECT substr(b4, 1, 2) AS b2, sha256(string_agg(d, chr(10) ORDER BY b4)) AS d, sum(n) AS n FROM p GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b2)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM w""")
 def digest_frozen_split(spark, sf_dir):
-    return sampling.digest(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "o_orderkey")
+    return sampling.bucket_digest(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "o_orderkey")
+
+
+@query("SELECT sha256(string_agg(n_name, chr(10) ORDER BY n_name)) AS digest, count(*) AS n FROM nation")
+def digest_names(spark, sf_dir):
+    """The plain digest, for small key sets."""
+    return sampling.digest(table(spark, sf_dir, "nation"), "n_name")
 
 
 @query("SELECT c_mktsegment, CAST(strpos('0123456789abcdef', right(md5(CAST(c_custkey AS VARCHAR)), 1)) - 1 AS INTEGER) % 2 AS half, count(*) AS n FROM customer GROUP BY 1, 2")
@@ -207,10 +219,13 @@ def integrity_violations(spark, sf_dir):
     return folded.groupBy("c_nationkey").agg(F.countDistinct("fold").alias("k")).where("k > 1").agg(F.count("*").alias("violations"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT c_custkey % 97 AS g, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT g, c_mktsegment AS main, sum(n) OVER (PARTITION BY g) AS size, row_number() OVER (PARTITION BY g ORDER BY n DESC, c_mktsegment DESC) AS k FROM c),
+a AS (SELECT g, (row_number() OVER (PARTITION BY main ORDER BY size DESC, md5(concat('f|', g)), g) - 1) % 10 AS turn FROM r WHERE k = 1), f AS (SELECT g, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM a)
+SELECT fold, c_mktsegment, count(*) AS n, count(DISTINCT g) AS groups FROM customer JOIN f ON g = c_custkey % 97 GROUP BY 1, 2""")
 def stratified_group_folds(spark, sf_dir):
-    """Groups never cross folds and strata stay balanced; the greedy assignment has no SQL form."""
-    return sampling.greedy_group_folds(table(spark, sf_dir, "customer").withColumn("g", F.col("c_custkey") % 97), "g", "c_mktsegment", 5, "f").groupBy("fold", "c_mktsegment").agg(F.count("*").alias("n"))
+    """Groups never cross folds, and strata stay balanced."""
+    d = table(spark, sf_dir, "customer").select(F.pmod("c_custkey", F.lit(97)).alias("g"), "c_mktsegment")
+    return sampling.stratified_group_folds(d, "g", "c_mktsegment", 5, "f").groupBy("fold", "c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("g").alias("groups"))
 
 
 # Reports
@@ -258,11 +273,15 @@ def dup_cross_label(spark, sf_dir):
     return d.join(g, "h").select("doc_id", "dup_count", (F.col("k") > 1).alias("cross_label"))
 
 
-sql(
-    "quantile_profile",
-    "SELECT l_returnflag, round(percentile(l_extendedprice, 0.05D), 4) AS p05, round(percentile(l_extendedprice, 0.5D), 4) AS p50, round(percentile(l_extendedprice, 0.95D), 4) AS p95, round(median(l_quantity), 4) AS median_quantity FROM lineitem GROUP BY l_returnflag",
-    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(median(l_quantity), 4) AS median_quantity FROM lineitem GROUP BY l_returnflag",
-)
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(median(l_quantity), 4) AS median_quantity FROM lineitem GROUP BY l_returnflag")
+def quantile_profile(spark, sf_dir):
+    """Exact quantiles from the global order: no buffer holds a group's values."""
+    d = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    price = order.exact_quantiles(d, "l_returnflag", "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    quantity = d.groupBy("l_returnflag").agg(F.median("l_quantity").alias("median_quantity"))  # of 50 values
+    return price.join(quantity, "l_returnflag").select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95", "median_quantity")])
+
+
 sql("std_both_ddof", "SELECT event_type, round(stddev_samp(value), 6) AS sd1, round(stddev_pop(value), 6) AS sd0 FROM events GROUP BY event_type")
 sql(
     "majority_vote",
@@ -287,7 +306,7 @@ sql("one_hot_ratio", "SELECT p_partkey, CAST(p_size > 25 AS INTEGER) AS large, r
 # Joins and sets
 
 sql("semi_join", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-sql("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 sql("left_lookup", "SELECT c_custkey, coalesce(n_name, 'missing') AS nation, o_orderkey IS NULL AS no_order FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 sql("self_fk_join", "SELECT a.o_orderkey, a.o_custkey % 3 <> b.o_custkey % 3 AS crosses FROM orders a JOIN orders b ON b.o_orderkey = a.o_custkey")
 sql("protocol_filters", "SELECT k.name, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem CROSS JOIN (SELECT 'all' AS name UNION ALL SELECT 'returned' UNION ALL SELECT 'cheap') k WHERE k.name = 'all' OR (k.name = 'returned' AND l_returnflag = 'R') OR (k.name = 'cheap' AND l_extendedprice < 10000) GROUP BY k.name")
@@ -363,7 +382,12 @@ def what_if_component(spark, sf_dir):
 
 # Windows and tests
 
-sql("tercile_profile", "SELECT t, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM (SELECT n_chars, CAST(greatest(ceil(percent_rank() OVER (ORDER BY n_chars, doc_id) * 3), 1) AS INTEGER) AS t FROM documents) GROUP BY t")
+@query("SELECT t, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM (SELECT n_chars, CAST(greatest(ceil(percent_rank() OVER (ORDER BY n_chars, doc_id) * 3), 1) AS INTEGER) AS t FROM documents) GROUP BY t")
+def tercile_profile(spark, sf_dir):
+    d = order.terciles(table(spark, sf_dir, "documents").select("n_chars", "doc_id"), ["n_chars", "doc_id"], "t")
+    return d.groupBy("t").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+
+
 P_VALUES = "SELECT p_brand, count(*) / CAST(20000 AS DOUBLE) + CAST(min(p_size) AS DOUBLE) / 1000 AS p FROM part GROUP BY p_brand"
 
 
@@ -396,7 +420,15 @@ def enrichment(spark, sf_dir):
     return u.groupBy("name").agg(count(True, True).alias("a"), count(True, False).alias("b"), count(False, True).alias("c"), count(False, False).alias("d"))
 
 
-@query(None)
+LOG_CHOOSE = "(lgamma({0} + 1) - CASE WHEN {1} > 0 THEN lgamma({1} + 1) ELSE 0 END - CASE WHEN {0} - {1} > 0 THEN lgamma({0} - {1} + 1) ELSE 0 END)"
+
+
+@query(f"""WITH f AS ({FACTS}), u AS (SELECT y <> p AS wrong, unnest(['long', 'toxic', 'english']) AS name, unnest([n_chars > 5000, toxic = 1, lang = 'en']) AS hit FROM f),
+t AS (SELECT name, count(*) FILTER (WHERE wrong AND hit) AS a, count(*) FILTER (WHERE wrong AND NOT hit) AS b, count(*) FILTER (WHERE NOT wrong AND hit) AS c, count(*) FILTER (WHERE NOT wrong AND NOT hit) AS d FROM u GROUP BY name),
+k AS (SELECT *, unnest(generate_series(greatest(0, a - d), least(a + b, a + c))) AS k FROM t),
+l AS (SELECT *, {LOG_CHOOSE.format('(a + b)', 'k')} + {LOG_CHOOSE.format('(c + d)', '(a + c - k)')} - {LOG_CHOOSE.format('(a + b + c + d)', '(a + c)')} AS lp FROM k),
+m AS (SELECT *, max(CASE WHEN k = a THEN lp END) OVER (PARTITION BY name) AS own FROM l)
+SELECT name, round(a / nullif(CAST(a + b AS DOUBLE), 0), 6) AS in_errors, round(c / nullif(CAST(c + d AS DOUBLE), 0), 6) AS in_others, round((a / nullif(CAST(a + b AS DOUBLE), 0)) / nullif(c / nullif(CAST(c + d AS DOUBLE), 0), 0), 6) AS ratio, round(least(1.0::DOUBLE, sum(CASE WHEN lp <= own + 1e-7 THEN exp(lp) ELSE 0 END)), 6) AS p FROM m GROUP BY name, a, b, c, d""")
 def enrichment_table(spark, sf_dir):
     """Shares among errors and others, their ratio, and Fisher's exact p, one row a predicate."""
     @F.pandas_udf("double")
@@ -411,13 +443,14 @@ MC = f"SELECT count(*) FILTER (WHERE p = y AND q <> y) AS only_a, count(*) FILTE
 sql("mcnemar_counts", MC)
 
 
-@query(None)
+@query(f"""WITH c AS ({MC}), i AS (SELECT *, only_a + only_b AS n, unnest(generate_series(0, least(only_a, only_b))) AS i FROM c)
+SELECT only_a, only_b, round(least(1.0::DOUBLE, 2 * sum(exp({LOG_CHOOSE.format('n', 'i')} - n * ln(2.0::DOUBLE)))), 6) AS p FROM i GROUP BY only_a, only_b""")
 def mcnemar_test(spark, sf_dir):
     @F.pandas_udf("double")
     def p(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([stats.mcnemar_p(int(x), int(y)) for x, y in zip(a, b)])
 
-    return CATALOGUE["mcnemar_counts"][0](spark, sf_dir).select("only_a", "only_b", F.round(p("only_a", "only_b"), 8).alias("p"))
+    return CATALOGUE["mcnemar_counts"][0](spark, sf_dir).select("only_a", "only_b", F.round(p("only_a", "only_b"), 6).alias("p"))
 
 
 # Bootstrap
@@ -490,7 +523,8 @@ def moving_sum(spark, sf_dir):
     return grid.moving_sum(d, "row", "x", "v", 4).select("event_type", "y", "x", F.round("moving", 4).alias("moving"))
 
 
-LAGS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_discount, l_orderkey * 8 + l_linenumber) AS k FROM lineitem) SELECT a.l_suppkey, a.l_orderkey * 8 + a.l_linenumber AS a, b.l_orderkey * 8 + b.l_linenumber AS b FROM o a JOIN o b ON b.l_suppkey = a.l_suppkey AND b.k - a.k BETWEEN 1 AND 5 WHERE abs(a.l_quantity - b.l_quantity) <= 0.015 AND abs(a.l_discount - b.l_discount) <= 0.015"
+LAGS = """WITH o AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS a, l_quantity AS q, l_discount AS d, """ + ", ".join(f"lead(struct_pack(k := l_orderkey * 8 + l_linenumber, q := l_quantity, d := l_discount), {i}) OVER w AS n{i}" for i in range(1, 6)) + """ FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity, l_discount, l_orderkey * 8 + l_linenumber)),
+u AS (SELECT l_suppkey, a, q, d, unnest([n1, n2, n3, n4, n5]) AS n FROM o) SELECT l_suppkey, a, n.k AS b FROM u WHERE abs(q - n.q) <= 0.015 AND abs(d - n.d) <= 0.015"""
 
 
 @query(LAGS)
@@ -520,23 +554,31 @@ def cell_scores(spark, sf_dir):
 c AS (SELECT vec_id, b.u, b.v, sum(CAST(p.v AS DOUBLE) * cos(pi() * (2 * (i // 8) + 1) * b.u / 16) * cos(pi() * (2 * (i % 8) + 1) * b.v / 16)) * (CASE WHEN b.u = 0 THEN sqrt(0.125) ELSE 0.5 END) * (CASE WHEN b.v = 0 THEN sqrt(0.125) ELSE 0.5 END) AS c FROM p, b GROUP BY 1, 2, 3)
 SELECT vec_id, round(sum(CASE WHEN u + v > 0 THEN c * c ELSE 0 END), 4) AS ac, round(sum(CASE WHEN u + v = 0 THEN c ELSE 0 END), 4) AS dc FROM c GROUP BY 1""")
 def dct_block_energy(spark, sf_dir):
-    """The 8x8 DCT of a vector of 64, each coefficient as the product with its basis image."""
+    """The 8x8 DCT of a vector of 64, a batch of blocks in two matrix products."""
     d = arrays.dct_matrix()
-    product = lambda w: F.aggregate(F.zip_with("embedding", F.lit(w), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    c = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[product(np.outer(d[u], d[v]).ravel().tolist()) for u in range(8) for v in range(8)]).alias("c"))
-    energy = F.aggregate(F.slice("c", 2, 63), F.lit(0.0), lambda s, x: s + x * x)
-    return c.select("vec_id", F.round(energy, 4).alias("ac"), F.round(F.get("c", F.lit(0)), 4).alias("dc"))
 
+    @F.pandas_udf("ac double, dc double")
+    def energy(v: pd.Series) -> pd.DataFrame:
+        c = d @ np.stack(v.to_list()).astype(float).reshape(-1, 8, 8) @ d.T if len(v) else np.zeros((0, 8, 8))
+        return pd.DataFrame({"ac": (c * c).sum(axis=(1, 2)) - c[:, 0, 0] ** 2, "dc": c[:, 0, 0]})
 
-@query(None)
+    return table(spark, sf_dir, "embeddings").select("vec_id", energy("embedding").alias("e")).select("vec_id", F.round("e.ac", 4).alias("ac"), F.round("e.dc", 4).alias("dc"))
+
+
+@query("SELECT vec_id, CAST(2 + vec_id % 98 AS INTEGER) AS quality, CAST(2 + vec_id % 98 AS INTEGER) AS estimate, 2 AS n_qtables, label + 8 AS width FROM embeddings")
 def jpeg_table_quality(spark, sf_dir):
-    """Estimated quality of perturbed standard tables, one for each vector."""
-    import numpy as np
+    """JPEG headers of known quality are written as bytes, read by the metadata scan, and the quality estimated from their tables."""
+    @F.pandas_udf("binary")
+    def header(i: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([arrays.jpeg_header(2 + int(k) % 98, int(x) + 8, 16) for k, x in zip(i, w)])
+
     @F.pandas_udf("int")
-    def estimate(i: pd.Series) -> pd.Series:
-        return pd.Series([arrays.estimate_quality(arrays.quantisation_table(1 + int(k) % 100) + np.eye(8, dtype=int) * (int(k) % 2)) for k in i])
+    def estimate(content: pd.Series) -> pd.Series:
+        return pd.Series([arrays.estimate_quality(np.array(quantisation_tables(bytes(c))[0])) for c in content])
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", (1 + F.col("vec_id") % 100).alias("quality"), estimate("vec_id").alias("estimate"))
+    made = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), header("vec_id", "label").alias("content"), "vec_id")
+    read = metadata(made.select("path", "content")).select(F.col("path").cast("long").alias("vec_id"), "n_qtables", "width")
+    return made.select("vec_id", (2 + F.col("vec_id") % 98).cast("int").alias("quality"), estimate("content").alias("estimate")).join(read, "vec_id")
 
 
 @query(None)

@@ -62,34 +62,62 @@ def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(counted.where(F.assert_true(F.col("_n") == 1, F.lit(f"{keys} repeat")).isNull()).drop("_n"), list(keys))
 
 
-METADATA = "path string, format string, width int, height int, n_qtables int, qtable_luma_dc int, qtable_luma_mean double, file_bytes long, bytes_per_pixel double, error string"
+METADATA = "path string, format string, width int, height int, mode string, n_qtables int, qtable_luma_dc int, qtable_luma_mean double, file_bytes long, bytes_per_pixel double, error string"
+
+
+def jpeg_segments(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(marker, body) of the header segments of a JPEG file."""
+    at = 2
+    while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        size = struct.unpack(">H", content[at + 2 : at + 4])[0]
+        yield content[at + 1], content[at + 4 : at + 2 + size]
+        at += 2 + size
+
+
+def quantisation_tables(content: bytes) -> dict[int, list[int]]:
+    """Quantisation tables of a JPEG file by number, in the file's zig-zag order."""
+    found = {}
+    for marker, body in jpeg_segments(content):
+        k = 0
+        while marker == 0xDB and k < len(body):
+            kind = ">64H" if body[k] >> 4 else ">64B"
+            found[body[k] & 15] = list(struct.unpack(kind, body[k + 1 : k + 1 + struct.calcsize(kind)]))
+            k += 1 + struct.calcsize(kind)
+    return found
 
 
 def container_metadata(content: bytes) -> dict:
-    """Format, size and quantisation tables from the headers of JPEG, PNG, BMP and GIF files; no pixel is decoded."""
-    out = {"format": None, "width": None, "height": None, "n_qtables": 0, "qtable_luma_dc": -1, "qtable_luma_mean": -1.0, "error": None}
+    """Format, size, mode and quantisation tables from the headers of JPEG, PNG, BMP, GIF, TIFF and WebP files; no pixel is decoded."""
+    out = {"format": None, "width": None, "height": None, "mode": None, "n_qtables": 0, "qtable_luma_dc": -1, "qtable_luma_mean": -1.0, "error": None}
     try:
         if content[:8] == b"\x89PNG\r\n\x1a\n":
-            out |= {"format": "PNG"} | dict(zip(("width", "height"), struct.unpack(">II", content[16:24])))
+            out |= {"format": "PNG", "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(content[25])} | dict(zip(("width", "height"), struct.unpack(">II", content[16:24])))
         elif content[:2] == b"BM":
             w, h = struct.unpack("<ii", content[18:26])
-            out |= {"format": "BMP", "width": w, "height": abs(h)}
+            out |= {"format": "BMP", "width": w, "height": abs(h), "mode": {8: "P", 24: "RGB", 32: "RGBA"}.get(struct.unpack("<H", content[28:30])[0])}
         elif content[:6] in (b"GIF87a", b"GIF89a"):
             out |= {"format": "GIF"} | dict(zip(("width", "height"), struct.unpack("<HH", content[6:10])))
+        elif content[:4] in (b"II*\0", b"MM\0*"):
+            order = "<" if content[:2] == b"II" else ">"
+            at = struct.unpack(order + "I", content[4:8])[0]
+            for k in range(struct.unpack(order + "H", content[at : at + 2])[0]):
+                tag, kind, _ = struct.unpack(order + "HHI", content[at + 2 + 12 * k : at + 10 + 12 * k])
+                value = struct.unpack(order + ("H" if kind == 3 else "I"), content[at + 10 + 12 * k : at + 10 + 12 * k + (2 if kind == 3 else 4)])[0]
+                out |= {256: {"width": value}, 257: {"height": value}, 277: {"mode": {1: "L", 3: "RGB", 4: "RGBA"}.get(value)}}.get(tag, {})
+            out["format"] = "TIFF"
+        elif content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+            out["format"] = "WEBP"
+            if content[12:16] == b"VP8X":
+                out |= {"width": 1 + int.from_bytes(content[24:27], "little"), "height": 1 + int.from_bytes(content[27:30], "little")}
+            elif content[12:16] == b"VP8 ":
+                out |= {k: v & 0x3FFF for k, v in zip(("width", "height"), struct.unpack("<HH", content[26:30]))}
         elif content[:2] == b"\xff\xd8":
-            out["format"], at, tables = "JPEG", 2, {}
-            while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
-                marker, size = content[at + 1], struct.unpack(">H", content[at + 2 : at + 4])[0]
-                body = content[at + 4 : at + 2 + size]
-                if marker == 0xDB:
-                    k = 0
-                    while k < len(body):
-                        width = 128 if body[k] >> 4 else 64
-                        tables[body[k] & 15] = list(struct.unpack(">64H" if width == 128 else ">64B", body[k + 1 : k + 1 + width]))
-                        k += 1 + width
-                elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            out["format"] = "JPEG"
+            for marker, body in jpeg_segments(content):
+                if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                     out["height"], out["width"] = struct.unpack(">HH", body[1:5])
-                at += 2 + size
+                    out["mode"] = {1: "L", 3: "RGB", 4: "CMYK"}.get(body[5])
+            tables = quantisation_tables(content)
             out["n_qtables"] = len(tables)
             if 0 in tables:
                 out |= {"qtable_luma_dc": tables[0][0], "qtable_luma_mean": sum(tables[0]) / 64}

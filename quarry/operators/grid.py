@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import components
+from quarry.operators.shared import cut_lineage
+
 
 def robust_z(df: DataFrame, grid: str, value: str) -> DataFrame:
     """df with z = (value - median) / scale, within a grid, clipped to 50; scale: 1.4826 MAD, floored."""
@@ -64,3 +67,58 @@ def strides(size: int, window: int, step: int) -> list[int]:
         return [0]
     out = list(range(0, size - window + 1, step))
     return out if out[-1] == size - window else [*out, size - window]
+
+
+def stride_windows(df: DataFrame, size: str, window: int, step: int, out: str = "start") -> DataFrame:
+    """A row for each window that covers 0 to `size`: every `step`, and a last one at the end."""
+    last = F.greatest(F.col(size) - window, F.lit(0))
+    return df.withColumn(out, F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long")), F.array(last.cast("long"))))))
+
+
+def box_mean(df: DataFrame, grid: str, y: str, x: str, value: str, reach: int = 1) -> DataFrame:
+    """(grid, y, x, mean) over squares of 2 * reach + 1 cells of full grids; at borders the edge is repeated.
+
+    Each axis is one join with 2 * reach + 1 copies of the cells, as rows, then columns.
+    """
+    far = df.groupBy(grid).agg(F.max(y).alias("_y"), F.max(x).alias("_x"))
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+
+    def along(cells: DataFrame, axis: str, end: str) -> DataFrame:
+        wanted = cells.drop("_v").withColumn("_d", steps).withColumn("_at", F.greatest(F.lit(0), F.least(F.col(end), F.col(axis) + F.col("_d"))))
+        other = "x" if axis == "y" else "y"
+        source = cells.select(F.col(grid).alias("_g"), F.col(axis).alias("_at"), F.col(other).alias("_o"), "_v")
+        near = wanted.join(source, (F.col(grid) == F.col("_g")) & (wanted["_at"] == source["_at"]) & (F.col(other) == F.col("_o")))
+        return near.groupBy(grid, "y", "x", "_y", "_x").agg(F.sum("_v").alias("_v"))
+
+    cells = df.select(grid, F.col(y).alias("y"), F.col(x).alias("x"), F.col(value).alias("_v")).join(far, grid)
+    return along(along(cells, "y", "_y"), "x", "_x").select(grid, "y", "x", (F.col("_v") / (2 * reach + 1) ** 2).alias("mean"))
+
+
+def clusters(cells: DataFrame, grid: str, y: str, x: str, least: int = 1) -> DataFrame:
+    """(grid, root, size) of 8-connected components of marked cells, those of at least `least` cells; root is the smallest (grid, y, x)."""
+    node = F.struct(F.col(grid).alias("g"), F.col(y).alias("y"), F.col(x).alias("x"))
+    marked = cells.select(node.alias("node"))
+    ways = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    moved = marked.select("node", ways.alias("w")).select("node", F.struct(F.col("node.g").alias("g"), (F.col("node.y") + F.col("w.dy")).alias("y"), (F.col("node.x") + F.col("w.dx")).alias("x")).alias("b"))
+    edges = moved.join(marked.select(F.col("node").alias("b")), "b").select(F.col("node").alias("a"), "b")
+    found = components(edges, marked).groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return found.select(F.col("root.g").alias(grid), F.col("root.y").alias("y"), F.col("root.x").alias("x"), "size")
+
+
+def inconsistency(df: DataFrame, grid: str, y: str, x: str, value: str, valid: str | None = None) -> DataFrame:
+    """How far the cells of a grid depart from it: z_max, z_p99, share above 3, mean of the top twentieth, largest cluster's share, Moran's I.
+
+    Cells that `valid` marks false take no part. A grid with fewer than two valid cells has zeros.
+    """
+    cells = df.where(valid) if valid else df
+    z = cut_lineage(robust_z(cells.select(grid, y, x, value), grid, value))
+    ranked = z.withColumn("_k", F.row_number().over(Window.partitionBy(grid).orderBy(F.desc("z"))))
+    n = F.count("*").over(Window.partitionBy(grid))
+    top = ranked.withColumn("_n", n).groupBy(grid).agg(
+        F.max("z").alias("z_max"), F.percentile("z", F.lit(0.99)).alias("z_p99"), F.avg((F.col("z") > 3).cast("double")).alias("share"),
+        F.avg(F.when(F.col("_k") <= F.greatest(F.floor(F.col("_n") / 20), F.lit(1)), F.col("z"))).alias("top"), F.count("*").alias("n"))
+    largest = clusters(z.where("z > 2.5"), grid, y, x).groupBy(F.col(grid).alias("_g")).agg(F.max("size").alias("_largest"))
+    moran = morans_i(cells, grid, y, x, value).select(F.col(grid).alias("_h"), "moran")
+    both = top.join(largest, F.col(grid).eqNullSafe(F.col("_g")), "left").join(moran, F.col(grid).eqNullSafe(F.col("_h")), "left")
+    few = F.col("n") < 2
+    return both.select(grid, *[F.when(few, F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in ("z_max", "z_p99", "share", "top")], (F.coalesce("_largest", F.lit(0)) / F.col("n")).alias("cluster"), F.coalesce("moran", F.lit(0.0)).alias("moran"))

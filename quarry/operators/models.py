@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
 from quarry.operators.shared import cut_lineage
+from quarry.operators.stats import auc
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -23,17 +28,17 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 MODELS: dict[str, Callable[[], Estimator]] = {
-    "forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=20, maxDepth=6, featureSubsetStrategy="sqrt", seed=42),
+    "forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=100, maxDepth=8, featureSubsetStrategy="sqrt", seed=42),
     "logistic": lambda: LogisticRegression(labelCol="label", weightCol="weight", standardization=True),
     "boosted": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=10, seed=42),
 }
 
 
-def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator]) -> DataFrame:
-    """df with `score`: each fold is scored by a model fitted on the others."""
+def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator], which: list[int] | None = None) -> DataFrame:
+    """df with `score`: each fold (or each of `which`) is scored by a model fitted on the others."""
     out = None
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(cut_lineage(balanced(df, "label")))
-    for f in range(k):
+    for f in range(k) if which is None else which:
         model = Pipeline(stages=[make()]).fit(ready.where(F.col(fold) != f))
         scored = model.transform(ready.where(F.col(fold) == f)).select(*df.columns, F.round(vector_to_array("probability")[1], 6).alias("score"))
         out = scored if out is None else out.unionByName(scored)
@@ -53,3 +58,96 @@ def calibrated(scored: DataFrame, fold: str, k: int) -> DataFrame:
 def verdict(p: Column, band: float) -> Column:
     """Inclusive on both sides of a band around one half."""
     return F.when(p >= 0.5 + band / 2, "tampered").when(p <= 0.5 - band / 2, "authentic").otherwise("inconclusive")
+
+
+def fourier_features(df: DataFrame, features: list[str], out: str, width: int = 64, gamma: float = 0.5, seed: int = 42) -> DataFrame:
+    """df with `out`: seeded random cosine features of the standardised columns, whose products approximate the RBF kernel exp(-gamma d * d)."""
+    rng = np.random.default_rng(seed)
+    weights, phases = rng.normal(0, np.sqrt(2 * gamma), (width, len(features))), rng.uniform(0, 2 * np.pi, width)
+    stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.greatest(F.coalesce(F.stddev_pop(c), F.lit(0.0)), F.lit(1e-9)).alias("s")).alias(c) for c in features]).first()
+    scaled = [(F.col(c) - float(stats[c]["m"] or 0.0)) / float(stats[c]["s"]) for c in features]
+    waves = [F.cos(sum((F.lit(float(w)) * z for w, z in zip(row, scaled)), F.lit(float(p)))) * float(np.sqrt(2 / width)) for row, p in zip(weights, phases)]
+    return df.withColumn(out, array_to_vector(F.array(*waves)))
+
+
+def rbf_svm(df: DataFrame, features: list[str], fold: str, k: int) -> DataFrame:
+    """df with `score`: the margin of a balanced linear SVM on random Fourier features, out of fold. An approximation of the RBF kernel."""
+    ready = cut_lineage(fourier_features(balanced(df, "label"), features, "features"))
+    out = None
+    for f in range(k):
+        model = LinearSVC(labelCol="label", weightCol="weight", maxIter=30, regParam=0.01).fit(ready.where(F.col(fold) != f))
+        part = model.transform(ready.where(F.col(fold) == f)).select(*df.columns, F.round(vector_to_array("rawPrediction")[1], 6).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def area(df: DataFrame) -> float:
+    return auc(df, "label", "score").first()["auc"] or 0.0
+
+
+def nested_scores(df: DataFrame, features: list[str], fold: str, k: int, grid: dict[str, Callable[[], Estimator]]) -> tuple[DataFrame, list[str]]:
+    """Out-of-fold scores where each outer fold's model is chosen by the area on the other folds' own folds; and the choices, by outer fold."""
+    out, chosen = None, []
+    for f in range(k):
+        inner = df.where(F.col(fold) != f)
+        folds = [i for i in range(k) if i != f]
+        best = max(grid, key=lambda name: (area(out_of_fold(inner, features, fold, k, grid[name], folds)), -list(grid).index(name)))
+        chosen.append(best)
+        part = out_of_fold(df, features, fold, k, grid[best], [f])
+        out = part if out is None else out.unionByName(part)
+    return out, chosen
+
+
+def coordinate_sweep(evaluate: Callable[[dict], float], start: dict, grids: dict[str, list], linked: dict[str, Callable[[dict], dict]] | None = None, gain: float = 0.002) -> tuple[dict, list[tuple[str, object, float]]]:
+    """One parameter after the other: its best value replaces the current one if it is better by more than `gain`.
+
+    linked: what else changes with a parameter. Every setting is evaluated once.
+    """
+    seen: dict[str, float] = {}
+
+    def score(params: dict) -> float:
+        key = json.dumps(params, sort_keys=True, default=str)
+        if key not in seen:
+            seen[key] = evaluate(params)
+        return seen[key]
+
+    best, record = dict(start), []
+    for name, values in grids.items():
+        trials = [{**best, name: v} for v in values]
+        trials = [{**t, **linked[name](t)} for t in trials] if linked and name in linked else trials
+        record += [(name, t[name], score(t)) for t in trials]
+        top = max(trials, key=score)
+        if score(top) > score(best) + gain:
+            best = top
+    return best, record
+
+
+def ablations(df: DataFrame, groups: dict[str, list[str]], fold: str, k: int, make: Callable[[], Estimator]) -> list[tuple[str, str, float]]:
+    """(kind, group, area) with each group of columns alone, and with all but it; ("all", "", area) first."""
+    every = [c for cs in groups.values() for c in cs]
+    out = [("all", "", area(out_of_fold(df, every, fold, k, make)))]
+    for name, columns in groups.items():
+        out.append(("alone", name, area(out_of_fold(df, columns, fold, k, make))))
+        if rest := [c for c in every if c not in columns]:
+            out.append(("without", name, area(out_of_fold(df, rest, fold, k, make))))
+    return out
+
+
+def permutation_importance(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator], key: str) -> list[tuple[str, float]]:
+    """(feature, loss of area) when a feature's values are dealt round by hashed order in the scored folds; no tree SHAP."""
+    models = []
+    ready = cut_lineage(balanced(df, "label"))
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    for f in range(k):
+        models.append(Pipeline(stages=[assembler, make()]).fit(ready.where(F.col(fold) != f)))
+
+    def score(rows: DataFrame) -> float:
+        parts = [m.transform(rows.where(F.col(fold) == f)).select("label", vector_to_array("probability")[1].alias("score")) for f, m in enumerate(models)]
+        return area(reduce(DataFrame.unionByName, parts))
+
+    base, out = score(ready), []
+    by_key = numbered(ready, [key], "_at")
+    for c in features:
+        other = numbered(df.select(F.col(key).alias("_k"), F.col(c).alias("_new")).withColumn("_h", F.md5(F.concat_ws("|", F.lit(c), "_k"))), ["_h", "_k"], "_at").select("_at", "_new")
+        out.append((c, base - score(by_key.join(other, "_at").drop(c).withColumnRenamed("_new", c))))
+    return out

@@ -7,7 +7,8 @@ from math import comb, exp, lgamma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.order import with_running
+from quarry.operators.order import numbered, with_running
+
 
 def auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Area under the ROC curve with ties at half, per group; NULL where one class is missing."""
@@ -101,3 +102,61 @@ def mask_scores(a: Column, b: Column) -> list[Column]:
         F.round(F.when(empty, F.lit(1.0)).otherwise(2 * tp / F.greatest(2 * tp + fp + fn, F.lit(1))), 6).alias("f1"),
         F.round(F.when(root > 0, (tp.cast("double") * tn - fp.cast("double") * fn) / root).otherwise(F.lit(0.0)), 6).alias("mcc"),
     ]
+
+
+def guarded_auc(df: DataFrame, by: str, label: str, score: str) -> DataFrame:
+    """(by, auc) with one half where a group has one class only or a constant score: such a map says nothing."""
+    flat = df.groupBy(by).agg((F.max(score) == F.min(score)).alias("_flat"))
+    areas = auc(df, label, score, by=(by,)).select(F.col(by).alias("_by"), "auc")
+    return flat.join(areas, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, F.when(F.col("_flat") | F.col("auc").isNull(), F.lit(0.5)).otherwise(F.col("auc")).alias("auc"))
+
+
+def best_threshold(df: DataFrame, by: str, truth: Column, score: Column, thresholds: list[float]) -> DataFrame:
+    """(by, threshold, f1): the threshold with the best F1 in each group, the lowest of ties; all in one pass of conditional sums."""
+    rows = []
+    for t in thresholds:
+        hit = score >= F.lit(t)
+        tp, wrong = F.count_if(truth & hit), F.count_if(truth != hit)
+        f1 = F.when(2 * tp + wrong > 0, 2 * tp / (2 * tp + wrong)).otherwise(F.lit(1.0))
+        rows.append(F.struct(F.round(f1, 6).alias("f1"), F.lit(-t).alias("less")))
+    best = df.groupBy(by).agg(F.array_max(F.array(*rows)).alias("best"))
+    return best.select(by, (-F.col("best.less")).alias("threshold"), "best.f1")
+
+
+def fold_summary(df: DataFrame, fold: str, label: Column, predicted: Column) -> DataFrame:
+    """(metric, mean, sd) over folds of the metrics of confusion()."""
+    per = df.groupBy(fold).agg(*confusion(label, predicted))
+    long = per.unpivot([fold], [c for c in per.columns if c != fold], "metric", "value")
+    return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+
+
+def permutation_p(df: DataFrame, key: str, label: str, value: str, permutations: int = 100, seed: str = "p") -> DataFrame:
+    """Sum of value over the marked rows, and the share of hashed permutations of the marks in which it is as large.
+
+    A permutation marks as many rows, those of the smallest hashes of (seed, number, key).
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.col(value).alias("_v")).where("_y is not null and _v is not null")
+    seen = rows.agg(F.sum(F.when(F.col("_y") == 1, F.col("_v"))).alias("observed"), F.count_if(F.col("_y") == 1).alias("marked"), F.count("*").alias("n"))
+    copies = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "r", "_k")))
+    drawn = numbered(copies, ["_h", "_k"], "_at", ("r",)).crossJoin(F.broadcast(seen))
+    null = drawn.where("_at < marked").groupBy("r").agg((F.sum("_v") >= F.first("observed")).cast("int").alias("reached"))
+    return seen.crossJoin(null.agg(F.sum("reached").alias("reached"))).select("observed", "n", F.round((F.col("reached") + 1) / F.lit(permutations + 1.0), 6).alias("p"))
+
+
+def quadratic_trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, a, b, c, rss): the least-squares fit y = a + b x + c x * x of each group, from power sums alone."""
+    power = {k: F.sum(F.pow(F.col(x).cast("double"), F.lit(k))) for k in range(5)}
+    moment = {k: F.sum(F.pow(F.col(x).cast("double"), F.lit(k)) * F.col(y)) for k in range(3)}
+    sums = df.groupBy(by).agg(*[c.alias(f"s{k}") for k, c in power.items()], *[c.alias(f"t{k}") for k, c in moment.items()], F.sum(F.col(y) * F.col(y).cast("double")).alias("yy"))
+    det = lambda m: m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+    rows = [[F.col(f"s{i + j}") for j in range(3)] for i in range(3)]
+    swapped = lambda k: [[F.col(f"t{i}") if j == k else rows[i][j] for j in range(3)] for i in range(3)]
+    base = F.nullif(det(rows), F.lit(0.0))
+    fit = sums.select(by, "yy", "t0", "t1", "t2", *[(det(swapped(k)) / base).alias(n) for k, n in enumerate("abc")])
+    return fit.select(by, "a", "b", "c", (F.col("yy") - F.col("a") * F.col("t0") - F.col("b") * F.col("t1") - F.col("c") * F.col("t2")).alias("rss"))
+
+
+def share_within(a: Column, b: Column, tolerance: float) -> Column:
+    """The share of places at which two arrays differ by at most `tolerance`; NULL for arrays of different lengths."""
+    near = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), F.lit(0), lambda n, hit: n + hit.cast("int"))
+    return F.when(F.size(a) == F.size(b), near / F.size(a))

@@ -1,0 +1,79 @@
+"""Configuration trees from a small subset of YAML: nested maps by indentation, lists, scalars and comments."""
+
+from __future__ import annotations
+
+import copy
+import json
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scalar(text: str) -> object:
+    """null, booleans, numbers, quoted and plain strings, and lists in brackets."""
+    if text[:1] == "[" and text[-1:] == "]":
+        return [scalar(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+    if text in ("", "~", "null"):
+        return None
+    if text in ("true", "false"):
+        return text == "true"
+    if text[0] in "'\"" and text[-1] == text[0] and len(text) > 1:
+        return json.loads(text) if text[0] == '"' else text[1:-1].replace("''", "'")
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def parse(text: str) -> dict:
+    """The tree of a text. Raises ValueError at a line that is neither `key: value` nor a list item."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in (y.split(" #")[0].rstrip() for y in text.split("\n")) if x.strip() and not x.lstrip().startswith("#")]
+
+    def block(at: int, depth: int) -> tuple[object, int]:
+        out: object = [] if lines[at][1].startswith("- ") else {}
+        while at < len(lines) and lines[at][0] == depth:
+            line = lines[at][1]
+            if isinstance(out, list):
+                if not line.startswith("- "):
+                    raise ValueError(f"not a list item: {line}")
+                out.append(scalar(line[2:].strip()))
+                at += 1
+                continue
+            key, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"not `key: value`: {line}")
+            at += 1
+            if value.strip() or at >= len(lines) or lines[at][0] <= depth:
+                out[scalar(key.strip())] = scalar(value.strip())
+            else:
+                out[scalar(key.strip())], at = block(at, lines[at][0])
+        if at < len(lines) and lines[at][0] > depth:
+            raise ValueError(f"unexpected indentation: {lines[at][1]}")
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+@lru_cache
+def _cached(spark_path: str, text: str) -> dict:
+    return parse(text)
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file of any store Spark reads, parsed once for each content; every caller gets a copy of its own."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return copy.deepcopy(_cached(path, text))
+
+
+def flat(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
+    """(dotted key, JSON value) of all leaves."""
+    out = []
+    for k, v in tree.items():
+        out += flat(v, f"{prefix}{k}.") if isinstance(v, dict) else [(f"{prefix}{k}", json.dumps(v))]
+    return out
+
+
+def as_table(spark: SparkSession, tree: dict) -> DataFrame:
+    return spark.createDataFrame(flat(tree), "key string, value string")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +30,52 @@ def summary_json(df: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small report as a Markdown table."""
+    """A report of at most `limit` rows as a Markdown table; a longer one is an error, not a shorter table."""
     show = lambda v: "" if v is None or isinstance(v, float) and math.isnan(v) else str(v)
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
     return "\n".join(["| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]])
 
 
+def write_csv(df: DataFrame, path: str, parts: str | None = None) -> None:
+    """CSV with a header, put in place in one step: written beside its place, then renamed over what stands there."""
+    spark, beside = df.sparkSession, f"{path}.writing-{uuid.uuid4().hex}"
+    writer = df.write.option("header", True)
+    (writer.partitionBy(parts) if parts else writer).csv(beside)
+    replace(spark, beside, path)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Rename `new` to `path`; what stood there goes last, and comes back if the rename fails."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    at, old = Path(path), Path(f"{path}.old-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(Path(new), at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{new} can't be renamed to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def npz(arrays: dict[str, np.ndarray]) -> bytes:
+    """Named arrays as the bytes of a compressed .npz file."""
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def save_model(model: PipelineModel, path: str, **metadata: object) -> None:
+    """A fitted pipeline with what it was fitted under, as a JSON text beside its stages."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True, default=str),)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
 def checksums(files: DataFrame, column: str = "content") -> DataFrame:
     """`sha1  name` lines for files, sorted by name."""
     return files.select(F.concat_ws("  ", F.sha1(column), "path").alias("line"), "path").sort("path").select("line")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +37,36 @@ def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def csv_parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All parts of a folder of CSV files, with `part`: the place of a row's file in the order of names (1, 2, ...)."""
+    rows = typed_csv(spark, folder, schema).withColumn("_file", F.input_file_name())
+    names = rows.select("_file").distinct().withColumn("part", F.row_number().over(Window.orderBy("_file")))  # one row a file
+    return rows.join(names, "_file").drop("_file")
+
+
+def npz_arrays(df: DataFrame, content: str, name: str) -> DataFrame:
+    """df with `values`: the flattened array of a name from .npz bytes (NULL where it is missing), and its shape."""
+
+    @F.pandas_udf("values array<double>, shape array<int>")
+    def load(files: pd.Series) -> pd.DataFrame:
+        out = []
+        for b in files:
+            with np.load(io.BytesIO(b)) as z:
+                a = z[name] if name in z.files else None
+            out.append((None, None) if a is None else (a.astype(float).ravel().tolist(), list(a.shape)))
+        return pd.DataFrame(out, columns=["values", "shape"])
+
+    return df.withColumn("_npz", load(content)).select("*", "_npz.values", "_npz.shape").drop("_npz")
+
+
+def load_model(spark: SparkSession, path: str, **expected: object) -> tuple[PipelineModel, dict]:
+    """A pipeline of save_model() and its metadata; metadata that differs from what is expected is an error."""
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    if wrong := {k: (metadata.get(k), v) for k, v in expected.items() if metadata.get(k) != v}:
+        raise ValueError(f"the model was fitted under other settings: {wrong}")
+    return PipelineModel.load(f"{path}/model"), metadata
+
+
 def spaced_text(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Header-less lines of white-space separated fields."""
     parts = F.split(F.trim("value"), r"\s+")

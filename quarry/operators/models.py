@@ -27,9 +27,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(n)).withColumn("weight", F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")
 
 
+def logistic(ridge: float = 0.0) -> Estimator:
+    return LogisticRegression(labelCol="label", weightCol="weight", standardization=True, regParam=ridge)
+
+
 MODELS: dict[str, Callable[[], Estimator]] = {
     "forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=100, maxDepth=8, featureSubsetStrategy="sqrt", seed=42),
-    "logistic": lambda: LogisticRegression(labelCol="label", weightCol="weight", standardization=True),
+    "logistic": logistic,
     "boosted": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=10, seed=42),
 }
 

@@ -596,7 +596,7 @@ def module_features(spark, sf_dir):
 def scored(spark, sf_dir, model="forest"):
     d = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), F.size(F.regexp_extract_all("text", F.lit("([#*$%&|!])"), F.lit(1))).alias("n_marks")), "doc_id")
     d = sampling.folds(d.withColumn("label", F.col("quality")), "source", 3, "cv").select("doc_id", "label", "fold", *[F.col(c).cast("double").alias(c) for c in ("n_chars", "n_words", "n_marks")])
-    return models.out_of_fold(d, ["n_chars", "n_words", "n_marks"], "fold", 3, models.MODELS[model])
+    return models.out_of_fold(d, ["n_chars", "n_words", "n_marks"], "fold", 3, models.MODELS[model]) if model else d
 
 
 @query(None)

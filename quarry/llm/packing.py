@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +40,6 @@ class ByteBpe:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,11 +52,23 @@ class ByteBpe:
         assert pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True), "another kind of tokenizer"
         self.special = tuple(special)
         self.bpe = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.line_feed = self._plain("\n")
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, for texts with special strings."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
+        """Drop the words seen so far: workers live longer than tasks."""
+        self.first.clear()
+        self.spaced.clear()
+
     def _plain(self, text: str) -> bytes:
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
@@ -129,6 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                     out.append((doc_id, k, at, upto - at, zlib.crc32(ids[4 * at : 4 * upto])))
                     at, k = upto, k + 1
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        bpe.forget()
 
     return whole_texts(docs).mapInPandas(pieces, PIECES)
 

@@ -20,7 +20,7 @@ from quarry.llm.shared import whole_texts
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_RANK = np.int64(1) << 40
-CACHE = 1_000_000
+CACHE = 400_000
 #: Words up to so many characters are remembered between batches.
 SHORT = 64
 
@@ -448,6 +448,11 @@ class PieceModel:
             parts = [known[w] if w in known else long[w] for w in words] if long else list(map(known.__getitem__, words))
             yield parts, self.projected(np.frombuffer(b"".join([p[4] for p in parts]), "<i4"), source)
 
+    def forget(self) -> None:
+        """Drop the words seen so far: workers live longer than tasks."""
+        self.counts.clear()
+        self.known.clear()
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the ids joined by commas and of the decoded text, for each text."""
         out = []
@@ -480,7 +485,7 @@ def piece_model(path: str) -> PieceModel:
 
 
 #: Characters of text that are handled at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 def in_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -505,6 +510,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                 texts = part["text"].tolist()
                 n = np.array(pieces.count_all(texts), np.int64)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit})
+        pieces.forget()
 
     return whole_texts(docs).mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -523,6 +529,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                 got = pieces.digests(part["text"].tolist())
                 n, ids, text = zip(*got)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": text})
+        pieces.forget()
 
     return whole_texts(docs).mapInPandas(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -537,5 +544,6 @@ def encode_spans(docs: DataFrame, model: str) -> DataFrame:
                 got = list(pieces.encoded(part["text"].tolist()))
                 ids = [[int(i) for p in parts for i in p[1].split(",")] for parts, _ in got]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids, "starts": [low for _, (low, _) in got], "ends": [high for _, (_, high) in got]})
+        pieces.forget()
 
     return whole_texts(docs).mapInPandas(spans, "doc_id long, ids array<int>, starts array<int>, ends array<int>")

@@ -72,6 +72,18 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a row is known by: its id as text (null: empty) and 128 bits of its text.
+KEY = ["d", "k1", "k2"]
+
+
+def keyed(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """docs (needs doc_id and text) with KEY; whole: a null text becomes an empty one, which the key takes it for anyhow."""
+    bound_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)})
+    return out.withColumn("text", text) if whole else out
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), whatever else the table holds."""
     bound_batches(docs.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import grouped
-from quarry.llm.shared import bound_batches, materialise
+from quarry.llm.shared import KEY, heavy_join, keyed, materialise, release
 
 WINDOW, GRAM = 400, 128
 #: Grams in a window; an anchor's windows start up to REACH - 1 bytes before it.
@@ -67,12 +67,43 @@ class Roller:
         return x
 
 
-_rollers: dict[int, Roller] = {}
+#: The two largest primes under 2 ** 31 (fixed values).
+PRIMES = (2147483647, 2147483629)
 
 
-def roller(seed: int) -> Roller:
+class PrimeRoller:
+    """As Roller, modulo two primes, packed into 64 bits: two strings of a length n agree in both with a chance of (n / 2 ** 31) ** 2 at most, whatever they look like."""
+
+    def __init__(self, seed: int):
+        self.parts = []
+        for k, p in enumerate(PRIMES):
+            number = lambda what, k=k, p=p: int.from_bytes(hashlib.sha256(b"%d:%d:%d" % (seed, k, what)).digest()[:8], "little") % (p - 2) + 2
+            base = number(256)
+            self.parts.append((p, base, pow(base, -1, p), np.array([number(b) for b in range(256)], np.uint64)))
+        self.tables = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * len(PRIMES)
+
+    def hashes(self, data: np.ndarray, length: int) -> np.ndarray:
+        n, out = len(data), None
+        for k, (p, base, inverse, table) in enumerate(self.parts):
+            up, down = self.tables[k]
+            while len(up) < n + 1:
+                step = len(up)
+                up, down = (np.r_[x, x * np.uint64(pow(b, step, p)) % np.uint64(p)] for x, b in ((up, base), (down, inverse)))
+            self.tables[k] = up, down
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[data] * up[:n] % np.uint64(p), out=total[1:])
+            h = (total[length:] - total[:-length]) % np.uint64(p) * down[: n - length + 1] % np.uint64(p)
+            out = h if out is None else out << np.uint64(32) | h
+        return out
+
+
+_rollers: dict[int, Roller | PrimeRoller] = {}
+
+
+def roller(seed: int) -> Roller | PrimeRoller:
+    """0 chooses anchors; 1 (modulo primes) and 2 name windows."""
     if seed not in _rollers:
-        _rollers[seed] = Roller(seed)
+        _rollers[seed] = PrimeRoller(seed) if seed == 1 else Roller(seed)
     return _rollers[seed]
 
 
@@ -113,19 +144,19 @@ def windows_of(batch: pd.DataFrame) -> Iterator[tuple]:
         yield row, np.frombuffer(row.text.encode(), np.uint8)
 
 
-def profile(keyed: DataFrame) -> DataFrame:
-    """For each row: rid, doc_id, k1, k2, n_bytes, sha256, its anchors' hashes, and how often each is found in it."""
+def profile(texts: DataFrame) -> DataFrame:
+    """For each row: doc_id, KEY, n_bytes, sha256, its anchors' hashes, and how often each is found in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row, data in windows_of(batch):
                 fps, n = np.unique(anchors(data)[0].astype(np.int64), return_counts=True)
-                out.append((row.doc_id, row.rid, row.k1, row.k2, len(data), hashlib.sha256(data).hexdigest(), fps, n))
-            names = ["doc_id", "rid", "k1", "k2", "n_bytes", "sha256", "fps", "times"]
+                out.append((row.doc_id, row.d, row.k1, row.k2, len(data), hashlib.sha256(data).hexdigest(), fps, n))
+            names = ["doc_id", *KEY, "n_bytes", "sha256", "fps", "times"]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return keyed.mapInPandas(run, "doc_id long, rid long, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, times array<long>")
+    return texts.mapInPandas(run, "doc_id long, d string, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, times array<long>")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
@@ -359,36 +390,36 @@ def union_of(spans: list[bytes]) -> np.ndarray:
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut). rows: doc_id, rid, n_bytes, sha256 of each document and whole (all of it repeats).
+    """(rows, cut). rows: doc_id, KEY, rid (a number of its own), n_bytes, sha256 of each document and whole (all of it repeats).
 
     cut: for each rid of which a part repeats, its text and spans, the lists of
     packed (from, to) bytes. Documents of equal text count as copies: if they
     have WINDOW bytes or more, all of them repeat, and only one is searched.
     """
-    bound_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
-    rows = materialise(profile(keyed), "profiles")
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("one"))
-    many = copies.where("copies > 1")
-    marked = rows.select("doc_id", "rid", "k1", "k2", "n_bytes", "sha256").join(many, ["k1", "k2"], "left")
-    light = marked.select("doc_id", "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)).alias("whole"))
+    own = keyed(docs.select("doc_id", "text"))
+    rows = materialise(profile(own).withColumn("rid", F.monotonically_increasing_id()), "profiles")  # numbered once, as it is written
+    many = materialise(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("one")).where("copies > 1"), "copies")
+    marked = heavy_join(rows.select("doc_id", *KEY, "rid", "n_bytes", "sha256"), many, ["k1", "k2"], "copies", "left")
+    light = marked.select("doc_id", *KEY, "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)).alias("whole"))
     fps = rows.select(F.explode(F.arrays_zip("fps", "times")).alias("f"), "k1").groupBy(F.col("f.fps").alias("fp")).agg(
         F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
     shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
     shared = materialise(shared, "anchors")
     most = shared.where("hot").agg(F.max("n")).first()[0]
-    one = rows.where(f"n_bytes >= {WINDOW}").select("rid", "k1", "k2", "fps").join(many.select("k1", "k2", "one"), ["k1", "k2"], "left").where("one is null or one = rid")
-    todo = one.select("rid", F.explode("fps").alias("fp")).join(shared, "fp").groupBy("rid").agg(
+    one = heavy_join(rows.where(f"n_bytes >= {WINDOW}").select("rid", *KEY, "fps"), many, ["k1", "k2"], "copies", "left").where("one is null or one = rid")
+    todo = one.select("rid", *KEY, F.explode("fps").alias("fp")).join(shared, "fp").groupBy("rid", *KEY).agg(
         F.collect_set(F.when(~F.col("hot"), F.col("fp"))).alias("plain"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
-    texts = materialise(keyed.select("rid", "text").join(todo, "rid"), "texts", "zstd")
+    texts = materialise(own.select(*KEY, "text").join(todo, KEY).drop(*KEY), "texts", "zstd")
+    release(shared)
     spans = search(contexts(texts))
     if most:
         windows = materialise(window_hashes(texts), "windows")
         spans = spans.union(hot_search(windows, -(-most // SALT)))
     found = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     found = materialise(found, "spans")
-    partial = found.join(light.where("not whole").select("rid").distinct(), "rid", "left_semi")
+    if most:
+        release(windows)
+    partial = found.join(light.where("not whole").select("rid"), "rid", "left_semi")
     cut = texts.select("rid", "text").join(partial, "rid")
     return light, cut
 
@@ -441,9 +472,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rid": batch["rid"], "kept": kept})
 
     parts = cut.mapInPandas(run, "rid long, kept string").dropDuplicates(["rid"])
-    whole = light.where("whole").select("rid").distinct().withColumn("kept", F.lit(""))
-    changed = materialise(parts.union(whole), "changed", "zstd")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", text))
-    joined = keyed.join(changed.withColumnsRenamed({"rid": "_rid", "kept": "_kept"}), "_rid", "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    changed = light.join(parts, "rid", "left").where("whole or kept is not null").groupBy(*KEY).agg(F.max(F.when(~F.col("whole"), F.col("kept"))).alias("kept"))
+    changed = materialise(changed.select(*KEY, F.coalesce("kept", F.lit("")).alias("kept")), "changed", "zstd")
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the key's names
+    rows = keyed(docs.select("*", F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).toDF(*own.values(), "doc_id", "text"), whole=False)
+    joined = rows.drop("text").join(changed, KEY, "left")
+    return joined.select(*[(F.coalesce("kept", F.col(new)) if c == "text" else F.col(new)).alias(c) for c, new in own.items()])

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import materialise, new_path, release
+from quarry.llm.shared import bound_batches, heavy_join, materialise, new_path, release
 from quarry.llm.store import Reader, Writer, make_folder
 
+#: Bytes of an archive that a task reads together.
+PART = 4 << 20
 INDEX = "page_id long, url string, archive string, offset long, length long, payload_digest string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,15 +62,18 @@ def write(pages: DataFrame, smallest: int = 0) -> DataFrame:
     Of pages with equal payloads of at least `smallest` bytes, the one with the
     largest page_id becomes a response and the others revisit it. Which one
     that is is found on digests alone; only then are the bodies of responses,
-    compressed, joined to it by page_id. Equal rows of one page_id give one record each.
+    compressed, joined to it by page_id and digest. Equal rows of one page_id
+    give one record each. A page without an id is a response, and none refers to it.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     html = F.coalesce("html", F.lit(""))
     light = pages.select("page_id", "url", F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
     light = materialise(light, "page-digests")
-    best = light.where(F.col("payload_bytes") >= smallest).groupBy("sha1").agg(F.max("page_id").alias("refers_to"))
-    linked = light.join(best, "sha1", "left")
-    response = F.coalesce(F.col("refers_to").eqNullSafe(F.col("page_id")) | F.col("refers_to").isNull(), F.lit(True))
+    best = light.where((F.col("payload_bytes") >= smallest) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("pages"))
+    best = materialise(best, "page-best")
+    linked = heavy_join(light, best, ["sha1"], "pages", "left").drop("pages")
+    response = F.col("page_id").isNull() | (F.col("payload_bytes") < smallest) | F.coalesce(F.col("refers_to") == F.col("page_id"), F.lit(True))
     linked = materialise(linked.withColumn("response", response), "page-links")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,9 +86,8 @@ def write(pages: DataFrame, smallest: int = 0) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "sha1", "record"]).astype({"page_id": "Int64"})
 
     bodies = pages.select("page_id", "url", "html").mapInPandas(packed, "page_id long, sha1 string, record binary")
-    key = F.xxhash64("page_id", "sha1").alias("key")
-    wanted = linked.where("response").groupBy(key).agg(F.max("url").alias("url"))
-    responses = bodies.withColumn("key", F.xxhash64("page_id", "sha1")).join(wanted, "key").select("page_id", "url", "sha1", F.lit(0).cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "record")
+    wanted = linked.where("response").groupBy(F.col("page_id").alias("id"), "sha1").agg(F.max("url").alias("url"))
+    responses = bodies.join(wanted.withColumnRenamed("sha1", "digest"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("digest"))).select("page_id", "url", "sha1", F.lit(0).cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "record")
     revisits = linked.where("not response").select("page_id", "url", "sha1", "payload_bytes", "refers_to", F.lit(None).cast("binary").alias("record"))
     folder = make_folder(new_path(spark, "archives"))
 
@@ -103,7 +107,7 @@ def write(pages: DataFrame, smallest: int = 0) -> DataFrame:
             out.close()
 
     index = materialise(responses.unionByName(revisits).mapInPandas(archive, INDEX), "index")
-    release(light, linked)
+    release(light, best, linked)
     return index
 
 
@@ -113,10 +117,12 @@ def read(index: DataFrame) -> DataFrame:
     Columns: page_id, url, record_type, refers_to, payload_digest (of what was
     read; a revisit's from its header), payload_bytes (a revisit's from its
     HTTP header), payload (null for revisits). Each archive's records are
-    sorted by offset and read in coalesced ranges, in parts of 64 MB.
+    sorted by offset and read in coalesced ranges, in parts of PART bytes, as
+    many tasks as the records' bytes need.
     """
-    part = F.floor(F.col("offset") / F.lit(64 << 20))
-    dealt = index.select("archive", "offset", "length").repartition("archive", part).sortWithinPartitions("archive", "offset")
+    part = F.floor(F.col("offset") / F.lit(PART))
+    n = -(-(index.agg(F.sum("length")).first()[0] or 1) // PART)
+    dealt = index.select("archive", "offset", "length").repartition(n, "archive", part).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
@@ -153,6 +159,7 @@ def archived(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """Write pages as WARC records and read all of them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload; empty payloads are equal payloads. A null
-    page_id is archived as a response. An empty table gives no rows.
+    page_id is archived as a response. Repeated rows are archived once each;
+    other columns are ignored. An empty table gives no rows.
     """
     return read(write(pages, smallest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import materialise, new_path, whole_texts
+from quarry.llm.shared import heavy_join, materialise, new_path, whole_texts
 from quarry.llm.store import Reader, Writer, make_folder
 
 FRAME = 192
@@ -138,13 +138,82 @@ def put(docs: DataFrame) -> DataFrame:
     return materialise(whole_texts(docs).mapInPandas(run, WRITTEN), "written")
 
 
-def recipes(written: DataFrame) -> DataFrame:
-    """For each distinct medium the ordered canonical places of its chunks: the smallest place of each digest."""
+def chunk_lists(written: DataFrame) -> DataFrame:
+    """(medium, seq, digest, place) of each distinct medium's chunks, as one of its writers placed them."""
     one = written.groupBy("medium").agg(F.min_by(F.struct("digests", "places"), F.element_at("places", 1)).alias("w")).select("medium", "w.digests", "w.places")
     chunks = one.select("medium", F.posexplode(F.arrays_zip("digests", "places")).alias("seq", "c")).select("medium", "seq", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
-    chunks = materialise(chunks, "chunk-list")
-    best = chunks.groupBy("digest").agg(F.min("place").alias("place"))
-    return chunks.drop("place").join(best, "digest").groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("seq", "place"))).alias("chunks"))
+    return materialise(chunks, "chunk-list")
+
+
+def canonical(chunks: DataFrame) -> DataFrame:
+    """(digest, place, uses): the smallest place of each chunk digest, and how many chunks of the lists it stands for."""
+    return materialise(chunks.groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("uses")), "canonical")
+
+
+def recipe_of(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    """For each medium the ordered places of its chunks. A chunk found in very many media is broadcast."""
+    placed = heavy_join(chunks.drop("place"), places, ["digest"], "uses")
+    return placed.groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("seq", "place"))).alias("chunks"))
+
+
+def recipes(written: DataFrame) -> DataFrame:
+    """For each distinct medium the ordered canonical places of its chunks: the smallest place of each digest."""
+    chunks = chunk_lists(written)
+    return recipe_of(chunks, canonical(chunks))
+
+
+def compacted(written: DataFrame) -> DataFrame:
+    """recipes() on block files that hold each chunk once: canonical chunks are copied in the order they lie, and no other file is needed.
+
+    put() stores a chunk once in each task that meets it; this drops the other
+    copies, at the price of reading the store once. The old files may go then.
+    """
+    chunks = chunk_lists(written)
+    best = canonical(chunks)
+    folder = make_folder(new_path(written.sparkSession, "chunks"))
+    dealt = best.withColumn("a", F.col("place.archive")).withColumn("o", F.col("place.offset"))
+    n = -(-(best.agg(F.sum("place.n")).first()[0] or 1) // (4 * AT_ONCE))
+    dealt = dealt.repartition(n, "a", F.floor(F.col("o") / F.lit(AT_ONCE))).sortWithinPartitions("a", "o", "place.inside").select("digest", "place", "uses")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = f"{folder}/{uuid.uuid4().hex}.blocks"
+        out, reader, squeeze, expand = None, Reader(), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        at, data, block, waiting = None, b"", bytearray(), []
+        for batch in batches:
+            rows = []
+            for digest, p, uses in zip(batch["digest"], batch["place"], batch["uses"]):
+                if at != (p["archive"], p["offset"]):
+                    at = p["archive"], p["offset"]
+                    data = expand.decompress(next(reader.read(p["archive"], [(p["offset"], p["length"])]))[1])
+                waiting.append((digest, len(block), p["n"], uses))
+                block += data[p["inside"] : p["inside"] + p["n"]]
+                if len(block) >= BLOCK:
+                    out = out or Writer(path)
+                    offset, length = out.add(squeeze.compress(bytes(block)))
+                    rows += [(d, (path, offset, length, inside, n), u) for d, inside, n, u in waiting]
+                    block, waiting = bytearray(), []
+            if block:
+                out = out or Writer(path)
+                offset, length = out.add(squeeze.compress(bytes(block)))
+                rows += [(d, (path, offset, length, inside, n), u) for d, inside, n, u in waiting]
+                block, waiting = bytearray(), []
+            names = ["archive", "offset", "length", "inside", "n"]
+            yield pd.DataFrame({"digest": [r[0] for r in rows], "place": [dict(zip(names, r[1])) for r in rows], "uses": [r[2] for r in rows]})
+        reader.close()
+        if out:
+            out.close()
+
+    moved = materialise(dealt.mapInPandas(run, f"digest binary, place struct<{PLACE.replace(' string', ':string').replace(' long', ':bigint').replace(' int', ':int')}>, uses long"), "moved")
+    return recipe_of(chunks, moved)
+
+
+def store_report(written: DataFrame) -> DataFrame:
+    """One row: chunks of the media, distinct digests, bytes of the distinct ones and bytes that other tasks stored again."""
+    placed = written.select(F.explode(F.arrays_zip("digests", "places")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
+    stored = placed.groupBy("digest", "place.archive", "place.offset", "place.inside").agg(F.max("place.n").alias("n"), F.count("*").alias("uses"))
+    per = stored.groupBy("digest").agg(F.sum("n").alias("all"), F.max("n").alias("one"), F.sum("uses").alias("uses"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return per.agg(zero(F.sum("uses")).alias("chunks"), F.count("*").alias("distinct_chunks"), zero(F.sum("one")).alias("distinct_bytes"), zero(F.sum(F.col("all") - F.col("one"))).alias("repeated_bytes"))
 
 
 def feature(samples: np.ndarray) -> str:
@@ -215,5 +284,6 @@ def stored(docs: DataFrame) -> DataFrame:
     Repeated rows and null ids are carried; an empty table gives no rows.
     """
     written = put(docs)
-    media = rebuilt(recipes(written))
-    return written.select("doc_id", "n_bytes", "medium").join(media, "medium").drop("medium")
+    copies = written.groupBy("medium").agg(F.count("*").alias("copies"))
+    media = materialise(rebuilt(recipes(written)).join(copies, "medium"), "media")
+    return heavy_join(written.select("doc_id", "n_bytes", "medium"), media, ["medium"], "copies").drop("medium", "copies")

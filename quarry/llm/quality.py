@@ -11,8 +11,8 @@ the walk ends at the first set that isn't (fixed-sequence testing, so no further
 correction along the path). The error level `delta` is divided by the number of
 strata (Bonferroni), so all certified sets of all strata hold at once with
 1 - delta, and the one that rejects most of the labelled bad documents is taken,
-the most lenient of ties. Without a rejection, ln(strata / delta) / alpha good
-documents certify a set: 439 for 4 strata at 0.05 and 0.01. A stratum without a
+the most lenient of ties. Without a rejection, about ln(strata / delta) / alpha good
+documents certify a set: 437 for 4 strata at 0.05 and 0.01. A stratum without a
 certified set rejects nothing beyond the base.
 """
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -149,13 +150,43 @@ def test_licenses(awkward, empty):
     assert licenses.scan(awkward).count() == awkward.count() and licenses.scan(empty).count() == 0
 
 
-def test_notice_with_a_changed_word(spark):
-    words = licenses.NOTICES["bsd"].split()
-    words[8] = "changed"
-    r = licenses.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
-    assert r["labels"] == "" or r["labels"] == "bsd"
-    whole = licenses.scan(spark.createDataFrame([(1, "so " + licenses.NOTICES["bsd"])], "doc_id long, text string")).first()
-    assert whole["labels"] == "bsd" and whole["base_labels"] == "" and whole["score"] == 1
+def test_notices(spark):
+    """Each notice, whole and with a tenth of its words changed, gets its own label and no other; repeated pieces get none."""
+    rows, want = [(0, "free of charge x " * 50), (1, "of the license x " * 60), (2, "in all copies " * 400)], {0: "", 1: "", 2: ""}
+    rng = np.random.default_rng(4)
+    for name, notice in licenses.NOTICES.items():
+        words = notice.split()
+        changed = list(words)
+        for k in rng.choice(len(words), len(words) // 10, replace=False):
+            changed[k] = "changed"
+        for text in (notice, " ".join(changed), " ".join(words[: len(words) // 2]), " ".join(words[:4]) + " and " + " ".join(words[4:])):
+            base = next((label for phrase, label in licenses.PHRASES.items() if phrase in text), "")
+            want[len(rows)] = base if len(text.split()) < 0.8 * len(words) else name
+            rows.append((len(rows), f"so it goes {text} and on"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == want
+    assert all(r["score"] == (1 if r["base_labels"] else r["score"]) and 0 <= r["score"] <= 1 for r in got.values()) and got[3]["score"] == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(0, 4), max_size=14))
+def test_alignment(notice, words):
+    import difflib
+
+    n, first, last = licenses.aligned(notice, words)
+    table = [[0] * (len(words) + 1) for _ in range(len(notice) + 1)]
+    for i, a in enumerate(notice):
+        for k, b in enumerate(words):
+            table[i + 1][k + 1] = table[i][k] + 1 if a == b else max(table[i][k + 1], table[i + 1][k])
+    assert n == table[-1][-1] and (not n or 0 <= first <= last < len(words))
+    assert n >= sum(m.size for m in difflib.SequenceMatcher(None, notice, words, autojunk=False).get_matching_blocks())
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=20))
+def test_grams_hold_their_words(ids):
+    got = licenses.words_in(licenses.grams(np.array(ids, np.int32)))
+    assert got.tolist() == (ids if len(ids) >= licenses.K else [])
 
 
 def test_counts(awkward, empty):
@@ -169,8 +200,39 @@ def test_counts(awkward, empty):
 def test_binomial_bound():
     assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert quality.upper_bound(5, 5, 0.05) == 1
-    assert quality.certified_level({0: 5000, 40: 1}, 0.002, 0.0025) == 0
-    assert quality.certified_level({0: 50}, 0.002, 0.0025) is None
+    for k, n, error in ((0, 439, 0.0125), (7, 60, 0.01), (59, 60, 0.2), (5000, 100_000, 0.0025)):
+        p = quality.upper_bound(k, n, error)
+        log = lambda i, n=n, p=p: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+        assert sum(math.exp(log(i)) for i in range(k + 1)) == pytest.approx(error, rel=1e-6)
+    assert quality.upper_bound(0, 437, 0.05 / 4) <= 0.01 < quality.upper_bound(0, 435, 0.05 / 4)
+
+
+def test_certified_step():
+    kept = lambda *n: [*n, *[0] * (len(quality.STEPS) + 1 - len(n))]
+    none = [0] * len(quality.STEPS)
+    assert quality.certified([*none, 5000], kept(10), 0.01, 0.0125) == 0  # the most lenient of ties
+    assert quality.certified([*none, 5000], kept(10, 3), 0.01, 0.0125) == 1
+    assert quality.certified([0, 500, *none[2:], 5000], kept(10, 3), 0.01, 0.0125) == 0  # the second set rejects too many good ones
+    assert quality.certified([*none, 100], kept(10), 0.01, 0.0125) is None and quality.certified([0, *none], kept(10), 0.01, 0.0125) is None
+
+
+def test_quality_rejects_under_certified_cutoffs(spark):
+    """Good and bad documents of two languages, labelled; a third language has too few labels and is left alone."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(2000)]
+    rows, labels = [], []
+    for i in range(1300):
+        lang = "a" if i < 600 else "b" if i < 1200 else "c"
+        bad = i % 10 == 0
+        text = " ".join(rng.choice(words, 60)) + (" #$%&" * 40 if bad else " #" * (i % 2))
+        rows.append((i, lang, text))
+        labels.append((i, int(not bad), 0))
+    docs, labelled = spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(docs, labelled).collect()}
+    assert all(got[i]["kept"] == (i % 10 != 0) for i in range(1200)) and all(got[i]["kept"] for i in range(1200, 1300))
+    assert {r["rejected_by"] for r in got.values()} == {None, "symbol_share"}
+    alone = quality.judge(docs.where("lang = 'a'"), labelled, alpha=0.03).collect()  # one stratum: half of its labels shape the path
+    assert sum(not r["kept"] for r in alone) == 60
 
 
 @settings(max_examples=100, deadline=None)
@@ -290,6 +352,9 @@ def test_warc(spark):
     assert (rows[1]["record_type"], rows[1]["refers_to"], rows[2]["record_type"], rows[3]["refers_to"]) == ("revisit", 2, "response", 4)
     assert rows[5]["payload_bytes"] == 10000 and rows[1]["payload_digest"] == base64.b32encode(hashlib.sha1(b"x").digest()).decode()
     assert warc.archived(pages, 2).where("record_type = 'revisit'").count() == 0 and warc.archived(pages.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a", "x", 1), (7, "b", "x", 2), (None, "c", "y", 3), (8, "d", "z", 4), (8, "d", "z", 4), (9, None, "z", 5)], "page_id long, url string, html string, sha1 int")
+    got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.archived(odd).collect())
+    assert got == [(-1, "response", None), (-1, "response", None), (7, "response", None), (8, "revisit", 9), (8, "revisit", 9), (9, "response", None)]
     some = warc.read(warc.write(pages).where("page_id = 5")).first()
     assert some["payload"].decode() == "é" * 5000
 
@@ -304,6 +369,22 @@ def test_media(awkward, empty):
     assert media.stored(empty).count() == 0
 
 
+def test_media_of_several_tasks(spark):
+    """Equal passages in texts of several tasks and blocks: stored more than once at first, once after compaction; every medium is rebuilt."""
+    rng = np.random.default_rng(6)
+    common = "".join(rng.choice(list("abcdefgh "), 40_000))
+    texts = [common + "".join(rng.choice(list("ijklm"), 3000)) for _ in range(6)] + ["".join(rng.choice(list("ab"), 200_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    written = media.put(docs)
+    report = media.store_report(written).first()
+    assert report["repeated_bytes"] > 0 and report["distinct_chunks"] < report["chunks"]
+    want = {hashlib.sha256(media.payload_of(t)[0]).hexdigest() for t in texts}
+    for recipe in (media.recipes(written), media.compacted(written)):
+        assert {r["payload_sha256"] for r in media.rebuilt(recipe).collect()} == want
+    files = {p["place"]["archive"] for r in media.compacted(written).collect() for p in r["chunks"]}
+    assert not files & {p["archive"] for r in written.collect() for p in r["places"]}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.binary(max_size=30000))
 def test_cuts(data):
@@ -325,21 +406,50 @@ def test_sharding(awkward, empty):
     assert all(len(s) == 1 for s in places.values()) and sharding.shard(empty, 3).count() == 0
 
 
-def test_smallest_capacity(spark):
-    sizes = [7, 2, 9, 4, 4, 1, 8, 3]
-    ends = spark.createDataFrame([(int(e),) for e in np.cumsum(sizes)], "end long")
-
+def least_capacity(sizes, n):
     def fits(c):
         bins, room = 1, c
-        for s in sizes:
-            if s > c:
+        for x in sizes:
+            if x > c:
                 return False
-            if s > room:
+            if x > room:
                 bins, room = bins + 1, c
-            room -= s
-        return bins <= 3
+            room -= x
+        return bins <= n
+
+    return next(c for c in range(1, sum(sizes) + 2) if fits(c))
 
-    assert sharding.smallest_capacity(ends, sum(sizes), max(sizes), 3)[0] == min(c for c in range(1, 40) if fits(c))
+
+def test_smallest_capacity(spark):
+    sizes = [7, 2, 9, 4, 4, 1, 8, 3]
+    ends = spark.createDataFrame([(int(e),) for e in np.cumsum(sizes)], "end long")
+    assert sharding.smallest_capacity(ends, sum(sizes), max(sizes), 3) == (least_capacity(sizes, 3), [9, 22])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=60), st.integers(1, 9), st.sampled_from([(2, 2), (8, 4), (4096, 1024)]))
+def test_capacity_search(sizes, n, resolution):
+    """The search sees buckets only, however coarse, and ends with the least capacity and cuts that keep to it."""
+    ends, held = np.cumsum(sizes).tolist(), (sharding.WIDE, sharding.FINE)
+    sharding.WIDE, sharding.FINE = resolution
+    calls = []
+
+    def look(regions, k):
+        calls.append(regions)
+        found = {}
+        for i, (a, b) in enumerate(regions):
+            for e in ends:
+                if a <= e <= b:
+                    found.setdefault((i, (e - a) * k // (b - a + 1)), []).append(e)
+        return [(min(v), max(v), len(v)) for v in found.values()]
+
+    try:
+        capacity, cuts = sharding.search(look, sum(sizes), max(sizes), n)
+    finally:
+        sharding.WIDE, sharding.FINE = held
+    at = [0, *cuts, sum(sizes)]
+    assert capacity == least_capacity(sizes, n) and len(cuts) == n - 1 and len(calls) < 60
+    assert all(0 <= b - a <= capacity for a, b in zip(at, at[1:])) and set(cuts) <= {0, *ends}
 
 
 def test_words_pattern():

@@ -64,7 +64,7 @@ def test_strides_cover():
 
 def test_group_folds_keep_groups_together(spark):
     df = spark.createDataFrame([(i % 20, "ab"[i % 2], i) for i in range(200)], "g int, s string, i int")
-    assert all(r["k"] == 1 for r in sampling.greedy_group_folds(df, "g", "s", 4, "x").selectExpr("g", "fold").distinct().groupBy("g").count().withColumnRenamed("count", "k").collect())
+    assert all(r["k"] == 1 for r in sampling.stratified_group_folds(df, "g", "s", 4, "x").selectExpr("g", "fold").distinct().groupBy("g").count().withColumnRenamed("count", "k").collect())
 
 
 def test_jpeg_tables_and_round_trip():

@@ -96,11 +96,11 @@ HOURS = f"SELECT event_type, y - 12 AS x, sum(v) AS v FROM ({CELLS}) GROUP BY 1,
 @query(f"""WITH h AS ({HOURS}), s AS (SELECT event_type, count(*)::DOUBLE s0, sum(x)::DOUBLE s1, sum(x * x)::DOUBLE s2, sum(x * x * x)::DOUBLE s3, sum(x * x * x * x)::DOUBLE s4, sum(v) t0, sum(x * v) t1, sum(x * x * v) t2 FROM h GROUP BY 1),
 d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM s),
 f AS (SELECT event_type, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det AS a, (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det AS b, (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det AS c FROM d)
-SELECT f.event_type, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, round(sum((v - a - b * x - c * x * x) * (v - a - b * x - c * x * x)), 2) AS rss FROM f JOIN h ON h.event_type = f.event_type GROUP BY f.event_type, a, b, c""")
+SELECT f.event_type, round(a, 2) AS a, round(b, 2) AS b, round(c, 2) AS c, round(sum((v - a - b * x - c * x * x) * (v - a - b * x - c * x * x)), 0) AS rss FROM f JOIN h ON h.event_type = f.event_type GROUP BY f.event_type, a, b, c""")
 def quadratic_trend(spark, sf_dir):
     register(spark, sf_dir, "events")
     fit = stats.quadratic_trend(spark.sql(HOURS), "event_type", "x", "v")
-    return fit.select("event_type", *[F.round(c, 4).alias(c) for c in "abc"], F.round("rss", 2).alias("rss"))
+    return fit.select("event_type", *[F.round(c, 2).alias(c) for c in "abc"], F.round("rss", 0).alias("rss"))
 
 
 # Arrays and pairs

@@ -4,13 +4,17 @@ Sets are split recursively. In run r, a set goes below every bucket of its own
 tokens whose hash for this run and depth is under PHI / (LAMBDA * size), so a
 pair of at least LAMBDA shares PHI[depth] children or more on average; buckets
 of up to SMALL sets are compared by brute force, larger ones are split again, up
-to DEPTH times. A run's deeper tokens are the same below all its paths, so a
-pair at the threshold that stays in large buckets is found in it if it shares a
-token at each depth: a chance of (1 - exp(-1.6)) ** 2 = 0.637, and RUNS runs
-miss it with one below 1e-5.
-What is still large after DEPTH tokens counts as a candidate as a whole. Comparison in a bucket is on 64 one-byte minhashes, a
-filter that lets a pair of LAMBDA pass but for a chance of about 1e-6; what
-passes is verified on the whole shingle sets, in blocks, so links are exact.
+to DEPTH times. In a large bucket, sets that agree with one of a few pivots are
+connected at once; up to PAIRS sets, what that leaves open is compared by brute
+force. Of larger buckets small children are compared on the spot, and children
+within one connected cluster are left out, as they hold no new pair. A run's deeper tokens are the same below all its
+paths, so a pair at the threshold that stays in large buckets is found in it if
+it shares a token at each depth: a chance of (1 - exp(-1.6)) * (1 - exp(-2.2)) ** 2
+= 0.631, and RUNS runs miss it with one below 1e-5. What is still large after
+DEPTH tokens is compared in blocks.
+Comparison in a bucket is on 64 one-byte minhashes, a filter that lets a pair of
+LAMBDA pass but for a chance of about 1e-6; what passes is verified on the whole
+shingle sets, in blocks, so links are exact.
 """
 
 from __future__ import annotations
@@ -25,34 +29,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components, grouped
-from quarry.llm.shared import materialise, release
+from quarry.llm.shared import KEY, heavy_join, keyed, materialise, release
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-LAMBDA, PHI = 0.8, (1.6, 1.6)
-RUNS, DEPTH, SMALL = 12, 2, 256
+LAMBDA, PHI = 0.8, (1.6, 2.2, 2.2)
+RUNS, DEPTH, SMALL = 12, 3, 256
 HASHES, AGREE = 64, 36
 #: Members of a large bucket that a task splits together.
 SPLIT = 16_384
-#: Sets in a block of the exact comparison.
-BLOCK = 512
-CACHE = 500_000
+#: Pivots of a large bucket, and members up to which a task compares all that its clusters leave open rather than splitting.
+PIVOTS, PAIRS = 32, 8192
+#: Sets in a block of the exact comparison, and in one of the comparison of minhashes.
+BLOCK, WIDE_BLOCK = 512, 1024
+CACHE = 200_000
 ODD = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
-_codes: dict[str, int] = {}
+class Codes(dict):
+    """64-bit codes of words; a task keeps its own, up to CACHE of them between texts."""
 
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
 
-def word_codes(words: list[str]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_codes) > CACHE:
-            _codes.clear()
-        for w in words:
-            if w not in _codes:
-                _codes[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,9 +65,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, known: Codes) -> np.ndarray:
     """Sorted 64-bit codes of the distinct SHINGLE-word windows of lower-cased words; shorter texts are one window."""
-    codes = word_codes(WORD.findall(text.lower()))
+    codes = known.of(WORD.findall(text.lower()))
     n = len(codes)
     if not n:
         return codes
@@ -99,56 +103,143 @@ def child(path: int, token: int) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, the 128-bit hash of the shingle set, its size, minhashes, first paths and the tokens for deeper ones."""
+    """KEY, the 128-bit hash of the shingle set, its size, minhashes, first paths and the tokens for deeper ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Codes()
         for batch in batches:
             out = []
-            for doc_id, rid, text in zip(batch["doc_id"], batch["rid"], batch["text"]):
-                tokens = shingles(text)
+            for *key, text in batch[["doc_id", "d", "k1", "k2", "text"]].itertuples(index=False, name=None):
+                tokens = shingles(text, known)
                 if not len(tokens):  # without words, only equal texts belong together
                     whole = xxhash.xxh3_128(b"\0" + text.encode()).digest()
-                    out.append((doc_id, rid, *np.frombuffer(whole, np.int64).tolist(), 0, b"", [], []))
+                    out.append((*key, *np.frombuffer(whole, np.int64).tolist(), 0, b"", [], []))
                     continue
                 whole = xxhash.xxh3_128(tokens.tobytes()).digest()
                 least, chosen = sketch(tokens)
                 first = [child(r, t) for r in range(RUNS) for t in chosen[r * DEPTH]]
                 runs = [r for r in range(RUNS) for _ in chosen[r * DEPTH]]
-                deeper = b"".join(bytes([min(len(c), 255)]) + np.array(c[:255], np.uint32).tobytes() for k, c in enumerate(chosen) if k % DEPTH)
-                out.append((doc_id, rid, *np.frombuffer(whole, np.int64).tolist(), len(tokens), least + deeper, first, runs))
-            yield pd.DataFrame(out, columns=["doc_id", "rid", "h1", "h2", "size", "data", "paths", "runs"]).astype({"doc_id": "Int64"})
+                deeper = b"".join(np.array([len(c), *c], np.uint32).tobytes() for k, c in enumerate(chosen) if k % DEPTH)
+                out.append((*key, *np.frombuffer(whole, np.int64).tolist(), len(tokens), least + deeper, first, runs))
+            yield pd.DataFrame(out, columns=["doc_id", "d", "k1", "k2", "h1", "h2", "size", "data", "paths", "runs"]).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, rid long, h1 long, h2 long, size int, data binary, paths array<long>, runs array<byte>")
+    return docs.mapInPandas(run, "doc_id long, d string, k1 long, k2 long, h1 long, h2 long, size int, data binary, paths array<long>, runs array<byte>")
 
 
 def deeper_tokens(data: bytes, run: int, depth: int) -> list[int]:
     """The tokens chosen in a run at depth 1, 2, ... (0 is in the paths)."""
-    at = HASHES
+    words, at = np.frombuffer(data, np.uint32, -1, HASHES), 0
     for _ in range(run * (DEPTH - 1) + depth - 1):
-        at += 1 + 4 * data[at]
-    return np.frombuffer(data, np.uint32, data[at], at + 1).tolist()
+        at += 1 + int(words[at])
+    return words[at + 1 : at + 1 + int(words[at])].tolist()
 
 
-def split_again(large: DataFrame, depth: int) -> DataFrame:
-    """Buckets (path, run, cids) one level deeper, from rows (path, run, cid, n, data).
+def clusters(least: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For the minhashes (rows) of a bucket, each set's cluster, and edges that connect the sets of a cluster, as candidates are.
 
-    A task splits up to SPLIT members of a bucket together and gives one row for
-    each child; where it has the whole bucket, children of one set are left out.
+    Up to PIVOTS sets, each the first that belongs to no cluster, gather those
+    that agree with them; a cluster that a pivot agrees with a member of joins
+    its own. That only saves work: what isn't gathered is split on.
+    """
+    label, edges = np.full(len(least), -1), []
+    for _ in range(PIVOTS):
+        free = np.flatnonzero(label < 0)
+        if not len(free):
+            break
+        pivot = free[0]
+        near = (least == least[pivot]).sum(axis=1) >= AGREE
+        fresh = near & (label < 0)
+        fresh[pivot] = False
+        edges += [(k, pivot) for k in np.flatnonzero(fresh).tolist()]
+        others, first = np.unique(label[near & (label >= 0)], return_index=True)
+        edges += [(k, pivot) for k in np.flatnonzero(near & (label >= 0))[first].tolist()]
+        label[fresh] = pivot
+        label[pivot] = pivot
+        label[np.isin(label, others)] = pivot
+    return np.where(label < 0, np.arange(len(least)), label), edges
+
+
+def split_again(large: DataFrame, depth: int) -> DataFrame:
+    """Buckets (path, run, cids) one level deeper, and edges (run -1, cids of two) within them, from rows (path, run, cid, n, data).
+
+    A task splits up to SPLIT members of a bucket together. Members that agree
+    with a pivot are connected with it. Where a task has the whole bucket, it
+    compares the members outside its largest cluster with all, if there are up to
+    PAIRS members (a bucket's sets that are similar on the whole are compared by
+    brute force, as the method has it), and needs no child; else it compares children of up to SMALL sets at once, leaves out those of one
+    connected cluster, as they hold no new pair, and gives one row for each child
+    that is still large; else one row for each child.
     """
     blocks = F.ceil(F.col("n") / F.lit(SPLIT))
-    dealt = large.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select("path", "block", "run", "cid", (blocks == 1).alias("whole"), "data")
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select("path", "block", "run", "cid", "size", (blocks == 1).alias("whole"), "data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, ["path", "block"]):
+            group = group.sort_values("cid")
             r, whole = int(group["run"].iloc[0]), bool(group["whole"].iloc[0])
-            path, below = int(group["path"].iloc[0]), {}
-            for cid, data in zip(group["cid"].tolist(), group["data"]):
+            path, cids, sizes, below = int(group["path"].iloc[0]), group["cid"].tolist(), group["size"].to_numpy(), {}
+            least = np.frombuffer(b"".join([d[:HASHES] for d in group["data"]]), np.uint8).reshape(-1, HASHES)
+            label, edges = clusters(least)
+            label = label.tolist()
+
+            def top(k: int) -> int:
+                while label[k] != k:
+                    label[k] = k = label[label[k]]
+                return k
+
+            def join(k: int, i: int) -> None:
+                a, b = top(k), top(i)
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    edges.append((k, i))
+
+            if whole and len(cids) <= PAIRS:
+                for k, near in outside(least, sizes, np.array(label)):
+                    join(k, near)
+                yield pd.DataFrame([(0, -1, [cids[a], cids[b]]) for a, b in edges], columns=["path", "run", "cids"])
+                continue
+            for k, data in enumerate(group["data"]):
                 for t in deeper_tokens(data, r, depth):
-                    below.setdefault(t, []).append(cid)
-            rows = [(child(path, t), r, cids) for t, cids in below.items() if not whole or len(cids) > 1]
+                    below.setdefault(t, []).append(k)
+            rows = []
+            for t, ks in below.items():
+                if whole and len({top(k) for k in ks}) == 1:
+                    continue
+                if not whole or len(ks) > SMALL:
+                    rows.append((child(path, t), r, [cids[k] for k in ks]))
+                    continue
+                for i, k in enumerate(local_labels(agreeing(least[ks], sizes[ks])).tolist()):
+                    join(ks[i], ks[k])
+            rows += [(0, -1, [cids[a], cids[b]]) for a, b in edges]
             yield pd.DataFrame(rows, columns=["path", "run", "cids"])
 
-    return dealt.repartition("path", "block").sortWithinPartitions("path", "block").mapInPandas(run, "path long, run byte, cids array<long>")
+    return materialise(dealt.repartition("path", "block").sortWithinPartitions("path", "block").mapInPandas(run, "path long, run byte, cids array<long>"), "split")
+
+
+def outside(least: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that may be similar, one of each cluster that a set outside the largest cluster has near it: together with the clusters they connect all there are."""
+    largest = np.bincount(label).argmax()
+    free = np.flatnonzero(label != largest)
+    for start in range(0, len(free), 256):
+        block = free[start : start + 256]
+        agree = np.zeros((len(block), len(least)), np.uint8)
+        for j in range(HASHES):
+            agree += least[block, j, None] == least[None, :, j]
+        near = (agree >= AGREE) & (np.minimum.outer(sizes[block], sizes) >= LAMBDA * np.maximum.outer(sizes[block], sizes))
+        near[np.arange(len(block)), block] = False
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            at = np.flatnonzero(near[i])
+            for k in at[np.unique(label[at], return_index=True)[1]].tolist():
+                yield int(block[i]), k
+
+
+def agreeing(least: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which sets may be similar: by minhashes and by size."""
+    agree = np.zeros((len(least), len(least)), np.uint8)
+    for j in range(HASHES):
+        agree += least[:, j, None] == least[None, :, j]
+    small = np.minimum.outer(sizes, sizes)
+    return (agree >= AGREE) & (small >= LAMBDA * np.maximum.outer(sizes, sizes))
 
 
 def local_labels(near: np.ndarray) -> np.ndarray:
@@ -162,26 +253,37 @@ def local_labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_edges(leaves: DataFrame) -> DataFrame:
-    """Edges (a, b) within small buckets: sets whose minhashes agree and whose sizes allow the similarity."""
+def bucket_edges(members: DataFrame, block: int) -> DataFrame:
+    """Edges (a, b) between sets of a bucket (path, cid, size, data, n) whose minhashes agree and whose sizes allow the similarity.
+
+    A bucket of more than `block` sets is compared in pairs of blocks.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    rows = members.select("path", "cid", "size", F.substring("data", 1, HASHES).alias("least"), blocks.alias("blocks"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    one = rows.where("blocks = 1").withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).drop("other")
+    keys = ["path", "x", "y"]
+    dealt = one.unionByName(many).select(*keys, "side", "cid", "size", "least").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[tuple[int, int]] = set()
         rows: list[tuple[int, int]] = []
-        for group in grouped(batches, ["path"]):
+        for group in grouped(batches, keys):
             if len(group) < 2:
                 continue
             cids, sizes = group["cid"].to_numpy(), group["size"].to_numpy()
             least = np.frombuffer(b"".join(group["least"]), np.uint8).reshape(len(group), HASHES)
             if len(group) == 2:
                 if min(sizes) >= LAMBDA * max(sizes) and (least[0] == least[1]).sum() >= AGREE:
-                    rows.append((cids[1], cids[0]))
+                    rows.append((max(cids), min(cids)))
             else:
-                agree = np.zeros((len(group), len(group)), np.uint8)
-                for j in range(HASHES):
-                    agree += least[:, j, None] == least[None, :, j]
-                label = local_labels((agree >= AGREE) & (np.minimum.outer(sizes, sizes) >= LAMBDA * np.maximum.outer(sizes, sizes)))
-                rows += [(cids[i], cids[k]) for i, k in enumerate(label.tolist()) if i != k]
+                near = agreeing(least, sizes)
+                if group["x"].iloc[0] != group["y"].iloc[0]:
+                    side = group["side"].to_numpy()
+                    near &= side[:, None] != side[None, :]
+                label = local_labels(near)
+                rows += [(max(cids[i], cids[k]), min(cids[i], cids[k])) for i, k in enumerate(label.tolist()) if i != k]
             if len(rows) > 20_000:
                 fresh = set(rows) - known
                 known = known | fresh if len(known) < CACHE else fresh
@@ -189,8 +291,7 @@ def bucket_edges(leaves: DataFrame) -> DataFrame:
                 rows = []
         yield pd.DataFrame(list(set(rows) - known), columns=["a", "b"], dtype="int64")
 
-    sorted_leaves = leaves.select("path", "cid", "size", F.substring("data", 1, HASHES).alias("least")).repartition("path").sortWithinPartitions("path")
-    return sorted_leaves.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -205,14 +306,12 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         level = materialise(level.join(counts, "path"), "buckets")
         if depth > 1:
             level = level.select("path", "run", F.explode("cids").alias("cid"), "n")
-        leaves = level.where(F.col("n") <= SMALL).join(info, "cid")
-        found = bucket_edges(leaves)
-        large = level.where(F.col("n") > SMALL)
+        most = SMALL if depth < DEPTH else WIDE_BLOCK  # what is still large after DEPTH tokens is compared in blocks
+        found = bucket_edges((level.where(F.col("n") <= SMALL) if depth < DEPTH else level).join(info, "cid"), most)
         if depth < DEPTH:
-            level = split_again(large.join(info, "cid"), depth)
-        else:  # what shares DEPTH tokens of a run and is still large counts as connected; the exact step decides
-            lowest = large.groupBy("path").agg(F.min("cid").alias("b"))
-            found = found.union(large.join(lowest, "path").where("cid <> b").select(F.col("cid").alias("a"), "b"))
+            both = split_again(level.where(F.col("n") > SMALL).join(info, "cid"), depth)
+            found = found.union(both.where("run < 0").select(F.get("cids", F.lit(0)).alias("a"), F.get("cids", F.lit(1)).alias("b")))
+            level = both.where("run >= 0")
         edges = found if edges is None else edges.union(found)
     return edges
 
@@ -271,35 +370,37 @@ def exact_links(sets: DataFrame) -> DataFrame:
 
 def with_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Codes()
         for batch in batches:
-            yield batch.drop(columns="text").assign(tokens=[shingles(t).tobytes() for t in batch["text"]])
+            yield batch.drop(columns="text").assign(tokens=[shingles(t, known).tobytes() for t in batch["text"]])
 
     return texts.mapInPandas(run, "cid long, comp long, blocks int, block int, weight long, tokens binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, label, class_id, n_links and n_copies for every row.
+    """doc_id, d, k1, k2, label, class_id, n_links and n_copies for every row.
 
     Two documents are linked if the Jaccard similarity of their sets of
     SHINGLE-word shingles is LAMBDA or more. label: the class's own number, one
     for each set of connected documents. class_id: the smallest doc_id that a
     document is connected with over links; classes without an id share null, and
     classes that one doc_id stands in may share it. n_links: documents that it is
-    linked with, of which n_copies have the same set. rid: a hash of doc_id and
-    text. A null text is empty; documents without words are linked only to
-    equal texts. Repeated rows count as documents. An empty table gives no rows.
+    linked with, of which n_copies have the same set. d, k1, k2: the key of a
+    row, see keyed(). A null text is empty; documents without words are linked
+    only to equal texts. Repeated rows count as documents. An empty table gives
+    no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
-    rows = materialise(sketches(keyed), "sketches")
-    classes = rows.groupBy("h1", "h2").agg(F.min("rid").alias("cid"), F.count("*").alias("weight"), F.min("doc_id").alias("first_id"))
-    reps = rows.select("rid", "size", "data", "paths", "runs").dropDuplicates(["rid"])
-    full = materialise(classes.join(reps, F.col("cid") == F.col("rid")).drop("rid"), "classes")
+    texts = keyed(docs.select("doc_id", "text"))
+    rows = materialise(sketches(texts), "sketches")
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct(*KEY)).alias("one"), F.count("*").alias("weight"), F.min("doc_id").alias("first_id")).select("h1", "h2", "weight", "first_id", "one.*")
+    reps = rows.select(*KEY, "size", "data", "paths", "runs").dropDuplicates(KEY)
+    # A set's number is given once, where the table is written, so no two sets share one.
+    full = materialise(classes.join(reps, KEY).withColumn("cid", F.monotonically_increasing_id()), "classes")
     comps = materialise(components(candidate_edges(full)), "candidates")
     sizes = comps.groupBy(F.col("label").alias("comp")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = comps.select(F.col("node").alias("cid"), F.col("label").alias("comp")).join(sizes, "comp").join(full.select("cid", "weight"), "cid")
+    members = comps.select(F.col("node").alias("cid"), F.col("label").alias("comp")).join(sizes, "comp").join(full.select("cid", "weight", *KEY), "cid")
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    sets = with_sets(keyed.join(members.withColumnRenamed("cid", "rid"), "rid").select(F.col("rid").alias("cid"), "comp", "blocks", "block", "weight", "text"))
+    sets = with_sets(texts.join(members, KEY).select("cid", "comp", "blocks", "block", "weight", "text"))
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     found = materialise(exact_links(tasks.select("comp", "x", "y", "cid", "block", "weight", "tokens")), "links")
     labels = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct())
@@ -307,15 +408,16 @@ def linked(docs: DataFrame) -> DataFrame:
     named = full.select("h1", "h2", "cid", "weight", "first_id").join(links, "cid", "left").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
     named = materialise(named.withColumn("label", F.coalesce("label", "cid")), "named")
     firsts = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = named.join(firsts, "label").select("h1", "h2", "weight", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.select("doc_id", "rid", "h1", "h2").join(named, ["h1", "h2"])
-    release(comps)
-    return out.select("doc_id", "rid", "label", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
+    named = materialise(named.join(firsts, "label").select("h1", "h2", "weight", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes-named")
+    out = heavy_join(rows.select("doc_id", *KEY, "h1", "h2"), named, ["h1", "h2"], "weight")
+    release(comps, full, found)
+    return out.select("doc_id", *KEY, "label", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, also where classes share a class_id: one whose doc_id names it (of rows that repeat, one)."""
     found = linked(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("rid").alias("_rid")).select("_rid")
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(keep, "_rid", "left_semi").dropDuplicates(["_rid"]).select(docs.columns)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct(*KEY)).alias("one")).select("one.*")
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the key's names
+    rows = keyed(docs.select("*", F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).toDF(*own.values(), "doc_id", "text"), whole=False)
+    return rows.join(keep, KEY, "left_semi").dropDuplicates(KEY).select(*[F.col(new).alias(c) for c, new in own.items()])

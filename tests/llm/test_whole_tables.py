@@ -120,10 +120,11 @@ def test_op7(spark, texts):
     assert [found[i]["n_links"] for i in texts] == links and len({r["class_id"] for r in found.values()}) == classes
 
 
-@pytest.mark.parametrize("small, block", [(256, 512), (8, 16)])
-def test_recall_of_the_join(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small, pairs, block", [(256, 8192, 512), (8, 8192, 16), (8, 0, 16)])
+def test_recall_of_the_join(spark, monkeypatch, small, pairs, block):
     """Near copies around the threshold, a dense group and a passage that very many share: recall over links of 1 here (0.9 asked for), also with buckets that are split and groups compared in blocks."""
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ID = "^[a-z]{3}[0-9]{1,5}$"
+LONG_ID = "^[a-z]{3}[0-9]+$"
 
 
 def stem(path: Column) -> Column:
@@ -17,19 +18,20 @@ def extension(path: Column) -> Column:
     return F.lower(F.substring_index(path, ".", -1))
 
 
-def normal_id(token: Column) -> Column:
-    """Three letters and a number, padded to five digits; anything else is NULL."""
-    return F.when(token.rlike(ID), F.concat(F.substring(token, 1, 3), F.lpad(F.substring(token, 4, 5), 5, "0")))
+def normal_id(token: Column, cut: bool = False) -> Column:
+    """Three letters and a number, padded to five digits; anything else is NULL. cut: of longer numbers the first five digits, else they are NULL too."""
+    return F.when(token.rlike(LONG_ID if cut else ID), F.concat(F.substring(token, 1, 3), F.lpad(F.substring(token, 4, 5), 5, "0")))
 
 
-def parsed(path: Column) -> Column:
+def parsed(path: Column, cut: bool = False) -> Column:
     """A struct of what a name says: kind, category, ids, type, flags, and `error` where it follows neither pattern.
 
     Originals: Au_<category>_<number>. Composites: Tp_<S or D>_<three flags>_<host>_<donor>_<number>.
+    cut: ids of more than five digits are cut to five (normal_id) instead of being errors.
     """
     parts = F.split(stem(path), "_")
     at = lambda i: F.get(parts, F.lit(i))
-    own, host, donor = normal_id(F.concat(at(1), at(2))), normal_id(at(5)), normal_id(at(6))
+    own, host, donor = normal_id(F.concat(at(1), at(2)), cut), normal_id(at(5), cut), normal_id(at(6), cut)
     original = (F.size(parts) == 3) & (at(0) == "Au") & own.isNotNull()
     composite = (F.size(parts) == 8) & (at(0) == "Tp") & at(1).isin("S", "D") & host.isNotNull() & donor.isNotNull()
     of = lambda a, b: F.when(original, a).when(composite, b)

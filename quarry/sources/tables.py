@@ -125,7 +125,7 @@ def container_metadata(content: bytes) -> dict:
     out = {"format": None, "width": None, "height": None, "mode": None, "n_qtables": 0, "qtable_luma_dc": -1, "qtable_luma_mean": -1.0, "error": None}
     try:
         if content[:8] == b"\x89PNG\r\n\x1a\n":
-            out |= {"format": "PNG", "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(content[25])} | dict(zip(("width", "height"), struct.unpack(">II", content[16:24])))
+            out |= {"format": "PNG", "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(content[25] if len(content) > 25 else None)} | dict(zip(("width", "height"), struct.unpack(">II", content[16:24])))
         elif content[:2] == b"BM":
             w, h = struct.unpack("<ii", content[18:26])
             out |= {"format": "BMP", "width": w, "height": abs(h), "mode": {8: "P", 24: "RGB", 32: "RGBA"}.get(struct.unpack("<H", content[28:30])[0])}

@@ -4,8 +4,11 @@ import os
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarry.llm import queries, suffixes
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +67,18 @@ def test_codes_of_parts(monkeypatch):
     monkeypatch.setattr(suffixes, "AT_ONCE", 5)
     code = [whole[k : k + 8] for k in range(0, len(whole), 8)]
     assert suffixes.codes_of(data) == whole and len(code) == 6 and code[0] == code[2] and code[1] == code[3] == code[5] and len(set(code)) == 3
+
+
+def test_pipeline_by_words(spark, tmp_path):
+    """run() with BY_WORDS packs documents without a passage of 55 words that both hold, 330 bytes or so; its defaults leave it."""
+    made = lambda seed, n: [f"{w:x}" for w in np.random.default_rng(seed).integers(1 << 16, 1 << 20, n)]
+    passage = made(1, 55)
+    texts = [" ".join(made(2, 100) + passage), " ".join(passage + made(3, 100))]
+    assert 271 <= len(" ".join(passage)) < suffixes.WINDOW
+    spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for stages, want in ((corpus_pipeline.STAGES, texts), (corpus_pipeline.BY_WORDS, brute(texts))):
+        got = {r["doc_id"]: r["n"] for r in corpus_pipeline.run(spark, str(tmp_path), stages).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+        assert got == {k: len(lib.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(want)}
+    assert brute(texts) != texts

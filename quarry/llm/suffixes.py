@@ -1,13 +1,14 @@
-"""Removal of byte strings that repeat, by a column-wise suffix order of many documents.
+"""Removal of strings that repeat, by a column-wise suffix order of many documents.
 
-Two equal WINDOW-byte strings pick the same anchor: the leftmost smallest hash
-among the GRAM-byte strings inside. Only anchors whose hash repeats matter; each
-brings the bytes of the windows that pick it. The strings of an anchor are
+A text is read as symbols: as bytes, or as units (words; long ones in pieces).
+Two equal strings of `window` symbols pick the same anchor: the leftmost smallest
+hash among the strings of `gram` symbols inside. Only anchors whose hash repeats matter; each
+brings the symbols of the windows that pick it. The strings of an anchor are
 aligned at it, so columns correspond, and the suffix order is built column by
 column from the right: a round inserts one symbol of every string, sorts the
 strings stably by it (the column of the collection's Burrows-Wheeler transform)
 and updates the common prefixes of neighbours. A window whose common prefix with
-a neighbour is WINDOW or more is found anywhere else. Anchors found very often,
+a neighbour is a window or more is found anywhere else. Anchors found very often,
 in many documents or in one, are dealt by window hashes instead, so no task
 gathers them.
 """
@@ -15,7 +16,8 @@ gathers them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,20 +27,12 @@ from pyspark.sql import functions as F
 from quarry.llm.graph import grouped
 from quarry.llm.shared import KEY, heavy_join, keyed, materialise, release
 
-WINDOW, GRAM = 400, 128
-#: Grams in a window; an anchor's windows start up to REACH - 1 bytes before it.
-REACH = WINDOW - GRAM + 1
-WIDTH = REACH - 1 + WINDOW
-PAD = 256
-#: An anchor found more often is searched by window hashes: a task takes about SALT of its places, one of PARTS takes the hashes of all.
-HOT, SALT, PARTS = 1000, 1000, 16
+#: An anchor found more often is searched by window hashes: a task takes about SALT of its places; their distinct hashes are merged in PARTS parts, or more where a part would have those of more than PLACES.
+HOT, SALT, PARTS, PLACES = 1000, 1000, 16, 16_000
 PAIR = [("h1", "<u8"), ("h2", "<u8")]
 #: Strings in one column-wise construction, at least.
 ROWS = 6_000
-#: Bytes that stand for a word in a text of codes, so WINDOW bytes of it are PASSAGE words; their alphabet, and what parts words.
-CODE = 8
-PASSAGE = WINDOW // CODE
-LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-", np.uint8)
+#: What parts words.
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Documents' bytes that are hashed at once.
 AT_ONCE = 1 << 20
@@ -71,9 +65,12 @@ class Roller:
         if len(self.up) < n + 1:
             self.up, self.down = powers(self.base, 1 << n.bit_length())  # for the longest part so far, not for the longest there may be
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[:n], out=total[1:])
+        np.cumsum(self.values(data) * self.up[:n], out=total[1:])
         return mixed((total[length:] - total[:-length]) * self.down[: n - length + 1])
 
+    def values(self, data: np.ndarray) -> np.ndarray:
+        """A number for each symbol; wider ones than bytes are hashes already."""
+        return self.table[data] if data.itemsize == 1 else mixed(data.astype(np.uint64) * self.table[0] + self.table[1])
 
     def pieces(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the strings between first bytes and ends."""
@@ -109,7 +106,8 @@ class PrimeRoller:
                 up, down = (np.r_[x, x * np.uint64(pow(b, step, p)) % np.uint64(p)] for x, b in ((up, base), (down, inverse)))
             self.tables[k] = up, down
             total = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[data] * up[:n] % np.uint64(p), out=total[1:])
+            value = table[data] if data.itemsize == 1 else mixed(data.astype(np.uint64) * table[0] + table[1]) % np.uint64(p)
+            np.cumsum(value * up[:n] % np.uint64(p), out=total[1:])
             h = (total[length:] - total[:-length]) % np.uint64(p) * down[: n - length + 1] % np.uint64(p)
             out = h if out is None else out << np.uint64(32) | h
         return out
@@ -125,28 +123,94 @@ def roller(seed: int) -> Roller | PrimeRoller:
     return _rollers[seed]
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Words of more bytes are cut into pieces: after the bytes where a hash of the three before is a multiple of CUT, and at LONG bytes.
+LONG, CUT = 16, 7
+
+
+def units_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of a text's units: words, or the pieces of words of more than LONG bytes, so that texts without spaces have units as well.
+
+    Where a word is cut depends on the bytes just before, so pieces agree wherever
+    the word starts.
+    """
+    edges = np.diff(np.r_[True, SPACES[data], True].astype(np.int8))
+    first, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    long = end - first > LONG
+    if not long.any():
+        return first, end
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first[long] + 3] += 1
+    inside[end[long]] -= 1
+    b = data.astype(np.uint32)
+    gram = (b[:-3] * np.uint32(0x9E3779B1) + b[1:-2] * np.uint32(0x85EBCA77) + b[2:-1] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
+    cut = np.flatnonzero((gram % np.uint32(CUT) == 0) & (np.cumsum(inside)[3:-1] > 0)) + 3
+    start = np.sort(np.r_[first, cut])
+    stop = np.minimum(np.r_[start[1:], len(data)], end[np.searchsorted(first, start, "right") - 1])
+    times = -(-(stop - start) // LONG)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    first = np.repeat(start, times) + LONG * step
+    return first, np.minimum(first + LONG, np.repeat(stop, times))
+
+
+def unit_codes(data: np.ndarray) -> np.ndarray:
+    """32 bits of each unit's hash; computed for parts of AT_ONCE bytes and to the end of their last unit."""
+    first, end = units_of(data)
+    out = [np.zeros(0, "<u4")]
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first // AT_ONCE)) + 1):
+        if len(part):
+            at = first[part[0]]
+            out.append((roller(3).pieces(data[at : end[part[-1]]], first[part] - at, end[part] - at) >> np.uint64(32)).astype("<u4"))
+    return np.concatenate(out)
+
+
+@dataclass(frozen=True)
+class Reading:
+    """Texts as symbols: how many make a window and a gram, how they are kept and what lies beyond a string, and how they are read from bytes."""
+
+    window: int
+    gram: int
+    kept: str
+    held: type
+    pad: int
+    read: Callable[[np.ndarray], np.ndarray]
+
+    @property
+    def reach(self) -> int:
+        """Grams in a window; an anchor's windows start up to reach - 1 symbols before it."""
+        return self.window - self.gram + 1
+
+    @property
+    def width(self) -> int:
+        return self.reach - 1 + self.window
+
+
+BYTES = Reading(400, 128, "u1", np.int16, 256, lambda data: data)
+#: Two windows of units that differ in one word agree with a chance of 2 ** -32.
+UNITS = Reading(50, 16, "<u4", np.int64, 1 << 32, unit_codes)
+
+
+def anchors(data: np.ndarray, how: Reading = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text: hash, place, and first and last window that picks it.
 
-    Long texts go in parts that overlap by a window less one byte, so that each
+    Long texts go in parts that overlap by a window less one symbol, so that each
     window is in one part; a place that two parts pick is one anchor.
     """
     n = len(data)
-    if n < WINDOW:
+    if n < how.window:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     found = []
-    for start in range(0, n - WINDOW + 1, AT_ONCE - WINDOW + 1):
+    for start in range(0, n - how.window + 1, AT_ONCE - how.window + 1):
         part = data[start : start + AT_ONCE]
-        h = roller(0).hashes(part, GRAM)
+        h = roller(0).hashes(part, how.gram)
         bits = np.uint64(23)
         key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
         low, width = key, 1
-        while 2 * width <= REACH:
+        while 2 * width <= how.reach:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
-        if width < REACH:
-            low = np.minimum(low[: len(low) - (REACH - width)], low[REACH - width :])
+        if width < how.reach:
+            low = np.minimum(low[: len(low) - (how.reach - width)], low[how.reach - width :])
         place = (low & np.uint64((1 << 23) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         last = np.r_[first[1:], len(place)] - 1
@@ -162,36 +226,37 @@ def windows_of(batch: pd.DataFrame) -> Iterator[tuple]:
         yield row, np.frombuffer(row.text.encode(), np.uint8)
 
 
-def profile(texts: DataFrame) -> DataFrame:
-    """For each row: doc_id, KEY, n_bytes, sha256, its anchors' hashes, and how often each is found in it."""
+def profile(texts: DataFrame, how: Reading) -> DataFrame:
+    """For each row: doc_id, KEY, n_bytes, n (symbols), sha256, its anchors' hashes, and how often each is found in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row, data in windows_of(batch):
-                fps, n = np.unique(anchors(data)[0].astype(np.int64), return_counts=True)
-                out.append((row.doc_id, row.d, row.k1, row.k2, len(data), hashlib.sha256(data).hexdigest(), fps, n))
-            names = ["doc_id", *KEY, "n_bytes", "sha256", "fps", "times"]
+                symbols = how.read(data)
+                fps, n = np.unique(anchors(symbols, how)[0].astype(np.int64), return_counts=True)
+                out.append((row.doc_id, row.d, row.k1, row.k2, len(data), len(symbols), hashlib.sha256(data).hexdigest(), fps, n))
+            names = ["doc_id", *KEY, "n_bytes", "n", "sha256", "fps", "times"]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return texts.mapInPandas(run, "doc_id long, d string, k1 long, k2 long, n_bytes long, sha256 string, fps array<long>, times array<long>")
+    return texts.mapInPandas(run, "doc_id long, d string, k1 long, k2 long, n_bytes long, n long, sha256 string, fps array<long>, times array<long>")
 
 
-def contexts(texts: DataFrame) -> DataFrame:
-    """For each place of a plain anchor: fp, rid, its distance from the first window that picks it, that window's start, and the windows' bytes."""
+def contexts(texts: DataFrame, how: Reading) -> DataFrame:
+    """For each place of a plain anchor: fp, rid, its distance from the first window that picks it, that window's start, and the windows' symbols."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         held = 0
         for batch in batches:
             for row, data in windows_of(batch):
-                fp, place, first, last = anchors(data)
+                data = how.read(data)
+                fp, place, first, last = anchors(data, how)
                 fp = fp.astype(np.int64)
                 plain = np.isin(fp, np.asarray(row.plain, np.int64))
-                raw = data.tobytes()
                 for f, p, a, b in zip(fp[plain].tolist(), place[plain].tolist(), first[plain].tolist(), last[plain].tolist()):
-                    out.append((f, row.rid, p - a, a, raw[a : b + WINDOW]))
-                    held += b - a + WINDOW
+                    out.append((f, row.rid, p - a, a, data[a : b + how.window].tobytes()))
+                    held += len(out[-1][-1])
                 if held > 8 << 20:
                     yield frame(out)
                     out, held = [], 0
@@ -203,32 +268,42 @@ def contexts(texts: DataFrame) -> DataFrame:
     return texts.where("size(plain) > 0").mapInPandas(run, "fp long, rid long, lead int, start int, data binary")
 
 
-def window_hashes(texts: DataFrame) -> DataFrame:
-    """For each document and hot anchor: fp, rid, and packed hashes and starts of the windows that pick it."""
+#: Windows in a cell of packed hashes, at most.
+CELL = 1 << 17
+
+
+def window_hashes(texts: DataFrame, how: Reading) -> DataFrame:
+    """For each document and hot anchor: fp, rid, and packed hashes and starts of the windows that pick it, CELL at most in a row."""
 
     def packed_windows(row: tuple, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, _, first, last = anchors(data)
+        fp, _, first, last = anchors(data, how)
         fp = fp.astype(np.int64)
         hot = np.isin(fp, np.asarray(row.hot, np.int64))
         starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
         packed = np.zeros(len(starts), [*PAIR, ("s", "<i4")])
         for seed, name in ((1, "h1"), (2, "h2")):
-            for k in range(0, len(data) - WINDOW + 1, AT_ONCE - WINDOW + 1):
+            for k in range(0, len(data) - how.window + 1, AT_ONCE - how.window + 1):
                 part = data[k : k + AT_ONCE]
-                inside = (starts >= k) & (starts <= k + len(part) - WINDOW)
-                packed[name][inside] = roller(seed).hashes(part, WINDOW)[starts[inside] - k]
+                inside = (starts >= k) & (starts <= k + len(part) - how.window)
+                packed[name][inside] = roller(seed).hashes(part, how.window)[starts[inside] - k]
         packed["s"] = starts
         return np.repeat(fp[hot], (last - first + 1)[hot]), packed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for row, data in windows_of(batch):
-                which, packed = packed_windows(row, data)
+                which, packed = packed_windows(row, how.read(data))
                 order = np.argsort(which, kind="stable")
                 packed, which = packed[order], which[order]
                 for group in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
-                    out.append((int(which[group[0]]), row.rid, packed[group].tobytes()))
+                    for a in range(group[0], group[-1] + 1, CELL):
+                        out.append((int(which[a]), row.rid, packed[a : min(a + CELL, group[-1] + 1)].tobytes()))
+                        held += len(out[-1][-1])
+                        if held > 32 << 20:
+                            yield pd.DataFrame(out, columns=["fp", "rid", "data"])
+                            out, held = [], 0
             yield pd.DataFrame(out, columns=["fp", "rid", "data"])
 
     return texts.where("size(hot) > 0").mapInPandas(run, "fp long, rid long, data binary")
@@ -241,13 +316,14 @@ def runs_of(h1: np.ndarray, h2: np.ndarray, *then: np.ndarray) -> tuple[np.ndarr
     return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
 
-def hot_search(windows: DataFrame, salts: int) -> DataFrame:
+def hot_search(windows: DataFrame, most: int, how: Reading) -> DataFrame:
     """(rid, spans) of windows (fp, rid, data) whose hash is found twice or more; equal windows have one anchor.
 
-    An anchor's rows are dealt over `salts` tasks. Each gives its distinct hashes
+    No anchor is found more than `most` times. Its rows are dealt over most / SALT tasks. Each gives its distinct hashes
     and whether they repeat in it; lists are merged by parts of the hashes; each
     task gets back those of its hashes that repeat anywhere, and marks its windows.
     """
+    salts, n_parts = -(-most // SALT), max(PARTS, -(-most // PLACES))
     dealt = windows.select("fp", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "rid", "data")
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +333,7 @@ def hot_search(windows: DataFrame, salts: int) -> DataFrame:
             some = np.zeros(len(at), [*PAIR, ("n", "u1")])
             some["h1"], some["h2"] = packed["h1"][order[at]], packed["h2"][order[at]]
             some["n"] = np.minimum(np.diff(np.r_[at, len(order)]), 2)
-            part = (some["h2"] % np.uint64(PARTS)).astype(np.int64)
+            part = (some["h2"] % np.uint64(n_parts)).astype(np.int64)
             parts = np.unique(part)
             yield pd.DataFrame({"fp": group["fp"].iloc[0], "part": parts, "salt": group["salt"].iloc[0], "data": [some[part == k].tobytes() for k in parts]})
 
@@ -292,7 +368,7 @@ def hot_search(windows: DataFrame, salts: int) -> DataFrame:
             owner, rids, out = np.repeat(np.arange(len(data)), [len(x) // packed.itemsize for x in data]), own["rid"].to_numpy(), []
             for part in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1):
                 s = np.sort(packed["s"][part])
-                out.append((rids[owner[part[0]]], union_of([np.stack([s, s + WINDOW], axis=1).astype("<i4").tobytes()]).astype("<i4").tobytes()))
+                out.append((rids[owner[part[0]]], union_of([np.stack([s, s + how.window], axis=1).astype("<i4").tobytes()]).astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["rid", "spans"])
 
     by_task = dealt.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
@@ -302,23 +378,23 @@ def hot_search(windows: DataFrame, salts: int) -> DataFrame:
     return both.mapInPandas(marked, "rid long, spans binary")
 
 
-def column_wise(group: np.ndarray, strings: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """For strings (rows) in columns, sorted by group: which of the first REACH columns starts a window found in another string of the group.
+def column_wise(group: np.ndarray, strings: np.ndarray, own: np.ndarray, how: Reading = BYTES) -> np.ndarray:
+    """For strings (rows) in columns, sorted by group: which of the first `reach` columns starts a window found in another string of the group.
 
     From the last column to the first: `order` holds the strings sorted by
     group and suffix, `common` the common prefix of each with the one before.
     """
     n = len(strings)
     order, common = np.arange(n), np.zeros(n, np.int32)
-    repeats = np.zeros((n, REACH), bool)
+    repeats = np.zeros((n, how.reach), bool)
     columns = np.ascontiguousarray(strings.T)
-    base = group.astype(np.int64) * (PAD + 1)
-    for c in range(WIDTH - 1, -1, -1):
+    base = group.astype(np.int64) * (how.pad + 1)
+    for c in range(how.width - 1, -1, -1):
         symbol = columns[c]
         key = (base + symbol)[order]
         moved = np.argsort(key, kind="stable")
         key = key[moved]
-        same = np.r_[False, key[1:] == key[:-1]] & (symbol[order[moved]] != PAD)
+        same = np.r_[False, key[1:] == key[:-1]] & (symbol[order[moved]] != how.pad)
         right = np.flatnonzero(same)
         fresh = np.zeros(n, np.int32)
         if len(right):
@@ -331,15 +407,15 @@ def column_wise(group: np.ndarray, strings: np.ndarray, own: np.ndarray) -> np.n
                 value[far] = np.minimum.reduceat(np.r_[common, np.int32(0)], bounds)[::2]
             fresh[right] = value + 1
         order, common = order[moved], fresh
-        if c < REACH:
-            long = common >= WINDOW
+        if c < how.reach:
+            long = common >= how.window
             long[:-1] |= long[1:]
             repeats[order[long], c] = True
     return repeats & own
 
 
-def search(rows: DataFrame) -> DataFrame:
-    """(rid, spans): packed (from, to) bytes that repeated windows cover."""
+def search(rows: DataFrame, how: Reading) -> DataFrame:
+    """(rid, spans): packed (from, to) symbols that repeated windows cover."""
 
     def plain(batch: pd.DataFrame) -> list[tuple[int, bytes]]:
         fp = batch["fp"].to_numpy()
@@ -349,22 +425,22 @@ def search(rows: DataFrame) -> DataFrame:
         if not n:
             return []
         group = np.cumsum(np.r_[0, fp[1:] != fp[:-1]])
-        left = REACH - 1 - batch["lead"].to_numpy()
-        data = batch["data"].tolist()
+        left = how.reach - 1 - batch["lead"].to_numpy()
+        data = [np.frombuffer(x, how.kept) for x in batch["data"]]
         lengths = np.fromiter(map(len, data), np.int64, n)
-        strings = np.full((n, WIDTH), PAD, np.int16)
+        strings = np.full((n, how.width), how.pad, how.held)
         for row, at, own in zip(strings, left.tolist(), data):
-            row[at : at + len(own)] = np.frombuffer(own, np.uint8)
-        c = np.arange(REACH)
-        own = (c >= left[:, None]) & (c <= (left + lengths - WINDOW)[:, None])
-        found = column_wise(group, strings, own)
+            row[at : at + len(own)] = own
+        c = np.arange(how.reach)
+        own = (c >= left[:, None]) & (c <= (left + lengths - how.window)[:, None])
+        found = column_wise(group, strings, own, how)
         edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         r1, c1 = np.nonzero(edges == 1)
         _, c2 = np.nonzero(edges == -1)
         if not len(r1):
             return []
         shift = batch["start"].to_numpy() - left
-        spans = np.stack([shift[r1] + c1, shift[r1] + c2 - 1 + WINDOW], axis=1).astype("<i4")
+        spans = np.stack([shift[r1] + c1, shift[r1] + c2 - 1 + how.window], axis=1).astype("<i4")
         rids = batch["rid"].to_numpy()
         cut = np.flatnonzero(np.diff(r1)) + 1
         return [(rids[r1[k]], s.tobytes()) for k, s in zip(np.r_[0, cut], np.split(spans, cut))]
@@ -407,32 +483,32 @@ def union_of(spans: list[bytes]) -> np.ndarray:
     return np.stack([x[at, 0], end[np.r_[at[1:], len(x)] - 1]], axis=1)
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, how: Reading) -> tuple[DataFrame, DataFrame]:
     """(rows, cut). rows: doc_id, KEY, rid (a number of its own), n_bytes, sha256 of each document and whole (all of it repeats).
 
     cut: for each rid of which a part repeats, its text and spans, the lists of
-    packed (from, to) bytes. Documents of equal text count as copies: if they
-    have WINDOW bytes or more, all of them repeat, and only one is searched.
+    packed (from, to) symbols. Documents of equal text count as copies: if they
+    have a window or more, all of them repeat, and only one is searched.
     """
     own = keyed(docs.select("doc_id", "text"))
-    rows = materialise(profile(own).withColumn("rid", F.monotonically_increasing_id()), "profiles")  # numbered once, as it is written
+    rows = materialise(profile(own, how).withColumn("rid", F.monotonically_increasing_id()), "profiles")  # numbered once, as it is written
     many = materialise(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("one")).where("copies > 1"), "copies")
-    marked = heavy_join(rows.select("doc_id", *KEY, "rid", "n_bytes", "sha256"), many, ["k1", "k2"], "copies", "left")
-    light = marked.select("doc_id", *KEY, "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)).alias("whole"))
+    marked = heavy_join(rows.select("doc_id", *KEY, "rid", "n_bytes", "n", "sha256"), many, ["k1", "k2"], "copies", "left")
+    light = marked.select("doc_id", *KEY, "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n") >= how.window)).alias("whole"))
     fps = rows.select(F.explode(F.arrays_zip("fps", "times")).alias("f"), "k1").groupBy(F.col("f.fps").alias("fp")).agg(
         F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
     shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
     shared = materialise(shared, "anchors")
     most = shared.where("hot").agg(F.max("n")).first()[0]
-    one = heavy_join(rows.where(f"n_bytes >= {WINDOW}").select("rid", *KEY, "fps"), many, ["k1", "k2"], "copies", "left").where("one is null or one = rid")
+    one = heavy_join(rows.where(f"n >= {how.window}").select("rid", *KEY, "fps"), many, ["k1", "k2"], "copies", "left").where("one is null or one = rid")
     todo = one.select("rid", *KEY, F.explode("fps").alias("fp")).join(shared, "fp").groupBy("rid", *KEY).agg(
         F.collect_set(F.when(~F.col("hot"), F.col("fp"))).alias("plain"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
     texts = materialise(own.select(*KEY, "text").join(todo, KEY).drop(*KEY), "texts", "zstd")
     release(shared)
-    spans = search(contexts(texts))
+    spans = search(contexts(texts, how), how)
     if most:
-        windows = materialise(window_hashes(texts), "windows")
-        spans = spans.union(hot_search(windows, -(-most // SALT)))
+        windows = materialise(window_hashes(texts, how), "windows")
+        spans = spans.union(hot_search(windows, most, how))
     found = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     found = materialise(found, "spans")
     if most:
@@ -454,11 +530,11 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
 
-    Removed is each byte that a WINDOW-byte string covers which also starts
+    Removed is each byte that a string of 400 bytes covers which also starts
     elsewhere, in this document or another. A null text is empty. Repeated rows
     are copies of each other. An empty table gives no rows.
     """
-    light, cut = repeated(docs)
+    light, cut = repeated(docs, BYTES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -480,88 +556,31 @@ def removed(docs: DataFrame) -> DataFrame:
     )
 
 
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes and ends of a text's words."""
-    edges = np.diff(np.r_[True, SPACES[data], True].astype(np.int8))
-    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-
-
-def codes_of(data: np.ndarray) -> bytes:
-    """CODE letters for each word, 48 bits of its hash; a part at once, of AT_ONCE bytes and to the end of its last word."""
-    first, end = words_of(data)
-    out = []
-    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first // AT_ONCE)) + 1):
-        if len(part):
-            at = first[part[0]]
-            h = roller(3).pieces(data[at : end[part[-1]]], first[part] - at, end[part] - at)
-            out.append(LETTERS[(h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6)) & np.uint64(63)).astype(np.int64)].tobytes())
-    return b"".join(out)
-
-
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """KEY and words, packed (from, to) places of words: runs of PASSAGE words or more that stand elsewhere too, whatever white space is between them.
+def without_repeats(docs: DataFrame, how: Reading = BYTES) -> DataFrame:
+    """docs with what repeats gone from text: strings of 400 bytes (BYTES), or passages of 50 words (UNITS), that stand elsewhere too.
 
-    The search is that of bytes, on texts in which each word is CODE letters. A
-    run of words is a run of whole codes: letters of others that agree by chance
-    at its ends are left out.
+    With UNITS the white space between two words that go goes too. A character of
+    which only a part is left goes too. A null text stays null; documents of equal
+    text with a window or more have an empty one left. An empty table gives no rows.
     """
+    light, cut = repeated(docs, how)
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[KEY].assign(text=[codes_of(data).decode() for _, data in windows_of(batch)])
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for n, spans in zip(batch["n_bytes"], batch["spans"]):
-                union = np.array([[0, n]]) if spans is None else union_of(list(spans))
-                union = np.stack([-(-union[:, 0] // CODE), union[:, 1] // CODE], axis=1)
-                out.append(union[union[:, 1] - union[:, 0] >= PASSAGE].astype("<i4").tobytes())
-            yield batch[KEY].assign(words=out)
-
-    numbered = keyed(docs.select("doc_id", "text")).mapInPandas(coded, "d string, k1 long, k2 long, text string").withColumn("doc_id", F.monotonically_increasing_id())
-    numbered = materialise(numbered, "codes", "zstd")
-    light, cut = repeated(numbered.select("doc_id", "text"))
-    marked = light.select("doc_id", "rid", "n_bytes", "whole").join(cut.select("rid", "spans"), "rid", "left").where("whole or spans is not null")
-    own = marked.select("doc_id", "n_bytes", F.when(~F.col("whole"), F.col("spans")).alias("spans")).join(numbered.select("doc_id", *KEY), "doc_id")
-    found = materialise(own.mapInPandas(places, "d string, k1 long, k2 long, words binary").dropDuplicates(KEY), "passages")
-    release(numbered)
-    return found
-
-
-def without_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
-    """docs with their repeated bytes gone from text; a character of which only a part is left goes too.
-
-    words: passages of PASSAGE words that stand elsewhere too go as well, however
-    few their bytes, with the white space between words that go; both kinds are
-    judged on the input.
-    """
-    light, cut = repeated(docs)
+    def in_bytes(data: bytes, spans: np.ndarray) -> np.ndarray:
+        if how.kept == "u1":
+            return spans
+        first, end = units_of(np.frombuffer(data, np.uint8))
+        return np.stack([first[spans[:, 0]], end[spans[:, 1] - 1]], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [kept_bytes(t.encode(), union_of(list(s))).decode(errors="ignore") for t, s in zip(batch["text"], batch["spans"])]
+            kept = []
+            for text, spans in zip(batch["text"], batch["spans"]):
+                data = text.encode()
+                kept.append(kept_bytes(data, in_bytes(data, union_of(list(spans)))).decode(errors="ignore"))
             yield pd.DataFrame({"rid": batch["rid"], "kept": kept})
 
-    def run_both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = []
-            for (row, data), spans, places in zip(windows_of(batch), batch["spans"], batch["words"]):
-                (first, end), at = words_of(data), np.frombuffer(places, "<i4").reshape(-1, 2)
-                passages = np.stack([first[at[:, 0]], end[at[:, 1] - 1]], axis=1).astype("<i4").tobytes()
-                both = [*([] if spans is None else spans), passages]
-                kept.append(kept_bytes(row.text.encode(), union_of(both)).decode(errors="ignore") if any(both) else row.text)
-            yield batch[KEY].assign(kept=kept)
-
-    if words:
-        spans = light.join(cut.select("rid", "spans"), "rid", "left").where("whole or spans is not null").groupBy(*KEY).agg(F.max("whole").alias("whole"), F.first("spans", True).alias("spans"))
-        marks = materialise(spans.join(repeated_words(docs), KEY, "full"), "marks")
-        texts = keyed(docs.select("doc_id", "text")).drop("doc_id").join(marks.where("whole is null or not whole").select(*KEY, "spans", F.coalesce("words", F.lit(b"")).alias("words")), KEY)
-        kept = texts.mapInPandas(run_both, "d string, k1 long, k2 long, kept string").dropDuplicates(KEY)
-        changed = kept.union(marks.where("whole").select(*KEY, F.lit("").alias("kept")))
-    else:
-        parts = cut.mapInPandas(run, "rid long, kept string").dropDuplicates(["rid"])
-        changed = light.join(parts, "rid", "left").where("whole or kept is not null").groupBy(*KEY).agg(F.max(F.when(~F.col("whole"), F.col("kept"))).alias("kept"))
+    parts = cut.mapInPandas(run, "rid long, kept string").dropDuplicates(["rid"])
+    changed = light.join(parts, "rid", "left").where("whole or kept is not null").groupBy(*KEY).agg(F.max(F.when(~F.col("whole"), F.col("kept"))).alias("kept"))
     changed = materialise(changed.select(*KEY, F.coalesce("kept", F.lit("")).alias("kept")), "changed", "zstd")
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the key's names
     rows = keyed(docs.select("*", F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).toDF(*own.values(), "doc_id", "text"), whole=False)

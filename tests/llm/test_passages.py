@@ -1,6 +1,7 @@
 """Passages of words that repeat, against brute force."""
 
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,35 +13,43 @@ import corpus_pipeline
 from quarry.llm import queries, suffixes
 
 SF = "/root/testdata/sf0.001"
-WORDS = suffixes.PASSAGE
+WORDS = suffixes.UNITS.window
+
+
+def units(b):
+    """(from, to) of the units of a text: words, those of over 16 bytes in pieces."""
+    out = []
+    for w in re.finditer(rb"[^ \t\n\v\f\r]+", b):
+        first, end = w.span()
+        at = first
+        for p in range(first + 1, end + 1):
+            x, y, z = b[p - 3 : p] if p >= first + 3 else (0, 0, 0)
+            marked = p >= first + 3 and ((x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**32 >> 16) % 7 == 0
+            if p == end or end - first > 16 and (marked or p - at == 16):
+                out.append((at, p))
+                at = p
+    return out
 
 
 def brute(texts):
-    """Texts without the bytes that repeated 400-byte strings or runs of WORDS words cover; white space between two words that go goes too."""
+    """Texts without the runs of WORDS units or more that start elsewhere too, and the white space between units that go."""
     datas = [(t or "").encode() for t in texts]
-    strings = Counter(b[i : i + 400] for b in datas for i in range(len(b) - 399))
-    split = [b.split() for b in datas]
+    places = [units(b) for b in datas]
+    split = [[b[a:e] for a, e in at] for b, at in zip(datas, places)]
     runs = Counter(tuple(w[i : i + WORDS]) for w in split for i in range(len(w) - WORDS + 1))
     out = []
-    for b, w in zip(datas, split):
+    for b, at, w in zip(datas, places, split):
         keep = np.ones(len(b), bool)
-        for i in range(len(b) - 399):
-            if strings[b[i : i + 400]] > 1:
-                keep[i : i + 400] = False
-        at, ends = [], 0
-        for x in w:
-            at.append(b.index(x, ends))
-            ends = at[-1] + len(x)
-        gone = {k for i in range(len(w) - WORDS + 1) if runs[tuple(w[i : i + WORDS])] > 1 for k in range(i, i + WORDS)}
-        for k in gone:
-            keep[at[k] : at[k + 1] if k + 1 in gone else at[k] + len(w[k])] = False
+        gone = sorted({k for i in range(len(w) - WORDS + 1) if runs[tuple(w[i : i + WORDS])] > 1 for k in range(i, i + WORDS)})
+        for k, then in zip(gone, [*gone[1:], -1]):
+            keep[at[k][0] : at[then][0] if then == k + 1 else at[k][1]] = False
         out.append(np.frombuffer(b, np.uint8)[keep].tobytes().decode(errors="ignore"))
     return out
 
 
 def check(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] or "" for r in suffixes.without_repeats(docs, words=True).collect()}
+    got = {r["doc_id"]: r["text"] or "" for r in suffixes.without_repeats(docs, suffixes.UNITS).collect()}
     assert got == dict(enumerate(brute(texts)))
 
 
@@ -51,7 +60,7 @@ def test_passages(spark, monkeypatch, hot):
     short, less = made(1, WORDS + 1), made(2, WORDS - 1)
     rows = [made(k, 80) for k in range(10, 17)]
     texts = [" ".join(rows[0] + short + rows[1]), "\n".join(rows[2] + short) + "\t", " ".join(less + rows[3]), " ".join(rows[4] + less), " ".join(rows[5] + ["é"] * 70 + rows[6]), " ".join(short), " ".join(short) + " ", None, "", " \n", "z" * 900, "x" + "z" * 900, " ".join(rows[6])]
-    assert len(" ".join(short)) < suffixes.WINDOW
+    assert len(" ".join(short)) < suffixes.BYTES.window
     check(spark, texts)
 
 
@@ -60,25 +69,42 @@ def test_passages_of_a_table(spark):
     check(spark, [r["text"] for r in queries.table(spark, SF, "documents").orderBy("doc_id").collect()])
 
 
+def test_units():
+    """Words of up to 16 bytes are units; cuts of longer ones do not depend on where the word starts, and no unit has more than 16 bytes."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        data = rng.choice(np.frombuffer(b"abcdefghij \n", np.uint8), int(rng.integers(0, 300)), p=[0.099] * 10 + [0.005] * 2)
+        first, end = suffixes.units_of(data)
+        assert list(zip(first.tolist(), end.tolist())) == units(data.tobytes())
+    word = rng.integers(97, 123, 5000).astype(np.uint8)
+    whole, later = (set(suffixes.units_of(x)[1].tolist()) for x in (word, word[1234:]))
+    assert len({x + 1234 for x in later} & whole) > 0.95 * len(later)
+    assert 5 < 5000 / len(whole) < 9
+
+
 def test_codes_of_parts(monkeypatch):
     """Codes do not depend on how a text is cut into parts."""
     data = np.frombuffer(b" ab  c\nab c " + b"long" * 50 + b"\tc", np.uint8)
-    whole = suffixes.codes_of(data)
+    whole = suffixes.unit_codes(data)
     monkeypatch.setattr(suffixes, "AT_ONCE", 5)
-    code = [whole[k : k + 8] for k in range(0, len(whole), 8)]
-    assert suffixes.codes_of(data) == whole and len(code) == 6 and code[0] == code[2] and code[1] == code[3] == code[5] and len(set(code)) == 3
-
-
-def test_pipeline_by_words(spark, tmp_path):
-    """run() with BY_WORDS packs documents without a passage of 55 words that both hold, 330 bytes or so; its defaults leave it."""
-    made = lambda seed, n: [f"{w:x}" for w in np.random.default_rng(seed).integers(1 << 16, 1 << 20, n)]
-    passage = made(1, 55)
-    texts = [" ".join(made(2, 100) + passage), " ".join(passage + made(3, 100))]
-    assert 271 <= len(" ".join(passage)) < suffixes.WINDOW
-    spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for stages, want in ((corpus_pipeline.STAGES, texts), (corpus_pipeline.BY_WORDS, brute(texts))):
-        got = {r["doc_id"]: r["n"] for r in corpus_pipeline.run(spark, str(tmp_path), stages).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-        assert got == {k: len(lib.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(want)}
-    assert brute(texts) != texts
+    code = suffixes.unit_codes(data).tolist()
+    assert code == whole.tolist() and code[0] == code[2] and code[1] == code[3] == code[-1] and len(code) > 12
+
+
+@pytest.mark.parametrize("how", [suffixes.BYTES, suffixes.UNITS])
+def test_one_anchor_of_many_windows(spark, monkeypatch, how):
+    """A passage too short to count in hundreds of documents: one anchor with 10^5 distinct windows and more, merged in parts; a few copies among them are found."""
+    monkeypatch.setattr(suffixes, "PLACES", 40)
+    monkeypatch.setattr(suffixes, "SALT", 100)
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    monkeypatch.setattr(suffixes, "CELL", 50)
+    made = lambda seed, n: " ".join(f"{w:x}" for w in np.random.default_rng(seed).integers(1 << 12, 1 << 20, n))
+    core = made(0, 48)
+    texts = [f"{made(k, 60)} {core} {made(-k % 10**6, 60)}" for k in range(1, 700)]
+    texts += [f"{made(8000, 9)} {texts[5][40:]}", f"{texts[6][:-40]} {made(8001, 9)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(docs, how).collect()}
+    if how is suffixes.UNITS:
+        assert got == dict(enumerate(brute(texts)))
+    else:
+        assert {i for i, t in enumerate(texts) if got[i] != t} == {5, 6, 699, 700}

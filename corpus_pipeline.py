@@ -27,13 +27,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat; n_chars follows."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def repeats_by_words_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As repeats_stage; passages of 50 words or more that repeat go too, however few their bytes."""
-    return suffixes.without_repeats(docs, words=True).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the passages of 50 words or more that stand elsewhere too; n_chars follows."""
+    return suffixes.without_repeats(docs, suffixes.UNITS).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +37,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage), ("repeats", repeats_stage), ("packing", packing_stage)]
-#: For run(): STAGES with passages by words.
-BY_WORDS = [(name, repeats_by_words_stage if stage is repeats_stage else stage) for name, stage in STAGES]
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in stages[:-1]:
+    for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return stages[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)

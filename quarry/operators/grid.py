@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import order
 from quarry.operators.graph import components
 from quarry.operators.shared import cut_lineage
 
@@ -40,20 +41,19 @@ def integral(df: DataFrame, grid: str, y: str, x: str, value: str) -> DataFrame:
     return df.withColumn("_row", F.sum(value).over(rows)).withColumn("integral", F.sum("_row").over(columns)).drop("_row")
 
 
-def moving_sum(df: DataFrame, by: str, order: str, value: str, width: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(width // 2), width - 1 - width // 2)
+def moving_sum(df: DataFrame, by: str, place: str, value: str, width: int) -> DataFrame:
+    w = Window.partitionBy(by).orderBy(place).rowsBetween(-(width // 2), width - 1 - width // 2)
     return df.withColumn("moving", F.sum(value).over(w))
 
 
 def sorted_neighbours(df: DataFrame, by: str, key: str, columns: list[str], lags: int, close: float) -> DataFrame:
-    """Pairs (a, b) at most `lags` apart in lexicographic order whose columns all differ by at most `close`."""
-    w = Window.partitionBy(by).orderBy(*columns, key)
-    row = F.struct(key, *columns)
-    lagged = df.select(by, row.alias("p"), F.array(*[F.lead(row, d).over(w) for d in range(1, lags + 1)]).alias("near"))
-    pairs = lagged.select(by, "p", F.explode("near").alias("q")).where("q is not null")
+    """Pairs (a, b) at most `lags` apart in lexicographic order whose columns all differ by at most `close`; a group may be of any size."""
+    row = F.struct(F.col(key).alias("b"), *[F.col(c).alias(f"_{c}") for c in columns])
+    near = order.deal(df.select(by, key, *columns), [*columns, key], (by,)).ahead(lags, "near", row).rows
+    pairs = near.select(by, F.col(key).alias("a"), *columns, F.inline("near"))
     for c in columns:
-        pairs = pairs.where(F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) <= close)
-    return pairs.select(by, F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"))
+        pairs = pairs.where(F.abs(F.col(c) - F.col(f"_{c}")) <= close)
+    return pairs.select(by, "a", "b")
 
 
 def shift_votes(pairs: DataFrame, dy: str, dx: str, size: int, least: int) -> DataFrame:

@@ -1,33 +1,126 @@
-"""Global order without a single task: row numbers, running sums and exact quantiles over range-dealt partitions."""
+"""Global order without a single task: running states of any associative operation, neighbours in order, row numbers and exact quantiles.
+
+Rows are dealt by ranges of (group, order) and written once, so a hot group
+spreads over as many parts as it needs. Inside a part, windows run; a part's
+first group may have begun before it, so one row for the first and the last group
+of each part carries states on, and nothing else moves.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.shared import cut_lineage
 
 
-def with_running(df: DataFrame, order: list[str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over rows of the group that stand before this one.
+@dataclass(frozen=True)
+class State:
+    """An associative operation: an aggregate of rows, the same of aggregates, two aggregates (the earlier one first) merged, and what is read off; null stands for no row."""
 
-    Rows must be unique in (by, order). They are dealt by ranges of (by, order),
-    so a hot group spreads over as many tasks as it needs; sums run inside a
-    partition, and one row for each partition and group of it carries them on.
-    The dealt rows are written once, since later steps must see the same ranges.
-    """
-    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    dealt = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
-    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_all_{n}").over(over), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    running = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()])
-    same = F.col("_part") == F.col("_p")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    out = running.join(before, same)
-    return out.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums])
+    of_rows: Column
+    of_states: Callable[[Column], Column]
+    merged: Callable[[Column, Column], Column]
+    value: Callable[[Column], Column] = lambda c: c
+
+
+def total(column: str | Column) -> State:
+    """The sum, 0 before any row."""
+    c = F.col(column) if isinstance(column, str) else column
+    return State(F.sum(c), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def largest(column: str | Column) -> State:
+    c = F.col(column) if isinstance(column, str) else column
+    return State(F.max(c), F.max, F.greatest)
+
+
+def smallest(column: str | Column) -> State:
+    c = F.col(column) if isinstance(column, str) else column
+    return State(F.min(c), F.min, F.least)
+
+
+def every(condition: Column) -> State:
+    """Whether a condition has held so far (where it is null, it does not)."""
+    return State(F.min(F.coalesce(condition, F.lit(False))), F.min, lambda a, b: F.coalesce(a, F.lit(True)) & F.coalesce(b, F.lit(True)))
+
+
+def latest(value: str, order: list[str]) -> State:
+    """The last value that is not null."""
+    row = F.struct(*order, F.col(value).alias("_value"))
+    return State(F.max(F.when(F.col(value).isNotNull(), row)), F.max, lambda a, b: F.coalesce(b, a), lambda c: c["_value"])
+
+
+def holder(value: str, payload: str) -> State:
+    """payload of the row with the largest value; of ties the largest payload."""
+    row = F.struct(F.col(value).alias("_value"), F.col(payload).alias("_payload"))
+    return State(F.max(F.when(F.col(value).isNotNull(), row)), F.max, lambda a, b: F.when(b.isNull() | (a > b), a).otherwise(b), lambda c: c["_payload"])
+
+
+class Dealt:
+    """Rows in parts by ranges of (by, order); rows must be unique in it."""
+
+    def __init__(self, rows: DataFrame, order: list[str], by: tuple[str, ...], spread: bool = False):
+        self.order, self.by = order, by
+        #: Windows and groups by part (and more) need no further exchange.
+        self.parts = rows if spread else rows.repartitionByRange("_part")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.parts.drop("_part")
+
+    def mapped(self, change: Callable[[DataFrame], DataFrame]) -> Dealt:
+        """With columns added, changed or filtered; part, order and group stay."""
+        return Dealt(change(self.parts), self.order, self.by, True)
+
+    def scan(self, states: dict[str, State], before: bool = False) -> Dealt:
+        """With each state over the rows of the group up to and with this one; before: without it."""
+        window = Window.partitionBy("_part", *self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        inside = self.parts.select("*", *[s.of_rows.over(window).alias(f"_in_{n}") for n, s in states.items()])
+        per = self.parts.groupBy("_part", *self.by).agg(*[s.of_rows.alias(f"_all_{n}") for n, s in states.items()])
+        if self.by:
+            group, part = F.struct(*self.by), Window.partitionBy("_part")
+            per = per.withColumn("_edge", group.eqNullSafe(F.min(group).over(part)) | group.eqNullSafe(F.max(group).over(part))).where("_edge")
+        earlier = Window.partitionBy(*self.by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in self.by], *[s.of_states(F.col(f"_all_{n}")).over(earlier).alias(f"_from_{n}") for n, s in states.items()])
+        same = F.col("_part") == F.col("_p")
+        for c in self.by:
+            same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        both = inside.join(F.broadcast(carried), same, "left")  # two rows a part at most
+        return Dealt(both.select(*self.parts.columns, *[s.value(s.merged(F.col(f"_from_{n}"), F.col(f"_in_{n}"))).alias(n) for n, s in states.items()]), self.order, self.by, True)
+
+    def ahead(self, k: int, out: str, row: Column) -> Dealt:
+        """With an array `out` of `row` of the next k rows of the group (fewer at its end).
+
+        A part gets the first k rows behind its end as a halo: of the next part, or of
+        more where that has fewer.
+        """
+        part, columns = Window.partitionBy("_part").orderBy(*self.by, *self.order), self.parts.columns
+        sizes = self.parts.groupBy("_part").agg(F.count("*").alias("_n"))
+        along = Window.orderBy("_part")  # a row a part
+        sizes = sizes.select("_part", F.row_number().over(along).alias("_rank"), F.sum("_n").over(along).alias("_end"), (F.sum("_n").over(along) - F.col("_n")).alias("_start"))
+        heads = self.parts.withColumn("_at", F.row_number().over(part) - 1).where(F.col("_at") < k)
+        placed = heads.join(F.broadcast(sizes), "_part").withColumn("_to", F.explode(F.sequence(F.col("_rank") - k, F.col("_rank") - 1)))
+        ends = sizes.select(F.col("_part").alias("_p"), F.col("_rank").alias("_to"), F.col("_end").alias("_stop"))
+        halo = placed.join(F.broadcast(ends), "_to").where(F.col("_start") + F.col("_at") < F.col("_stop") + k)
+        halo = halo.withColumn("_part", F.col("_p")).select(*columns, F.lit(True).alias("_halo"))
+        both = self.parts.withColumn("_halo", F.lit(False)).unionByName(halo).repartitionByRange("_part")
+        window = Window.partitionBy("_part", *self.by).orderBy(*self.order)
+        near = F.array_compact(F.array(*[F.lead(row, d).over(window) for d in range(1, k + 1)]))
+        return Dealt(both.withColumn(out, near).where("not _halo").drop("_halo"), self.order, self.by, True)
+
+
+def deal(df: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> Dealt:
+    """Rows dealt by ranges and written once, since later steps must see the same ranges."""
+    return Dealt(cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())), order, by)
+
+
+def with_running(df: DataFrame, order: list[str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over rows of the group that stand before this one."""
+    return deal(df, order, by).scan({n: total(c) for n, c in sums.items()}, before=True).rows
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "row", by: tuple[str, ...] = ()) -> DataFrame:

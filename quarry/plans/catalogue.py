@@ -397,9 +397,31 @@ def holm_adjust(spark, sf_dir):
     return stats.holm(spark.sql(P_VALUES), "p", "p_brand").select("p_brand", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
 
 
-sql("running_max", "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM orders")
-sql("early_stopping", """WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM orders),
+@query("SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM orders")
+def running_max(spark, sf_dir):
+    d = order.deal(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_orderkey"], ("o_custkey",))
+    return d.scan({"best": order.largest("o_totalprice")}).rows.drop("o_totalprice")
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM orders),
 l AS (SELECT *, max(CASE WHEN o_totalprice = best THEN k END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_at FROM b) SELECT o_custkey, CAST(min(k) AS BIGINT) AS stops FROM l WHERE k - best_at >= 3 GROUP BY o_custkey""")
+def early_stopping(spark, sf_dir):
+    """The first order that is the third in a row without a new best."""
+    d = order.deal(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_orderkey"], ("o_custkey",))
+    d = d.scan({"k": order.total(F.lit(1).cast("long")), "best": order.largest("o_totalprice")})
+    d = d.scan({"best_at": order.largest(F.when(F.col("o_totalprice") == F.col("best"), F.col("k")))})
+    return d.rows.where("k - best_at >= 3").groupBy("o_custkey").agg(F.min("k").alias("stops"))
+
+
+@query("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS last_purchase, arg_max(event_id, struct_pack(v := value, e := event_id)) OVER w AS best_event
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_last_and_best(spark, sf_dir):
+    """For each event of a user the last value of a kind so far, and the event with the largest value so far."""
+    d = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "purchase", F.col("value")).alias("bought"))
+    d = order.deal(d, ["event_id"], ("user_id",)).scan({"last_purchase": order.latest("bought", ["event_id"]), "best_event": order.holder("value", "event_id")})
+    return d.rows.drop("value", "bought")
+
+
 sql("row_share", "SELECT n_regionkey, n_name, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY n_regionkey) AS DOUBLE), 6) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_name")
 sql("best_worst_picks", "SELECT c_mktsegment, c_custkey, CASE WHEN k <= 2 THEN 'best' WHEN k > n - 2 THEN 'worst' ELSE 'median' END AS pick FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE k <= 2 OR k > n - 2 OR k - floor(n / 2) IN (0, 1)")
 

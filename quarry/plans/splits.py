@@ -102,11 +102,14 @@ sql(
     "random_picks",
     "SELECT c_mktsegment, c_custkey, k FROM (SELECT c_mktsegment, c_custkey, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat('r|', c_custkey)), c_custkey) AS INTEGER) AS k FROM customer) WHERE k <= 2",
 )
-sql(
-    "custom_order",
-    "SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (ORDER BY p, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderpriority, o_orderkey, array_position(array('3-MEDIUM', '1-URGENT', '5-LOW'), o_orderpriority) AS p FROM orders WHERE o_orderkey <= 400) WHERE p > 0",
-    "SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (ORDER BY p, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderpriority, o_orderkey, list_position(['3-MEDIUM', '1-URGENT', '5-LOW'], o_orderpriority) AS p FROM orders WHERE o_orderkey <= 400) WHERE p > 0",
-)
+@query("SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (ORDER BY p, o_orderkey) AS BIGINT) AS place FROM (SELECT o_orderpriority, o_orderkey, list_position(['3-MEDIUM', '1-URGENT', '5-LOW'], o_orderpriority) AS p FROM orders) WHERE p > 0")
+def custom_order(spark, sf_dir):
+    """All rows whose key is in a list, numbered in the list's order."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("3-MEDIUM", "1-URGENT", "5-LOW")]), F.col("o_orderpriority"))
+    d = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", rank.alias("p")).where("p > 0")
+    return order.numbered(d, ["p", "o_orderkey"], "at").select("o_orderpriority", "o_orderkey", (F.col("at") + 1).alias("place"))
+
+
 sql("largest_by_size", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL ORDER BY abs(c_acctbal - 5000) DESC, c_custkey LIMIT 12")
 
 
@@ -175,7 +178,14 @@ sql(
 )
 sql("most_frequent_json", "SELECT event_type, props FROM (SELECT event_type, props, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, first_id) AS k FROM (SELECT event_type, props, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type, props)) WHERE k = 1")
 sql("pooled_tiles", "SELECT l_suppkey, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS mean, max(l_discount) AS most, count(*) AS tiles FROM lineitem GROUP BY l_suppkey")
-sql("take_while", "WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS k, lead(o_totalprice) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)), s AS (SELECT *, min(CASE WHEN next IS NULL OR o_totalprice >= CAST(0.6 AS DOUBLE) * next THEN k END) OVER (PARTITION BY o_custkey) AS stop FROM o) SELECT o_custkey, o_orderkey FROM s WHERE k < stop")
+@query("WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS k, lead(o_totalprice) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)), s AS (SELECT *, min(CASE WHEN next IS NULL OR o_totalprice >= CAST(0.6 AS DOUBLE) * next THEN k END) OVER (PARTITION BY o_custkey) AS stop FROM o) SELECT o_custkey, o_orderkey FROM s WHERE k < stop")
+def take_while(spark, sf_dir):
+    """Orders from the cheapest up, as long as each is under 0.6 of the next."""
+    d = order.deal(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], ("o_custkey",))
+    d = d.ahead(1, "next", F.col("o_totalprice")).scan({"goes": order.every(F.col("o_totalprice") < F.lit(0.6) * F.try_element_at("next", F.lit(1)))})
+    return d.rows.where("goes").select("o_custkey", "o_orderkey")
+
+
 sql(
     "protocol_variants",
     "SELECT doc_id, v.protocol AS protocol, v.quality AS quality FROM documents LATERAL VIEW explode(array(struct('A' AS protocol, CAST(NULL AS INT) AS quality), struct('B75' AS protocol, 75 AS quality), struct('B85' AS protocol, 85 AS quality), struct('B95' AS protocol, 95 AS quality))) e AS v",

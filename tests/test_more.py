@@ -291,3 +291,50 @@ def test_stream_of_files(spark, tmp_path):
     run()
     got = {(str(r["start"]), r["n"], r["total"]) for r in spark.read.parquet(out).collect()}
     assert ("2024-01-01 00:00:00", 2, 3.0) in got and all(total != 9.0 and n < 3 for _, n, total in got)
+
+
+@pytest.fixture
+def parts(spark):
+    """Every range is a part of its own, also of small tables."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_states_over_parts(spark, parts):
+    """Sums, extremes, last values, holders and conditions against brute force; groups that span parts, nulls in groups and values, one row, none."""
+    rng = np.random.default_rng(1)
+    rows = [(["a", "b", None, "c"][int(g)], k, None if v == 0 else int(v)) for k, (g, v) in enumerate(zip(rng.choice(4, 90, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(0, 9, 90)))]
+    for own in (rows, rows[:1], []):
+        df = spark.createDataFrame(own, "g string, k int, v int")
+        ran = order.deal(df, ["k"], ("g",)).scan({"s": order.total("v"), "most": order.largest("v"), "least": order.smallest("v"), "last": order.latest("v", ["k"]), "who": order.holder("v", "k"), "all": order.every(F.col("v") < 8)})
+        got = {r["k"]: tuple(r[c] for c in ("s", "most", "least", "last", "who", "all")) for r in ran.rows.collect()}
+        for g, k, _ in own:
+            seen = [(j, x) for h, j, x in own if h == g and j <= k]
+            some = [(x, j) for j, x in seen if x is not None]
+            want = (sum(x for x, _ in some), max(some)[0], min(some)[0], some[-1][0], max(some)[1]) if some else (0, None, None, None, None)
+            assert got[k] == (*want, all(x is not None and x < 8 for _, x in seen))
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_rows_ahead_over_parts(spark, parts, k):
+    """The next k rows, also where a part has fewer rows than that."""
+    rows = [("ab"[i % 5 == 0], i) for i in range(60)]
+    near = order.deal(spark.createDataFrame(rows, "g string, x int"), ["x"], ("g",)).ahead(k, "near", F.col("x"))
+    got = {r["x"]: r["near"] for r in near.rows.collect()}
+    assert got == {x: [y for h, y in rows if h == g and y > x][:k] for g, x in rows}
+    assert near.scan({"s": order.total("x")}).rows.where("x = 59").first()["s"] == sum(x for g, x in rows if g == "a")
+
+
+def test_a_hot_group_is_no_task(spark, parts):
+    """One key holds half the rows: no part has more than twice the mean, a scan has one exchange of rows, and states are right."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), "id", (F.col("id") * 7919 % 10007).alias("v"))
+    dealt = order.deal(df, ["id"], ("g",))
+    ran = dealt.scan({"most": order.largest("v")})
+    n = [r["count"] for r in ran.parts.groupBy("_part").count().collect()]
+    assert len(n) == 7 and max(n) < 2 * sum(n) / len(n)
+    plan = ran.parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") <= 2 and "hashpartitioning(_part" not in plan
+    assert ran.rows.where("g = -1 and id = 39998").first()["most"] == max(i * 7919 % 10007 for i in range(0, 40_000, 2))

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from quarry.operators import order
 from quarry.operators.graph import components
+from quarry.operators.selection import at_places, quantiles
 from quarry.operators.shared import cut_lineage
 
 
 def robust_z(df: DataFrame, grid: str, value: str) -> DataFrame:
-    """df with z = (value - median) / scale, within a grid, clipped to 50; scale: 1.4826 MAD, floored."""
-    center = df.groupBy(grid).agg(F.median(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
-    off = df.join(center, grid)
-    mad = off.groupBy(grid).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"))
+    """df with z = (value - median) / scale, within a grid, clipped to 50; scale: 1.4826 MAD, floored. df is written once and read several times."""
+    df = cut_lineage(df)
+    spread = df.groupBy(F.col(grid).alias("_g")).agg(F.stddev_pop(value).alias("_sd"))
+    middle = quantiles(df, [grid], {"_m": (value, 0.5)}).join(spread, F.col(grid) == F.col("_g")).drop("_g")
+    off = df.join(cut_lineage(middle), grid)
+    mad = quantiles(off.select(grid, F.abs(F.col(value) - F.col("_m")).alias("_off")), [grid], {"_mad": ("_off", 0.5)})
     scale = F.greatest(F.lit(1.4826) * F.col("_mad"), F.lit(1e-6) * (F.abs("_m") + 1), F.lit(0.1) * F.col("_sd"))
     z = F.least(F.lit(50.0), F.greatest(F.lit(-50.0), (F.col(value) - F.col("_m")) / scale))
     return off.join(mad, grid).withColumn("z", z).drop("_m", "_sd", "_mad")
@@ -112,11 +115,12 @@ def inconsistency(df: DataFrame, grid: str, y: str, x: str, value: str, valid: s
     """
     cells = df.where(valid) if valid else df
     z = cut_lineage(robust_z(cells.select(grid, y, x, value), grid, value))
-    ranked = z.withColumn("_k", F.row_number().over(Window.partitionBy(grid).orderBy(F.desc("z"))))
-    n = F.count("*").over(Window.partitionBy(grid))
-    top = ranked.withColumn("_n", n).groupBy(grid).agg(
-        F.max("z").alias("z_max"), F.percentile("z", F.lit(0.99)).alias("z_p99"), F.avg((F.col("z") > 3).cast("double")).alias("share"),
-        F.avg(F.when(F.col("_k") <= F.greatest(F.floor(F.col("_n") / 20), F.lit(1)), F.col("z"))).alias("top"), F.count("*").alias("n"))
+    twentieth = lambda n: F.greatest(F.floor(n / 20), F.lit(1))
+    marks = at_places(z, [grid], {"z_p99": ("z", lambda n: F.lit(0.99) * (n - 1)), "_t": ("z", lambda n: n - twentieth(n))})
+    above = F.col("z") > F.col("_t")
+    top = z.join(cut_lineage(marks), grid).groupBy(grid).agg(
+        F.max("z").alias("z_max"), F.first("z_p99").alias("z_p99"), F.avg((F.col("z") > 3).cast("double")).alias("share"), F.count("*").alias("n"),
+        ((F.coalesce(F.sum(F.when(above, F.col("z"))), F.lit(0.0)) + (twentieth(F.count("*")) - F.count_if(above)) * F.first("_t")) / twentieth(F.count("*"))).alias("top"))
     largest = clusters(z.where("z > 2.5"), grid, y, x).groupBy(F.col(grid).alias("_g")).agg(F.max("size").alias("_largest"))
     moran = morans_i(cells, grid, y, x, value).select(F.col(grid).alias("_h"), "moran")
     both = top.join(largest, F.col(grid).eqNullSafe(F.col("_g")), "left").join(moran, F.col(grid).eqNullSafe(F.col("_h")), "left")

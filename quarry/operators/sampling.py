@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.order import numbered
+from quarry.operators.selection import cutoffs, hashed
 
 
 def half(key: Column) -> Column:
@@ -13,10 +17,17 @@ def half(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), -1, 1), 16, 10).cast("int") % 2
 
 
+def smallest_hashes(df: DataFrame, by: list[str], key: list[str], n: int, seed: str) -> DataFrame:
+    """n rows of each group, those of the smallest seeded hashes of key: cutoffs from counted prefixes, then one filter."""
+    marked = df.withColumn("_h", hashed(seed, *key)).withColumn("_key", F.struct(*key))
+    cuts = cutoffs(marked.select(*by, "_h", "_key"), by, [n]).select(*[F.col(c).alias(f"_by_{c}") for c in by], "_cut")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return marked.join(cuts, same, "left").where(F.col("_cut").isNull() | (F.struct("_h", "_key") <= F.col("_cut"))).select(*df.columns)
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
     """n rows of each stratum, those of the smallest seeded hashes."""
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(seed), key)), key)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return smallest_hashes(df, [stratum], [key], n, seed)
 
 
 def folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
@@ -60,15 +71,13 @@ def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int, seed
 
 def balanced_sample(df: DataFrame, by: list[str], key: list[str], n: int, seed: str) -> DataFrame:
     """Up to n rows of each combination of `by` (such as image and label), those of the smallest seeded hashes of key."""
-    w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return smallest_hashes(df, by, key, n, seed)
 
 
 def slices(df: DataFrame, key: str, sizes: dict[str, int], seed: str) -> DataFrame:
     """Shuffle and cut: disjoint slices of the given sizes, in the order of seeded hashes; df with `slice`."""
-    ran = numbered(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), key))), ["_h", key], "_row")
-    ends, end = [], 0
-    for name, size in sizes.items():
-        end += size
-        ends.append(F.when(F.col("_row") < end, F.lit(name)))
-    return ran.withColumn("slice", F.coalesce(*ends)).where("slice is not null").drop("_h", "_row")
+    marked = df.withColumn("_h", hashed(seed, key)).withColumn("_key", F.col(key))
+    ends = list(accumulate(sizes.values()))
+    cuts = cutoffs(marked.select("_h", "_key"), [], ends).groupBy().pivot("_k", list(range(len(ends)))).agg(F.first("_cut"))
+    named = [F.when(F.col(str(k)).isNull() | (F.struct("_h", "_key") <= F.col(str(k))), F.lit(name)) for k, name in enumerate(sizes)]
+    return marked.crossJoin(F.broadcast(cuts)).withColumn("slice", F.coalesce(*named)).where("slice is not null").select(*df.columns, "slice")  # one row

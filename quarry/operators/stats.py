@@ -7,7 +7,9 @@ from math import comb, exp, lgamma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.order import numbered, with_running
+from quarry.operators.order import with_running
+from quarry.operators.selection import cutoffs
+from quarry.operators.shared import cut_lineage
 
 
 def auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -133,14 +135,16 @@ def fold_summary(df: DataFrame, fold: str, label: Column, predicted: Column) ->
 def permutation_p(df: DataFrame, key: str, label: str, value: str, permutations: int = 100, seed: str = "p") -> DataFrame:
     """Sum of value over the marked rows, and the share of hashed permutations of the marks in which it is as large.
 
-    A permutation marks as many rows, those of the smallest hashes of (seed, number, key).
+    A permutation marks as many rows, those of the smallest hashes of (seed,
+    number, key): rows are counted and summed by the hash's prefix where they are,
+    and only those of one prefix in each permutation are moved and ordered.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.col(value).alias("_v")).where("_y is not null and _v is not null")
-    seen = rows.agg(F.sum(F.when(F.col("_y") == 1, F.col("_v"))).alias("observed"), F.count_if(F.col("_y") == 1).alias("marked"), F.count("*").alias("n"))
-    copies = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "r", "_k")))
-    drawn = numbered(copies, ["_h", "_k"], "_at", ("r",)).crossJoin(F.broadcast(seen))
-    null = drawn.where("_at < marked").groupBy("r").agg((F.sum("_v") >= F.first("observed")).cast("int").alias("reached"))
-    return seen.crossJoin(null.agg(F.sum("reached").alias("reached"))).select("observed", "n", F.round((F.col("reached") + 1) / F.lit(permutations + 1.0), 6).alias("p"))
+    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("_y"), F.col(value).alias("_v")).where("_y is not null and _v is not null")
+    seen = cut_lineage(rows.agg(F.sum(F.when(F.col("_y") == 1, F.col("_v"))).alias("observed"), F.count_if(F.col("_y") == 1).alias("marked"), F.count("*").alias("n")))
+    marked = seen.first()["marked"]
+    copies = rows.select("_key", "_v", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("r")).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "r", "_key")))
+    null = cutoffs(copies, ["r"], [marked], {"s": "_v"}).crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("s") >= F.col("observed")).alias("reached"))
+    return seen.crossJoin(null).select("observed", "n", F.round((F.col("reached") + 1) / F.lit(permutations + 1.0), 6).alias("p"))
 
 
 def quadratic_trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays
-from quarry.operators import bootstrap, graph, grid, models, order, sampling, stats
+from quarry.operators import bootstrap, graph, grid, models, order, sampling, selection, stats
 from quarry.sources.tables import TABLES, metadata, quantisation_tables, register, table
 from quarry.streaming import events as streaming
 
@@ -296,11 +296,14 @@ sql("weighted_mean", "SELECT n_name, round(sum(c_acctbal * k) / sum(k), 4) AS we
 sql("argmax_key", "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k = 1")
 sql("group_sum_prefix", "SELECT split_part(p_type, ' ', 1) AS family, round(sum(abs(p_retailprice - 1000)), 2) AS total, count(*) AS n FROM part GROUP BY 1")
 sql("range_buckets", "SELECT CASE WHEN l_quantity < 10 THEN '<10' WHEN l_quantity < 30 THEN '10-30' ELSE '>=30' END AS bucket, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1")
-sql(
-    "nearest_to_median",
-    "WITH m AS (SELECT p_brand AS b, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, min_by(p_partkey, struct(abs(p_retailprice - m), p_partkey)) AS p_partkey FROM part JOIN m ON b = p_brand GROUP BY p_brand",
-    "WITH m AS (SELECT p_brand AS b, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - m), p_partkey) AS k FROM part JOIN m ON b = p_brand) WHERE k = 1",
-)
+@query("WITH m AS (SELECT p_brand AS b, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - m), p_partkey) AS k FROM part JOIN m ON b = p_brand) WHERE k = 1")
+def nearest_to_median(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
+    middle = selection.quantiles(d, ["p_brand"], {"m": ("p_retailprice", 0.5)})
+    nearest = F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("m")), "p_partkey"))
+    return d.join(middle, "p_brand").groupBy("p_brand").agg(nearest.alias("p_partkey"))
+
+
 sql("one_hot_ratio", "SELECT p_partkey, CAST(p_size > 25 AS INTEGER) AS large, round(p_retailprice / p_size, 6) AS per_size, CASE WHEN p_type LIKE '%BRASS' THEN 1 ELSE 0 END AS brass FROM part WHERE p_size BETWEEN 1 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#12')")
 
 # Joins and sets

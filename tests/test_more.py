@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, names, pixels
-from quarry.operators import graph, grid, models, order, sampling, shared, splits, stats
+from quarry.operators import graph, grid, models, order, sampling, selection, shared, splits, stats
 from quarry.plans.splits import require_rows
 from quarry.sources import config, sinks, tables
 from quarry.streaming import events
@@ -338,3 +338,62 @@ def test_a_hot_group_is_no_task(spark, parts):
     plan = ran.parts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") <= 2 and "hashpartitioning(_part" not in plan
     assert ran.rows.where("g = -1 and id = 39998").first()["most"] == max(i * 7919 % 10007 for i in range(0, 40_000, 2))
+
+
+HARD = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 1e308, -1e308, 1.7e308, 1.0, 2.0, 4.0, 2.0**1023, 2.0**-1022, *[float(np.nextafter(2.0**k, w)) for k in (-1000, -3, 0, 1, 9, 900) for w in (0, 1e309)]]
+
+
+def test_bins_follow_the_order(spark):
+    """No value falls into a lower bin than a smaller one, next to powers of two and at the ends of the range too."""
+    rng = np.random.default_rng(2)
+    values = sorted([*HARD, *(rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500)).tolist(), float("inf"), -float("inf")])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([*values, float("nan")])], "k int, v double")
+    bins = [r["b"] for r in df.select("k", selection.coarse(F.col("v")).alias("b")).orderBy("k").collect()]
+    assert bins == sorted(bins) and bins[-1] > bins[-2]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_quantiles_by_histograms(spark, monkeypatch, few):
+    """Two columns and several groups against numpy: heavy ties, hard values, one value, nulls in values and groups; bins are broadcast or joined."""
+    monkeypatch.setattr(selection, "FEW", few)
+    rng = np.random.default_rng(3)
+    rows = [("many", float(v), float(w)) for v, w in zip(rng.normal(size=3000) * 1e3, rng.integers(0, 5, 3000))]
+    rows += [("ties", 7.0 if k % 3 else float(v), None) for k, v in enumerate(rng.normal(size=301))] + [(None, 3.5, 1.0), (None, 4.5, None), ("none", None, None)]
+    rows += [("hard", v, -v) for v in HARD if abs(v) < 1e300]
+    wanted = {"a": ("x", 0.0), "b": ("x", 0.5), "c": ("x", 0.987), "d": ("y", 0.25), "e": ("x", 1.0)}
+    got = {r["g"]: r for r in selection.quantiles(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], wanted).collect()}
+    assert set(got) == {"many", "ties", None, "hard"}
+    for g, r in got.items():
+        for name, (c, q) in wanted.items():
+            v = [row[1 if c == "x" else 2] for row in rows if row[0] == g]
+            v = [x for x in v if x is not None]
+            assert r[name] == (pytest.approx(np.quantile(v, q), rel=1e-12) if v else None)
+    whole = selection.quantiles(spark.createDataFrame(rows, "g string, x double, y double"), [], {"m": ("x", 0.5)}).collect()
+    assert len(whole) == 1 and whole[0]["m"] == pytest.approx(np.median([x for _, x, _ in rows if x is not None]))
+    assert selection.quantiles(spark.createDataFrame([], "g string, x double"), ["g"], {"m": ("x", 0.5)}).count() == 0
+
+
+@pytest.mark.parametrize("digits", [4, 1, 0])
+def test_hash_cutoffs(spark, monkeypatch, digits):
+    """The n rows of the smallest hashes, whatever share of the hash is counted; small groups whole; a null group is a group."""
+    import hashlib
+
+    monkeypatch.setattr(selection, "DIGITS", digits)
+    rows = [(["a", "b", None][k % 10 // 4], k) for k in range(150)]
+    got = sampling.stratified_sample(spark.createDataFrame(rows, "g string, k int"), "g", "k", 40, "s").collect()
+    want = [(g, k) for h in ("a", "b", None) for g, k in sorted((r for r in rows if r[0] == h), key=lambda r: hashlib.md5(f"s|{r[1]}".encode()).hexdigest())[:40]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    few = sampling.slices(spark.range(25), "id", {"a": 10, "b": 20, "c": 5}, "s").groupBy("slice").count().collect()
+    assert {r["slice"]: r["count"] for r in few} == {"a": 10, "b": 15}
+
+
+def test_permutations_match_brute_force(spark):
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(k, int(k % 4 == 0), int(v)) for k, v in enumerate(rng.integers(0, 50, 200))] + [(900, None, 5), (901, 1, None)]
+    r = stats.permutation_p(spark.createDataFrame(rows, "k int, y int, v int"), "k", "y", "v", 20, "p").first()
+    whole = [x for x in rows if x[1] is not None and x[2] is not None]
+    observed, n = sum(v for _, y, v in whole if y), sum(y for _, y, _ in whole)
+    drawn = [sum(v for _, _, v in sorted(whole, key=lambda x: hashlib.md5(f"p|{i}|{x[0]}".encode()).hexdigest())[:n]) for i in range(20)]
+    assert (r["observed"], r["n"], r["p"]) == (observed, 200, round((1 + sum(d >= observed for d in drawn)) / 21, 6))

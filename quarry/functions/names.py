@@ -67,19 +67,6 @@ def mask_relation(image_stem: Column, mask_path: Column) -> Column:
     )
 
 
-#: Readable names of modules and of the statistics of their maps.
-MODULES = {"ela": "Error level", "noise": "Noise level", "histogram": "Value histogram", "jpeg_ghost": "Recompression", "dct_dq": "Quantisation", "edges": "Edge sharpness", "cm_block": "Copied blocks", "cm_keypoint": "Copied places"}
-STATISTICS = {"z_max": "strongest outlier", "z_p99": "99th percentile of outliers", "share": "share of outlying blocks", "cluster": "largest cluster", "moran": "spatial correlation", "top5": "mean of the top twentieth"}
-
-
-def readable(feature: Column) -> Column:
-    """module__local_statistic as words; unknown parts keep their own, with spaces for underscores."""
-    module = F.split_part(feature, F.lit("__"), F.lit(1))
-    rest = F.regexp_replace(F.split_part(feature, F.lit("__"), F.lit(2)), "^(local|global)_", "")
-    named = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.replace(c, F.lit("_"), F.lit(" ")))
-    return F.concat(named(MODULES, module), F.lit(": "), named(STATISTICS, rest))
-
-
 def verdict_sentence(p: Column, low: float, high: float) -> Column:
     """One sentence on a probability and the band of no verdict around one half."""
     return (

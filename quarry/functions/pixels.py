@@ -1,4 +1,4 @@
-"""Images as arrays: PNG and BMP bytes, checks of uploads, resizing, filters, morphology, spectra and consensus."""
+"""Images as arrays: PNG and BMP bytes, checks of uploads; affine consensus and nearest chains of points."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import clusters
 from quarry.sources.tables import container_metadata
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -172,115 +171,6 @@ def checked_uploads(df: DataFrame, content: str) -> DataFrame:
     return df.withColumn("_check", check(content)).select("*", "_check.*").drop("_check")
 
 
-def resized(image: np.ndarray, shape: tuple[int, int], how: str = "area") -> np.ndarray:
-    """A grey image in another size: "nearest", "area" (mean of the source area of each pixel) or "bilinear" (pixel centres, edges repeated)."""
-    image = image.astype(float)
-    if how == "nearest":
-        y, x = (np.arange(n) * old // n for n, old in zip(shape, image.shape))
-        return image[np.ix_(y, x)]
-
-    def weights(n: int, old: int) -> np.ndarray:
-        if how == "area":
-            edges = np.arange(n + 1) * old / n
-            w = np.clip(np.minimum(edges[1:, None], np.arange(1, old + 1)) - np.maximum(edges[:-1, None], np.arange(old)), 0, None)
-        else:
-            at = np.clip((np.arange(n) + 0.5) * old / n - 0.5, 0, old - 1)
-            w = np.clip(1 - np.abs(at[:, None] - np.arange(old)), 0, None)
-        return w / w.sum(axis=1, keepdims=True)
-
-    return weights(shape[0], image.shape[0]) @ image @ weights(shape[1], image.shape[1]).T
-
-
-def filtered(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Correlation with an odd kernel; borders are reflected without repeating the edge."""
-    ky, kx = (k // 2 for k in kernel.shape)
-    p = np.pad(image.astype(float), ((ky, ky), (kx, kx)), mode="reflect")
-    return sum(kernel[i, j] * p[i : i + image.shape[0], j : j + image.shape[1]] for i in range(kernel.shape[0]) for j in range(kernel.shape[1]))
-
-
-LAPLACE = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]])
-SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
-
-
-def edges_of(image: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Edges by gradient: thin ridges along the gradient's direction, weak ones kept where they touch strong ones."""
-    gx, gy = filtered(image, SOBEL), filtered(image, SOBEL.T)
-    g = np.hypot(gx, gy)
-    sector = np.rint(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
-    p = np.pad(g, 1)
-    at = lambda dy, dx: p[1 + dy : 1 + dy + g.shape[0], 1 + dx : 1 + dx + g.shape[1]]
-    ridge = np.select([sector == k for k in range(4)], [(g >= at(dy, dx)) & (g >= at(-dy, -dx)) for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1))])
-    weak = ridge & (g >= low)
-    label = clusters(weak)
-    strong = np.unique(label[weak & (g >= high)])
-    return weak & np.isin(label, strong[strong > 0])
-
-
-def disc(k: int) -> np.ndarray:
-    """The round footprint of an odd width."""
-    y, x = np.mgrid[:k, :k] - k // 2
-    return y * y + x * x <= (k / 2) ** 2
-
-
-def dilated(mask: np.ndarray, k: int) -> np.ndarray:
-    p = np.pad(mask, k // 2)
-    return np.any([p[i : i + mask.shape[0], j : j + mask.shape[1]] for i, j in zip(*np.nonzero(disc(k)))], axis=0)
-
-
-def eroded(mask: np.ndarray, k: int) -> np.ndarray:
-    return ~dilated(~mask, k)
-
-
-def cleaned(prob: np.ndarray, threshold: float, opening: int = 1, closing: int = 1, least: float = 0.0) -> np.ndarray:
-    """A mask from probabilities: threshold, opening, closing, and no component smaller than a share of the image."""
-    m = prob >= threshold
-    if opening > 1:
-        m = dilated(eroded(m, opening), opening)
-    if closing > 1:
-        m = eroded(dilated(m, closing), closing)
-    if least > 0 and m.any():
-        label = clusters(m)
-        size = np.bincount(label.ravel())
-        size[0] = 0
-        m = size[label] >= max(1, least * m.size)
-    return m
-
-
-def equalised(values: np.ndarray, levels: int = 256) -> np.ndarray:
-    """Integers spread so that their cumulative shares become even: the least stays lowest, the largest becomes levels - 1."""
-    counts = np.bincount(values.ravel(), minlength=levels)
-    up_to = counts.cumsum()
-    first = counts[np.flatnonzero(counts)[0]]
-    if first == values.size:
-        return values.copy()
-    return np.clip(np.rint((up_to - first) / (values.size - first) * (levels - 1)), 0, levels - 1).astype(int)[values]
-
-
-def stretched(values: np.ndarray, percentile: float = 99.5) -> np.ndarray:
-    """Values from 0 to their percentile brought to 0 to 255, those above cut."""
-    top = max(np.percentile(values, percentile), 1e-3)
-    return np.clip(values / top * 255, 0, 255).astype(np.uint8)
-
-
-def spectrum(values: np.ndarray) -> np.ndarray:
-    """Magnitudes of the real Fourier transform, relative to the first."""
-    f = np.abs(np.fft.rfft(values))
-    return f / (f[0] + 1e-9)
-
-
-def periodicity(counts: np.ndarray, periods: np.ndarray, permutations: int = 200, seed: int = 0) -> tuple[float, float]:
-    """(period, p): the period in which log counts, less their quadratic trend, are strongest, and the share of seeded permutations of the residuals that reach it."""
-    x = np.arange(len(counts), dtype=float)
-    y = np.log1p(counts)
-    basis = np.vander(x, 3)
-    residual = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
-    waves = np.exp(2j * np.pi * np.outer(1 / periods, x))
-    power = np.abs(waves @ residual)
-    rng = np.random.default_rng(seed)
-    null = np.array([np.abs(waves @ rng.permutation(residual)).max() for _ in range(permutations)])
-    return float(periods[power.argmax()]), float((1 + (null >= power.max() - 1e-12).sum()) / (permutations + 1))
-
-
 def affine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The 3 x 2 matrix that best takes points a (with a column of ones) to b."""
     return np.linalg.lstsq(np.c_[a, np.ones(len(a))], b, rcond=None)[0]
@@ -313,49 +203,6 @@ def consensus_by(pairs: DataFrame, by: list[str], within: float = 3.0, least: in
     return pairs.groupBy(*by).applyInPandas(one, schema)
 
 
-def blob(shape: tuple[int, int], seed: int) -> np.ndarray:
-    """A seeded round-ish mask: a sum of waves around a centre, cut at half its height."""
-    rng = np.random.default_rng(seed)
-    y, x = np.mgrid[: shape[0], : shape[1]]
-    cy, cx, r = rng.uniform(0.35, 0.65) * shape[0], rng.uniform(0.35, 0.65) * shape[1], rng.uniform(0.12, 0.25) * min(shape)
-    angle = np.arctan2(y - cy, x - cx)
-    rim = r * (1 + sum(rng.uniform(0, 0.15) * np.cos(k * angle + rng.uniform(0, 6.28)) for k in (2, 3, 4)))
-    return np.hypot(y - cy, x - cx) <= rim
-
-
-def composite(image: np.ndarray, donor: np.ndarray, seed: int, shift: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A made forgery and its mask: a blob of `donor` pasted into `image`; with `shift`, of the image itself from so far away."""
-    mask = blob(image.shape, seed)
-    source = np.roll(image, shift, (0, 1)) if shift else donor
-    return np.where(mask, source, image), mask
-
-
-def degraded(image: np.ndarray, how: str, amount: float, seed: int = 0) -> np.ndarray:
-    """An image after `noise` (standard deviation), `blur` (box width), `scale` (factor, there and back) or `jpeg` (quality)."""
-    from quarry.functions.arrays import jpeg_like
-
-    if how == "noise":
-        return np.clip(image + np.random.default_rng(seed).normal(0, amount, image.shape), 0, 255)
-    if how == "blur":
-        k = int(amount) | 1
-        return filtered(image, np.full((k, k), 1 / (k * k)))
-    if how == "scale":
-        small = resized(image, tuple(max(1, round(n * amount)) for n in image.shape), "area")
-        return resized(small, image.shape, "bilinear")
-    if how == "jpeg":
-        return jpeg_like(image, int(amount))
-    raise ValueError(f"unknown degradation {how}")
-
-
-def evidence(feature_map: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """A map that keeps the contract of modules: floats of the image's shape, finite, from 0 to 1; else ValueError."""
-    if feature_map.shape != shape or not np.issubdtype(feature_map.dtype, np.floating):
-        raise ValueError(f"a map must hold floats of shape {shape}")
-    if not np.isfinite(feature_map).all() or feature_map.min() < 0 or feature_map.max() > 1:
-        raise ValueError("a map must be finite and lie from 0 to 1")
-    return feature_map
-
-
 def nearest_chains(points: DataFrame, by: str, key: str, vector: str, ratio: float, k: int = 10) -> DataFrame:
     """(by, a, b): of each vector's k nearest others in its group, those before the first whose distance isn't under `ratio` times the next one's.
 
@@ -389,13 +236,3 @@ def vectors_as_images(df: DataFrame, vector: str, size: int = 8) -> DataFrame:
         return pd.Series([png(np.clip(np.floor(np.asarray(x, np.float64) * 60 + 128), 0, 255).reshape(size, size)) for x in v])
 
     return df.withColumn("content", make(vector))
-
-
-def per_vector(function, schema: str):
-    """A pandas UDF that gives function(vector as doubles) for each row."""
-
-    @F.pandas_udf(schema)
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series([function(np.asarray(x, np.float64)) for x in v])
-
-    return run

@@ -12,7 +12,6 @@ whether it is a candidate; candidates are scored exactly.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator

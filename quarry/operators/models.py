@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -102,30 +101,6 @@ def nested_scores(df: DataFrame, features: list[str], fold: str, k: int, grid: d
     return out, chosen
 
 
-def coordinate_sweep(evaluate: Callable[[dict], float], start: dict, grids: dict[str, list], linked: dict[str, Callable[[dict], dict]] | None = None, gain: float = 0.002) -> tuple[dict, list[tuple[str, object, float]]]:
-    """One parameter after the other: its best value replaces the current one if it is better by more than `gain`.
-
-    linked: what else changes with a parameter. Every setting is evaluated once.
-    """
-    seen: dict[str, float] = {}
-
-    def score(params: dict) -> float:
-        key = json.dumps(params, sort_keys=True, default=str)
-        if key not in seen:
-            seen[key] = evaluate(params)
-        return seen[key]
-
-    best, record = dict(start), []
-    for name, values in grids.items():
-        trials = [{**best, name: v} for v in values]
-        trials = [{**t, **linked[name](t)} for t in trials] if linked and name in linked else trials
-        record += [(name, t[name], score(t)) for t in trials]
-        top = max(trials, key=score)
-        if score(top) > score(best) + gain:
-            best = top
-    return best, record
-
-
 def ablations(df: DataFrame, groups: dict[str, list[str]], fold: str, k: int, make: Callable[[], Estimator]) -> list[tuple[str, str, float]]:
     """(kind, group, area) with each group of columns alone, and with all but it; ("all", "", area) first."""
     every = [c for cs in groups.values() for c in cs]

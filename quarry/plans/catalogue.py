@@ -324,6 +324,15 @@ def validated_join(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(one, "o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("SELECT count(*) AS n, round(avg(CAST(quality AS DOUBLE) * n_chars), 4) AS mean FROM documents JOIN labels USING (doc_id)")
+def one_to_one_join(spark, sf_dir):
+    """As validated_join, with both sides checked."""
+    from quarry.sources.tables import one_to_one
+
+    both = one_to_one(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return both.agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality").cast("double") * F.col("n_chars")), 4).alias("mean"))
+
+
 sql("upsert_replace", "SELECT p_partkey, p_size FROM part WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey) UNION ALL SELECT s_suppkey, s_nationkey FROM supplier")
 
 
@@ -606,18 +615,6 @@ def jpeg_table_quality(spark, sf_dir):
     return made.select("vec_id", (2 + F.col("vec_id") % 98).cast("int").alias("quality"), estimate("content").alias("estimate")).join(read, "vec_id")
 
 
-@query(None)
-def module_features(spark, sf_dir):
-    """All eight evidence modules over grey images made of embeddings (each entry a 4x4 block)."""
-    e = table(spark, sf_dir, "embeddings")
-    scaled = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 60 + 128)))
-    index = [(y // 4) * 8 + x // 4 for y in range(32) for x in range(32)]
-    noise = np.random.default_rng(0).integers(-3, 4, 1024).tolist()
-    wide = F.zip_with(F.transform(F.array(*[F.lit(i) for i in index]), lambda i: F.get(F.col("s"), i)), F.array(*[F.lit(float(n)) for n in noise]), lambda a, b: a + b)
-    images = e.select(F.col("vec_id").alias("id"), scaled.alias("s")).select("id", F.lit(32).alias("height"), F.lit(32).alias("width"), wide.alias("pixels"))
-    return arrays.extract(images, list(arrays.REGISTRY)).groupBy("feature").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.count("error").alias("errors"))
-
-
 def scored(spark, sf_dir, model="forest"):
     d = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), F.size(F.regexp_extract_all("text", F.lit("([#*$%&|!])"), F.lit(1))).alias("n_marks")), "doc_id")
     d = sampling.folds(d.withColumn("label", F.col("quality")), "source", 3, "cv").select("doc_id", "label", "fold", *[F.col(c).cast("double").alias(c) for c in ("n_chars", "n_words", "n_marks")])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.operators import bootstrap, graph, grid, models, order, stats
+from quarry.operators import bootstrap, graph, grid, models, stats
 from quarry.operators.graph import array_correlation, hamming_pairs, mean_abs_difference
-from quarry.operators.shared import new_path
+from quarry.operators.shared import cut_lineage, new_path
 from quarry.plans.catalogue import CELLS, DRAWN, FACTS, PAIRS, PROB, cells, hashed, labelled, probabilities, query, scored
 from quarry.sources import sinks, tables
 from quarry.sources.tables import register, table
@@ -70,16 +69,11 @@ def paired_auc_delta(spark, sf_dir):
 
 
 @query(f"""WITH {X}, {DRAWN.format(group='source', source='x', last=39)}, w AS (SELECT r, s, unnest(generate_series(1, times)) FROM t JOIN x ON x.source = t.grp WHERE y = 1), m AS (SELECT r, median(s) AS m FROM w GROUP BY r)
-SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS replicates FROM m""")
+SELECT (SELECT round(median(s), 6) FROM x WHERE y = 1) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS replicates FROM m""")
 def bootstrap_statistic(spark, sf_dir):
-    """Any statistic under the cluster bootstrap: here the median length of good documents; draws without one are left out."""
+    """Any mergeable statistic under the cluster bootstrap: here the median length of good documents; draws without one are left out."""
     d = labelled(spark, sf_dir).select("source", "quality", "n_chars")
-
-    def good_median(rows: pd.DataFrame) -> float | None:
-        good = rows.loc[rows["quality"] == 1, "n_chars"]
-        return float(good.median()) if len(good) else None
-
-    return bootstrap.bootstrap_of(d, "source", good_median, ["quality", "n_chars"], 40)
+    return bootstrap.bootstrap_of(d, "source", bootstrap.Median("n_chars"), ["n_chars"], 40, "quality = 1")
 
 
 @query("""WITH x AS (SELECT doc_id AS k, quality AS y, n_chars AS v FROM labels JOIN documents USING (doc_id)), o AS (SELECT sum(CASE WHEN y = 1 THEN v END) AS observed, count(*) FILTER (WHERE y = 1) AS marked, count(*) AS n FROM x),
@@ -152,11 +146,10 @@ def inconsistency_bundle(spark, sf_dir):
 FULL = "SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i)"
 
 
-@query(f"""WITH g AS ({FULL}), d AS (SELECT unnest([-1, 0, 1]) AS d) SELECT a.vec_id, a.y, a.x, round(sum(b.v) / 9, 5) AS mean FROM g a, d dy, d dx, g b WHERE a.vec_id < 30 AND b.vec_id = a.vec_id AND b.y = greatest(0, least(7, a.y + dy.d)) AND b.x = greatest(0, least(7, a.x + dx.d)) GROUP BY 1, 2, 3""")
+@query(f"""WITH g AS ({FULL}), d AS (SELECT unnest([-1, 0, 1]) AS d) SELECT a.vec_id, a.y, a.x, round(sum(b.v) / 9, 5) AS mean FROM g a, d dy, d dx, g b WHERE b.vec_id = a.vec_id AND b.y = greatest(0, least(7, a.y + dy.d)) AND b.x = greatest(0, least(7, a.x + dx.d)) GROUP BY 1, 2, 3""")
 def box_mean(spark, sf_dir):
     """3x3 means of full grids, borders repeated."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 30").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    g = e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    g = grid.of_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 8)
     return grid.box_mean(g, "vec_id", "y", "x", "v").select("vec_id", "y", "x", F.round("mean", 5).alias("mean"))
 
 
@@ -187,6 +180,38 @@ def tuned_threshold(spark, sf_dir):
     return per.groupBy("threshold").agg(F.avg("f1").alias("m")).orderBy(F.desc("m"), "threshold").limit(1).select("threshold", F.round("m", 6).alias("mean_f1"))
 
 
+NEIGHBOURS = "SELECT unnest([{0}]) AS dy, unnest([{1}]) AS dx"
+
+
+def disc_sql(k):
+    return NEIGHBOURS.format(*(", ".join(str(p[axis]) for p in grid.disc(k)) for axis in (0, 1)))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT event_type AS g, y, x, v FROM ({CELLS})), k AS ({" UNION ALL ".join(f"SELECT {r} AS r, dy, dx FROM ({disc_sql(r)})" for r in range(3))}), r AS (SELECT unnest([0, 1, 2]) AS r), m AS (SELECT * FROM c WHERE v > 400),
+k1 AS (SELECT r.r AS opening, c.g, c.y, c.x, c.v, bool_or(coalesce(o.v <= 400, FALSE)) AS hole FROM c JOIN r ON TRUE JOIN k ON k.r = r.r LEFT JOIN c o ON o.g = c.g AND o.y = c.y + k.dy AND o.x = c.x + k.dx GROUP BY ALL), e1 AS (SELECT * FROM k1 WHERE NOT hole),
+o1 AS (SELECT DISTINCT e1.opening, c.g, c.y, c.x FROM e1 JOIN k ON k.r = e1.opening JOIN c ON c.g = e1.g AND c.y = e1.y + k.dy AND c.x = e1.x + k.dx),
+d2 AS (SELECT DISTINCT o1.opening, r.r AS closing, c.g, c.y, c.x FROM o1 JOIN r ON TRUE JOIN k ON k.r = r.r JOIN c ON c.g = o1.g AND c.y = o1.y + k.dy AND c.x = o1.x + k.dx),
+h2 AS (SELECT d2.opening, d2.closing, d2.g, d2.y, d2.x, bool_or(o.g IS NOT NULL AND f.g IS NULL) AS hole FROM d2 JOIN k ON k.r = d2.closing LEFT JOIN c o ON o.g = d2.g AND o.y = d2.y + k.dy AND o.x = d2.x + k.dx LEFT JOIN d2 f ON f.opening = d2.opening AND f.closing = d2.closing AND f.g = o.g AND f.y = o.y AND f.x = o.x GROUP BY ALL),
+n AS (SELECT opening, closing, g, y, x, concat_ws('|', opening, closing, g, lpad(y::VARCHAR, 3, '0'), lpad(x::VARCHAR, 3, '0')) AS id FROM h2 WHERE NOT hole),
+p AS (SELECT id, id AS root FROM n UNION SELECT b.id, p.root FROM p JOIN n a ON a.id = p.id JOIN n b ON b.opening = a.opening AND b.closing = a.closing AND b.g = a.g AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1),
+t AS (SELECT id, min(root) AS root FROM p GROUP BY id), z AS (SELECT root, count(*) AS size FROM t GROUP BY root), kept AS (SELECT n.*, a.area FROM n JOIN t USING (id) JOIN z USING (root) JOIN (SELECT unnest([1, 4, 12]) AS area) a ON z.size >= a.area),
+every AS (SELECT o.r AS opening, q.r AS closing, a.area, c.* FROM c, r o, r q, (SELECT unnest([1, 4, 12]) AS area) a), f AS (SELECT opening, closing, area, g, CASE WHEN 2 * count(*) FILTER (WHERE v > 500 AND kept.id IS NOT NULL) + count(*) FILTER (WHERE (v > 500) <> (kept.id IS NOT NULL)) > 0
+THEN 2 * count(*) FILTER (WHERE v > 500 AND kept.id IS NOT NULL) / (2 * count(*) FILTER (WHERE v > 500 AND kept.id IS NOT NULL) + count(*) FILTER (WHERE (v > 500) <> (kept.id IS NOT NULL)))::DOUBLE ELSE 1 END AS f1 FROM every LEFT JOIN kept USING (opening, closing, area, g, y, x) GROUP BY ALL)
+SELECT opening, closing, area, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY ALL""")
+def tuned_cleaning(spark, sf_dir):
+    """The second stage of tuning: mean F1 over grids for 27 combinations of opening, closing and least area, at a threshold."""
+    c = cut_lineage(cells(spark, sf_dir).withColumnRenamed("event_type", "g"))
+    kept = grid.cleaned_masks(c.where("v > 400"), c, "g", [0, 1, 2], [0, 1, 2], [1, 4, 12])
+    truth = c.where("v > 500").select("g", "y", "x", F.lit(1).alias("t"))
+    hits = kept.join(truth, ["g", "y", "x"], "left").groupBy("opening", "closing", "area", "g").agg(F.count("t").alias("tp"), F.count("*").alias("n"))
+    sizes = c.groupBy("g").agg(F.count_if(F.col("v") > 500).alias("true"))
+    few = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
+    all_ = sizes.crossJoin(F.broadcast(few("opening", [0, 1, 2]))).crossJoin(F.broadcast(few("closing", [0, 1, 2]))).crossJoin(F.broadcast(few("area", [1, 4, 12])))
+    scored = all_.join(hits, ["opening", "closing", "area", "g"], "left").fillna(0, ["tp", "n"])
+    f1 = F.when(F.col("n") + F.col("true") > 0, 2 * F.col("tp") / (F.col("n") + F.col("true"))).otherwise(F.lit(1.0))
+    return scored.groupBy("opening", "closing", "area").agg(F.round(F.avg(f1), 6).alias("mean_f1"))
+
+
 # Models
 
 SMALL = ["n_chars", "n_words", "n_marks"]
@@ -221,20 +246,6 @@ def feature_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, loss double")
 
 
-@query("SELECT 60 AS width, 1500 AS cut, 7 AS evaluations")
-def coordinate_sweep(spark, sf_dir):
-    """Parameters are swept one after the other over a cached table, and adopted for a gain of more than 0.002; the objective here has a known best."""
-    target = table(spark, sf_dir, "region").count() * 12  # 60
-    calls = []
-
-    def evaluate(params):
-        calls.append(params)
-        return -abs(params["width"] - target) / 100 - abs(params["cut"] - 1500) / 1e4
-
-    best, _ = models.coordinate_sweep(evaluate, {"width": 20, "cut": 1000}, {"width": [20, 40, 60, 80], "cut": [500, 1000, 1500, 2000]})
-    return spark.createDataFrame([(best["width"], best["cut"], len(calls))], "width int, cut int, evaluations int")
-
-
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ, TRUE AS refused FROM labels JOIN documents USING (doc_id)")
 def model_roundtrip(spark, sf_dir):
     """A fitted model, saved and loaded, scores every row as before; other settings than it was fitted under are refused."""

@@ -1,4 +1,4 @@
-"""Queries over scans and sinks: tables go out into the shared folder in a format and are read back; names and configurations are parsed."""
+"""Queries over scans and sinks: tables go out into the shared folder in a format and are read back; names are parsed."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import names, pixels
 from quarry.operators.shared import new_path
 from quarry.plans.catalogue import query, sql
-from quarry.sources import config, sinks, tables
+from quarry.sources import sinks, tables
 from quarry.sources.tables import register, table
 
 
@@ -43,14 +43,6 @@ def spaced_text_scan(spark, sf_dir):
     return read.select(F.regexp_extract("name", "^img([0-9]+)_", 1).alias("file"), "label", grp.alias("grp"))
 
 
-@query("SELECT * FROM (VALUES ('start', 1, NULL), ('test_read', 1, 'a \"note\"'), ('end', 2, NULL)) t(event, run_number, note)")
-def audit_log_roundtrip(spark, sf_dir):
-    path = new_path(spark, "log")
-    for event in ({"event": "start", "run_number": 1}, {"event": "test_read", "run_number": 1, "note": 'a "note"'}, {"event": "end", "run_number": 2}):
-        sinks.append_log(spark, path, **event)
-    return tables.json_lines(spark, path, "event string, run_number int, note string")
-
-
 @query("SELECT n_nationkey, n_regionkey AS size, n_name AS name FROM nation")
 def markdown_json_scan(spark, sf_dir):
     """JSON objects that stand in a section of Markdown texts."""
@@ -77,19 +69,6 @@ def markdown_report(spark, sf_dir):
     return spark.createDataFrame([(text,)], "report string")
 
 
-@query("SELECT * FROM (VALUES ('benchmark.parquet'), ('customer.parquet'), ('events.parquet')) t(name)")
-def directory_scan(spark, sf_dir):
-    """Files of a folder by prefix and extension, hidden ones left out, in the order of names, the first three."""
-    path = new_path(spark, "folder")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in ("events.parquet", "benchmark.parquet", "notes.txt", ".hidden.parquet", "customer.parquet", "part.parquet", "region.CSV"):
-        out = fs.create(hadoop.Path(f"{path}/{name}"))
-        out.writeByte(1)
-        out.close()
-    return tables.files(spark, path, extensions=("parquet",)).select("name").orderBy("name").limit(3)
-
-
 @query("SELECT vec_id, 64 AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def npz_roundtrip(spark, sf_dir):
     """Arrays as .npz bytes, one file a row, and back."""
@@ -154,28 +133,6 @@ def upload_checks(spark, sf_dir):
     return checked.groupBy(short.alias("error"), "accepted").agg(F.count("*").alias("n"))
 
 
-CONFIG = """# settings
-seed: 42
-splits:
-  test: 0.15
-  n_bins: 20      # bins
-  names: [train, val, test]
-modules:
-  ela:
-    quality: 90
-    on: true
-note: 'it''s plain'
-empty:
-"""
-
-
-@query("""SELECT * FROM (VALUES ('seed', '42'), ('splits.test', '0.15'), ('splits.n_bins', '20'), ('splits.names', '["train", "val", "test"]'), ('modules.ela.quality', '90'), ('modules.ela.on', 'true'), ('note', '"it''s plain"'), ('empty', 'null')) t(key, value)""")
-def config_tree(spark, sf_dir):
-    path = new_path(spark, "config")
-    spark.createDataFrame([(CONFIG,)], "value string").coalesce(1).write.text(path)
-    return config.as_table(spark, config.load_config(spark, path))
-
-
 @query("SELECT n_regionkey, count(*) AS n, 1 AS builds FROM nation GROUP BY 1")
 def fingerprint_cache(spark, sf_dir):
     """A table is built once for the same parts; the second call reads it."""
@@ -194,7 +151,7 @@ def fingerprint_cache(spark, sf_dir):
 def resumable_parts(spark, sf_dir):
     """Four hash parts; the second call finds them all written."""
     path = new_path(spark, "resumed")
-    build = lambda d: d.select("p_partkey", (F.col("p_size") * 2).alias("twice"))
+    build = lambda d: d.select("part", "p_partkey", (F.col("p_size") * 2).alias("twice"))
     for _ in range(2):
         out = sinks.resumable(spark, path, table(spark, sf_dir, "part"), "p_partkey", 4, build)
     return out.select("p_partkey", "twice")
@@ -233,11 +190,6 @@ def mask_names(spark, sf_dir):
     return m.select("p_partkey", names.mask_number(F.col("mask")).alias("number"), names.mask_relation(F.col("stem"), F.col("mask")).alias("relation"))
 
 
-@query("SELECT module, text FROM (VALUES ('ela__local_z_max', 'Error level: strongest outlier'), ('noise__local_share', 'Noise level: share of outlying blocks'), ('other__global_mean_step', 'other: mean step')) t(module, text)")
-def readable_features(spark, sf_dir):
-    return spark.createDataFrame([("ela__local_z_max",), ("noise__local_share",), ("other__global_mean_step",)], "module string").withColumn("text", names.readable(F.col("module")))
-
-
 @query("""WITH p AS (SELECT doc_id, round(n_chars / CAST(n_chars + 1000 AS DOUBLE), 3) AS p, lang FROM documents) SELECT doc_id, concat(CASE WHEN p >= 0.62::DOUBLE THEN printf('Judged tampered: probability %.3f is 0.62 or more.', p) WHEN p <= 0.38::DOUBLE THEN printf('Judged authentic: probability %.3f is 0.38 or less.', p) ELSE printf('No verdict: probability %.3f lies between 0.38 and 0.62.', p) END, CASE WHEN lang = 'en' THEN '' ELSE concat(' The language is ', upper(trim(replace(lang, '-', ' '))), '.') END) AS text FROM p""")
 def verdict_sentences(spark, sf_dir):
     p = F.round(F.col("n_chars") / (F.col("n_chars") + 1000).cast("double"), 3)

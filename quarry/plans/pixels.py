@@ -1,13 +1,11 @@
-"""Queries on array kernels, each with a closed form of its own in SQL where there is one."""
+"""Queries on grids of cells: sizes, kernels, frequencies, grey levels, and on pairs of points."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.functions import arrays, pixels
-from quarry.operators import order
+from quarry.functions import pixels
+from quarry.operators import grid, order, selection
 from quarry.plans.catalogue import query, sql
 from quarry.plans.evaluation import FULL
 from quarry.sources.tables import table
@@ -17,70 +15,79 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
-def kernel(spark, sf_dir, function, kind="double", digits=4):
-    """function(8 x 8 array) for each vector, rounded."""
-    out = pixels.per_vector(lambda v: function(v.reshape(8, 8)), kind)("embedding")
-    return vectors(spark, sf_dir).select("vec_id", (F.round(out, digits) if kind == "double" else out).alias("value"))
+def grids(spark, sf_dir):
+    """Each vector as an 8 x 8 grid, a row a cell."""
+    return grid.of_vectors(vectors(spark, sf_dir), "vec_id", "embedding", 8)
+
+
+def weighted(cells, weight, digits=4):
+    """(vec_id, value): the sum of a grid's cells with weights."""
+    return cells.groupBy("vec_id").agg(F.round(F.sum(F.col("v") * weight), digits).alias("value"))
 
 
 @query(f"WITH g AS ({FULL}) SELECT vec_id, round(sum(v * (y // 2 * 4 + x // 2 + 1)) / 4, 4) AS value FROM g GROUP BY 1")
 def resize_area(spark, sf_dir):
     """8x8 to 4x4 by area, read off with the weights 1 to 16."""
-    return kernel(spark, sf_dir, lambda m: float((pixels.resized(m, (4, 4), "area").ravel() * np.arange(1, 17)).sum()))
+    return weighted(grid.resized(grids(spark, sf_dir), "vec_id", (8, 8), (4, 4), "area"), F.col("y") * 4 + F.col("x") + 1)
 
 
 @query(f"WITH g AS ({FULL}) SELECT vec_id, round(sum(v * (y // 2 * 4 + x // 2 + 1)), 4) AS value FROM g WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY 1")
 def resize_nearest(spark, sf_dir):
-    return kernel(spark, sf_dir, lambda m: float((pixels.resized(m, (4, 4), "nearest").ravel() * np.arange(1, 17)).sum()))
+    return weighted(grid.resized(grids(spark, sf_dir), "vec_id", (8, 8), (4, 4), "nearest"), F.col("y") * 4 + F.col("x") + 1)
 
 
 @query(f"WITH g AS ({FULL}), s AS (SELECT unnest(generate_series(0, 15)) AS k), w AS (SELECT k, greatest(0, least(7, (k + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS at FROM s) SELECT vec_id, round(sum(v * greatest(0, 1 - abs(a.at - y)) * greatest(0, 1 - abs(b.at - x)) * (a.k + 2 * b.k + 1)), 3) AS value FROM g, w a, w b WHERE abs(a.at - y) < 1 AND abs(b.at - x) < 1 GROUP BY 1")
 def upsample_bilinear(spark, sf_dir):
-    """8x8 to 16x16, pixel centres, edges repeated."""
-    y, x = np.mgrid[:16, :16]
-    return kernel(spark, sf_dir, lambda m: float((pixels.resized(m, (16, 16), "bilinear") * (y + 2 * x + 1)).sum()), digits=3)
+    """8x8 to 16x16, cell centres, edges repeated."""
+    return weighted(grid.resized(grids(spark, sf_dir), "vec_id", (8, 8), (16, 16), "linear"), F.col("y") + 2 * F.col("x") + 1, 3)
 
 
-@query(f"""WITH g AS ({FULL}), n AS (SELECT a.vec_id, a.y, a.x, sum(CASE WHEN b.y = a.y AND b.x = a.x THEN -4 * b.v ELSE b.v * (CASE WHEN (a.y IN (0, 7) AND b.x = a.x) THEN 2 ELSE 1 END) * (CASE WHEN (a.x IN (0, 7) AND b.y = a.y) THEN 2 ELSE 1 END) END) AS l FROM g a JOIN g b ON b.vec_id = a.vec_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 WHERE a.vec_id < 60 GROUP BY 1, 2, 3)
+@query(f"""WITH g AS ({FULL}), n AS (SELECT a.vec_id, a.y, a.x, sum(CASE WHEN b.y = a.y AND b.x = a.x THEN -4 * b.v ELSE b.v * (CASE WHEN (a.y IN (0, 7) AND b.x = a.x) THEN 2 ELSE 1 END) * (CASE WHEN (a.x IN (0, 7) AND b.y = a.y) THEN 2 ELSE 1 END) END) AS l FROM g a JOIN g b ON b.vec_id = a.vec_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3)
 SELECT vec_id, round(sum(abs(l)), 4) AS value FROM n GROUP BY 1""")
 def laplace_filter(spark, sf_dir):
-    """A 3x3 kernel with reflected borders."""
-    return kernel(spark, sf_dir, lambda m: float(np.abs(pixels.filtered(m, pixels.LAPLACE)).sum())).where("vec_id < 60")
+    """A 3x3 kernel with mirrored borders."""
+    edges = grid.convolved(grids(spark, sf_dir), "vec_id", {(0, 0): -4, (-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1})
+    return edges.groupBy("vec_id").agg(F.round(F.sum(F.abs("v")), 4).alias("value"))
 
 
 @query("""WITH p AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i)), k AS (SELECT unnest([1, 2, 5]) AS k), f AS (SELECT vec_id, k, sqrt(pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2)) AS m FROM p, k GROUP BY 1, 2), z AS (SELECT vec_id, abs(sum(v)) AS m FROM p GROUP BY 1)
 SELECT vec_id, round(sum(f.m / (z.m + 1e-9) * (z.m + 1e-9)), 3) AS value FROM f JOIN z USING (vec_id) GROUP BY 1""")
 def fourier_magnitude(spark, sf_dir):
     """Magnitudes of three frequencies."""
-    def three(m):
-        s = pixels.spectrum(m.ravel())
-        return float((s[[1, 2, 5]] * (abs(m.sum()) + 1e-9)).sum())
-
-    return kernel(spark, sf_dir, three, digits=3)
+    e = vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    return grid.magnitudes(e, "vec_id", "i", "v", 64, [1, 2, 5]).groupBy("vec_id").agg(F.round(F.sum("magnitude"), 3).alias("value"))
 
 
 LEVELS = "SELECT vec_id, i, CAST(least(255, greatest(0, floor(CAST(embedding[i + 1] AS DOUBLE) * 60 + 128))) AS INTEGER) AS g FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i)"
 
 
+def levels(spark, sf_dir):
+    """(vec_id, g): grey levels of all entries."""
+    x = F.col("x").cast("double")
+    return vectors(spark, sf_dir).select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x * 60 + 128))).cast("int").alias("g"))
+
+
 @query(f"""WITH g AS ({LEVELS}), c AS (SELECT vec_id, g, count(*) OVER (PARTITION BY vec_id ORDER BY g) AS up FROM g), f AS (SELECT vec_id, min(up) AS first FROM c GROUP BY 1)
 SELECT vec_id, CAST(sum(CASE WHEN first = 64 THEN g ELSE round_even((up - first) / (64 - first)::DOUBLE * 255, 0) END) AS BIGINT) AS value FROM c JOIN f USING (vec_id) GROUP BY 1""")
 def histogram_equalised(spark, sf_dir):
     """Grey levels spread by their cumulative shares."""
-    grey = lambda m: np.clip(np.floor(m * 60 + 128), 0, 255).astype(int)
-    return kernel(spark, sf_dir, lambda m: int(pixels.equalised(grey(m)).sum()), "long")
+    return grid.equalised(levels(spark, sf_dir), "vec_id", "g").groupBy("vec_id").agg(F.sum(F.col("n") * F.col("spread")).alias("value"))
 
 
 @query(f"""WITH g AS ({LEVELS}), t AS (SELECT vec_id, greatest(quantile_cont(g, 0.9), 1e-3) AS top FROM g GROUP BY 1) SELECT vec_id, CAST(sum(floor(least(255, greatest(0, g / top * 255)))) AS BIGINT) AS value FROM g JOIN t USING (vec_id) GROUP BY 1""")
 def contrast_stretched(spark, sf_dir):
     """Values up to their 90th percentile brought to 0 to 255."""
-    grey = lambda m: np.clip(np.floor(m * 60 + 128), 0, 255)
-    return kernel(spark, sf_dir, lambda m: int(pixels.stretched(grey(m), 90).astype(int).sum()), "long")
+    g = levels(spark, sf_dir)
+    top = selection.quantiles(g, ["vec_id"], {"top": ("g", 0.9)})
+    wide = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("g") / F.greatest(F.col("top"), F.lit(1e-3)) * 255)))
+    return g.join(top, "vec_id").groupBy("vec_id").agg(F.sum(wide).alias("value"))
 
 
 @query(f"""WITH g AS ({FULL}), o AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY y + x, CASE WHEN (y + x) % 2 = 1 THEN y ELSE x END) AS k FROM g) SELECT vec_id, round(sum(v * k), 4) AS value FROM o GROUP BY 1""")
 def zigzag_order(spark, sf_dir):
     """Entries in zig-zag order, weighted by their place."""
-    return kernel(spark, sf_dir, lambda m: float((m.ravel()[arrays.zigzag()] * np.arange(1, 65)).sum()))
+    places = spark.createDataFrame([(y, x, k) for k, (y, x) in enumerate(grid.zigzag(8), 1)], "y int, x int, k int")
+    return weighted(grids(spark, sf_dir).join(F.broadcast(places), ["y", "x"]), F.col("k"))
 
 
 @query(f"""WITH g AS ({FULL}) SELECT vec_id, y // 4 AS "by", x // 4 AS bx, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS sd FROM g GROUP BY 1, 2, 3""")
@@ -117,28 +124,8 @@ def nearest_chains(spark, sf_dir):
     return pixels.nearest_chains(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.97)
 
 
-@query(None)
-def made_forgeries(spark, sf_dir):
-    """Made composites of texture and how a block search sees them after degradations: share found, by degradation."""
-    seeds = spark.range(24).withColumn("how", F.explode(F.array(F.lit("none"), F.lit("noise"), F.lit("jpeg"))))
-
-    @F.pandas_udf("double")
-    def votes(seed: pd.Series, how: pd.Series) -> pd.Series:
-        out = []
-        for s, h in zip(seed, how):
-            image = pixels.filtered(np.random.default_rng(s).integers(0, 256, (96, 128)), np.full((3, 3), 1 / 9))
-            made, _ = pixels.composite(image, image, s, (0, 48))
-            if h != "none":
-                made = pixels.degraded(made, h, {"noise": 2.0, "jpeg": 90.0}[h], s)
-            out.append(arrays.REGISTRY["cm_block"](made)["local_votes"])
-        return pd.Series(out)
-
-    return seeds.select("how", votes("id", "how").alias("v")).groupBy("how").agg(F.count("*").alias("n"), F.round(F.avg((F.col("v") > 3).cast("double")), 4).alias("found"))
-
-
 @query(f"""WITH g AS ({LEVELS}), c AS (SELECT vec_id, g, count(*) AS n FROM g GROUP BY 1, 2), t AS (SELECT vec_id, g, n, sum(n) OVER (PARTITION BY vec_id ORDER BY g) AS up FROM c) SELECT vec_id, min(g) FILTER (WHERE up >= 32) AS middle FROM t GROUP BY 1""")
 def grey_medians(spark, sf_dir):
     """The lower median grey level of each image, from counts and their running sums."""
-    g = vectors(spark, sf_dir).select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col("x").cast("double") * 60 + 128))).cast("int").alias("g"))
-    ran = order.with_running(g.groupBy("vec_id", "g").agg(F.count("*").alias("n")), ["g"], {"before": "n"}, ("vec_id",))
+    ran = order.with_running(levels(spark, sf_dir).groupBy("vec_id", "g").agg(F.count("*").alias("n")), ["g"], {"before": "n"}, ("vec_id",))
     return ran.where("before + n >= 32").groupBy("vec_id").agg(F.min("g").alias("middle"))

@@ -99,10 +99,23 @@ def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], **p
     return spark.read.parquet(path)
 
 
+def committed(spark: SparkSession, folder: str) -> set[int]:
+    """The parts of resumable() that have been written: a part is one file, put in place when its task ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/part-*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return {int(f.getPath().getParent().getName().split("=")[1]) for f in found}
+
+
 def resumable(spark: SparkSession, folder: str, df: DataFrame, key: str, parts: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply build() to `parts` hash parts of df, each written once: a second call goes on with the parts that are missing."""
-    for k in range(parts):
-        path = f"{folder}/part={k}"
-        if not _exists(spark, path):
-            build(df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(*[f"{folder}/part={k}" for k in range(parts)])
+    """build(df with `part`), which must keep that column, in `parts` hash parts: one scan and one shuffle for all parts that are missing.
+
+    A part is one task's file and stands in the folder as soon as its task has
+    ended, so a run that was killed goes on with the others; parts must be small
+    enough for a task. A run that ended leaves _SUCCESS, and then nothing is read.
+    """
+    if not _exists(spark, folder):
+        missing = sorted(set(range(parts)) - committed(spark, folder))
+        rows = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).where(F.col("part").isin(missing))
+        written = build(rows).repartition(max(len(missing), 1), "part").write.mode("append").partitionBy("part")
+        written.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    return spark.read.parquet(folder)

@@ -96,6 +96,13 @@ def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(counted.where(F.assert_true(F.col("_n") == 1, F.lit(f"{keys} repeat")).isNull()).drop("_n"), list(keys))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """The join of two tables, failing at run time if a key repeats on either side; null keys match nothing and may repeat."""
+    some = " and ".join(f"{k} is not null" for k in keys)
+    sides = [unique_by(side.where(some), *keys) for side in (left, right)]
+    return sides[0].join(sides[1], list(keys), how)
+
+
 METADATA = "path string, format string, width int, height int, mode string, n_qtables int, qtable_luma_dc int, qtable_luma_mean double, file_bytes long, bytes_per_pixel double, error string"
 
 

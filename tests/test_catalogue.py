@@ -11,14 +11,12 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 #: Queries without SQL, and what holds for their rows.
 RULES = {
-    "module_features": lambda rows: len(rows) > 20 and all(r["errors"] == 0 for r in rows),
     "rf_oof_auc": lambda rows: 0.5 < rows[0]["auc"] <= 1,
     "isotonic_calibration": lambda rows: 0 <= rows[0]["after"] <= 0.25,
     "nested_cv": lambda rows: 0 <= rows[0]["auc"] <= 1 and rows[0]["chosen"].count(",") == 2,
     "rbf_svm_auc": lambda rows: 0.5 < rows[0]["auc"] <= 1,
     "feature_ablations": lambda rows: [r["kind"] for r in rows] == ["all", "alone", "without", "alone", "without"],
     "feature_importance": lambda rows: {r["feature"] for r in rows} == {"n_chars", "n_words", "n_marks"},
-    "made_forgeries": lambda rows: {r["how"]: r["n"] for r in rows} == {"none": 24, "noise": 24, "jpeg": 24} and max(r["found"] for r in rows if r["how"] == "none") > 0.5,
 }
 #: Expensive ones are left to the correctness run at the next scale.
 SLOW = {"nested_cv", "feature_ablations", "feature_importance", "rbf_svm_auc"}

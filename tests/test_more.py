@@ -1,4 +1,4 @@
-"""Names, configurations, files, images, order, models and streams."""
+"""Names, files, images, order, models and streams."""
 
 import struct
 import zlib
@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, names, pixels
-from quarry.operators import graph, grid, models, order, sampling, selection, shared, splits, stats
+from quarry.operators import bootstrap, graph, grid, order, sampling, selection, shared, splits, stats
 from quarry.plans.splits import require_rows
-from quarry.sources import config, sinks, tables
+from quarry.sources import sinks, tables
 from quarry.streaming import events
 
 
@@ -40,21 +40,6 @@ def test_masks(spark, mask, number, relation):
     assert (r["n"], r["r"]) == (number, relation)
 
 
-def test_config():
-    tree = config.parse("a: 1\nb:\n  c: [x, 2, 1.5]\n  d: 'it''s'\nlist:\n  - one\n  - 2\n# end\ne: ~\nf: true")
-    assert tree == {"a": 1, "b": {"c": ["x", 2, 1.5], "d": "it's"}, "list": ["one", 2], "e": None, "f": True} and config.parse("") == {}
-    for bad in ("a: 1\n  b: 2", "no colon", "a:\n  - x\n  y: 1"):
-        with pytest.raises(ValueError):
-            config.parse(bad)
-
-
-def test_config_is_copied(spark, tmp_path):
-    (tmp_path / "c.yaml").write_text("a:\n  b: 1\n")
-    first = config.load_config(spark, str(tmp_path / "c.yaml"))
-    first["a"]["b"] = 2
-    assert config.load_config(spark, str(tmp_path / "c.yaml")) == {"a": {"b": 1}}
-
-
 def test_csv_in_place(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
@@ -130,35 +115,7 @@ def test_headers_of_more_formats():
     assert tables.container_metadata(webp)["width"] == 100
 
 
-def test_resize_keeps_constants_and_means():
-    image = np.random.default_rng(1).integers(0, 256, (12, 18)).astype(float)
-    assert pixels.resized(image, (4, 6), "area").mean() == pytest.approx(image.mean())
-    for how in ("nearest", "area", "bilinear"):
-        assert np.allclose(pixels.resized(np.full((5, 7), 3.0), (8, 9), how), 3) and np.allclose(pixels.resized(image, image.shape, how), image)
-
-
-def test_morphology_and_edges():
-    mask = np.zeros((20, 24), bool)
-    mask[4:12, 5:15] = True
-    mask[16, 20] = True
-    opened = pixels.cleaned(mask.astype(float), 0.5, opening=3)
-    assert opened[6, 8] and not opened[16, 20] and not pixels.cleaned(mask.astype(float), 0.5, least=0.01)[16, 20]
-    assert (pixels.eroded(pixels.dilated(mask, 3), 3) >= mask).all() and (pixels.dilated(mask, 1) == mask).all()
-    step = np.zeros((16, 16))
-    step[:, 8:] = 100
-    found = pixels.edges_of(step, 50, 100)
-    assert found.any(axis=1).all() and not found[:, :6].any() and not found[:, 11:].any()
-    assert not pixels.edges_of(np.full((8, 8), 7.0), 1, 2).any()
-
-
-def test_periods_and_trends(spark):
-    x, periods = np.arange(60), np.arange(20, 101) / 10
-    rng = np.random.default_rng(0)
-    periodic = rng.poisson(np.exp(5 - x / 20) * (1 + 0.8 * np.cos(2 * np.pi * x / 3)))
-    period, p = pixels.periodicity(periodic, periods)
-    assert abs(period - 3) < 0.2 and p < 0.01
-    null = [pixels.periodicity(rng.poisson(np.exp(5 - x / 20)), periods, seed=k)[1] for k in range(30)]
-    assert np.mean(np.array(null) < 0.05) < 0.2
+def test_trends(spark):
     fit = stats.quadratic_trend(spark.createDataFrame([("g", float(k), 2.0 - 3 * k + 0.5 * k * k) for k in range(8)], "g string, x double, y double"), "g", "x", "y").first()
     assert (fit["a"], fit["b"], fit["c"]) == pytest.approx((2, -3, 0.5)) and fit["rss"] == pytest.approx(0, abs=1e-6)
 
@@ -172,24 +129,6 @@ def test_consensus():
     assert found[:40].all() and found[40:].sum() <= 2 and not pixels.consensus(a[:2], b[:2]).any()
 
 
-def test_maps_keep_their_contract():
-    assert pixels.evidence(np.zeros((4, 5), np.float32), (4, 5)).shape == (4, 5)
-    for bad in (np.zeros((4, 4)), np.full((4, 5), np.nan), np.full((4, 5), 2.0), np.zeros((4, 5), int)):
-        with pytest.raises(ValueError):
-            pixels.evidence(bad, (4, 5))
-
-
-def test_made_forgery_and_degradations():
-    rng = np.random.default_rng(5)
-    image, donor = rng.uniform(0, 255, (64, 80)), rng.uniform(0, 255, (64, 80))
-    made, mask = pixels.composite(image, donor, 3)
-    assert 0 < mask.mean() < 0.5 and (made[mask] == donor[mask]).all() and (made[~mask] == image[~mask]).all()
-    for how, amount in (("noise", 3), ("blur", 3), ("scale", 0.5), ("jpeg", 80)):
-        assert pixels.degraded(image, how, amount).shape == image.shape
-    with pytest.raises(ValueError):
-        pixels.degraded(image, "other", 1)
-
-
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 9)), min_size=1, max_size=40, unique=True))
 def test_running_sums(spark, rows):
@@ -258,12 +197,6 @@ def test_array_correlation_and_share(spark):
     assert df.select(stats.share_within(F.col("a"), F.slice("b", 1, 3), 0.1).alias("s")).first()["s"] is None
 
 
-def test_coordinate_sweep_adopts_clear_gains_only():
-    score = lambda p: {1: 0.5, 2: 0.501, 3: 0.6}[p["a"]] + (0.1 if p["b"] == p["c"] else 0)
-    best, record = models.coordinate_sweep(score, {"a": 1, "b": 0, "c": 1}, {"a": [1, 2], "b": [0, 5]}, {"b": lambda p: {"c": p["b"]}})
-    assert best == {"a": 1, "b": 0, "c": 0} and len(record) == 4
-
-
 def test_no_shared_folder_on_a_cluster(spark):
     class Conf:
         get = staticmethod(lambda *a: None)
@@ -397,3 +330,120 @@ def test_permutations_match_brute_force(spark):
     observed, n = sum(v for _, y, v in whole if y), sum(y for _, y, _ in whole)
     drawn = [sum(v for _, _, v in sorted(whole, key=lambda x: hashlib.md5(f"p|{i}|{x[0]}".encode()).hexdigest())[:n]) for i in range(20)]
     assert (r["observed"], r["n"], r["p"]) == (observed, 200, round((1 + sum(d >= observed for d in drawn)) / 21, 6))
+
+
+def test_areas_of_weights(spark, parts):
+    """Areas for many weights at once against one at a time; a hot score, scores that span batches, a replicate of one class, nulls."""
+    rng = np.random.default_rng(7)
+    n, w = 400, rng.integers(0, 4, (400, 6))
+    y, s = rng.integers(0, 2, n), np.where(rng.random(n) < 0.4, 3.0, rng.integers(0, 40, n))
+    w[y == 1, 5] = 0
+    rows = [(float(a), int(b), c.tolist()) for a, b, c in zip(s, y, w)] + [(None, 1, [1] * 6), (5.0, None, [1] * 6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    got = {r["r"]: r["auc"] for r in bootstrap.areas(spark.createDataFrame(rows, "s double, y int, w array<int>"), "y", "s", 6).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(5):
+        p, q = (np.repeat(s[y == c], w[y == c, k]) for c in (1, 0))
+        assert got[k] == pytest.approx(((p[:, None] > q).sum() + (p[:, None] == q).sum() / 2) / (len(p) * len(q)), abs=1e-6)
+    assert got[5] is None
+
+
+def test_statistics_that_merge(spark, parts):
+    """A statistic of a user's own, all replicates in one pass: the weighted mean agrees with bootstrap_mean."""
+    class Mean(bootstrap.Statistic):
+        def start(self, n):
+            return np.zeros(n), np.zeros(n)
+
+        def update(self, state, rows, w):
+            return state[0] + rows["v"].to_numpy(float) @ w, state[1] + w.sum(axis=0)
+
+        def merge(self, a, b):
+            return a[0] + b[0], a[1] + b[1]
+
+        def finish(self, state):
+            return np.where(state[1] > 0, state[0] / np.maximum(state[1], 1), np.nan)
+
+    df = spark.createDataFrame([(k % 13, float(k * k % 101)) for k in range(500)], "g long, v double")
+    a, b = bootstrap.bootstrap_of(df, "g", Mean(), ["v"], 30).first(), bootstrap.bootstrap_mean(df, "g", "v", 30).first()
+    assert a["replicates"] == 30 and all(a[c] == pytest.approx(b[c], abs=2e-6) for c in ("estimate", "low", "high"))
+    none = bootstrap.bootstrap_of(df, "g", bootstrap.Median("v"), ["v"], 5, "v < 0").first()
+    assert none["estimate"] is None and none["replicates"] == 0
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    """Parts that were committed before a failure stay; the next run builds the others in one scan; after that nothing is read."""
+    folder, df = str(tmp_path / "out"), spark.range(1000).repartition(4)
+    path = str(tmp_path / "in")
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    bad = lambda d: d.select("part", "id", F.when(F.col("part") == 11, F.raise_error(F.lit("killed"))).otherwise(1).cast("int").alias("run"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.resumable(spark, folder, df, "id", 12, lambda d: bad(d).where("part <> 11 or run > 0"))
+    first = sinks.committed(spark, folder)
+    assert 11 not in first
+    seen = []
+
+    def good(d):
+        out = d.select("part", "id", F.lit(2).alias("run"))
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    got = sinks.resumable(spark, folder, df, "id", 12, good)
+    rows = {r["id"]: (r["part"], r["run"]) for r in got.collect()}
+    assert len(rows) == 1000 == got.count() and all((run == 1) == (part in first) for part, run in rows.values())
+    assert len(seen) == 1 and seen[0].count("FileScan") == 1
+    assert sinks.resumable(spark, folder, df, "id", 12, good).count() == 1000 and len(seen) == 1
+
+
+def test_one_to_one_fails_on_either_side(spark):
+    one, twice = spark.createDataFrame([(1,), (2,), (None,), (None,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
+    assert tables.one_to_one(one, one, "k").count() == 2
+    for a, b in ((one, twice), (twice, one)):
+        with pytest.raises(Exception, match="repeat"):
+            tables.one_to_one(a, b, "k").collect()
+
+
+@pytest.mark.parametrize("how", ["nearest", "area", "linear"])
+def test_resizing_keeps_constants(spark, how):
+    flat = spark.createDataFrame([("g", y, x, 3.0) for y in range(5) for x in range(7)], "g string, y int, x int, v double")
+    got = grid.resized(flat, "g", (5, 7), (8, 9), how).collect()
+    assert len(got) == 72 and all(abs(r["v"] - 3) < 1e-12 for r in got)
+
+
+def test_morphology_against_brute_force(spark):
+    """Openings, closings and least areas of random masks, for all combinations, two grids at once."""
+    rng = np.random.default_rng(9)
+    h, w = 11, 13
+    masks = {g: rng.random((h, w)) < p for g, p in (("a", 0.75), ("b", 0.5))}
+    inside = lambda y, x: 0 <= y < h and 0 <= x < w
+
+    def spread(m, k):
+        return np.array([[any(inside(y + dy, x + dx) and m[y + dy, x + dx] for dy, dx in grid.disc(k)) for x in range(w)] for y in range(h)])
+
+    def shrunk(m, k):
+        return ~spread(~m, k)
+
+    def large(m, least):
+        left, out = {(y, x) for y in range(h) for x in range(w) if m[y, x]}, set()
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                y, x = todo.pop()
+                part.add((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            out |= part if len(part) >= least else set()
+        return out
+
+    cells = spark.createDataFrame([(g, y, x) for g in masks for y in range(h) for x in range(w)], "g string, y int, x int")
+    marked = spark.createDataFrame([(g, y, x) for g, m in masks.items() for y in range(h) for x in range(w) if m[y, x]], "g string, y int, x int")
+    got = {}
+    for r in grid.cleaned_masks(marked, cells, "g", [0, 1, 2], [0, 2], [1, 5]).collect():
+        got.setdefault((r["opening"], r["closing"], r["area"], r["g"]), set()).add((r["y"], r["x"]))
+    for g, m in masks.items():
+        for o in (0, 1, 2):
+            for c in (0, 2):
+                done = shrunk(spread(spread(shrunk(m, o), o), c), c)
+                for a in (1, 5):
+                    assert got.get((o, c, a, g), set()) == large(done, a)

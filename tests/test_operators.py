@@ -75,25 +75,6 @@ def test_jpeg_tables_and_round_trip():
     assert np.allclose(d @ d.T, np.eye(8))
 
 
-@pytest.mark.parametrize("name", list(arrays.REGISTRY))
-@pytest.mark.parametrize("shape", [(64, 80), (37, 53), (8, 8)])
-def test_modules_are_finite_and_deterministic(name, shape):
-    image = np.random.default_rng(0).integers(0, 256, shape).astype(float)
-    assert arrays.checked(arrays.REGISTRY[name](image)) == arrays.checked(arrays.REGISTRY[name](image.copy()))
-
-
-def test_copied_block_is_found():
-    image = np.random.default_rng(3).integers(0, 256, (96, 160)).astype(float)
-    assert arrays.REGISTRY["cm_block"](image)["local_votes"] == 0
-    image[40:80, 100:140] = image[8:48, 20:60]
-    assert arrays.REGISTRY["cm_block"](image)["local_votes"] > 3
-
-
-def test_bad_images_give_error_rows(spark):
-    df = spark.createDataFrame([(1, 8, 8, [1.0] * 64), (2, 8, 8, [1.0] * 3)], "id long, height int, width int, pixels array<double>")
-    assert [r["id"] for r in arrays.extract(df, ["noise"]).where("error is not null").collect()] == [2]
-
-
 def test_metadata_of_headers():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     assert tables.container_metadata(png)["width"] == 640

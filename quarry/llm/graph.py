@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import materialise, release
+from quarry.llm.shared import heavy_join, materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round, edges are drawn towards the smallest neighbour (large star),
     then towards the smallest label seen (small star), until nothing moves.
-    Every round is written to the shared folder.
+    Every round is written to the shared folder. A hub's neighbours stay where they
+    are: what it is told is broadcast (see heavy_join).
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         near = both(now)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = materialise(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = heavy_join(near, least, ["u"], "n").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large-star")
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select("b", "m").where("b <> m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").union(lower.select("a", F.col("m").alias("b"))).distinct()
+        lower = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
+        small = heavy_join(large, lower, ["a"], "n").select("b", "m").where("b <> m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").union(lower.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(small, "small-star")
         moved = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
-        release(now, large)
+        release(now, large, least, lower)
         now = after
         if not moved:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())

@@ -397,8 +397,8 @@ def linked(docs: DataFrame) -> DataFrame:
     # A set's number is given once, where the table is written, so no two sets share one.
     full = materialise(classes.join(reps, KEY).withColumn("cid", F.monotonically_increasing_id()), "classes")
     comps = materialise(components(candidate_edges(full)), "candidates")
-    sizes = comps.groupBy(F.col("label").alias("comp")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = comps.select(F.col("node").alias("cid"), F.col("label").alias("comp")).join(sizes, "comp").join(full.select("cid", "weight", *KEY), "cid")
+    sizes = materialise(comps.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
+    members = heavy_join(comps.select(F.col("node").alias("cid"), F.col("label").alias("comp")), sizes, ["comp"], "n").drop("n").join(full.select("cid", "weight", *KEY), "cid")
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     sets = with_sets(texts.join(members, KEY).select("cid", "comp", "blocks", "block", "weight", "text"))
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
@@ -407,8 +407,8 @@ def linked(docs: DataFrame) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = full.select("h1", "h2", "cid", "weight", "first_id").join(links, "cid", "left").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
     named = materialise(named.withColumn("label", F.coalesce("label", "cid")), "named")
-    firsts = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = materialise(named.join(firsts, "label").select("h1", "h2", "weight", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes-named")
+    firsts = materialise(named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")), "firsts")
+    named = materialise(heavy_join(named, firsts, ["label"], "n").select("h1", "h2", "weight", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes-named")
     out = heavy_join(rows.select("doc_id", *KEY, "h1", "h2"), named, ["h1", "h2"], "weight")
     release(comps, full, found)
     return out.select("doc_id", *KEY, "label", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))

@@ -8,7 +8,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.shared import cut_lineage, release
+from quarry.operators.shared import cut_lineage, heavy_join, release
 
 #: Values near a band's value that a row is dealt to, over all bands, at most.
 SPREAD = 512
@@ -74,21 +74,21 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Each round draws every node's neighbours to the smallest of them (large
     star), then the smaller ones to their smallest (small star): no node's label
-    becomes a key that a whole component is joined on. Every round is written;
-    it ends when no edge moves.
+    becomes a key that a whole component is joined on, and what a hub is told is
+    broadcast (see heavy_join). Every round is written; it ends when no edge moves.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     every = edges.select(F.col("a").alias("node")).union(edges.select("b")) if nodes is None else nodes.select("node")
     while True:
         near = both(now)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
+        least = cut_lineage(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = cut_lineage(heavy_join(near, least, "u", "n").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        lower = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = heavy_join(large, lower, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
         after = cut_lineage(small)
         moved = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
-        release(now)
+        release(now, least, large, lower)
         now = after
         if not moved:
             return every.distinct().join(now.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").select("node", F.coalesce("_root", "node").alias("root"))

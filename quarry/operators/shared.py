@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,21 @@ def release(*tables: DataFrame) -> None:
         if path := getattr(df, "_quarry_path", None):
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Keys of more than a thousandth of all rows are a thousand at most, so that many rows may be broadcast.
+HEAVY = 1000
+
+
+def heavy_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
+    """rows joined with keyed: a row a key, `weight` says how many of rows have it; a written table, as it is read three times.
+
+    Keys of more than 1 / HEAVY of the rows are broadcast, so their rows stay
+    where they are; the others are shuffled.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    heavy = keyed.where(F.col(weight) * HEAVY > total)
+    if total < HEAVY or heavy.isEmpty():
+        return rows.join(keyed, on)
+    rest = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(keyed.where(F.col(weight) * HEAVY <= total), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)

@@ -1,8 +1,9 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
 Method: a rule rejects a document whose measure is above a cutoff. In each
-stratum (language) the labelled good documents that pass the base are the
-holdout. A path of STEPS sets of cutoffs, one cutoff a rule in each, goes from
+stratum (language) the labelled good texts that pass the base are the holdout: a text is
+one document, however many copies of it are labelled, since the bound needs
+independent ones (near copies are not found here; take them out before). A path of STEPS sets of cutoffs, one cutoff a rule in each, goes from
 lenient to strict; it is shaped on other documents than the holdout, the good
 ones of all other strata (with one stratum only: on one half, and the other half
 is the holdout). A set is certified while the exact (Clopper-Pearson) upper bound
@@ -184,9 +185,10 @@ def certified(good: list[int], bad: list[int], alpha: float, error: float) -> in
 def certify(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """(stratum, cutoffs in the order of RULES) of the strata in which a set of cutoffs is certified."""
     verdicts = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality in (0, 1)")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-    held = measured.where(~base_failed()).join(verdicts, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", half, levels().alias("levels"))
-    held = materialise(held, "holdout")
+    half = F.pmod("k1", F.lit(2)).cast("int").alias("half")
+    rows = measured.where(~base_failed()).join(verdicts, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", "k1", "k2", levels().alias("levels"))
+    texts = rows.groupBy("stratum", "k1", "k2").agg(F.min("quality").alias("quality"), F.first("levels").alias("levels"))  # copies say nothing new
+    held = materialise(texts.select("stratum", "quality", half, "levels"), "holdout")
     names = F.array(*[F.lit(r) for r in RULES])
     good = held.where("quality = 1").select("stratum", "half", F.explode(F.arrays_zip(names.alias("rule"), F.col("levels").alias("level"))).alias("m"))
     counted = materialise(good.groupBy("stratum", "half", "m.rule", "m.level").agg(F.count("*").alias("n")), "levels")
@@ -215,6 +217,12 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float, delta: float)
     return materialise(paths.join(steps, "stratum").select("stratum", F.get("steps", F.col("step")).alias("cutoffs")), "cutoffs")
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and text, with 128 bits that tell texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "lang", "text", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+
+
 def joined(rows: DataFrame, strata: DataFrame, n: int) -> DataFrame:
     """rows with their stratum's row, if it has one."""
     return rows.join(F.broadcast(strata) if n <= BROADCAST else strata, "stratum", "left")
@@ -233,16 +241,16 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
 
     Needs doc_id, text and lang. A null or empty text has no words and fails.
     A null language is a stratum. A document with several labels is good only
-    if all of them say so; without labels nothing is certified and only the
+    if all of them say so, and so is a text with several documents; without labels nothing is certified and only the
     base rejects. Repeated rows are judged alike; an empty table gives no rows.
     """
-    measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
+    measured = materialise(with_measures(keyed_texts(docs)), "measures")
     return judged(measured, certify(measured, labels.select("doc_id", "quality"), alpha, delta))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that judge() keeps, with docs' columns; texts are measured again rather than shuffled."""
-    measured = materialise(with_measures(docs.select("doc_id", "lang", "text")), "measures")
+    """The rows of docs that judge() keeps, with docs' columns; texts are measured again rather than shuffled. An empty table stays empty."""
+    measured = materialise(with_measures(keyed_texts(docs)), "measures")
     cutoffs = certify(measured, labels.select("doc_id", "quality"), alpha, delta)
     release(measured)
     names = {c: c if c in ("doc_id", "text", "lang") else f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the measures' names

@@ -235,6 +235,22 @@ def test_quality_rejects_under_certified_cutoffs(spark):
     assert sum(not r["kept"] for r in alone) == 60
 
 
+def test_copies_certify_nothing(spark):
+    """500 copies of one good text are one document to the bound; 500 texts are enough. One copy labelled bad makes the text bad."""
+    words = [f"w{i}" for i in range(900)]
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice(words, 60))
+    one = text()
+    rows = [(i, "a", one if i < 500 else text()) for i in range(520)] + [(i, "b", text()) for i in range(1000, 1500)]
+    rows += [(2000 + i, "ab"[i % 2], text() + " #$%&" * 40) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i < 2000 and i != 17), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    measured = quality.with_measures(quality.keyed_texts(docs))
+    assert [r["stratum"] for r in quality.certify(measured, labels, 0.012, 0.05).collect()] == ["b"]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels, 0.012).collect()}
+    assert all(got[i] == (i < 2000 or i % 2 == 0) for i in got)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=30))
 def test_repeat_words(words):

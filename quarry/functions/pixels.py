@@ -1,4 +1,4 @@
-"""Images as arrays: PNG and BMP bytes, checks of uploads; affine consensus and nearest chains of points."""
+"""Images as arrays: PNG and BMP bytes, checks of uploads; affine consensus of points."""
 
 from __future__ import annotations
 
@@ -203,31 +203,6 @@ def consensus_by(pairs: DataFrame, by: list[str], within: float = 3.0, least: in
     return pairs.groupBy(*by).applyInPandas(one, schema)
 
 
-def nearest_chains(points: DataFrame, by: str, key: str, vector: str, ratio: float, k: int = 10) -> DataFrame:
-    """(by, a, b): of each vector's k nearest others in its group, those before the first whose distance isn't under `ratio` times the next one's.
-
-    A group is the descriptors of one image; distances are taken in blocks.
-    """
-    kinds = dict(points.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        v, keys, out = np.stack(rows[vector].to_list()).astype(float), rows[key].to_numpy(), []
-        square = (v * v).sum(axis=1)
-        for start in range(0, len(v), 512):
-            d = np.sqrt(np.maximum(square[start : start + 512, None] + square - 2 * v[start : start + 512] @ v.T, 0))
-            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            far = np.take_along_axis(d, near, axis=1)
-            passes = far[:, :-1] < ratio * np.maximum(far[:, 1:], 1e-6)
-            chain = np.cumprod(passes, axis=1).astype(bool) & np.isfinite(far[:, 1:])
-            i, j = np.nonzero(chain)
-            out.append(pd.DataFrame({"a": keys[start + i], "b": keys[near[i, j]]}))
-        return pd.concat(out).assign(**{by: rows[by].iloc[0]})[[by, "a", "b"]]
-
-    return points.groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, a {kinds[key]}, b {kinds[key]}")
-
-
 def vectors_as_images(df: DataFrame, vector: str, size: int = 8) -> DataFrame:
     """df with `content`: the PNG bytes of a vector of size x size, 60 grey levels a unit around 128."""
 

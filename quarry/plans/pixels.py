@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import pixels
-from quarry.operators import grid, order, selection
+from quarry.operators import grid, nearest, order, selection
 from quarry.plans.catalogue import query, sql
 from quarry.plans.evaluation import FULL
 from quarry.sources.tables import table
@@ -116,12 +116,20 @@ def affine_consensus(spark, sf_dir):
     return pixels.consensus_by(pairs, ["label"])
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings), d AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, array_distance(a.v, b.v) AS d FROM e a JOIN e b ON b.label = a.label AND b.vec_id <> a.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d), n AS (SELECT *, lead(d) OVER (PARTITION BY a ORDER BY k) AS next FROM r WHERE k <= 10), s AS (SELECT *, min(CASE WHEN next IS NULL OR d >= 0.97::DOUBLE * next THEN k END) OVER (PARTITION BY a) AS stop FROM n)
-SELECT label, a, b FROM s WHERE k < stop""")
+NEAREST = """e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, array_distance(a.v, b.v) AS d FROM e a JOIN e b ON b.vec_id <> a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d), n AS (SELECT * FROM r WHERE k <= 10)"""
+
+
+@query(f"WITH {NEAREST} SELECT a, b, CAST(k AS INTEGER) AS rank, round(d, 6) AS distance FROM n")
+def nearest_ten(spark, sf_dir):
+    """The ten nearest others of every vector, whatever its label."""
+    return nearest.k_nearest(vectors(spark, sf_dir), "vec_id", "embedding", 10).select("a", "b", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {NEAREST}, m AS (SELECT *, lead(d) OVER (PARTITION BY a ORDER BY k) AS next FROM n), s AS (SELECT *, min(CASE WHEN next IS NULL OR d >= 0.97::DOUBLE * next THEN k END) OVER (PARTITION BY a) AS stop FROM m)
+SELECT a, b FROM s WHERE k < stop""")
 def nearest_chains(spark, sf_dir):
-    """Of each vector's ten nearest others in its group, those before the first that isn't clearly nearer than the next."""
-    return pixels.nearest_chains(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.97)
+    """Of each vector's ten nearest others, those before the first that isn't clearly nearer than the next."""
+    return nearest.chains(nearest.k_nearest(vectors(spark, sf_dir), "vec_id", "embedding", 10), 0.97)
 
 
 @query(f"""WITH g AS ({LEVELS}), c AS (SELECT vec_id, g, count(*) AS n FROM g GROUP BY 1, 2), t AS (SELECT vec_id, g, n, sum(n) OVER (PARTITION BY vec_id ORDER BY g) AS up FROM c) SELECT vec_id, min(g) FILTER (WHERE up >= 32) AS middle FROM t GROUP BY 1""")

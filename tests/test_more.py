@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, names, pixels
-from quarry.operators import bootstrap, graph, grid, order, sampling, selection, shared, splits, stats
+from quarry.operators import bootstrap, graph, grid, nearest, order, sampling, selection, shared, splits, stats
 from quarry.plans.splits import require_rows
 from quarry.sources import sinks, tables
 from quarry.streaming import events
@@ -447,3 +447,25 @@ def test_morphology_against_brute_force(spark):
                 done = shrunk(spread(spread(shrunk(m, o), o), c), c)
                 for a in (1, 5):
                     assert got.get((o, c, a, g), set()) == large(done, a)
+
+
+@pytest.mark.parametrize("n, block, k", [(400, 30, 5), (400, 4096, 5), (3, 10, 5), (1, 10, 2), (0, 10, 2)])
+def test_nearest_against_brute_force(spark, monkeypatch, n, block, k):
+    """Clusters, copies of one row (ties go to the smaller key) and far rows; in tight clusters few pairs are compared."""
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(nearest, "PIVOTS", 12)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(8, 5)) * 100
+    rows = [(3 * i, (centres[i % 8] + rng.normal(size=5) * 0.1 if i % 4 else centres[0]).tolist()) for i in range(n)]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, [1.0, None])], "id long, v array<double>")
+    found = nearest.k_nearest(df, "id", "v", k).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["a"], r["rank"])):
+        got.setdefault(r["a"], []).append((r["b"], round(r["distance"], 9)))
+    v = np.array([x for _, x in rows]).reshape(n, 5)
+    for i, (key, own) in enumerate(rows):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        want = sorted((float(x), rows[j][0]) for j, x in enumerate(d) if j != i)[:k]
+        assert got.get(key, []) == [(b, round(x, 9)) for x, b in want]
+    if n == 400:
+        assert max(r["compared"] for r in found) < 0.6

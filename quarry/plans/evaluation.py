@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import bootstrap, graph, grid, models, stats
+from quarry.operators import bootstrap, explain, graph, grid, models, stats
 from quarry.operators.graph import array_correlation, hamming_pairs, mean_abs_difference
 from quarry.operators.shared import cut_lineage, new_path
 from quarry.plans.catalogue import CELLS, DRAWN, FACTS, PAIRS, PROB, cells, hashed, labelled, probabilities, query, scored
@@ -246,6 +246,33 @@ def feature_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, loss double")
 
 
+def explained(spark, sf_dir):
+    """Rows with a forest's score, and the contributions to it."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    d = cut_lineage(modelled(spark, sf_dir))
+    ready = VectorAssembler(inputCols=SMALL, outputCol="features").transform(models.balanced(d, "label"))
+    forest = models.RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=12, maxDepth=5, featureSubsetStrategy="sqrt", seed=42).fit(ready)
+    score = forest.transform(ready).select("doc_id", vector_to_array("probability")[1].alias("score"))
+    return score, explain.contributions(d, "doc_id", SMALL, explain.paths(explain.nodes(spark, forest)), 12)
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS off FROM labels JOIN documents USING (doc_id)")
+def contributions_add_up(spark, sf_dir):
+    """Of every row the contributions of its features and the expected score sum to the forest's score, to 1e-9."""
+    score, parts = explained(spark, sf_dir)
+    both = score.join(parts.groupBy("doc_id").agg(F.sum("value").alias("total")), "doc_id", "left")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.abs(F.col("score") - F.col("total")) > 1e-9, F.lit(True))).alias("off"))
+
+
+@query(None)
+def tree_contributions(spark, sf_dir):
+    """How much each feature moves the scores of a forest: mean absolute and largest contribution."""
+    parts = explained(spark, sf_dir)[1].where("feature is not null")
+    return parts.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("value")), 6).alias("mean"), F.round(F.max(F.abs("value")), 6).alias("most"))
+
+
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ, TRUE AS refused FROM labels JOIN documents USING (doc_id)")
 def model_roundtrip(spark, sf_dir):
     """A fitted model, saved and loaded, scores every row as before; other settings than it was fitted under are refused."""

@@ -16,6 +16,7 @@ RULES = {
     "nested_cv": lambda rows: 0 <= rows[0]["auc"] <= 1 and rows[0]["chosen"].count(",") == 2,
     "rbf_svm_auc": lambda rows: 0.5 < rows[0]["auc"] <= 1,
     "feature_ablations": lambda rows: [r["kind"] for r in rows] == ["all", "alone", "without", "alone", "without"],
+    "tree_contributions": lambda rows: {r["feature"] for r in rows} == {"n_chars", "n_words", "n_marks"} and all(0 < r["mean"] <= r["most"] < 1 for r in rows),
     "feature_importance": lambda rows: {r["feature"] for r in rows} == {"n_chars", "n_words", "n_marks"},
 }
 #: Expensive ones are left to the correctness run at the next scale.

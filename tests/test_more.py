@@ -469,3 +469,35 @@ def test_nearest_against_brute_force(spark, monkeypatch, n, block, k):
         assert got.get(key, []) == [(b, round(x, 9)) for x, b in want]
     if n == 400:
         assert max(r["compared"] for r in found) < 0.6
+
+
+def test_contributions_against_all_subsets(spark):
+    """Small made trees: Shapley values over all subsets of features, a feature split on twice, a tree of one leaf."""
+    from itertools import combinations
+
+    from quarry.operators import explain
+
+    trees = [
+        {0: (1, 2, 0, 5.0, 10.0, 0.5), 1: (3, 4, 1, 2.0, 6.0, 0.3), 2: (5, 6, 0, 8.0, 4.0, 0.8), 3: (-1, -1, -1, None, 4.0, 0.1), 4: (-1, -1, -1, None, 2.0, 0.7), 5: (-1, -1, -1, None, 1.0, 0.2), 6: (-1, -1, -1, None, 3.0, 1.0)},
+        {0: (1, 2, 2, 1.0, 10.0, 0.4), 1: (-1, -1, -1, None, 7.0, 0.25), 2: (-1, -1, -1, None, 3.0, 0.75)},
+        {0: (-1, -1, -1, None, 10.0, 0.6)},
+    ]
+    table = spark.createDataFrame([(t, i, *n) for t, tree in enumerate(trees) for i, n in tree.items()], "tree int, id int, left int, right int, feature int, threshold double, weight double, value double")
+    rows = [(k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate([(1, 1, 0), (5, 3, 2), (7, 2, 1), (9, 0, 5)])]
+    got = {(r["k"], r["feature"]): r["value"] for r in explain.contributions(spark.createDataFrame(rows, "k int, a double, b double, c double"), "k", ["a", "b", "c"], explain.paths(table), 3).collect()}
+
+    def expected(tree, x, known, i=0):
+        left, right, f, at, w, v = tree[i]
+        if left < 0:
+            return v
+        if f in known:
+            return expected(tree, x, known, left if x[f] <= at else right)
+        return sum(tree[j][4] / w * expected(tree, x, known, j) for j in (left, right))
+
+    for k, *x in rows:
+        score = lambda known, x=x: sum(expected(t, x, known) for t in trees) / 3
+        assert got[k, None] == pytest.approx(score(set()), abs=1e-12)
+        for f, name in enumerate("abc"):
+            rest = [g for g in range(3) if g != f]
+            want = sum((score({*s, f}) - score(set(s))) / (3 * (1 if len(s) in (0, 2) else 2)) for n in range(3) for s in combinations(rest, n))
+            assert got[k, name] == pytest.approx(want, abs=1e-12)

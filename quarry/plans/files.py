@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.functions import names, pixels
+from quarry.functions import arrays, names, pixels
 from quarry.operators.shared import new_path
 from quarry.plans.catalogue import query, sql
 from quarry.sources import sinks, tables
@@ -91,11 +93,11 @@ def mask_scan(spark, sf_dir):
     return pixels.masks(made, "content").select("vec_id", "mask_height", "mask_width", "mask_area")
 
 
-@query(f"SELECT vec_id, 3 AS n_channels, CAST(list_sum(list_transform(embedding, lambda x: {GREY})) AS BIGINT) AS total FROM (SELECT * FROM embeddings WHERE vec_id < 20)")
+@query(f"SELECT vec_id, 3 AS n_channels, CAST(list_sum(list_transform(embedding, lambda x: {GREY})) AS BIGINT) AS total FROM embeddings")
 def image_files(spark, sf_dir):
     """PNG files in a folder, read by Spark's image reader: each pixel is the one that was written."""
     path = new_path(spark, "images")
-    made = pixels.vectors_as_images(table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", "embedding"), "embedding")
+    made = pixels.vectors_as_images(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
 
     def put(batches):
         from pyarrow import fs
@@ -119,6 +121,32 @@ def image_files(spark, sf_dir):
     return read.select(number, F.lit(3).alias("n_channels"), F.floor(total("data") * F.lit(3) / F.col("n_channels") / 3).cast("long").alias("total"))
 
 
+@query("""SELECT CASE vec_id % 3 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'TIFF' ELSE 'PNG' END AS format, count(*) AS n, CAST(sum(label + 8) AS BIGINT) AS width, CAST(sum(vec_id) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS errors, TRUE AS few FROM embeddings GROUP BY 1""")
+def header_ranges(spark, sf_dir):
+    """A file of some 5 kB for each vector, in three formats, a TIFF's directory at its end; their headers are read by ranges, a twentieth of the bytes at most."""
+    path = new_path(spark, "headers")
+
+    def put(batches):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for i, label in zip(batch["vec_id"].tolist(), batch["label"].tolist()):
+                w, body = label + 8, bytes(5000)
+                tags = struct.pack("<HHHII", 2, 256, 3, 1, w) + struct.pack("<HHII", 257, 3, 1, 16)
+                content = [arrays.jpeg_header(75, w, 16) + body, b"II*\0" + struct.pack("<I", 5008) + body + tags, pixels.SIGNATURE + b"\0\0\0\rIHDR" + struct.pack(">II", w, 16) + b"\x08\0\0\0\0" + body][i % 3]
+                with system.open_output_stream(f"{at}/img{i}_{label}.{['jpg', 'tif', 'png'][i % 3]}") as f:
+                    f.write(content)
+            yield batch[["vec_id"]]
+
+    table(spark, sf_dir, "embeddings").select("vec_id", "label").mapInPandas(put, "vec_id long").agg(F.count("*")).collect()
+    read = tables.headers(spark, path, "img*_*", r"^img([0-9]+)_")
+    return read.groupBy("format").agg(
+        F.count("*").alias("n"), F.sum("width").alias("width"), F.sum(F.col("key").cast("long")).alias("keys"), F.count("error").alias("errors"),
+        (F.sum("bytes_read") * 20 < F.sum("file_bytes")).alias("few"))
+
+
 @query("""SELECT error, accepted, count(*) AS n FROM (SELECT CASE vec_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not readable: truncated' WHEN 2 THEN 'unknown format' WHEN 3 THEN 'sides must have 8 to 12000 pixels' ELSE 'unknown format' END AS error, vec_id % 5 = 0 AS accepted FROM embeddings) GROUP BY 1, 2""")
 def upload_checks(spark, sf_dir):
     """Whole images, truncated ones, texts, too small ones and empty files: each gets a verdict, none fails the job."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -185,3 +185,69 @@ def metadata(found: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in METADATA.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
     return found.select("path", "content").mapInPandas(run, METADATA)
+
+
+#: Bytes of a file that are read first; enough for the heads of PNG, BMP, GIF and WebP.
+FIRST = 32
+
+
+def head(read: Callable[[int, int], bytes]) -> bytes:
+    """What container_metadata() needs of a file, by ranges (from, length): the first bytes, then a TIFF's directory wherever it stands, or a JPEG's segments up to its frame, of which only tables and frames are read."""
+    start = read(0, FIRST)
+    if start[:4] in (b"II*\0", b"MM\0*"):
+        order = "<" if start[:2] == b"II" else ">"
+        at = struct.unpack(order + "I", start[4:8])[0]
+        n = read(at, 2)
+        return start[:4] + struct.pack(order + "I", 8) + n + read(at + 2, 12 * struct.unpack(order + "H", n)[0])
+    if start[:2] != b"\xff\xd8":
+        return start
+    out, at = [b"\xff\xd8"], 2
+    while True:
+        mark = start[at : at + 4] if at + 4 <= len(start) else read(at, 4)
+        if len(mark) < 4 or mark[0] != 0xFF or mark[1] == 0xDA:
+            return b"".join(out)
+        size = struct.unpack(">H", mark[2:])[0]
+        frame = 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC)
+        if frame or mark[1] == 0xDB:
+            out.append(mark + read(at + 4, size - 2))
+        if frame:
+            return b"".join(out)
+        at += 2 + size
+
+
+def headers(spark: SparkSession, path: str, glob: str, key: str) -> DataFrame:
+    """METADATA, key and bytes_read of the files under a path whose names match a glob: files are listed by Spark, and each is opened by Arrow for a few short ranges.
+
+    key: a pattern whose first group names a file; the job fails where a name
+    doesn't match or a key repeats. A bad file gets an error, not a failed job; empty
+    files are not listed.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    named = found.withColumn("key", F.when(name.rlike(key), F.regexp_extract(name, key, 1)).otherwise(F.raise_error(F.concat(F.lit("no key in "), name)).cast("string")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path, length, own in zip(batch["path"], batch["length"], batch["key"]):
+                system, at = fs.FileSystem.from_uri(path)
+                seen = 0
+                with system.open_input_file(at) as f:
+
+                    def read(start: int, n: int) -> bytes:
+                        nonlocal seen
+                        got = f.read_at(max(n, 0), start) if start < length else b""
+                        seen += len(got)
+                        return got
+
+                    try:
+                        m = container_metadata(head(read))
+                    except struct.error as e:
+                        m = container_metadata(b"") | {"error": f"bad header: {e}"}
+                pixels = (m["width"] or 0) * (m["height"] or 0)
+                rows.append({"path": path, **m, "file_bytes": length, "bytes_per_pixel": length / pixels if pixels else None, "key": own, "bytes_read": seen})
+            yield pd.DataFrame(rows, columns=[*(x.split()[0] for x in METADATA.split(", ")), "key", "bytes_read"]).astype({"width": "Int32", "height": "Int32"})
+
+    return unique_by(named, "key").mapInPandas(run, METADATA + ", key string, bytes_read long")

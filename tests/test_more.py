@@ -501,3 +501,23 @@ def test_contributions_against_all_subsets(spark):
             rest = [g for g in range(3) if g != f]
             want = sum((score({*s, f}) - score(set(s))) / (3 * (1 if len(s) in (0, 2) else 2)) for n in range(3) for s in combinations(rest, n))
             assert got[k, name] == pytest.approx(want, abs=1e-12)
+
+
+def test_header_ranges(spark, tmp_path):
+    """Headers by ranges agree with whole files; a bad file is an error row, a repeated or missing key fails the job."""
+    rng = np.random.default_rng(0)
+    tiff = lambda order, mark: mark + struct.pack(order + "I", 3008) + rng.bytes(3000) + struct.pack(order + "H", 2) + struct.pack(order + "HHI", 256, 4, 1) + struct.pack(order + "I", 70000) + struct.pack(order + "HHI", 257, 3, 1) + struct.pack(order + "HH", 9, 0)
+    jpeg = arrays.jpeg_header(60, 99, 33)
+    made = {"a_1.tif": tiff("<", b"II*\0"), "a_2.tif": tiff(">", b"MM\0*"), "a_3.jpg": jpeg[:2] + b"\xff\xe1" + (40000).to_bytes(2, "big") + rng.bytes(39998) + jpeg[2:] + rng.bytes(9000), "a_4.png": pixels.png(np.zeros((70, 9), np.uint8)), "a_5.bmp": b"text", "a_6.tif": b"II*\0\xff\xff\0\0", "a_7.gif": b"GIF8"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"].split("/")[-1]: r for r in tables.headers(spark, str(tmp_path), "a_*", r"a_([0-9]+)\.").collect()}
+    for name, content in made.items():
+        want, r = tables.container_metadata(content), got[name]
+        assert all(r[c] == want[c] for c in ("width", "height", "mode", "n_qtables", "qtable_luma_dc")) and (r["error"] is None) == (want["error"] is None)
+        assert r["file_bytes"] == len(content) and r["bytes_read"] <= 400 and r["key"] == name[2]
+    (tmp_path / "a_1.png").write_bytes(b"x")
+    with pytest.raises(Exception, match="repeat"):
+        tables.headers(spark, str(tmp_path), "a_*", r"a_([0-9]+)\.").collect()
+    with pytest.raises(Exception, match="no key"):
+        tables.headers(spark, str(tmp_path), "a_3*", r"b_([0-9]+)\.").collect()

@@ -483,8 +483,8 @@ def union_of(spans: list[bytes]) -> np.ndarray:
     return np.stack([x[at, 0], end[np.r_[at[1:], len(x)] - 1]], axis=1)
 
 
-def repeated(docs: DataFrame, how: Reading) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut). rows: doc_id, KEY, rid (a number of its own), n_bytes, sha256 of each document and whole (all of it repeats).
+def repeated(docs: DataFrame, how: Reading) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, cut, tables that cut alone needs). rows: doc_id, KEY, rid (a number of its own), n_bytes, n (symbols), sha256 of each document and whole (all of it repeats).
 
     cut: for each rid of which a part repeats, its text and spans, the lists of
     packed (from, to) symbols. Documents of equal text count as copies: if they
@@ -494,7 +494,7 @@ def repeated(docs: DataFrame, how: Reading) -> tuple[DataFrame, DataFrame]:
     rows = materialise(profile(own, how).withColumn("rid", F.monotonically_increasing_id()), "profiles")  # numbered once, as it is written
     many = materialise(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("one")).where("copies > 1"), "copies")
     marked = heavy_join(rows.select("doc_id", *KEY, "rid", "n_bytes", "n", "sha256"), many, ["k1", "k2"], "copies", "left")
-    light = marked.select("doc_id", *KEY, "rid", "n_bytes", "sha256", (F.col("copies").isNotNull() & (F.col("n") >= how.window)).alias("whole"))
+    light = marked.select("doc_id", *KEY, "rid", "n_bytes", "n", "sha256", (F.col("copies").isNotNull() & (F.col("n") >= how.window)).alias("whole"))
     fps = rows.select(F.explode(F.arrays_zip("fps", "times")).alias("f"), "k1").groupBy(F.col("f.fps").alias("fp")).agg(
         F.min("k1").alias("least"), F.max("k1").alias("most"), F.sum("f.times").alias("n"), F.max("f.times").alias("in_one"))
     shared = fps.where("least <> most or in_one > 1").select("fp", (F.col("n") > HOT).alias("hot"), "n")
@@ -515,7 +515,7 @@ def repeated(docs: DataFrame, how: Reading) -> tuple[DataFrame, DataFrame]:
         release(windows)
     partial = found.join(light.where("not whole").select("rid"), "rid", "left_semi")
     cut = texts.select("rid", "text").join(partial, "rid")
-    return light, cut
+    return light, cut, [texts, found]
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
@@ -527,14 +527,33 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def passage_words(docs: DataFrame) -> DataFrame:
+    """KEY and n_passage_words of the rows of which some units stand in passages of 50 or more that stand elsewhere too: how many do."""
+    light, cut, used = repeated(docs, UNITS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unions = [union_of(list(spans)) for spans in batch["spans"]]
+            yield pd.DataFrame({"rid": batch["rid"], "words": [int((u[:, 1] - u[:, 0]).sum()) for u in unions]})
+
+    parts = cut.select("rid", "spans").mapInPandas(run, "rid long, words long").dropDuplicates(["rid"])
+    words = F.when(F.col("whole"), F.col("n")).otherwise(F.col("words"))
+    out = light.join(parts, "rid", "left").where("whole or words is not null").groupBy(*KEY).agg(F.max(words).alias("n_passage_words"))
+    out = materialise(out, "passages")
+    release(*used)
+    return out
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words for every row.
 
     Removed is each byte that a string of 400 bytes covers which also starts
-    elsewhere, in this document or another. A null text is empty. Repeated rows
-    are copies of each other. An empty table gives no rows.
+    elsewhere, in this document or another. n_passage_words counts the words (of
+    long ones the pieces) in passages of 50 or more that stand elsewhere too,
+    however few their bytes; they are told, not removed. A null text is empty.
+    Repeated rows are copies of each other. An empty table gives no rows.
     """
-    light, cut = repeated(docs, BYTES)
+    light, cut, used = repeated(docs, BYTES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -545,14 +564,17 @@ def removed(docs: DataFrame) -> DataFrame:
                 out.append((rid, int((union[:, 1] - union[:, 0]).sum()), len(union), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["rid", "cut_bytes", "cut_spans", "cut_sha256"])
 
-    parts = cut.mapInPandas(run, "rid long, cut_bytes long, cut_spans long, cut_sha256 string").dropDuplicates(["rid"])
+    parts = materialise(cut.mapInPandas(run, "rid long, cut_bytes long, cut_spans long, cut_sha256 string").dropDuplicates(["rid"]), "parts")
+    release(*used)
+    words = passage_words(docs)
     whole = F.col("whole")
     nothing = hashlib.sha256(b"").hexdigest()
-    return light.join(parts, "rid", "left").select(
+    return light.join(parts, "rid", "left").join(words, KEY, "left").select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("cut_bytes", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("cut_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256"),
+        F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"),
     )
 
 
@@ -563,7 +585,7 @@ def without_repeats(docs: DataFrame, how: Reading = BYTES) -> DataFrame:
     which only a part is left goes too. A null text stays null; documents of equal
     text with a window or more have an empty one left. An empty table gives no rows.
     """
-    light, cut = repeated(docs, how)
+    light, cut, _ = repeated(docs, how)
 
     def in_bytes(data: bytes, spans: np.ndarray) -> np.ndarray:
         if how.kept == "u1":

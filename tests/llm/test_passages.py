@@ -5,11 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
 
-import corpus_pipeline
 from quarry.llm import queries, suffixes
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +61,17 @@ def test_passages(spark, monkeypatch, hot):
     check(spark, texts)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_words_in_passages_of_a_table(spark):
+    """op6's following column, over the whole table: units in runs of WORDS or more that start elsewhere too."""
+    rows = queries.table(spark, SF, "documents").collect()
+    split = [[(r["text"] or "").encode()[a:e] for a, e in units((r["text"] or "").encode())] for r in rows]
+    runs = Counter(tuple(w[i : i + WORDS]) for w in split for i in range(len(w) - WORDS + 1))
+    want = {r["doc_id"]: len({k for i in range(len(w) - WORDS + 1) if runs[tuple(w[i : i + WORDS])] > 1 for k in range(i, i + WORDS)}) for r, w in zip(rows, split)}
+    got = {r["doc_id"]: r["n_passage_words"] for r in queries.op6_suffix_dedup(spark, SF).collect()}
+    assert got == want and any(want.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_passages_of_a_table(spark):
     check(spark, [r["text"] for r in queries.table(spark, SF, "documents").orderBy("doc_id").collect()])

@@ -17,6 +17,8 @@ from quarry.operators.shared import cut_lineage
 
 #: Bins of the second round in each bin of the first, and bins looked into that are broadcast, at most (some 100 bytes each).
 FINE, FEW = 4096, 20_000
+#: Rows in all bins looked into up to which the second round is left out: their values are counted at once.
+DIRECT = 1_000_000
 #: First hex digits of a hash that are counted.
 DIGITS = 4
 
@@ -51,7 +53,7 @@ def at_places(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, Callabl
     """(by, names): for each name the value of its column at place(n) of the group's n values that are not null, from 0, smallest first.
 
     A place between two is interpolated. Groups without a value give no row, names
-    without one give null. df is read three times.
+    without one give null. df is read twice, or three times where many rows are near the places.
     """
     columns = sorted({c for c, _ in wanted.values()})
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
@@ -69,7 +71,10 @@ def at_places(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, Callabl
 
     done = ["_k", "_side", "_part", F.col("_lo").alias("_value")]
     found = first.where("_lo <=> _hi").select(*by, *done)
-    wide = first.where("not _lo <=> _hi")
+    wide, by_value = first.where("not _lo <=> _hi"), [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    if (wide.select(*keys, "_n").distinct().agg(F.sum("_n")).first()[0] or 0) <= DIRECT:
+        exact = looked_into(long, wide, keys, []).groupBy(*keys, "_v").agg(*by_value)
+        return _read(found.unionByName(narrowed(exact, wide, keys, "_v").select(*by, *done)), by, wanted)
     inside = looked_into(long, wide, keys, ["_lo", "_hi"])
     step = F.least(F.lit(FINE - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * FINE)).cast("int")
     fine = inside.withColumn("_f", step).groupBy(*keys, "_f").agg(*summary)
@@ -78,8 +83,12 @@ def at_places(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, Callabl
     found = found.unionByName(second.where("_lo <=> _hi").select(*by, *done))
     wide = second.where("not _lo <=> _hi")
     inside = looked_into(long, wide, keys, ["_f", "_lo", "_hi"]).where("_v between _lo and _hi")
-    exact = inside.groupBy(*keys, "_f", "_v").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    found = found.unionByName(narrowed(exact, wide, [*keys, "_f"], "_v").select(*by, *done))
+    exact = inside.groupBy(*keys, "_f", "_v").agg(*by_value)
+    return _read(found.unionByName(narrowed(exact, wide, [*keys, "_f"], "_v").select(*by, *done)), by, wanted)
+
+
+def _read(found: DataFrame, by: list[str], wanted: dict) -> DataFrame:
+    """Values at both sides of a place, interpolated, a column a name."""
 
     def value(k: int) -> Column:
         low, high, part = (F.max(F.when((F.col("_k") == k) & (F.col("_side") == s), F.col(c))) for s, c in ((0, "_value"), (1, "_value"), (0, "_part")))

@@ -285,10 +285,11 @@ def test_bins_follow_the_order(spark):
     assert bins == sorted(bins) and bins[-1] > bins[-2]
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_quantiles_by_histograms(spark, monkeypatch, few):
-    """Two columns and several groups against numpy: heavy ties, hard values, one value, nulls in values and groups; bins are broadcast or joined."""
+@pytest.mark.parametrize("few, direct", [(20_000, 10**6), (20_000, -1), (0, -1)])
+def test_quantiles_by_histograms(spark, monkeypatch, few, direct):
+    """Two columns and several groups against numpy: heavy ties, hard values, one value, nulls in values and groups; bins are broadcast or joined, in two or three rounds."""
     monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "DIRECT", direct)
     rng = np.random.default_rng(3)
     rows = [("many", float(v), float(w)) for v, w in zip(rng.normal(size=3000) * 1e3, rng.integers(0, 5, 3000))]
     rows += [("ties", 7.0 if k % 3 else float(v), None) for k, v in enumerate(rng.normal(size=301))] + [(None, 3.5, 1.0), (None, 4.5, None), ("none", None, None)]

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,27 +62,6 @@ def verdict(p: Column, band: float) -> Column:
     return F.when(p >= 0.5 + band / 2, "tampered").when(p <= 0.5 - band / 2, "authentic").otherwise("inconclusive")
 
 
-def fourier_features(df: DataFrame, features: list[str], out: str, width: int = 64, gamma: float = 0.5, seed: int = 42) -> DataFrame:
-    """df with `out`: seeded random cosine features of the standardised columns, whose products approximate the RBF kernel exp(-gamma d * d)."""
-    rng = np.random.default_rng(seed)
-    weights, phases = rng.normal(0, np.sqrt(2 * gamma), (width, len(features))), rng.uniform(0, 2 * np.pi, width)
-    stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.greatest(F.coalesce(F.stddev_pop(c), F.lit(0.0)), F.lit(1e-9)).alias("s")).alias(c) for c in features]).first()
-    scaled = [(F.col(c) - float(stats[c]["m"] or 0.0)) / float(stats[c]["s"]) for c in features]
-    waves = [F.cos(sum((F.lit(float(w)) * z for w, z in zip(row, scaled)), F.lit(float(p)))) * float(np.sqrt(2 / width)) for row, p in zip(weights, phases)]
-    return df.withColumn(out, array_to_vector(F.array(*waves)))
-
-
-def rbf_svm(df: DataFrame, features: list[str], fold: str, k: int) -> DataFrame:
-    """df with `score`: the margin of a balanced linear SVM on random Fourier features, out of fold. An approximation of the RBF kernel."""
-    ready = cut_lineage(fourier_features(balanced(df, "label"), features, "features"))
-    out = None
-    for f in range(k):
-        model = LinearSVC(labelCol="label", weightCol="weight", maxIter=30, regParam=0.01).fit(ready.where(F.col(fold) != f))
-        part = model.transform(ready.where(F.col(fold) == f)).select(*df.columns, F.round(vector_to_array("rawPrediction")[1], 6).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def area(df: DataFrame) -> float:
     return auc(df, "label", "score").first()["auc"] or 0.0
 
@@ -113,7 +91,7 @@ def ablations(df: DataFrame, groups: dict[str, list[str]], fold: str, k: int, ma
 
 
 def permutation_importance(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator], key: str) -> list[tuple[str, float]]:
-    """(feature, loss of area) when a feature's values are dealt round by hashed order in the scored folds; no tree SHAP."""
+    """(feature, loss of area) when a feature's values are dealt round by hashed order in the scored folds."""
     models = []
     ready = cut_lineage(balanced(df, "label"))
     assembler = VectorAssembler(inputCols=features, outputCol="features")

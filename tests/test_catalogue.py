@@ -20,7 +20,7 @@ RULES = {
     "feature_importance": lambda rows: {r["feature"] for r in rows} == {"n_chars", "n_words", "n_marks"},
 }
 #: Expensive ones are left to the correctness run at the next scale.
-SLOW = {"nested_cv", "feature_ablations", "feature_importance", "rbf_svm_auc"}
+SLOW = {"nested_cv", "feature_ablations", "feature_importance"}
 
 
 @pytest.fixture(scope="module")

@@ -522,3 +522,43 @@ def test_header_ranges(spark, tmp_path):
         tables.headers(spark, str(tmp_path), "a_*", r"a_([0-9]+)\.").collect()
     with pytest.raises(Exception, match="no key"):
         tables.headers(spark, str(tmp_path), "a_3*", r"b_([0-9]+)\.").collect()
+
+
+def exact_machine(x, y, c, gamma, penalty):
+    """Margins of the exact kernel machine with the same loss, by a general solver in the dual coordinates of all rows."""
+    from quarry.operators import kernel
+
+    k = kernel.kernel(x, x, gamma)
+    value, vector = np.linalg.eigh(k)
+    z = np.c_[vector[:, value > 1e-12] * np.sqrt(value[value > 1e-12]), np.ones(len(x))]
+    ridge = np.diag(np.r_[np.full(z.shape[1] - 1, penalty), 1e-9])
+    w = np.zeros(z.shape[1])
+    loss = lambda v: v @ ridge @ v + (c * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    for _ in range(200):
+        inside = 1 - y * (z @ w) > 0
+        target = np.linalg.solve((z[inside] * c[inside, None]).T @ z[inside] + ridge, z[inside].T @ (c * y)[inside])
+        step = next(s for s in 0.5 ** np.arange(30) if loss(w + s * (target - w)) <= loss(w) + 1e-12)
+        w = w + step * (target - w)
+    return z @ w
+
+
+def test_kernel_machine_against_the_exact_one(spark):
+    """All rows as landmarks: the exact machine's margins. A quarter of them: margins and area with a small gap. One row, none."""
+    from quarry.operators import kernel
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(160, 2))
+    y = np.where((x**2).sum(axis=1) + 0.3 * rng.normal(size=160) > 1.4, 1.0, -1.0)
+    c = np.where(y > 0, 1.5, 0.75)
+    df = spark.createDataFrame([(k, int(y[k] > 0), float(c[k]), *map(float, x[k])) for k in range(160)], "k int, label int, weight double, a double, b double")
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = exact_machine(scaled, y, c, 0.5, 1.0)
+    gap = {}
+    for n in (160, 40):
+        ready = shared.cut_lineage(kernel.with_landmarks(df, ["a", "b"], "k", n, 0.5))
+        got = np.array([r["score"] for r in kernel.scores(ready, kernel.fitted(ready, 1.0)).orderBy("k").collect()])
+        area = [(s[y > 0][:, None] > s[y < 0]).mean() for s in (got, want)]
+        gap[n] = np.abs(got - want).max(), abs(area[0] - area[1])
+    assert gap[160][0] < 1e-5 and gap[40][0] < 0.1 and gap[40][1] < 0.005
+    assert kernel.fitted(kernel.with_landmarks(df.where("k = 1"), ["a", "b"], "k", 5, 0.5), 1.0).shape == (2,)
+    assert kernel.fitted(kernel.with_landmarks(df.limit(0), ["a", "b"], "k", 5, 0.5), 1.0).shape == (0,)

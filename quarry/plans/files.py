@@ -175,6 +175,17 @@ def fingerprint_cache(spark, sf_dir):
     return out.withColumn("builds", F.lit(len(calls)))
 
 
+@query("SELECT s_suppkey, s_acctbal + 1 AS balance, CAST(2 AS INTEGER) AS version FROM supplier")
+def published_versions(spark, sf_dir):
+    """A table is published, then again with other values; what is read is the second, and the first is swept."""
+    path = new_path(spark, "published")
+    for k in (0, 1):
+        sinks.publish(table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + k).alias("balance")), path)
+    found = sinks.published(spark, path)
+    sinks.sweep(spark, path)
+    return spark.read.parquet(found).withColumn("version", F.lit(int(found.rsplit("/", 1)[1].split("-")[1])))
+
+
 @query("SELECT p_partkey, p_size * 2 AS twice FROM part")
 def resumable_parts(spark, sf_dir):
     """Four hash parts; the second call finds them all written."""

@@ -62,6 +62,45 @@ def replace(spark: SparkSession, new: str, path: str) -> None:
         fs.delete(old, True)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions under a path, oldest first: those whose job ended, as its _SUCCESS tells."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
+def publish(df: DataFrame, path: str, format: str = "parquet", **options: object) -> str:
+    """Write df as a new version under a path, and return its folder. Nothing is moved or overwritten.
+
+    A version is there from the moment its _SUCCESS is: one small file, in any
+    store. Readers of published() have the old table until then and the new one
+    after it; a job that fails, or a driver that dies, leaves the old one.
+    """
+    spark = df.sparkSession
+    last = [int(v.rsplit("/", 1)[1].split("-")[1]) for v in versions(spark, path)]
+    folder = f"{path}/v-{max(last, default=0) + 1:012d}-{uuid.uuid4().hex}"
+    df.write.format(format).options(**options).save(folder)
+    return folder
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete version."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no complete version")
+    return found[-1]
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Delete all versions older than the newest, when nothing reads them any more; incomplete newer ones stay."""
+    newest = published(spark, path).rsplit("/", 1)[1]
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-*")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(at):
+        if f.getPath().getName() < newest:
+            fs.delete(f.getPath(), True)
+
+
 def npz(arrays: dict[str, np.ndarray]) -> bytes:
     """Named arrays as the bytes of a compressed .npz file."""
     out = io.BytesIO()

@@ -562,3 +562,19 @@ def test_kernel_machine_against_the_exact_one(spark):
     assert gap[160][0] < 1e-5 and gap[40][0] < 0.1 and gap[40][1] < 0.005
     assert kernel.fitted(kernel.with_landmarks(df.where("k = 1"), ["a", "b"], "k", 5, 0.5), 1.0).shape == (2,)
     assert kernel.fitted(kernel.with_landmarks(df.limit(0), ["a", "b"], "k", 5, 0.5), 1.0).shape == (0,)
+
+
+def test_published_versions(spark, tmp_path):
+    """A reader has the old table until the new one is complete; a failed job leaves the old one; sweeping keeps the newest."""
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, path)
+    first = sinks.publish(spark.range(3), path)
+    reader = spark.read.parquet(sinks.published(spark, path))
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish(spark.range(5).select(F.raise_error(F.lit("broken"))), path)
+    assert sinks.published(spark, path).endswith(first.rsplit("/", 1)[1]) and reader.count() == 3
+    sinks.publish(spark.range(7), path)
+    assert spark.read.parquet(sinks.published(spark, path)).count() == 7 and reader.count() == 3 and len(sinks.versions(spark, path)) == 2
+    sinks.sweep(spark, path)
+    assert len(sinks.versions(spark, path)) == 1 and spark.read.parquet(sinks.published(spark, path)).count() == 7

@@ -48,78 +48,104 @@ NOTICES = {
 }
 
 
-def templates() -> list[tuple[str, bool, list[str]]]:
-    """(label, whether all words are needed in order, words), one for each phrase and notice."""
-    return [(label, True, p.split()) for p, label in PHRASES.items()] + [(label, False, p.split()) for label, p in NOTICES.items()]
+#: Words of all templates together, at most: their k-grams are broadcast and each task knows them.
+MOST_WORDS = 200_000
 
 
-VOCABULARY = {w: i for i, w in enumerate(sorted({w for _, _, words in templates() for w in words}), 1)}
-BASE = len(VOCABULARY) + 1
+class Templates:
+    """Phrases, all words of which are needed in order, and notices, as (label, phrase?, words); their vocabulary; and how k-grams are numbered."""
 
+    def __init__(self, notices: list[tuple[str, str]]):
+        given = [(label, words) for label, text in notices if (words := WORDS.findall((text or "").translate(LOWER)))]
+        self.all = [(label, True, p.split()) for p, label in PHRASES.items()] + [(label, False, words) for label, words in given]
+        if (n := sum(len(words) for _, _, words in self.all)) > MOST_WORDS:
+            raise ValueError(f"templates have {n} words; {MOST_WORDS} are the most that is broadcast")
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, _, words in self.all for w in words}), 1)}
+        self.base = len(self.vocabulary) + 1
+        self.kind = np.dtype(np.int32 if self.base**K < 2**31 else np.int64)  # MOST_WORDS ** 3 fits
 
-def grams(ids: np.ndarray) -> np.ndarray:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        known = self.vocabulary.get
+        return np.array([known(w, 0) for w in words], self.kind)
+
+
+BUILT_IN = Templates(list(NOTICES.items()))
+
+
+def given(notices: DataFrame) -> Templates:
+    """Templates of a table (label, text), read as documents are; null labels and texts without words are left out. The table is counted before it comes to the driver."""
+    rows = notices.where("label is not null and text is not null").select(F.col("label").cast("string").alias("label"), "text")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if size["n"] > MOST_WORDS or (size["chars"] or 0) > 64 * MOST_WORDS:
+        raise ValueError(f"{size['n']} templates of {size['chars']} characters are more than is broadcast")
+    return Templates(sorted({(r["label"], r["text"]) for r in rows.collect()}))
+
+
+def grams(ids: np.ndarray, t: Templates = BUILT_IN) -> np.ndarray:
     """All rolling k-grams, one exact number each."""
     if len(ids) < K:
-        return np.zeros(0, np.int32)
-    code = np.zeros(len(ids) - K + 1, np.int32)
+        return np.zeros(0, t.kind)
+    code = np.zeros(len(ids) - K + 1, t.kind)
     for j in range(K):
-        code = code * BASE + ids[j : len(ids) - K + 1 + j]
-    return code.astype(np.int32)
+        code = code * t.base + ids[j : len(ids) - K + 1 + j]
+    return code.astype(t.kind)
 
 
-def words_in(codes: np.ndarray) -> np.ndarray:
+def words_in(codes: np.ndarray, t: Templates = BUILT_IN) -> np.ndarray:
     """The words' numbers, back from all k-grams."""
     if not len(codes):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, t.kind)
     last = codes[-1]
-    return np.r_[codes // BASE ** (K - 1), [last // BASE ** (K - 1 - j) % BASE for j in range(1, K)]]
+    return np.r_[codes // t.base ** (K - 1), [last // t.base ** (K - 1 - j) % t.base for j in range(1, K)]]
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
+def template_grams(spark: SparkSession, t: Templates) -> DataFrame:
     rows = []
-    for t, (_, _, words) in enumerate(templates()):
-        rows += [(int(c), t, a) for a, c in enumerate(grams(np.array([VOCABULARY[w] for w in words], np.int32)))]
-    return spark.createDataFrame(rows, "gram int, template int, template_at int")
+    for k, (_, _, words) in enumerate(t.all):
+        rows += [(int(c), k, a) for a, c in enumerate(grams(t.numbers(words), t))]
+    return spark.createDataFrame(rows, f"gram {SQL_TYPE[t.kind.itemsize]}, template int, template_at int")
+
+
+SQL_TYPE = {4: "int", 8: "long"}
 
 
-def document_grams(docs: DataFrame) -> DataFrame:
+def document_grams(docs: DataFrame, t: Templates) -> DataFrame:
     """row (a number of its own), doc_id, n_words, and all rolling k-grams of each document, written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = (TaskContext.get().partitionId() << 33) - 1
-        known = VOCABULARY.get
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([known(w, 0) for w in WORDS.findall(text.translate(LOWER))], np.int32)
+                ids = t.numbers(WORDS.findall(text.translate(LOWER)))
                 row += 1
-                out.append((row, doc_id, len(ids), grams(ids)))
+                out.append((row, doc_id, len(ids), grams(ids, t)))
             yield pd.DataFrame(out, columns=["row", "doc_id", "n_words", "grams"]).astype({"doc_id": "Int64"})
 
-    return materialise(whole_texts(docs).mapInPandas(run, "row long, doc_id long, n_words long, grams array<int>"), "grams")
+    return materialise(whole_texts(docs).mapInPandas(run, f"row long, doc_id long, n_words long, grams array<{SQL_TYPE[t.kind.itemsize]}>"), "grams")
 
 
-def diagonals(written: DataFrame) -> DataFrame:
+def diagonals(written: DataFrame, t: Templates) -> DataFrame:
     """A row for each document, template and diagonal with a vote: votes (a template place votes once)."""
     rows = written.select("row", F.posexplode("grams").alias("at", "gram"))
-    hits = rows.join(F.broadcast(template_grams(written.sparkSession)), "gram")  # fixed: a row for each k-gram of the templates above
+    hits = rows.join(F.broadcast(template_grams(written.sparkSession, t)), "gram")  # MOST_WORDS rows at most
     return hits.groupBy("row", "template", (F.col("at") - F.col("template_at")).alias("diagonal")).agg(F.count("*").alias("votes"))
 
 
-def candidates(found: DataFrame) -> DataFrame:
+def candidates(found: DataFrame, t: Templates) -> DataFrame:
     """For each document the peaks (template, diagonal) of merged diagonals with votes enough for a notice.
 
     A word that differs costs K votes at most, so a notice of n words of which
     SHARE stand there in order keeps n - K + 1 - K * (1 - SHARE) * n votes.
     """
-    notice = {t: len(words) for t, (_, phrase, words) in enumerate(templates()) if not phrase}
-    least = F.element_at(F.create_map(*[F.lit(x) for t, n in notice.items() for x in (t, max(1, int(n - K + 1 - K * (1 - SHARE) * n)))]), F.col("template"))
+    rows = [(k, max(1, int(len(words) - K + 1 - K * (1 - SHARE) * len(words)))) for k, (_, phrase, words) in enumerate(t.all) if not phrase]
+    notices = found.sparkSession.createDataFrame(rows, "template int, least int")
     w = Window.partitionBy("row", "template").orderBy("diagonal")
     near = w.rangeBetween(-SLACK, SLACK)
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > SLACK, F.lit(True))
-    merged = found.where(F.col("template").isin(*notice)).withColumn("most", F.max("votes").over(near)).withColumn("span", F.sum(apart.cast("int")).over(w))
-    peaks = merged.groupBy("row", "template", "span").agg(F.sum("votes").alias("votes"), F.collect_list(F.when(F.col("votes") == F.col("most"), F.col("diagonal"))).alias("peaks"))
-    peaks = peaks.where(F.col("votes") >= least).groupBy("row").agg(F.collect_list(F.struct("template", "peaks")).alias("spans"))
+    merged = found.join(F.broadcast(notices), "template").withColumn("most", F.max("votes").over(near)).withColumn("span", F.sum(apart.cast("int")).over(w))
+    peaks = merged.groupBy("row", "template", "span").agg(F.sum("votes").alias("votes"), F.first("least").alias("least"), F.collect_list(F.when(F.col("votes") == F.col("most"), F.col("diagonal"))).alias("peaks"))
+    peaks = peaks.where("votes >= least").groupBy("row").agg(F.collect_list(F.struct("template", "peaks")).alias("spans"))
     return peaks
 
 
@@ -143,11 +169,11 @@ def aligned(notice: list[int], words: list[int]) -> tuple[int, int, int]:
     return len(places), places[-1] if places else 0, places[0] if places else 0
 
 
-def verified(ids: np.ndarray, spans: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, float]]:
+def verified(ids: np.ndarray, spans: list[tuple[int, list[int]]], of: Templates = BUILT_IN) -> list[tuple[int, int, int, float]]:
     """(template, first word, last word, share) of the spans that hold; none overlaps a better one."""
     found = set()
     for t, peaks in spans:
-        notice = [VOCABULARY[w] for w in templates()[t][2]]
+        notice = of.numbers(of.all[t][2]).tolist()
         for d in peaks:
             start = max(0, d - SLACK)
             n, first, last = aligned(notice, ids[start : max(0, d + len(notice) + SLACK)].tolist())
@@ -160,32 +186,37 @@ def verified(ids: np.ndarray, spans: list[tuple[int, list[int]]]) -> list[tuple[
     return out
 
 
-def notices(written: DataFrame, found: DataFrame) -> DataFrame:
+def notices(written: DataFrame, found: DataFrame, t: Templates) -> DataFrame:
     """row, template, first_word, last_word and share of each verified span of a notice."""
-    todo = written.select("row", "grams").join(candidates(found), "row")
+    todo = written.select("row", "grams").join(candidates(found, t), "row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(row, *s) for row, codes, spans in zip(batch["row"], batch["grams"], batch["spans"]) for s in verified(words_in(np.asarray(codes)), [(s["template"], [int(d) for d in s["peaks"]]) for s in spans])]
+            rows = [(row, *s) for row, codes, spans in zip(batch["row"], batch["grams"], batch["spans"]) for s in verified(words_in(np.asarray(codes), t), [(s["template"], [int(d) for d in s["peaks"]]) for s in spans], t)]
             yield pd.DataFrame(rows, columns=["row", "template", "first_word", "last_word", "share"])
 
     return todo.mapInPandas(run, "row long, template int, first_word long, last_word long, share double")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score, a row for each document.
 
     A null text is empty: no words, no labels, score 0. Repeated rows are
     scanned once each; a null doc_id is carried; an empty table gives no rows.
-    score: the largest share of a verified span, 1 with a base label.
+    score: the largest share of a verified span, 1 with a base label. templates:
+    a table (label, text) of notices to look for instead of NOTICES, of MOST_WORDS
+    words at most; the phrases of the base labels stay. Aligning a span takes time
+    with the square of its notice's length.
     """
-    written = document_grams(docs)
-    found = materialise(diagonals(written), "diagonals")
-    label = F.element_at(F.array(*[F.lit(name) for name, _, _ in templates()]), F.col("template") + 1)
-    whole = {t: len(words) - K + 1 for t, (_, phrase, words) in enumerate(templates()) if phrase}
-    base = found.where(F.coalesce(*[F.when(F.col("template") == t, F.col("votes") == n) for t, n in whole.items()], F.lit(False)))
-    spans = base.select("row", label.alias("label"), F.col("diagonal").alias("at"), F.lit(1.0).alias("share")).unionByName(
-        notices(written, found).select("row", label.alias("label"), F.lit(None).cast("int").alias("at"), "share"))
+    t = BUILT_IN if templates is None else given(templates)
+    written = document_grams(docs, t)
+    found = materialise(diagonals(written, t), "diagonals")
+    whole = {k: len(words) - K + 1 for k, (_, phrase, words) in enumerate(t.all) if phrase}
+    labels = F.broadcast(docs.sparkSession.createDataFrame([(k, name) for k, (name, _, _) in enumerate(t.all)], "template int, label string"))
+    base = found.where(F.coalesce(*[F.when(F.col("template") == k, F.col("votes") == n) for k, n in whole.items()], F.lit(False)))
+    spans = base.select("row", "template", F.col("diagonal").alias("at"), F.lit(1.0).alias("share")).unionByName(
+        notices(written, found, t).select("row", "template", F.lit(None).cast("int").alias("at"), "share"))
+    spans = spans.join(labels, "template")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     per = spans.groupBy("row").agg(
         F.count("at").alias("n_base"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"),

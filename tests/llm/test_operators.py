@@ -168,6 +168,34 @@ def test_notices(spark):
     assert all(r["score"] == (1 if r["base_labels"] else r["score"]) and 0 <= r["score"] <= 1 for r in got.values()) and got[3]["score"] == 1
 
 
+def test_notices_of_a_table(spark, awkward):
+    """Notices given as a table: long ones of a vocabulary whose k-grams need 64 bits; the built-in ones again; none; null rows; too many words."""
+    rng = np.random.default_rng(5)
+    made = {f"own-{k}": " ".join(f"t{x}" for x in rng.integers(0, 3000, n)) for k, n in enumerate((700, 600, 900, 12))}
+    table = spark.createDataFrame([*made.items(), (None, "a b c d"), ("none", None), ("none", "!!")], "label string, text string")
+    t = licenses.given(table)
+    assert t.kind == np.int64 and licenses.BUILT_IN.kind == np.int32
+    ids = t.numbers(made["own-0"].split())
+    assert licenses.words_in(licenses.grams(ids, t), t).tolist() == ids.tolist() and ids.min() > 0
+    rows, want = [(0, "under the MIT license"), (1, licenses.NOTICES["bsd"]), (2, None)], {0: "mit", 1: "", 2: ""}
+    for name, text in made.items():
+        words = text.split()
+        changed = [w if k % 12 else "other" for k, w in enumerate(words)]
+        for own, label in ((words, name), (changed, name), (words[: len(words) // 2], "")):
+            want[len(rows)] = label
+            rows.append((len(rows), f"before it {' '.join(own).upper()} after it"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, table).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == want
+    assert got[0]["base_labels"] == "mit" and got[0]["score"] == 1 and all(0.8 <= got[i]["score"] <= 1 for i, x in want.items() if x.startswith("own"))
+    same = spark.createDataFrame(list(licenses.NOTICES.items()), "label string, text string")
+    key = lambda r: str(r)
+    assert sorted(licenses.scan(awkward, same).collect(), key=key) == sorted(licenses.scan(awkward).collect(), key=key)
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, table.limit(0)).collect()}[0] == "mit"
+    with pytest.raises(ValueError):
+        licenses.given(spark.createDataFrame([("x", "w " * (licenses.MOST_WORDS + 1))], "label string, text string"))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(0, 4), max_size=14))
 def test_alignment(notice, words):

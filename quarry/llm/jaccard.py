@@ -415,7 +415,10 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, also where classes share a class_id: one whose doc_id names it (of rows that repeat, one)."""
+    """docs with one document of each class, also where classes share a class_id: one whose doc_id names it (of rows that repeat, one).
+
+    A null text is empty, and all empty texts are one class. An empty table stays empty.
+    """
     found = linked(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct(*KEY)).alias("one")).select("one.*")
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # docs may have columns of the key's names

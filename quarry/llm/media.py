@@ -167,6 +167,7 @@ def compacted(written: DataFrame) -> DataFrame:
 
     put() stores a chunk once in each task that meets it; this drops the other
     copies, at the price of reading the store once. The old files may go then.
+    Nulls and repeated rows are as in stored(); an empty table gives no rows.
     """
     chunks = chunk_lists(written)
     best = canonical(chunks)
@@ -208,7 +209,7 @@ def compacted(written: DataFrame) -> DataFrame:
 
 
 def store_report(written: DataFrame) -> DataFrame:
-    """One row: chunks of the media, distinct digests, bytes of the distinct ones and bytes that other tasks stored again."""
+    """One row: chunks of the media, distinct digests, bytes of the distinct ones and bytes that other tasks stored again; zeros for an empty table."""
     placed = written.select(F.explode(F.arrays_zip("digests", "places")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
     stored = placed.groupBy("digest", "place.archive", "place.offset", "place.inside").agg(F.max("place.n").alias("n"), F.count("*").alias("uses"))
     per = stored.groupBy("digest").agg(F.sum("n").alias("all"), F.max("n").alias("one"), F.sum("uses").alias("uses"))

@@ -535,7 +535,10 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_spans(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, and for each id the bytes of the source text that it stands for (array of from and to)."""
+    """doc_id, ids, and for each id the bytes of the source text that it stands for (array of from and to).
+
+    A null or empty text has no ids; repeated rows are rows of their own; an empty table gives no rows.
+    """
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = piece_model(model)

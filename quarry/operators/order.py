@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators.shared import cut_lineage
 
+#: Rows of a part, about, at most: a task sorts one and holds it in windows.
+PART = 1 << 18
+
 
 @dataclass(frozen=True)
 class State:
@@ -63,10 +66,10 @@ def holder(value: str, payload: str) -> State:
 class Dealt:
     """Rows in parts by ranges of (by, order); rows must be unique in it."""
 
-    def __init__(self, rows: DataFrame, order: list[str], by: tuple[str, ...], spread: bool = False):
+    def __init__(self, rows: DataFrame, order: list[str], by: tuple[str, ...], spread: bool = False, parts: int | None = None):
         self.order, self.by = order, by
-        #: Windows and groups by part (and more) need no further exchange.
-        self.parts = rows if spread else rows.repartitionByRange("_part")
+        #: Windows and groups by part (and more) need no further exchange. Of a known number of parts each gets a task: bounds at every third of one leave no two together.
+        self.parts = rows if spread else rows.repartitionByRange(3 * parts, "_part") if parts else rows.repartitionByRange("_part")
 
     @property
     def rows(self) -> DataFrame:
@@ -95,32 +98,33 @@ class Dealt:
     def ahead(self, k: int, out: str, row: Column) -> Dealt:
         """With an array `out` of `row` of the next k rows of the group (fewer at its end).
 
-        A part gets the first k rows behind its end as a halo: of the next part, or of
-        more where that has fewer.
+        The last k rows of a part look among the first and last k rows of all parts,
+        which are few; all others find theirs in the part.
         """
         part, columns = Window.partitionBy("_part").orderBy(*self.by, *self.order), self.parts.columns
-        sizes = self.parts.groupBy("_part").agg(F.count("*").alias("_n"))
-        along = Window.orderBy("_part")  # a row a part
-        sizes = sizes.select("_part", F.row_number().over(along).alias("_rank"), F.sum("_n").over(along).alias("_end"), (F.sum("_n").over(along) - F.col("_n")).alias("_start"))
-        heads = self.parts.withColumn("_at", F.row_number().over(part) - 1).where(F.col("_at") < k)
-        placed = heads.join(F.broadcast(sizes), "_part").withColumn("_to", F.explode(F.sequence(F.col("_rank") - k, F.col("_rank") - 1)))
-        ends = sizes.select(F.col("_part").alias("_p"), F.col("_rank").alias("_to"), F.col("_end").alias("_stop"))
-        halo = placed.join(F.broadcast(ends), "_to").where(F.col("_start") + F.col("_at") < F.col("_stop") + k)
-        halo = halo.withColumn("_part", F.col("_p")).select(*columns, F.lit(True).alias("_halo"))
-        both = self.parts.withColumn("_halo", F.lit(False)).unionByName(halo).repartitionByRange("_part")
-        window = Window.partitionBy("_part", *self.by).orderBy(*self.order)
-        near = F.array_compact(F.array(*[F.lead(row, d).over(window) for d in range(1, k + 1)]))
-        return Dealt(both.withColumn(out, near).where("not _halo").drop("_halo"), self.order, self.by, True)
+        near = lambda window: F.array_compact(F.array(*[F.lead(row, d).over(window) for d in range(1, k + 1)]))
+        placed = self.parts.withColumn("_at", F.row_number().over(part)).withColumn("_last", F.lead(F.lit(1), k).over(part).isNull())
+        edges = placed.where((F.col("_at") <= k) | F.col("_last")).withColumn("_over", near(Window.partitionBy(*self.by).orderBy(*self.order))).where("_last")
+        over = edges.select(F.col("_part").alias("_p"), F.col("_at").alias("_a"), "_over")  # k rows a part at most
+        inside = placed.withColumn(out, near(Window.partitionBy("_part", *self.by).orderBy(*self.order)))
+        both = inside.join(F.broadcast(over), (F.col("_part") == F.col("_p")) & (F.col("_at") == F.col("_a")), "left")
+        return Dealt(both.select(*columns, F.coalesce("_over", out).alias(out)), self.order, self.by, True)
 
 
 def deal(df: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> Dealt:
-    """Rows dealt by ranges and written once, since later steps must see the same ranges."""
-    return Dealt(cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())), order, by)
+    """Rows dealt by ranges and written once, since later steps must see the same ranges. They are counted, and a part has about PART of them at most."""
+    n = df.count()
+    return _dealt(df, order, by, max(-(-n // PART), df.sparkSession.sparkContext.defaultParallelism) if n > PART else None)
+
+
+def _dealt(df: DataFrame, order: list[str], by: tuple[str, ...], parts: int | None = None) -> Dealt:
+    ranges = df.repartitionByRange(parts, *by, *order) if parts else df.repartitionByRange(*by, *order)
+    return Dealt(cut_lineage(ranges.withColumn("_part", F.spark_partition_id())), order, by, parts=parts)
 
 
 def with_running(df: DataFrame, order: list[str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
     """df with, for each name in sums, the sum of its column over rows of the group that stand before this one."""
-    return deal(df, order, by).scan({n: total(c) for n, c in sums.items()}, before=True).rows
+    return _dealt(df, order, by).scan({n: total(c) for n, c in sums.items()}, before=True).rows
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "row", by: tuple[str, ...] = ()) -> DataFrame:

@@ -261,6 +261,20 @@ def test_rows_ahead_over_parts(spark, parts, k):
     assert near.scan({"s": order.total("x")}).rows.where("x = 59").first()["s"] == sum(x for g, x in rows if g == "a")
 
 
+def test_parts_are_bounded(spark, monkeypatch):
+    """A task has a part of about PART rows however the session merges small ones, in one group too, and finds the rows ahead in one exchange of rows."""
+    monkeypatch.setattr(order, "PART", 500)
+    df = spark.range(10_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 10_007).alias("x"))
+    dealt = order.deal(df, ["x"], ("g",)).ahead(2, "near", F.col("x"))
+    n = [r["n"] for r in dealt.parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(n) >= 18 and max(n) <= 1000
+    xs = sorted(i * 7919 % 10_007 for i in range(10_000))
+    assert {r["x"]: r["near"] for r in dealt.rows.collect()} == {x: xs[i + 1 : i + 3] for i, x in enumerate(xs)}
+    one = dealt.rows.select("x", F.size("near"))
+    one.collect()
+    assert "ReusedExchange" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_hot_group_is_no_task(spark, parts):
     """One key holds half the rows: no part has more than twice the mean, a scan has one exchange of rows, and states are right."""
     df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), "id", (F.col("id") * 7919 % 10007).alias("v"))

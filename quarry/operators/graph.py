@@ -75,11 +75,16 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Each round draws every node's neighbours to the smallest of them (large
     star), then the smaller ones to their smallest (small star): no node's label
     becomes a key that a whole component is joined on, and what a hub is told is
-    broadcast (see heavy_join). Every round is written; it ends when no edge moves.
+    broadcast (see heavy_join). The edges are written once, as they may be costly,
+    and every round is; it ends when no edge moves. Rounds keep all nodes that have
+    an edge to another, so the given edges aren't read again for them.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    every = edges.select(F.col("a").alias("node")).union(edges.select("b")) if nodes is None else nodes.select("node")
+    turned = F.col("a") < F.col("b")
+    given = cut_lineage(edges.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")).distinct())
+    now, read = given.where("a <> b"), [given]
+    if nodes is None:
+        loose = cut_lineage(given.where("a = b or a is null or b is null"))
     while True:
         near = both(now)
         least = cut_lineage(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
@@ -88,9 +93,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         small = heavy_join(large, lower, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
         after = cut_lineage(small)
         moved = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
-        release(now, least, large, lower)
-        now = after
+        release(*read, least, large, lower)
+        now, read = after, [after]
         if not moved:
+            every = nodes.select("node") if nodes is not None else both(now).unionByName(both(loose)).select(F.col("u").alias("node"))
             return every.distinct().join(now.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").select("node", F.coalesce("_root", "node").alias("root"))
 
 

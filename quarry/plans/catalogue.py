@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import arrays
 from quarry.operators import bootstrap, graph, grid, models, order, sampling, selection, stats
+from quarry.operators.shared import cut_lineage
 from quarry.sources.tables import TABLES, metadata, quantisation_tables, register, table
 from quarry.streaming import events as streaming
 
@@ -386,7 +387,7 @@ def component_sizes(spark, sf_dir):
 r AS (SELECT node, node AS root FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM c GROUP BY root""")
 def what_if_component(spark, sf_dir):
     """Sizes after edges between neighbouring ids are added."""
-    labels = components_min_label(spark, sf_dir)
+    labels = cut_lineage(components_min_label(spark, sf_dir))
     nodes = labels.select("node")
     extra = nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(nodes.select(F.col("node").alias("b")), "b").select("a", "b")
     return graph.what_if(labels, extra)

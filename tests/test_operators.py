@@ -90,3 +90,27 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert sinks.cached(spark, str(tmp_path / "cache"), build, code=1).count() == 3
     assert len(calls) == 1 and sinks.markdown_table(spark.range(1)).startswith("| id |")
+
+
+def _counted(spark, rows):
+    """(edges, counter): how many rows have been computed, which a costly join would be."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return spark.createDataFrame(rows, "a long, b long").repartition(2).mapInPandas(pass_on, "a long, b long"), seen
+
+
+def test_components_compute_edges_once(spark):
+    """Chains, both directions, repeats, edges to oneself and missing ends: the same nodes and roots, from one pass over the edges."""
+    rows = [(2, 1), (2, 3), (3, 2), (4, 3), (4, 3), (7, 7), (9, 10), (10, 10), (None, 12), (13, None)]
+    edges, seen = _counted(spark, rows)
+    got = {(r.node, r.root) for r in graph.components(edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (9, 9), (10, 9), (12, 12), (13, 13), (None, None)}
+    assert seen.value == len(rows)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    edges, seen = _counted(spark, [(2, 1), (5, 4)])
+    assert {(r.node, r.root) for r in graph.components(edges, spark.range(1, 7).toDF("node")).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)} and seen.value == 2

@@ -21,6 +21,8 @@ from quarry.operators.shared import cut_lineage, release
 
 #: Pivots, and rows of a cell in a block, at most: a task holds two blocks of vectors.
 PIVOTS, BLOCK = 64, 4096
+#: Rows compared with a block at a time: so many times BLOCK distances are held.
+SLICE = 512
 #: More than the rounding of a distance of vectors of the given size.
 ROUNDING = 1e-6
 
@@ -44,6 +46,11 @@ def first_k(own: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, o
     return out, who
 
 
+def kth_within(own: np.ndarray, v: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Each row's distance to the k-th nearest of its own block, SLICE rows at a time."""
+    return np.concatenate([first_k(own[s : s + SLICE], v[s : s + SLICE], own, v, np.ones((1, 1), bool), k, slack)[0][:, -1] for s in range(0, len(own), SLICE)])
+
+
 def k_nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(a, b, rank, distance, compared): the k nearest other rows of each row by Euclidean distance, ties by the smaller row of key.
 
@@ -74,8 +81,8 @@ def k_nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole(batches, ["cell", "part"]):
             n, v, off = group["n"].to_numpy(np.int64), np.stack(group["vec"].to_list()), group["off"].to_numpy()
-            bound, _ = first_k(n, v, n, v, np.ones((len(n), len(n)), bool), k, slack)
-            yield pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]], "low": [off.min()], "high": [off.max()], "size": [len(n)], "data": [n.tobytes() + off.tobytes() + bound[:, -1].tobytes() + v.tobytes()]})
+            bound = kth_within(n, v, k, slack)
+            yield pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]], "low": [off.min()], "high": [off.max()], "size": [len(n)], "data": [n.tobytes() + off.tobytes() + bound.tobytes() + v.tobytes()]})
 
     by_block = dealt.select("cell", "part", "n", "off", "vec").repartition("cell", "part").sortWithinPartitions("cell", "part", "n")
     blocks = cut_lineage(by_block.mapInPandas(packed, "cell int, part int, low double, high double, size long, data binary").withColumn("block", F.monotonically_increasing_id()))
@@ -118,8 +125,8 @@ def k_nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
                 n, off, bound, v = opened(data)
                 others, far, _, w = held
                 found, read = [], 0
-                for s in range(0, len(n), 512):
-                    part = slice(s, s + 512)
+                for s in range(0, len(n), SLICE):
+                    part = slice(s, s + SLICE)
                     open_ = np.abs(off[part, None] - far) <= bound[part, None] + slack
                     read += int(open_.sum())
                     found.append(first_k(n[part], v[part], others, w, open_, k, slack))

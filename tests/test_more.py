@@ -486,6 +486,20 @@ def test_nearest_against_brute_force(spark, monkeypatch, n, block, k):
         assert max(r["compared"] for r in found) < 0.6
 
 
+def test_a_block_within_itself_is_compared_by_slices():
+    """Memory of a worker with a full block: a slice of its distances, not the square; the k-th distances are right."""
+    import tracemalloc
+
+    v = np.random.default_rng(5).normal(size=(nearest.BLOCK, 64))
+    tracemalloc.start()
+    bound = nearest.kth_within(np.arange(len(v)), v, 10, 1e-6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for i in (0, 511, 512, 4095):
+        assert abs(bound[i] - np.sort(np.sqrt(((v - v[i]) ** 2).sum(axis=1)))[10]) < 1e-9
+
+
 def test_contributions_against_all_subsets(spark):
     """Small made trees: Shapley values over all subsets of features, a feature split on twice, a tree of one leaf."""
     from itertools import combinations

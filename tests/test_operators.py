@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.functions import arrays
-from quarry.operators import graph, grid, sampling, stats
+from quarry.operators import graph, grid, order, sampling, stats
 from quarry.sources import sinks, tables
 
 
@@ -114,3 +115,15 @@ def test_components_compute_edges_once(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
     edges, seen = _counted(spark, [(2, 1), (5, 4)])
     assert {(r.node, r.root) for r in graph.components(edges, spark.range(1, 7).toDF("node")).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)} and seen.value == 2
+
+
+def test_sorted_neighbours_of_one_group_in_bounded_tasks(spark, monkeypatch):
+    """All rows have one key: pairs as by brute force, and no task has more than a few parts' worth of rows."""
+    monkeypatch.setattr(order, "PART", 200)
+    rows = [(0, k, float(k * 37 % 50), (k * 11 % 7) / 100) for k in range(3000)]
+    pairs = grid.sorted_neighbours(spark.createDataFrame(rows, "g int, k long, q double, d double"), "g", "k", ["q", "d"], 5, 0.015)
+    ran = sorted((q, d, k) for _, k, q, d in rows)
+    want = {(k, b) for i, (q, d, k) in enumerate(ran) for p, e, b in ran[i + 1 : i + 6] if abs(q - p) <= 0.015 and abs(d - e) <= 0.015}
+    got = [(r.a, r.b) for r in pairs.select("a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert pairs.groupBy(F.spark_partition_id()).count().count() >= 12

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays
-from quarry.operators import graph, grid, order, sampling, stats
+from quarry.operators import graph, grid, order, sampling, splits, stats
 from quarry.sources import sinks, tables
 
 
@@ -127,3 +127,13 @@ def test_sorted_neighbours_of_one_group_in_bounded_tasks(spark, monkeypatch):
     got = [(r.a, r.b) for r in pairs.select("a", "b").collect()]
     assert len(got) == len(want) and set(got) == want
     assert pairs.groupBy(F.spark_partition_id()).count().count() >= 12
+
+
+def test_merge_rules_compute_edges_once(spark):
+    """Two rules in turn, each of whose edges may be a costly join: one pass over each, unknown ends left out."""
+    first, one = _counted(spark, [(1, 2), (2, 3), (8, 99)])
+    then, two = _counted(spark, [(3, 1), (3, 4), (6, 5)])
+    labels, counts = splits.merge_rules(spark.range(1, 9).toDF("node"), [("first", first), ("then", then)])
+    assert {(r.node, r.root) for r in labels.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 8)}
+    assert [(r.rule, r.merges) for r in counts.orderBy("position").collect()] == [("first", 2), ("then", 2)]
+    assert (one.value, two.value) == (3, 3)

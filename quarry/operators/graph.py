@@ -1,10 +1,13 @@
-"""Near-duplicate joins on 64-bit hashes, and connected components."""
+"""Near-duplicate joins on 64-bit hashes, links enough for their components, and connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from quarry.operators.shared import cut_lineage, heavy_join, release
 
 #: Values near a band's value that a row is dealt to, over all bands, at most.
 SPREAD = 512
+#: Rows of a block, about, at most, and blocks at least: a task compares two.
+BLOCK, BLOCKS = 1 << 17, 5
+#: Codes compared at a time, and pairs whose vectors are.
+TILE, CHUNK = (128, 4096), 1 << 15
 
 
 def gradient_hash(vector: Column, n: int = 64) -> Column:
@@ -56,6 +63,90 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 63
     return a.join(b, same & (first == F.col("a.band"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
 
 
+class Joined:
+    """Components of the numbers below n, as pairs come in."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Which of the pairs, in their order, join two components."""
+        to: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while v in to:
+                to[v] = v = to.get(to[v], to[v])
+            return v
+
+        kept = []
+        for i, (a, b) in enumerate(zip(self.of[x].tolist(), self.of[y].tolist())):
+            a, b = root(a), root(b)
+            if a != b:
+                to[max(a, b)] = min(a, b)
+                kept.append(i)
+        if kept:
+            now = np.arange(len(self.of))
+            now[list(to)] = [root(v) for v in list(to)]
+            self.of = now[self.of]
+        return kept
+
+
+def near_codes(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of codes that differ in at most `most` bits, CHUNK pairs at most at a time; same: b is a, and each pair comes once."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    for s in range(0, len(a), TILE[0]):
+        for t in range(s if same else 0, len(b), TILE[1]):
+            some = b[t : t + TILE[1]]
+            x, y = np.divmod(np.flatnonzero(np.bitwise_count(a[s : s + TILE[0], None] ^ some) <= most), len(some))
+            x, y = x + s, y + t
+            if same:
+                x, y = x[x < y], y[x < y]
+            for c in range(0, len(x), CHUNK):
+                yield x[c : c + CHUNK], y[c : c + CHUNK]
+
+
+def hamming_links(df: DataFrame, key: str, bits: str, most: int, vector: str | None = None, close: float = 0.0) -> DataFrame:
+    """(a, b): as many of hamming_pairs() as it takes to have the same components, not all of them.
+
+    vector: only pairs whose mean absolute difference is under `close`; keys must
+    then be unique, and vectors that are null or hold nulls take no part. Every two
+    blocks of rows meet in one task, vectors included, and of their pairs it gives
+    those that join two components of what it has seen: fewer than rows. So up to
+    BLOCK * BLOCKS rows what moves grows with the rows, though the number of near
+    pairs grows with their square; beyond it, blocks grow in number.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(bits).alias("h"), *([F.col(vector).alias("e")] if vector else [])).where("k is not null and h is not null")
+    if vector:
+        rows = rows.where(F.col("e").isNotNull() & F.forall("e", lambda v: v.isNotNull()))
+    blocks = max(BLOCKS, -(-df.count() // BLOCK))
+    own, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.select("*", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+    def links(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(rows["own"].to_numpy() == c) for c in cell)
+        keys, codes, joined = rows["k"].to_numpy(), rows["h"].to_numpy(np.int64), Joined(len(rows))
+        if vector:
+            size = rows["e"].str.len().to_numpy()
+            vectors = np.stack(rows["e"].to_list()) if size.min() == size.max() else np.array([np.pad(e, (0, size.max() - len(e))) for e in rows["e"]])
+        number = pd.factorize(keys)[0]
+        a, b = [], []
+        for x, y in near_codes(codes[left], codes[right], most, cell[0] == cell[1]):
+            x, y = left[x], right[y]
+            apart = joined.of[number[x]] != joined.of[number[y]]
+            x, y = x[apart], y[apart]
+            if vector and len(x):
+                mean = np.cumsum(np.abs(vectors[x].astype(float) - vectors[y]), axis=1)[:, -1] / size[x]  # summed in order, as Spark does
+                near = (size[x] == size[y]) & (mean < close)
+                x, y = x[near], y[near]
+            kept = joined.add(number[x], number[y])
+            a.append(keys[x[kept]])
+            b.append(keys[y[kept]])
+        return pd.DataFrame({"a": np.concatenate([keys[:0], *a]), "b": np.concatenate([keys[:0], *b])})
+
+    kind = dict(df.dtypes)[key]
+    return dealt.groupBy("i", "j").applyInPandas(links, f"a {kind}, b {kind}")
+
+
 def mean_abs_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, v: s + v) / F.size(a)
 

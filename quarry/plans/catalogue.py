@@ -375,7 +375,7 @@ CLOSED = f"""WITH RECURSIVE e AS ({PAIRS}), s AS (SELECT a, b FROM e UNION ALL S
 
 @query(f"{CLOSED} SELECT node, root FROM c")
 def components_min_label(spark, sf_dir):
-    return graph.components(graph.hamming_pairs(hashed(spark, sf_dir), "vec_id", "h", 16))
+    return graph.components(graph.hamming_links(hashed(spark, sf_dir), "vec_id", "h", 16))
 
 
 @query(f"{CLOSED} SELECT root, count(*) AS size FROM c GROUP BY root")

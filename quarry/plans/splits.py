@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, order, sampling, selection, splits
-from quarry.operators.graph import mean_abs_difference
 from quarry.plans.catalogue import PAIRS, hashed, query, sql
 from quarry.sources.tables import register, table
 
@@ -23,9 +22,8 @@ def merged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
     exact = docs.where("h is not null").join(first, "h").select("a", F.col("doc_id").alias("b"))
-    h = hashed(spark, sf_dir)
-    v = h.select("vec_id", "embedding")
-    near = graph.hamming_pairs(h, "vec_id", "h", 16).join(v.toDF("a", "ea"), "a").join(v.toDF("b", "eb"), "b").where(mean_abs_difference(F.col("ea"), F.col("eb")) < 1.2).select("a", "b")
+    known = hashed(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")  # links must not lead over unknown ends
+    near = graph.hamming_links(known, "vec_id", "h", 16, "embedding", 1.2)
     donors = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("a"), (F.col("doc_id") - 1).alias("b"))
     return splits.merge_rules(docs.select(F.col("doc_id").alias("node")), [("exact", exact), ("near", near), ("donor", donors)])
 

@@ -137,3 +137,38 @@ def test_merge_rules_compute_edges_once(spark):
     assert {(r.node, r.root) for r in labels.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 8)}
     assert [(r.rule, r.merges) for r in counts.orderBy("position").collect()] == [("first", 2), ("then", 2)]
     assert (one.value, two.value) == (3, 3)
+
+
+def test_hamming_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    """Random codes, a dense group, repeats of a code and unknown keys, in few and in many blocks: the components of all near pairs, with fewer links than rows a block."""
+    rng = np.random.default_rng(5)
+    codes = [*map(int, rng.integers(0, 1 << 63, 200)), *[(1 << 62) + (1 << (i % 9)) for i in range(300)], *[77] * 20, *[77 ^ 0b1111]]
+    rows = spark.createDataFrame([*enumerate(codes), (None, 77), (999, None)], "k long, h long")
+    wanted = {(r.node, r.root) for r in graph.components(graph.hamming_pairs(rows, "k", "h", 4)).collect()}
+    for block in (1 << 17, 40):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        links = graph.hamming_links(rows, "k", "h", 4)
+        assert {(r.node, r.root) for r in graph.components(links).collect()} == wanted and len(wanted) == 321
+        assert links.count() <= max(5, -(-523 // block)) * 523
+
+
+def test_hamming_links_by_vectors(spark):
+    """One code and vectors apart by steps of 1: links under the limit alone, not at it; no nulls, no other length."""
+    v = [[0.0, 0.0], [1.0, 1.0], [2.5, 2.5], [3.5, 3.0], [5.0, 4.5], [9.0, 9.0], [9.5, None], [9.0, 9.0, 9.0], None]
+    rows = spark.createDataFrame([(k, 7, e) for k, e in enumerate(v)], "k long, h long, e array<float>")
+    assert {(min(r), max(r)) for r in graph.hamming_links(rows, "k", "h", 0, "e", 1.5).collect()} == {(0, 1), (2, 3)}
+
+
+def test_split_groups_carry_fewer_near_pairs_than_rows(spark, tmp_path, monkeypatch):
+    """All 120 vectors but one are near each other, some are of no document: one group, and the near rule gives few edges, none over an unknown end."""
+    from quarry.plans import splits as plans
+
+    spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(0, 240, 2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one, other = [float(i % 5) for i in range(64)], [float(-(i % 3)) for i in range(64)]
+    spark.createDataFrame([(k, 0, other if k == 8 else one) for k in range(240)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, merge = [], splits.merge_rules
+    monkeypatch.setattr(splits, "merge_rules", lambda nodes, rules: seen.append(dict(rules)["near"]) or merge(nodes, rules))
+    assert {(r.doc_id, r.split_group) for r in plans.split_groups(spark, str(tmp_path)).collect()} == {(k, 8 if k == 8 else 0) for k in range(0, 240, 2)}
+    edges = [(r.a, r.b) for r in seen[0].collect()]
+    assert len(edges) <= 5 * 120 and all(k % 2 == 0 for e in edges for k in e)

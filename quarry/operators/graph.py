@@ -7,7 +7,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +105,17 @@ def near_codes(a: np.ndarray, b: np.ndarray, most: int, same: bool) -> Iterator[
                 yield x[c : c + CHUNK], y[c : c + CHUNK]
 
 
+def matrix(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, entries by row, 0 behind the shorter ones) of lists without nulls."""
+    size = np.concatenate([np.zeros(0, np.int64), *[c.value_lengths().to_numpy() for c in lists.chunks]])
+    entries = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
+    if size.min() == size.max():
+        return size, entries.reshape(len(size), -1)
+    out = np.zeros((len(size), size.max()), entries.dtype)
+    out[np.arange(size.max()) < size[:, None]] = entries
+    return size, out
+
+
 def hamming_links(df: DataFrame, key: str, bits: str, most: int, vector: str | None = None, close: float = 0.0) -> DataFrame:
     """(a, b): as many of hamming_pairs() as it takes to have the same components, not all of them.
 
@@ -122,13 +133,13 @@ def hamming_links(df: DataFrame, key: str, bits: str, most: int, vector: str | N
     own, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.select("*", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
-    def links(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def links(cell: tuple, rows: pa.Table) -> pa.Table:
+        cell = tuple(c.as_py() for c in cell)
         left, right = (np.flatnonzero(rows["own"].to_numpy() == c) for c in cell)
-        keys, codes, joined = rows["k"].to_numpy(), rows["h"].to_numpy(np.int64), Joined(len(rows))
+        codes, joined = rows["h"].to_numpy(), Joined(len(rows))
         if vector:
-            size = rows["e"].str.len().to_numpy()
-            vectors = np.stack(rows["e"].to_list()) if size.min() == size.max() else np.array([np.pad(e, (0, size.max() - len(e))) for e in rows["e"]])
-        number = pd.factorize(keys)[0]
+            size, vectors = matrix(rows["e"])
+        number = rows["k"].combine_chunks().dictionary_encode().indices.to_numpy()
         a, b = [], []
         for x, y in near_codes(codes[left], codes[right], most, cell[0] == cell[1]):
             x, y = left[x], right[y]
@@ -139,12 +150,14 @@ def hamming_links(df: DataFrame, key: str, bits: str, most: int, vector: str | N
                 near = (size[x] == size[y]) & (mean < close)
                 x, y = x[near], y[near]
             kept = joined.add(number[x], number[y])
-            a.append(keys[x[kept]])
-            b.append(keys[y[kept]])
-        return pd.DataFrame({"a": np.concatenate([keys[:0], *a]), "b": np.concatenate([keys[:0], *b])})
+            a.append(x[kept])
+            b.append(y[kept])
+        none = left[:0]
+        return pa.table({name: rows["k"].take(pa.array(np.concatenate([none, *at]))) for name, at in (("a", a), ("b", b))})
 
     kind = dict(df.dtypes)[key]
-    return dealt.groupBy("i", "j").applyInPandas(links, f"a {kind}, b {kind}")
+    spread = dealt.repartition(blocks * (blocks + 1), "i", "j")  # a known number, as a pair of blocks has few bytes for its work
+    return spread.groupBy("i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
 
 def mean_abs_difference(a: Column, b: Column) -> Column:

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from quarry.operators.shared import cut_lineage
 
-#: Rows of a part, about, at most: a task sorts one and holds it in windows.
+#: Rows of a part, about: a task sorts one and holds it in windows.
 PART = 1 << 18
 
+#: A shuffle into many parts holds all rows of a map task in memory, one into few writes them as they come: before parts become many, they grow up to so many times PART.
+GROWN = 8
+
 
 @dataclass(frozen=True)
 class State:
@@ -112,9 +115,15 @@ class Dealt:
 
 
 def deal(df: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> Dealt:
-    """Rows dealt by ranges and written once, since later steps must see the same ranges. They are counted, and a part has about PART of them at most."""
-    n = df.count()
-    return _dealt(df, order, by, max(-(-n // PART), df.sparkSession.sparkContext.defaultParallelism) if n > PART else None)
+    """Rows dealt by ranges and written once, since later steps must see the same ranges. They are counted, and a part has about GROWN * PART of them at most."""
+    n, sc = df.count(), df.sparkSession.sparkContext
+    few = int(sc.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200")) - 1  # less one, as ranges of _part have an empty one at the end
+    return _dealt(df, order, by, max(_parts(n, few), sc.defaultParallelism) if n > PART else None)
+
+
+def _parts(n: int, few: int) -> int:
+    """In how many parts n rows are dealt: of PART rows, while they are few, then few larger ones, then as many as keep them at GROWN * PART."""
+    return min(-(-n // PART), max(few, -(-n // (GROWN * PART))))
 
 
 def _dealt(df: DataFrame, order: list[str], by: tuple[str, ...], parts: int | None = None) -> Dealt:

@@ -129,6 +129,25 @@ def test_sorted_neighbours_of_one_group_in_bounded_tasks(spark, monkeypatch):
     assert pairs.groupBy(F.spark_partition_id()).count().count() >= 12
 
 
+def test_sorted_neighbours_shuffle_into_few_parts(spark, monkeypatch):
+    """As many rows as make 300 parts: shuffles keep to the 200 that a map task writes without holding its rows, pairs as by brute force."""
+    monkeypatch.setattr(order, "PART", 10)
+    rows = [(k % 3, k, float(k * 37 % 50), (k * 11 % 7) / 100) for k in range(3000)]
+    pairs = grid.sorted_neighbours(spark.createDataFrame(rows, "g int, k long, q double, d double"), "g", "k", ["q", "d"], 5, 0.015)
+    want = set()
+    for g in range(3):
+        ran = sorted((q, d, k) for at, k, q, d in rows if at == g)
+        want |= {(k, b) for i, (q, d, k) in enumerate(ran) for p, e, b in ran[i + 1 : i + 6] if abs(q - p) <= 0.015 and abs(d - e) <= 0.015}
+    got = [(r.a, r.b) for r in pairs.select("a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert 100 <= pairs.rdd.getNumPartitions() <= 200
+
+
+def test_parts_are_few_before_they_are_small():
+    for n, parts in ((1, 1), (100 << 18, 100), (199 << 18, 199), (1000 << 18, 199), (199 << 21, 199), (1000 << 21, 1000)):
+        assert order._parts(n, 199) == parts and -(-n // parts) <= order.GROWN * order.PART
+
+
 def test_merge_rules_compute_edges_once(spark):
     """Two rules in turn, each of whose edges may be a costly join: one pass over each, unknown ends left out."""
     first, one = _counted(spark, [(1, 2), (2, 3), (8, 99)])

@@ -500,6 +500,25 @@ def test_a_block_within_itself_is_compared_by_slices():
         assert abs(bound[i] - np.sort(np.sqrt(((v - v[i]) ** 2).sum(axis=1)))[10]) < 1e-9
 
 
+def test_nearest_shuffles_rows_and_not_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks and vectors that no bound parts, copies among them: shuffled bytes stay within a few times the vectors, results as by brute force."""
+    monkeypatch.setattr(nearest, "BLOCK", 32)
+    monkeypatch.setattr(nearest, "PIVOTS", 8)
+    v = np.random.default_rng(9).normal(size=(1500, 16)).astype(np.float32).astype(float)
+    v[::50] = v[7]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = nearest.k_nearest(spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<float>"), "id", "v", 5).collect()
+    assert 0 < written() - before < 10 * v.nbytes
+    got = {(r["a"], r["rank"]): (r["b"], round(r["distance"], 9)) for r in found}
+    assert len(found) == len(got) == 5 * len(v)
+    for i in range(len(v)):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(v)), d))[:5]
+        assert [got[i, r + 1] for r in range(5)] == [(j, round(d[j], 9)) for j in want]
+
+
 def test_contributions_against_all_subsets(spark):
     """Small made trees: Shapley values over all subsets of features, a feature split on twice, a tree of one leaf."""
     from itertools import combinations
